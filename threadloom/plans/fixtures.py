@@ -190,3 +190,89 @@ dmessages AS (
          text
   FROM documents
 )"""
+
+
+# ---------------------------------------------------------------- targets and metadata (A)
+
+# Fixed toggles: (workspace, channel, enabled, seconds relative to as_of).
+TOGGLES = [("T0", "Q2", False, -1800), ("T0", "C1", False, -1700), ("T0", "C1", True, -1600),
+           ("T9", "C99", False, -1500), ("T1", "C2", False, -100)]
+QUIET_CHANNELS = ["Q0", "Q1", "Q2"]
+
+
+def _shift(as_of, secs_col: Column) -> Column:
+    return F.timestamp_seconds(F.unix_seconds(F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")) + secs_col)
+
+
+def target_registrations(messages: DataFrame, as_of) -> DataFrame:
+    """Every live message registers its channel; three quiet channels are added by hand."""
+    spark = messages.sparkSession
+    manual = spark.createDataFrame([("T0", q) for q in QUIET_CHANNELS], "workspace_id string, channel_id string")
+    return (messages.select("workspace_id", "channel_id", F.col("observed_at").alias("at"))
+            .unionByName(manual.select("workspace_id", "channel_id", _shift(as_of, F.lit(-3600)).alias("at"))))
+
+
+def target_toggles(spark: SparkSession, as_of) -> DataFrame:
+    t = spark.createDataFrame(TOGGLES, "workspace_id string, channel_id string, enabled boolean, dt int")
+    return t.select("workspace_id", "channel_id", "enabled", _shift(as_of, F.col("dt")).alias("at"))
+
+
+def metadata_lookups(targets: DataFrame, as_of) -> DataFrame:
+    """Lookup log per target: success at as_of - 1800 - 60n (n = channel number), or 30 h
+    earlier when n % 5 = 0; a failure 5 minutes before as_of when n % 3 = 0.
+    Workspaces are named 'Team <w>'; channels 'chan-<n>' when n is even, else the id."""
+    n = F.expr("try_cast(substr(channel_id, 2) AS INT)")
+    w = F.expr("try_cast(substr(workspace_id, 2) AS INT)")
+    ok_at = F.when(n % 5 == 0, F.lit(-30 * 3600)).otherwise(F.lit(-1800) - 60 * n)
+    ok = targets.select(
+        "workspace_id", "channel_id", F.lit(True).alias("ok"),
+        F.concat(F.lit("Team "), w.cast("string")).alias("workspace_name"),
+        F.when(n % 2 == 0, F.concat(F.lit("chan-"), n.cast("string"))).otherwise(F.col("channel_id")).alias("channel_name"),
+        F.lit(None).cast("string").alias("error"), _shift(as_of, ok_at).alias("at"))
+    bad = targets.where(n % 3 == 0).select(
+        "workspace_id", "channel_id", F.lit(False).alias("ok"), F.lit(None).cast("string").alias("workspace_name"),
+        F.lit(None).cast("string").alias("channel_name"), F.lit("ratelimited").alias("error"),
+        _shift(as_of, F.lit(-300)).alias("at"))
+    return ok.unionByName(bad)
+
+
+SQL_TARGETS = """
+reg AS (
+  SELECT workspace_id, channel_id, observed_secs AS at_s FROM messages
+  UNION ALL SELECT 'T0', q, (SELECT as_of_secs FROM params) - 3600 FROM (VALUES ('Q0'), ('Q1'), ('Q2')) v(q)),
+regs AS (SELECT workspace_id, channel_id, min(at_s) AS created_at, max(at_s) AS reg_at FROM reg GROUP BY workspace_id, channel_id),
+tog AS (
+  SELECT v.workspace_id, v.channel_id, v.enabled, p.as_of_secs + v.dt AS at_s
+  FROM (VALUES """ + ", ".join(f"('{a}', '{b}', {str(c).upper()}, {d})" for a, b, c, d in TOGGLES) + """) v(workspace_id, channel_id, enabled, dt), params p),
+togs AS (
+  SELECT t.workspace_id, t.channel_id, arg_max(t.enabled, t.at_s) AS enabled, max(t.at_s) AS tog_at
+  FROM tog t JOIN regs r ON r.workspace_id = t.workspace_id AND r.channel_id = t.channel_id AND t.at_s >= r.created_at
+  GROUP BY t.workspace_id, t.channel_id),
+targets AS (
+  SELECT r.workspace_id, r.channel_id, COALESCE(t.enabled, TRUE) AS enabled, r.created_at,
+         greatest(r.reg_at, COALESCE(t.tog_at, r.reg_at)) AS updated_at
+  FROM regs r LEFT JOIN togs t ON t.workspace_id = r.workspace_id AND t.channel_id = r.channel_id)"""
+
+SQL_METADATA = """
+lk AS (
+  SELECT workspace_id, channel_id, TRY_CAST(substr(channel_id, 2) AS INTEGER) AS n, TRY_CAST(substr(workspace_id, 2) AS INTEGER) AS w
+  FROM targets),
+lookups AS (
+  SELECT workspace_id, channel_id, TRUE AS ok, 'Team ' || CAST(w AS VARCHAR) AS workspace_name,
+         CASE WHEN n % 2 = 0 THEN 'chan-' || CAST(n AS VARCHAR) ELSE channel_id END AS channel_name,
+         CAST(NULL AS VARCHAR) AS error,
+         (SELECT as_of_secs FROM params) + CASE WHEN n % 5 = 0 THEN -30 * 3600 ELSE -1800 - 60 * n END AS at_s
+  FROM lk
+  UNION ALL
+  SELECT workspace_id, channel_id, FALSE, NULL, NULL, 'ratelimited', (SELECT as_of_secs FROM params) - 300
+  FROM lk WHERE n % 3 = 0),
+wsmeta AS (
+  SELECT workspace_id, arg_max(workspace_name, at_s) FILTER (WHERE ok) AS workspace_name,
+         max(at_s) FILTER (WHERE ok) AS last_synced_at, max(at_s) AS last_attempted_at,
+         arg_max_null(CASE WHEN NOT ok THEN error END, at_s) AS last_error
+  FROM lookups GROUP BY workspace_id),
+chmeta AS (
+  SELECT workspace_id, channel_id, arg_max(channel_name, at_s) FILTER (WHERE ok) AS channel_name,
+         max(at_s) FILTER (WHERE ok) AS last_synced_at, max(at_s) AS last_attempted_at,
+         arg_max_null(CASE WHEN NOT ok THEN error END, at_s) AS last_error
+  FROM lookups GROUP BY workspace_id, channel_id)"""

@@ -280,3 +280,260 @@ def q_all_segments(spark, sf_dir):
     x = fx.document_messages(fx.table(spark, sf_dir, "documents"))
     return segments.all_segments(x, 256).select("event_id", "seg_no", "seg_start", "seg_end", "text_continues",
                                                 "seg_cost")
+
+
+# ---------------------------------------------------------------- I5-I9, I11, I12
+
+from threadloom.operators import reports, retention, state  # noqa: E402
+
+THREAD_KEYS_SQL = "tk AS (SELECT DISTINCT workspace_id, channel_id, thread_ts AS key_ts FROM messages WHERE thread_ts IS NOT NULL)"
+THREAD_READ_SQL = """tread AS (
+  SELECT k.workspace_id, k.channel_id, k.key_ts, m.event_id, m.message_ts, m.thread_ts
+  FROM tk k JOIN messages m ON m.workspace_id = k.workspace_id AND m.channel_id = k.channel_id
+   AND (m.thread_ts = k.key_ts OR m.message_ts = k.key_ts)
+  CROSS JOIN params p WHERE m.observed_secs <= p.as_of_secs - 90)"""
+MARKERS_SQL = """mk AS (SELECT workspace_id, channel_id, thread_ts AS key_ts, min(message_ts) AS after_ts
+  FROM messages WHERE thread_ts IS NOT NULL GROUP BY workspace_id, channel_id, thread_ts)"""
+
+
+def _thread_read(spark, sf_dir):
+    conv, msgs, _, as_of = conv_inputs(spark, sf_dir)
+    keys = msgs.where(F.col("thread_ts").isNotNull()).select("workspace_id", "channel_id", "thread_ts")
+    return msgs, inbox.get_thread(msgs, keys, as_of)
+
+
+def _markers(msgs):
+    return (msgs.where(F.col("thread_ts").isNotNull()).groupBy("workspace_id", "channel_id", "thread_ts")
+            .agg(F.min("message_ts").alias("after_ts")))
+
+
+@register("thread_read", osql.with_ctes([fx.SQL_MESSAGES, fx.SQL_AS_OF, THREAD_KEYS_SQL, THREAD_READ_SQL],
+          "SELECT workspace_id, channel_id, key_ts, event_id, message_ts FROM tread"))
+def q_thread_read(spark, sf_dir):
+    _, t = _thread_read(spark, sf_dir)
+    return t.select("workspace_id", "channel_id", "key_ts", "event_id", "message_ts")
+
+
+@register("thread_after", osql.with_ctes([fx.SQL_MESSAGES, fx.SQL_AS_OF, THREAD_KEYS_SQL, THREAD_READ_SQL, MARKERS_SQL], """
+SELECT t.workspace_id, t.channel_id, t.key_ts, t.event_id, t.message_ts FROM tread t
+LEFT JOIN mk ON mk.workspace_id = t.workspace_id AND mk.channel_id = t.channel_id AND mk.key_ts = t.key_ts
+WHERE mk.after_ts IS NULL OR t.message_ts = t.key_ts OR t.message_ts > mk.after_ts"""))
+def q_thread_after(spark, sf_dir):
+    msgs, t = _thread_read(spark, sf_dir)
+    return inbox.thread_after(t, _markers(msgs)).select("workspace_id", "channel_id", "key_ts", "event_id", "message_ts")
+
+
+@register("thread_without_root", osql.with_ctes([fx.SQL_MESSAGES, fx.SQL_AS_OF, THREAD_KEYS_SQL, THREAD_READ_SQL],
+          "SELECT workspace_id, channel_id, key_ts, event_id, message_ts FROM tread WHERE message_ts <> key_ts"))
+def q_thread_without_root(spark, sf_dir):
+    _, t = _thread_read(spark, sf_dir)
+    return inbox.exclude_root(t).select("workspace_id", "channel_id", "key_ts", "event_id", "message_ts")
+
+
+@register("message_lookup", osql.with_ctes([fx.SQL_MESSAGES], """
+SELECT m.event_id, m.workspace_id, m.channel_id, m.message_ts FROM messages m
+WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT workspace_id, channel_id, thread_ts AS message_ts FROM messages WHERE thread_ts IS NOT NULL
+                             UNION SELECT workspace_id, channel_id, message_ts || '9' FROM messages) k
+              WHERE k.workspace_id = m.workspace_id AND k.channel_id = m.channel_id AND k.message_ts = m.message_ts)"""))
+def q_message_lookup(spark, sf_dir):
+    msgs = fx.conversation_messages(fx.table(spark, sf_dir, "conversations"))
+    keys = (msgs.where(F.col("thread_ts").isNotNull()).select("workspace_id", "channel_id", F.col("thread_ts").alias("message_ts"))
+            .unionByName(msgs.select("workspace_id", "channel_id", F.concat("message_ts", F.lit("9")).alias("message_ts"))))
+    return inbox.get_messages(msgs, keys).select("event_id", "workspace_id", "channel_id", "message_ts")
+
+
+def ack_requests(conv: DataFrame) -> DataFrame:
+    """I9 requests: ids with (c + t) % 5 = 0 plus 'missing<c>' for c % 10 = 0, each sent twice, by both consumers."""
+    c, t = F.col("conv_id"), F.col("turn")
+    ids = conv.where((c + t) % 5 == 0).select(F.concat(F.lit("Ev"), F.lpad((c * 8 + t).cast("string"), 9, "0")).alias("event_id"))
+    missing = conv.where((c % 10 == 0) & (t == 0)).select(F.concat(F.lit("missing"), c.cast("string")).alias("event_id"))
+    once = ids.unionByName(missing)
+    return inbox.with_consumers(once.unionByName(once), fx.CONSUMERS)
+
+
+@register("ack_outcomes", osql.with_ctes(INBOX + ["""
+req AS (
+  SELECT c.consumer_id, r.event_id FROM (
+    SELECT 'Ev' || lpad(CAST(conv_id * 8 + turn AS VARCHAR), 9, '0') AS event_id FROM conversations WHERE (conv_id + turn) % 5 = 0
+    UNION ALL SELECT 'missing' || CAST(conv_id AS VARCHAR) FROM conversations WHERE conv_id % 10 = 0 AND turn = 0) r
+  CROSS JOIN consumers c CROSS JOIN range(2) d)"""], """
+SELECT DISTINCT r.consumer_id, r.event_id,
+  CASE WHEN NOT EXISTS (SELECT 1 FROM messages m WHERE m.event_id = r.event_id) THEN 'unknown'
+       WHEN EXISTS (SELECT 1 FROM acks a WHERE a.consumer_id = r.consumer_id AND a.event_id = r.event_id) THEN 'already'
+       ELSE 'acknowledged' END AS outcome
+FROM req r"""))
+def q_ack_outcomes(spark, sf_dir):
+    conv = fx.table(spark, sf_dir, "conversations")
+    msgs = fx.conversation_messages(conv)
+    outcomes, _ = inbox.acknowledge(ack_requests(conv), msgs, fx.conversation_acks(conv))
+    return outcomes
+
+
+def receipt_frame(msgs: DataFrame) -> DataFrame:
+    """Receipts issued at each message's arrival for consumer alpha; ids c % 13 = 0 lack a consumer."""
+    k = F.expr("CAST(substr(event_id, 3) AS BIGINT)")
+    c = F.expr("CAST(substr(event_id, 3) AS BIGINT) div 8")
+    rec = msgs.select(F.when(c % 13 == 0, F.lit(None)).otherwise(F.lit("alpha")).alias("consumer_id"),
+                      F.array("event_id").alias("event_ids"), k.alias("_k"), "observed_at")
+    return inbox.issue_receipts(rec, F.col("observed_at")).drop("observed_at")
+
+
+RECEIPT_SQL = """
+rc AS (SELECT CASE WHEN (c * 8 + t) // 8 % 13 = 0 THEN NULL ELSE 'alpha' END AS consumer_id, event_id,
+              observed_secs AS issued_secs, observed_secs + 7 * 86400 AS expires_secs FROM messages),
+rp AS (SELECT min(observed_secs) + 7 * 86400 + (max(observed_secs) - min(observed_secs)) // 2 AS as_of_secs FROM messages)"""
+
+
+@register("receipts_valid", osql.with_ctes([fx.SQL_MESSAGES, RECEIPT_SQL], """
+SELECT consumer_id, event_id AS event_ids,
+       CASE WHEN consumer_id IS NULL THEN 'malformed' WHEN expires_secs < rp.as_of_secs THEN 'expired' ELSE 'valid' END AS status
+FROM rc, rp"""))
+def q_receipts_valid(spark, sf_dir):
+    msgs = fx.conversation_messages(fx.table(spark, sf_dir, "conversations"))
+    lo_hi = msgs.agg(F.min(F.unix_seconds("observed_at")).alias("lo"), F.max(F.unix_seconds("observed_at")).alias("hi")).first()
+    import datetime as dt
+    as_of = dt.datetime.fromtimestamp(lo_hi["lo"] + 7 * 86400 + (lo_hi["hi"] - lo_hi["lo"]) // 2, tz=dt.timezone.utc)
+    good, bad = inbox.valid_receipts(receipt_frame(msgs), as_of)
+    out = good.withColumn("status", F.lit("valid")).unionByName(bad.withColumnRenamed("reason", "status"))
+    return out.select("consumer_id", F.array_join("event_ids", ",").alias("event_ids"), "status")
+
+
+@register("segment_receipts", osql.with_ctes([fx.SQL_DOCUMENT_MESSAGES] + osql.segment_ctes("dmessages", 256),
+          "SELECT event_id FROM seg WHERE text_continues IS NULL"))
+def q_segment_receipts(spark, sf_dir):
+    x = fx.document_messages(fx.table(spark, sf_dir, "documents"))
+    return inbox.segment_receipts(segments.next_segment(x, 256))
+
+
+# ---------------------------------------------------------------- R1-R4
+
+
+@register("retain_raw", osql.with_ctes([fx.SQL_EVENT_MESSAGES], """
+SELECT event_id FROM emessages WHERE observed_us >= (SELECT max(observed_us) FROM emessages) - CAST(7 AS BIGINT) * 86400 * 1000000"""))
+def q_retain_raw(spark, sf_dir):
+    e = fx.event_messages(fx.table(spark, sf_dir, "events")).withColumnRenamed("observed_at", "received_at")
+    as_of = e.agg(F.max("received_at").alias("m")).first()["m"]
+    return retention.retain_raw(e, as_of).select("event_id")
+
+
+RETAIN_SQL = """
+rparams AS (SELECT 1700000000 + (max(conv_id) // 11) * 120 + 1000 AS cutoff FROM conversations),
+rmsg AS (SELECT m.*, TRY_CAST(m.message_ts AS DECIMAL(20,6)) >= r.cutoff AS is_recent FROM messages m, rparams r),
+retained AS (
+  SELECT event_id, workspace_id, channel_id, message_ts, FALSE AS kept_by_reply FROM rmsg WHERE is_recent
+  UNION ALL
+  SELECT o.event_id, o.workspace_id, o.channel_id, o.message_ts, TRUE FROM rmsg o
+  WHERE NOT COALESCE(o.is_recent, FALSE) AND EXISTS (
+    SELECT 1 FROM rmsg r WHERE r.is_recent AND r.workspace_id = o.workspace_id AND r.channel_id = o.channel_id
+      AND r.thread_ts = o.message_ts))"""
+
+
+def _retained(spark, sf_dir):
+    conv = fx.table(spark, sf_dir, "conversations")
+    msgs = fx.conversation_messages(conv)
+    hi = conv.agg(F.max(F.expr("conv_id div 11")).alias("m")).first()["m"]
+    import datetime as dt
+    cutoff = fx.BASE_SECS + hi * 120 + 1000
+    as_of = dt.datetime.fromtimestamp(cutoff + 86400, tz=dt.timezone.utc)
+    return conv, msgs, retention.retain_messages(msgs, as_of, days=1)
+
+
+@register("retain_messages", osql.with_ctes([fx.SQL_MESSAGES, RETAIN_SQL], "SELECT event_id, kept_by_reply FROM retained"))
+def q_retain_messages(spark, sf_dir):
+    _, _, kept = _retained(spark, sf_dir)
+    return kept.select("event_id", "kept_by_reply")
+
+
+@register("retain_index", osql.with_ctes([fx.SQL_MESSAGES, RETAIN_SQL], """
+SELECT DISTINCT i.workspace_id, i.channel_id, i.thread_ts AS root_ts FROM messages i
+WHERE i.thread_ts IS NOT NULL AND EXISTS (SELECT 1 FROM retained r WHERE r.workspace_id = i.workspace_id
+  AND r.channel_id = i.channel_id AND r.message_ts = i.thread_ts)"""))
+def q_retain_index(spark, sf_dir):
+    _, msgs, kept = _retained(spark, sf_dir)
+    index = msgs.where(F.col("thread_ts").isNotNull()).select(
+        "workspace_id", "channel_id", F.col("thread_ts").alias("root_ts")).distinct()
+    return retention.retain_index(index, kept)
+
+
+@register("retain_acks", osql.with_ctes([fx.SQL_MESSAGES, fx.SQL_ACKS, RETAIN_SQL], """
+SELECT consumer_id, event_id FROM acks WHERE event_id IN (SELECT event_id FROM retained)"""))
+def q_retain_acks(spark, sf_dir):
+    conv, _, kept = _retained(spark, sf_dir)
+    return retention.retain_acks(fx.conversation_acks(conv), kept).select("consumer_id", "event_id")
+
+
+# ---------------------------------------------------------------- D6, D7, D10, D11, M1-M3, N16, N17
+
+
+def _targets_meta(spark, sf_dir):
+    conv, msgs, _, as_of = conv_inputs(spark, sf_dir)
+    targets = state.targets_state(fx.target_registrations(msgs, as_of), fx.target_toggles(spark, as_of))
+    look = fx.metadata_lookups(targets, as_of)
+    ws = state.metadata_state(look.select("workspace_id", "ok", F.col("workspace_name").alias("name"), "error", "at"),
+                              ["workspace_id"], "workspace_name")
+    ch = state.metadata_state(look.select("workspace_id", "channel_id", "ok", F.col("channel_name").alias("name"),
+                                          "error", "at"), ["workspace_id", "channel_id"], "channel_name")
+    return msgs, as_of, targets, ws, ch
+
+
+TM = [fx.SQL_MESSAGES, fx.SQL_AS_OF, fx.SQL_TARGETS, fx.SQL_METADATA]
+
+
+@register("targets_state", osql.with_ctes(TM, """
+SELECT workspace_id, channel_id, enabled, created_at AS created_secs, updated_at AS updated_secs FROM targets"""))
+def q_targets_state(spark, sf_dir):
+    _, _, targets, _, _ = _targets_meta(spark, sf_dir)
+    return targets.select("workspace_id", "channel_id", "enabled", F.unix_seconds("created_at").alias("created_secs"),
+                          F.unix_seconds("updated_at").alias("updated_secs"))
+
+
+@register("metadata_state", osql.with_ctes(TM, """
+SELECT workspace_id, CAST(NULL AS VARCHAR) AS channel_id, workspace_name AS name, last_synced_at AS synced_secs,
+       last_attempted_at AS attempted_secs, last_error FROM wsmeta
+UNION ALL
+SELECT workspace_id, channel_id, channel_name, last_synced_at, last_attempted_at, last_error FROM chmeta"""))
+def q_metadata_state(spark, sf_dir):
+    _, _, _, ws, ch = _targets_meta(spark, sf_dir)
+    cols = lambda n: [F.col(n).alias("name"), F.unix_seconds("last_synced_at").alias("synced_secs"),
+                      F.unix_seconds("last_attempted_at").alias("attempted_secs"), "last_error"]
+    return (ws.select("workspace_id", F.lit(None).cast("string").alias("channel_id"), *cols("workspace_name"))
+            .unionByName(ch.select("workspace_id", "channel_id", *cols("channel_name"))))
+
+
+@register("metadata_due", osql.with_ctes(TM, """
+SELECT t.workspace_id, t.channel_id,
+  NOT COALESCE((w.workspace_name IS NOT NULL AND w.last_synced_at > p.as_of_secs - 24 * 3600) OR w.last_attempted_at > p.as_of_secs - 900, FALSE) AS workspace_due,
+  NOT COALESCE((c.channel_name IS NOT NULL AND c.last_synced_at > p.as_of_secs - 24 * 3600) OR c.last_attempted_at > p.as_of_secs - 900, FALSE) AS channel_due
+FROM targets t CROSS JOIN params p LEFT JOIN wsmeta w ON w.workspace_id = t.workspace_id
+LEFT JOIN chmeta c ON c.workspace_id = t.workspace_id AND c.channel_id = t.channel_id"""))
+def q_metadata_due(spark, sf_dir):
+    _, as_of, targets, ws, ch = _targets_meta(spark, sf_dir)
+    return state.metadata_due(targets, ws, ch, as_of)
+
+
+@register("list_channels", osql.with_ctes(TM, """
+SELECT t.workspace_id, w.workspace_name, t.channel_id, c.channel_name, t.enabled,
+       CAST(count(m.event_id) AS BIGINT) AS message_count, max(m.observed_secs) AS last_observed_secs,
+       CASE WHEN w.workspace_name IS NOT NULL AND w.workspace_name <> '' AND w.workspace_name <> t.workspace_id THEN w.workspace_name ELSE t.workspace_id END AS workspace_ref,
+       CASE WHEN c.channel_name IS NOT NULL AND c.channel_name <> '' AND c.channel_name <> t.channel_id THEN c.channel_name ELSE t.channel_id END AS channel_ref
+FROM targets t LEFT JOIN messages m ON m.workspace_id = t.workspace_id AND m.channel_id = t.channel_id
+LEFT JOIN wsmeta w ON w.workspace_id = t.workspace_id LEFT JOIN chmeta c ON c.workspace_id = t.workspace_id AND c.channel_id = t.channel_id
+GROUP BY t.workspace_id, w.workspace_name, t.channel_id, c.channel_name, t.enabled"""))
+def q_list_channels(spark, sf_dir):
+    msgs, _, targets, ws, ch = _targets_meta(spark, sf_dir)
+    out = reports.list_channels(targets, msgs, ws, ch)
+    return out.select("workspace_id", "workspace_name", "channel_id", "channel_name", "enabled", "message_count",
+                      F.unix_seconds("last_observed_at").alias("last_observed_secs"), "workspace_ref", "channel_ref")
+
+
+@register("status", osql.with_ctes(TM, """
+SELECT (SELECT count(*) FROM messages) AS events, (SELECT max(observed_secs) FROM messages) AS last_received_secs,
+       (SELECT count(*) FROM messages) AS messages,
+       (SELECT CAST(min(TRY_CAST(message_ts AS DECIMAL(20,6))) * 1000000 AS BIGINT) FROM messages) AS earliest_message_us,
+       (SELECT count(*) FROM targets WHERE enabled) AS channels"""))
+def q_status(spark, sf_dir):
+    msgs, _, targets, _, _ = _targets_meta(spark, sf_dir)
+    raw = msgs.select("event_id", F.col("observed_at").alias("received_at"))
+    s = reports.status(raw, msgs, targets)
+    return s.select("events", F.unix_seconds("last_received_at").alias("last_received_secs"), "messages",
+                    F.unix_micros("earliest_message_at").alias("earliest_message_us"), "channels")
