@@ -97,11 +97,8 @@ acks AS (
 
 def conversation_as_of(conversations: DataFrame):
     """as_of for adapter A: max(secs) - 600, fetched as one scalar (a parameter, not data)."""
-    latest = conversations.agg(F.max(F.expr("conv_id div 11")).alias("hi")).first()["hi"]
-    # secs of the last turn can exceed that of the last conversation group's turn 0; take the true max
     row = conversations.agg(F.max(F.lit(BASE_SECS) + F.expr("conv_id div 11") * CONV_SPACING_SECS
                                   + TURN_SECS * F.col("turn") * F.col("turn")).alias("m")).first()
-    del latest
     import datetime as dt
     return dt.datetime.fromtimestamp(int(row["m"]) - AS_OF_LAG_SECS, tz=dt.timezone.utc).replace(tzinfo=None)
 
