@@ -15,7 +15,7 @@ def _col(c: Column | str) -> Column:
 
 
 def json_type(v: Column | str, path: str) -> Column:
-    """Upper-case variant type name at ``path`` (e.g. 'STRING', 'OBJECT'), null when absent."""
+    """Upper-case variant type name at ``path`` ('STRING', 'BIGINT', 'OBJECT<...>', ...), null when absent."""
     return F.schema_of_variant(F.try_variant_get(_col(v), path, "variant"))
 
 
@@ -37,4 +37,4 @@ def count_field(v: Column | str, path: str, default: int | None = 0) -> Column:
 
 def is_object(v: Column | str, path: str = "$") -> Column:
     """True when the value at ``path`` is a JSON object."""
-    return F.coalesce(json_type(v, path) == "OBJECT", F.lit(False))
+    return F.coalesce(json_type(v, path).startswith("OBJECT"), F.lit(False))

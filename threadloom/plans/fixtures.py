@@ -31,8 +31,8 @@ def _frac(n: Column) -> Column:
     return F.lpad((n % 1000000).cast("string"), 6, "0")
 
 
-def conversation_messages(conversations: DataFrame) -> DataFrame:
-    """Adapter A: one message per conversation turn."""
+def conversation_messages(conversations: DataFrame, with_ids: bool = False) -> DataFrame:
+    """Adapter A: one message per conversation turn (``with_ids`` keeps c and t)."""
     c, t = F.col("conv_id"), F.col("turn")
     k = c * 8 + t
     base = F.lit(BASE_SECS) + F.expr("conv_id div 11") * CONV_SPACING_SECS
@@ -51,6 +51,7 @@ def conversation_messages(conversations: DataFrame) -> DataFrame:
         F.col("text"),
         F.lit(None).cast("string").alias("event_payload"),
         F.timestamp_seconds(secs + 5).alias("observed_at"),
+        *([c.alias("c"), t.alias("t")] if with_ids else []),
     )
 
 
@@ -273,3 +274,153 @@ chmeta AS (
          max(at_s) FILTER (WHERE ok) AS last_synced_at, max(at_s) AS last_attempted_at,
          arg_max_null(CASE WHEN NOT ok THEN error END, at_s) AS last_error
   FROM lookups GROUP BY workspace_id, channel_id)"""
+
+
+# ---------------------------------------------------------------- envelopes, pages, feeds (A)
+
+
+def _jstr(c: Column) -> Column:
+    """A JSON string literal of a text column."""
+    return F.regexp_replace(F.regexp_replace(F.to_json(F.array(c)), r"^\[", ""), r"\]$", "")
+
+
+def conversation_envelopes(conversations: DataFrame) -> DataFrame:
+    """Envelope lines for adapter A. Turn-0 rows of c % 9 in 0..5 are variants:
+    disconnect, array payload, missing event_id, non-message event, numeric channel, numeric ts."""
+    m = conversation_messages(conversations, with_ids=True)
+    c, t = F.col("c"), F.col("t")
+    v = F.when(t == 0, c % 9)
+    ev_type = F.when(v == 3, F.lit("reaction_added")).otherwise(F.lit("message"))
+    channel = F.when(v == 4, F.lit("42")).otherwise(_jstr(F.col("channel_id")))
+    ts = F.when(v == 5, F.col("message_ts")).otherwise(_jstr(F.col("message_ts")))
+    event = F.concat(
+        F.lit('{"type":"'), ev_type, F.lit('","channel":'), channel, F.lit(',"ts":'), ts,
+        F.when(F.col("thread_ts").isNotNull(), F.concat(F.lit(',"thread_ts":'), _jstr(F.col("thread_ts")))).otherwise(F.lit("")),
+        F.lit(',"user":'), _jstr(F.col("user_id")),
+        F.when(F.col("subtype").isNotNull(), F.concat(F.lit(',"subtype":'), _jstr(F.col("subtype")))).otherwise(F.lit("")),
+        F.lit(',"text":'), _jstr(F.col("text")), F.lit(',"event_ts":'), _jstr(F.col("message_ts")), F.lit("}"))
+    eid = F.when(v == 2, F.lit("")).otherwise(F.concat(F.lit(',"event_id":'), _jstr(F.col("event_id"))))
+    payload = F.concat(F.lit('{"type":"event_callback"'), eid, F.lit(',"team_id":'), _jstr(F.col("workspace_id")),
+                       F.lit(',"api_app_id":"A1","event":'), event, F.lit("}"))
+    payload = F.when(v == 1, F.lit("[1,2]")).otherwise(payload)
+    kind = F.when(v == 0, F.lit("disconnect")).otherwise(F.lit("events_api"))
+    body = F.concat(F.lit('{"envelope_id":"env'), (c * 8 + t).cast("string"), F.lit('","type":"'), kind,
+                    F.lit('","payload":'), payload, F.lit("}"))
+    return m.select(body.alias("body"), F.col("observed_at").alias("received_at"), F.col("event_sequence").alias("arrival"))
+
+
+SQL_JSTR = "regexp_replace(regexp_replace(to_json([{x}]), '^\\[', ''), '\\]$', '')"
+
+
+def _sj(x: str) -> str:
+    return SQL_JSTR.format(x=x)
+
+
+SQL_ENVELOPES = f"""
+envl AS (
+  SELECT CASE WHEN t = 0 THEN c % 9 END AS v, * FROM messages),
+envelopes AS (
+  SELECT '{{"envelope_id":"env' || CAST(c * 8 + t AS VARCHAR) || '","type":"'
+         || CASE WHEN v = 0 THEN 'disconnect' ELSE 'events_api' END || '","payload":'
+         || CASE WHEN v = 1 THEN '[1,2]' ELSE
+              '{{"type":"event_callback"' || CASE WHEN v = 2 THEN '' ELSE ',"event_id":' || {_sj('event_id')} END
+              || ',"team_id":' || {_sj('workspace_id')} || ',"api_app_id":"A1","event":'
+              || '{{"type":"' || CASE WHEN v = 3 THEN 'reaction_added' ELSE 'message' END || '","channel":'
+              || CASE WHEN v = 4 THEN '42' ELSE {_sj('channel_id')} END
+              || ',"ts":' || CASE WHEN v = 5 THEN message_ts ELSE {_sj('message_ts')} END
+              || CASE WHEN thread_ts IS NOT NULL THEN ',"thread_ts":' || {_sj('thread_ts')} ELSE '' END
+              || ',"user":' || {_sj('user_id')}
+              || CASE WHEN subtype IS NOT NULL THEN ',"subtype":' || {_sj('subtype')} ELSE '' END
+              || ',"text":' || {_sj('text')} || ',"event_ts":' || {_sj('message_ts')} || '}}}}' END
+         || '}}' AS body, observed_secs, event_sequence AS arrival
+  FROM envl)"""
+
+
+def _root_json(prefix_obs: Column) -> Column:
+    return F.concat(
+        F.lit('{"type":"message","ts":'), _jstr(F.col("message_ts")), F.lit(',"text":'), _jstr(F.col("text")),
+        F.lit(',"user":'), _jstr(F.col("user_id")), F.lit(',"reply_count":'), prefix_obs.cast("string"),
+        F.lit(',"latest_reply":'), _jstr(F.col("latest_reply")), F.lit("}"))
+
+
+def history_pages(conversations: DataFrame, as_of) -> DataFrame:
+    """History pages of adapter A: each root (t = 0, c % 4 <> 0) observed in rounds 1 and 2
+    (round 1 one reply short), with a non-message item and an item without string ts;
+    plus error pages for c % 6 = 1 (error text), c % 6 = 5 (no body error, HTTP 500)."""
+    m = conversation_messages(conversations, with_ids=True)
+    c = F.col("c")
+    last = (conversations.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
+            .join(m.select(F.col("c").alias("conv_id"), F.col("t").alias("last_turn"),
+                           F.col("message_ts").alias("latest_reply")), ["conv_id", "last_turn"]))
+    roots = m.where((F.col("t") == 0) & (c % 4 != 0)).join(last, c == F.col("conv_id")).drop("conv_id")
+    rounds = roots.withColumn("round", F.explode(F.array(F.lit(1), F.lit(2))))
+    obs = F.col("last_turn") - F.when(F.col("round") == 1, 1).otherwise(0)
+    cursor = F.when(F.col("round") == 1, F.concat(F.lit("p"), c.cast("string"))).otherwise(F.lit(""))
+    body = F.concat(F.lit('{"ok":true,"messages":['), _root_json(obs), F.lit(',{"type":"channel_join","ts":'),
+                    _jstr(F.concat(F.col("message_ts"), F.lit("1"))), F.lit('},{"ts":12}],"response_metadata":{"next_cursor":"'),
+                    cursor, F.lit('"}}'))
+    ok_pages = rounds.select(F.concat(F.lit("h"), c.cast("string"), F.lit("-"), F.col("round").cast("string")).alias("page_id"),
+                             "workspace_id", "channel_id", F.col("round").cast("bigint").alias("job_id"),
+                             body.alias("body"), F.lit(200).alias("status"),
+                             _shift(as_of, F.col("round") * 3600).alias("fetched_at"), c.alias("conv_id"))
+
+    def err(cond, text, status):
+        return roots.where(cond).select(
+            F.concat(F.lit("e"), c.cast("string")).alias("page_id"), "workspace_id", "channel_id",
+            F.lit(1).cast("bigint").alias("job_id"), F.lit(text).alias("body"), F.lit(status).alias("status"),
+            _shift(as_of, F.lit(3600)).alias("fetched_at"), c.alias("conv_id"))
+
+    return (ok_pages.unionByName(err(c % 6 == 1, '{"ok":false,"error":"ratelimited"}', 429))
+            .unionByName(err(c % 6 == 5, '{"ok":false}', 500)))
+
+
+def reply_fetches(conversations: DataFrame, as_of) -> DataFrame:
+    """Fetch times: after round 1 for c % 3 = 0, after round 2 for c % 3 = 1, never otherwise."""
+    m = conversation_messages(conversations, with_ids=True)
+    c = F.col("c")
+    roots = m.where((F.col("t") == 0) & (c % 4 != 0) & (c % 3 != 2))
+    r = F.when(c % 3 == 0, 1).otherwise(2)
+    return roots.select("workspace_id", "channel_id", F.col("message_ts").alias("root_ts"),
+                        _shift(as_of, r * 3600 + 1800).alias("fetched_at"))
+
+
+SQL_PAGES = f"""
+hroots AS (
+  SELECT m.*, l.last_turn, lm.message_ts AS latest_reply
+  FROM messages m JOIN (SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id) l ON l.conv_id = m.c
+  JOIN messages lm ON lm.c = m.c AND lm.t = l.last_turn
+  WHERE m.t = 0 AND m.c % 4 <> 0),
+pages AS (
+  SELECT 'h' || CAST(r.c AS VARCHAR) || '-' || CAST(rd AS VARCHAR) AS page_id, r.workspace_id, r.channel_id, CAST(rd AS BIGINT) AS job_id,
+         '{{"ok":true,"messages":[' || '{{"type":"message","ts":' || {_sj('r.message_ts')} || ',"text":' || {_sj('r.text')}
+         || ',"user":' || {_sj('r.user_id')} || ',"reply_count":' || CAST(r.last_turn - CASE WHEN rd = 1 THEN 1 ELSE 0 END AS VARCHAR)
+         || ',"latest_reply":' || {_sj('r.latest_reply')} || '}}'
+         || ',{{"type":"channel_join","ts":' || {_sj("r.message_ts || '1'")} || '}},{{"ts":12}}],"response_metadata":{{"next_cursor":"'
+         || CASE WHEN rd = 1 THEN 'p' || CAST(r.c AS VARCHAR) ELSE '' END || '"}}}}' AS body,
+         200 AS status, (SELECT as_of_secs FROM params) + rd * 3600 AS fetched_secs, r.c AS conv_id
+  FROM hroots r CROSS JOIN (VALUES (1), (2)) v(rd)
+  UNION ALL
+  SELECT 'e' || CAST(c AS VARCHAR), workspace_id, channel_id, 1, '{{"ok":false,"error":"ratelimited"}}', 429,
+         (SELECT as_of_secs FROM params) + 3600, c FROM hroots WHERE c % 6 = 1
+  UNION ALL
+  SELECT 'e' || CAST(c AS VARCHAR), workspace_id, channel_id, 1, '{{"ok":false}}', 500,
+         (SELECT as_of_secs FROM params) + 3600, c FROM hroots WHERE c % 6 = 5),
+fetches AS (
+  SELECT workspace_id, channel_id, message_ts AS root_ts,
+         (SELECT as_of_secs FROM params) + CASE WHEN c % 3 = 0 THEN 1 ELSE 2 END * 3600 + 1800 AS fetched_secs
+  FROM messages WHERE t = 0 AND c % 4 <> 0 AND c % 3 <> 2),
+items AS (
+  SELECT p.page_id, p.workspace_id, p.channel_id, p.job_id, p.fetched_secs, u.item_no - 1 AS item_no, u.m
+  FROM pages p, LATERAL (SELECT unnest(CAST(json_extract(p.body, '$.messages') AS JSON[])) AS m,
+                                unnest(generate_series(1, CAST(json_array_length(p.body, '$.messages') AS BIGINT))) AS item_no) u
+  WHERE json_type(p.body, '$.ok') = 'BOOLEAN' AND CAST(json_extract(p.body, '$.ok') AS BOOLEAN)
+    AND json_type(u.m) = 'OBJECT' AND json_type(u.m, '$.ts') = 'VARCHAR'),
+hitems AS (
+  SELECT *, json_extract_string(m, '$.ts') AS message_ts,
+         CASE WHEN json_type(m, '$.thread_ts') = 'VARCHAR' THEN json_extract_string(m, '$.thread_ts') END AS thread_ts,
+         CASE WHEN json_type(m, '$.reply_count') IN ('UBIGINT', 'BIGINT') AND CAST(json_extract(m, '$.reply_count') AS BIGINT) >= 0
+              THEN CAST(json_extract(m, '$.reply_count') AS BIGINT) END AS reply_count,
+         CASE WHEN json_type(m, '$.latest_reply') = 'VARCHAR' THEN json_extract_string(m, '$.latest_reply') END AS latest_reply
+  FROM items
+  WHERE json_type(m, '$.type') IS NULL OR json_type(m, '$.type') = 'NULL'
+     OR (json_type(m, '$.type') = 'VARCHAR' AND json_extract_string(m, '$.type') IN ('', 'message')))"""

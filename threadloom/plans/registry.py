@@ -537,3 +537,164 @@ def q_status(spark, sf_dir):
     s = reports.status(raw, msgs, targets)
     return s.select("events", F.unix_seconds("last_received_at").alias("last_received_secs"), "messages",
                     F.unix_micros("earliest_message_at").alias("earliest_message_us"), "channels")
+
+
+# ---------------------------------------------------------------- S1, N1-N6, S3-S6, N7, N8, D1-D5, D8, D9, B1, B3
+
+from threadloom.operators import dedupe, thread_index  # noqa: E402
+from threadloom.sources import envelopes as env  # noqa: E402
+from threadloom.sources import history, metadata  # noqa: E402
+
+
+def _sfield(j: str, path: str) -> str:
+    return f"CASE WHEN json_type({j}, '{path}') = 'VARCHAR' THEN json_extract_string({j}, '{path}') END"
+
+
+ENV_SQL = [fx.SQL_MESSAGES, fx.SQL_ENVELOPES, f"""
+envj AS (SELECT CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j, observed_secs, arrival FROM envelopes)""", f"""
+payloads AS (
+  SELECT {_sfield('j', '$.envelope_id')} AS envelope_id, json_extract(j, '$.payload') AS p, observed_secs, arrival
+  FROM envj WHERE {_sfield('j', '$.type')} = 'events_api' AND json_type(j, '$.payload') = 'OBJECT')""", f"""
+tagged AS (
+  SELECT *, CASE WHEN COALESCE({_sfield('p', '$.event_id')}, '') = '' THEN 'missing event_id'
+                 WHEN COALESCE({_sfield('p', '$.team_id')}, '') = '' THEN 'missing team_id'
+                 WHEN COALESCE({_sfield('p', '$.type')}, '') = '' THEN 'missing type' END AS reject_reason
+  FROM payloads)""", f"""
+raw AS (
+  SELECT {_sfield('p', '$.event_id')} AS event_id, {_sfield('p', '$.team_id')} AS workspace_id,
+         {_sfield('p', '$.api_app_id')} AS api_app_id, {_sfield('p', '$.type')} AS callback_type,
+         CASE WHEN json_type(p, '$.event') = 'OBJECT' THEN json_extract(p, '$.event') END AS ev, observed_secs, arrival
+  FROM tagged WHERE reject_reason IS NULL)"""]
+
+
+def _envelopes(spark, sf_dir):
+    conv = fx.table(spark, sf_dir, "conversations")
+    good, bad = env.validate(env.envelope_payloads(fx.conversation_envelopes(conv)))
+    return good, bad
+
+
+@register("envelope_raw", osql.with_ctes(ENV_SQL, f"""
+SELECT event_id, workspace_id, api_app_id, callback_type, {_sfield('ev', '$.type')} AS event_type,
+       {_sfield('ev', '$.event_ts')} AS event_ts FROM raw"""))
+def q_envelope_raw(spark, sf_dir):
+    good, _ = _envelopes(spark, sf_dir)
+    return env.raw_events(good).select("event_id", "workspace_id", "api_app_id", "callback_type", "event_type", "event_ts")
+
+
+@register("envelope_parse", osql.with_ctes(ENV_SQL, f"""
+SELECT event_id, workspace_id, {_sfield('ev', '$.channel')} AS channel_id, {_sfield('ev', '$.ts')} AS message_ts,
+       {_sfield('ev', '$.thread_ts')} AS thread_ts, {_sfield('ev', '$.user')} AS user_id,
+       {_sfield('ev', '$.subtype')} AS subtype, {_sfield('ev', '$.text')} AS text
+FROM raw WHERE {_sfield('ev', '$.type')} = 'message' AND {_sfield('ev', '$.channel')} IS NOT NULL
+  AND {_sfield('ev', '$.ts')} IS NOT NULL"""))
+def q_envelope_parse(spark, sf_dir):
+    good, _ = _envelopes(spark, sf_dir)
+    return env.normalise(env.raw_events(good)).select(
+        "event_id", "workspace_id", "channel_id", "message_ts", "thread_ts", "user_id", "subtype", "text")
+
+
+@register("envelope_rejects", osql.with_ctes(ENV_SQL, "SELECT envelope_id, reject_reason FROM tagged WHERE reject_reason IS NOT NULL"))
+def q_envelope_rejects(spark, sf_dir):
+    _, bad = _envelopes(spark, sf_dir)
+    return bad.select("envelope_id", "reject_reason")
+
+
+PAGE_SQL = [fx.SQL_MESSAGES, fx.SQL_AS_OF, fx.SQL_PAGES]
+
+
+def _pages(spark, sf_dir):
+    conv = fx.table(spark, sf_dir, "conversations")
+    as_of = fx.conversation_as_of(conv)
+    return conv, as_of, history.parse_pages(fx.history_pages(conv, as_of))
+
+
+def _history_rows(spark, sf_dir):
+    conv, as_of, parsed = _pages(spark, sf_dir)
+    items = history.history_messages(history.page_messages(parsed))
+    rows = history.history_rows(items.withColumn("observed_at", F.col("fetched_at")), history.HISTORY_CALLBACK, "observed_at",
+                                extra=("job_id",))
+    return conv, as_of, items, rows
+
+
+@register("history_parse", osql.with_ctes(PAGE_SQL, """
+SELECT 'history:' || workspace_id || ':' || channel_id || ':' || message_ts AS event_id, page_id, item_no, workspace_id,
+       channel_id, message_ts, reply_count, latest_reply FROM hitems"""))
+def q_history_parse(spark, sf_dir):
+    _, _, items, rows = _history_rows(spark, sf_dir)
+    return items.select(history.history_event_id().alias("event_id"), "page_id",
+                        F.col("item_no").cast("bigint").alias("item_no"), "workspace_id", "channel_id",
+                        history.str_field("m", "$.ts").alias("message_ts"),
+                        history.count_field("m", "$.reply_count", None).alias("reply_count"),
+                        history.str_field("m", "$.latest_reply").alias("latest_reply"))
+
+
+@register("page_cursors", osql.with_ctes(PAGE_SQL, """
+SELECT page_id, CASE WHEN json_type(body, '$.response_metadata') = 'OBJECT' AND json_type(body, '$.response_metadata.next_cursor') = 'VARCHAR'
+                      AND json_extract_string(body, '$.response_metadata.next_cursor') <> ''
+                     THEN json_extract_string(body, '$.response_metadata.next_cursor') END AS next_cursor
+FROM pages WHERE json_type(body, '$.ok') = 'BOOLEAN' AND CAST(json_extract(body, '$.ok') AS BOOLEAN)"""))
+def q_page_cursors(spark, sf_dir):
+    _, _, parsed = _pages(spark, sf_dir)
+    return parsed.where("ok").select("page_id", "next_cursor")
+
+
+@register("page_errors", osql.with_ctes(PAGE_SQL, """
+SELECT page_id, COALESCE(CASE WHEN json_type(body, '$.error') = 'VARCHAR' THEN json_extract_string(body, '$.error') END,
+                         'HTTP ' || CAST(status AS VARCHAR)) AS error
+FROM pages WHERE NOT (COALESCE(json_type(body, '$.ok') = 'BOOLEAN', FALSE) AND COALESCE(CAST(json_extract(body, '$.ok') AS BOOLEAN), FALSE))"""))
+def q_page_errors(spark, sf_dir):
+    _, _, parsed = _pages(spark, sf_dir)
+    return history.page_errors(parsed).select("page_id", "error")
+
+
+OBS_SQL = """
+obs AS (SELECT job_id, workspace_id, channel_id, message_ts AS root_ts, COALESCE(reply_count, 0) AS reply_count,
+               latest_reply AS latest_reply_ts, fetched_secs AS indexed_at FROM hitems WHERE thread_ts IS NULL),
+fcount AS (
+  SELECT f.workspace_id, f.channel_id, f.root_ts, f.fetched_secs, arg_max(o.reply_count, o.indexed_at) AS fetched_reply_count
+  FROM fetches f JOIN obs o ON o.workspace_id = f.workspace_id AND o.channel_id = f.channel_id AND o.root_ts = f.root_ts
+   AND o.indexed_at <= f.fetched_secs
+  GROUP BY f.workspace_id, f.channel_id, f.root_ts, f.fetched_secs),
+tindex AS (
+  SELECT i.*, COALESCE(l.fetched_reply_count, 0) AS fetched_reply_count, l.fetched_secs FROM (
+    SELECT workspace_id, channel_id, root_ts, arg_max(reply_count, indexed_at) AS observed_reply_count,
+           arg_max_null(latest_reply_ts, indexed_at) AS latest_reply_ts, max(indexed_at) AS indexed_secs
+    FROM obs GROUP BY workspace_id, channel_id, root_ts) i
+  LEFT JOIN (SELECT workspace_id, channel_id, root_ts, arg_max(fetched_reply_count, fetched_secs) AS fetched_reply_count,
+                    max(fetched_secs) AS fetched_secs FROM fcount GROUP BY workspace_id, channel_id, root_ts) l
+    ON l.workspace_id = i.workspace_id AND l.channel_id = i.channel_id AND l.root_ts = i.root_ts)"""
+
+
+def _index(spark, sf_dir):
+    conv, as_of, items, rows = _history_rows(spark, sf_dir)
+    obs = thread_index.observations(rows)
+    fetches = fx.reply_fetches(conv, as_of)
+    return conv, as_of, items, rows, obs, fetches
+
+
+@register("thread_index", osql.with_ctes(PAGE_SQL + [OBS_SQL], """
+SELECT workspace_id, channel_id, root_ts, CAST(observed_reply_count AS BIGINT) AS observed_reply_count,
+       CAST(fetched_reply_count AS BIGINT) AS fetched_reply_count, latest_reply_ts, indexed_secs, fetched_secs FROM tindex"""))
+def q_thread_index(spark, sf_dir):
+    _, _, _, _, obs, fetches = _index(spark, sf_dir)
+    idx = thread_index.thread_index(obs, fetches)
+    return idx.select("workspace_id", "channel_id", "root_ts", "observed_reply_count", "fetched_reply_count",
+                      "latest_reply_ts", F.unix_seconds("indexed_at").alias("indexed_secs"),
+                      F.unix_seconds("fetched_at").alias("fetched_secs"))
+
+
+@register("stale_threads", osql.with_ctes(PAGE_SQL + [OBS_SQL], """
+SELECT workspace_id, channel_id, root_ts FROM tindex WHERE observed_reply_count > fetched_reply_count"""))
+def q_stale_threads(spark, sf_dir):
+    _, _, _, _, obs, fetches = _index(spark, sf_dir)
+    return thread_index.stale_threads(thread_index.thread_index(obs, fetches)).select("workspace_id", "channel_id", "root_ts")
+
+
+@register("plan_replies", osql.with_ctes(PAGE_SQL + [OBS_SQL], """
+SELECT DISTINCT o.job_id, o.workspace_id, o.channel_id, o.root_ts FROM obs o
+WHERE o.reply_count > COALESCE((SELECT arg_max(f.fetched_reply_count, f.fetched_secs) FROM fcount f
+                                 WHERE f.workspace_id = o.workspace_id AND f.channel_id = o.channel_id
+                                   AND f.root_ts = o.root_ts AND f.fetched_secs <= o.indexed_at), 0)"""))
+def q_plan_replies(spark, sf_dir):
+    _, _, _, rows, obs, fetches = _index(spark, sf_dir)
+    return thread_index.plan_replies(obs, fetches).select("job_id", "workspace_id", "channel_id", "root_ts")
