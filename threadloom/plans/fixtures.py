@@ -424,3 +424,48 @@ hitems AS (
   FROM items
   WHERE json_type(m, '$.type') IS NULL OR json_type(m, '$.type') = 'NULL'
      OR (json_type(m, '$.type') = 'VARCHAR' AND json_extract_string(m, '$.type') IN ('', 'message')))"""
+
+
+def conversation_feed(conversations: DataFrame) -> DataFrame:
+    """D1/D2 feed: live messages of A; replays of c % 6 = 0 (same event id, later, marked
+    text); history copies of c % 7 = 0 (history id, later still)."""
+    m = conversation_messages(conversations, with_ids=True)
+    live = m.withColumn("callback_type", F.lit("event_callback")).withColumn("arrival", F.col("event_sequence"))
+    replay = (m.where(F.col("c") % 6 == 0).withColumn("text", F.concat("text", F.lit(" [replay]")))
+              .withColumn("callback_type", F.lit("event_callback"))
+              .withColumn("arrival", F.col("event_sequence") + 1000000000))
+    hist = (m.where(F.col("c") % 7 == 0)
+            .withColumn("event_id", F.concat_ws(":", F.lit("history"), "workspace_id", "channel_id", "message_ts"))
+            .withColumn("callback_type", F.lit("history_backfill"))
+            .withColumn("arrival", F.col("event_sequence") + 2000000000))
+    return live.unionByName(replay).unionByName(hist).drop("c", "t")
+
+
+SQL_FEED = """
+feed AS (
+  SELECT event_id, workspace_id, channel_id, message_ts, thread_ts, user_id, subtype, text, 'event_callback' AS callback_type,
+         event_sequence AS arrival FROM messages
+  UNION ALL
+  SELECT event_id, workspace_id, channel_id, message_ts, thread_ts, user_id, subtype, text || ' [replay]', 'event_callback',
+         event_sequence + 1000000000 FROM messages WHERE c % 6 = 0
+  UNION ALL
+  SELECT 'history:' || workspace_id || ':' || channel_id || ':' || message_ts, workspace_id, channel_id, message_ts, thread_ts,
+         user_id, subtype, text, 'history_backfill', event_sequence + 2000000000 FROM messages WHERE c % 7 = 0)"""
+
+
+def metadata_responses(targets: DataFrame, as_of) -> DataFrame:
+    """S5 input: a team and a channel lookup body per target. Workspace 2 answers without a
+    team name; odd channels have no name; channel number % 7 = 3 answers not ok."""
+    n = F.expr("try_cast(substr(channel_id, 2) AS INT)")
+    w = F.expr("try_cast(substr(workspace_id, 2) AS INT)")
+    team = F.when(w == 2, F.lit('{"ok":true,"team":{}}')).otherwise(
+        F.concat(F.lit('{"ok":true,"team":{"name":"Team '), w.cast("string"), F.lit('"}}')))
+    chan = (F.when(n % 7 == 3, F.lit('{"ok":false,"error":"channel_not_found"}'))
+            .when(n % 2 == 0, F.concat(F.lit('{"ok":true,"channel":{"name":"chan-'), n.cast("string"), F.lit('"}}')))
+            .otherwise(F.lit('{"ok":true,"channel":{"is_im":true}}')))
+    at = _shift(as_of, F.lit(0))
+    t = targets.select("workspace_id", "channel_id", F.lit("team").alias("kind"), team.alias("body"),
+                       F.lit(200).alias("status"), at.alias("at"))
+    c = targets.select("workspace_id", "channel_id", F.lit("channel").alias("kind"), chan.alias("body"),
+                       F.when(n % 7 == 3, 404).otherwise(200).alias("status"), at.alias("at"))
+    return t.unionByName(c)

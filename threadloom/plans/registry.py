@@ -698,3 +698,73 @@ WHERE o.reply_count > COALESCE((SELECT arg_max(f.fetched_reply_count, f.fetched_
 def q_plan_replies(spark, sf_dir):
     _, _, _, rows, obs, fetches = _index(spark, sf_dir)
     return thread_index.plan_replies(obs, fetches).select("job_id", "workspace_id", "channel_id", "root_ts")
+
+
+FEED = [fx.SQL_MESSAGES, fx.SQL_FEED,
+        "ev1 AS (SELECT * FROM feed QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY arrival) = 1)"]
+
+
+def _feed(spark, sf_dir):
+    return fx.conversation_feed(fx.table(spark, sf_dir, "conversations"))
+
+
+@register("feed_union", osql.with_ctes(FEED, "SELECT event_id, callback_type, arrival FROM feed"))
+def q_feed_union(spark, sf_dir):
+    conv = fx.table(spark, sf_dir, "conversations")
+    f = fx.conversation_feed(conv)
+    live = f.where(F.col("callback_type") == "event_callback")
+    hist = f.where(F.col("callback_type") == "history_backfill")
+    return dedupe.union_feeds(live, hist).select("event_id", "callback_type", "arrival")
+
+
+@register("dedupe_events", osql.with_ctes(FEED, "SELECT event_id, callback_type, arrival, text FROM ev1"))
+def q_dedupe_events(spark, sf_dir):
+    return dedupe.dedupe_events(_feed(spark, sf_dir)).select("event_id", "callback_type", "arrival", "text")
+
+
+@register("dedupe_messages", osql.with_ctes(FEED, """
+SELECT event_id, workspace_id, channel_id, message_ts, text FROM ev1
+QUALIFY row_number() OVER (PARTITION BY workspace_id, channel_id, message_ts ORDER BY arrival) = 1"""))
+def q_dedupe_messages(spark, sf_dir):
+    first = dedupe.dedupe_events(_feed(spark, sf_dir))
+    return dedupe.dedupe_messages(first, order=["arrival"]).select(
+        "event_id", "workspace_id", "channel_id", "message_ts", "text")
+
+
+@register("sequence_order", osql.with_ctes(PAGE_SQL, """
+SELECT event_id, CAST((SELECT upper_seq FROM params) + row_number() OVER (ORDER BY TRY_CAST(message_ts AS DECIMAL(20,6)), event_id) AS BIGINT) AS event_sequence
+FROM (SELECT 'history:' || workspace_id || ':' || channel_id || ':' || message_ts AS event_id, message_ts FROM hitems
+      QUALIFY row_number() OVER (PARTITION BY workspace_id, channel_id, message_ts ORDER BY fetched_secs, page_id) = 1) x"""))
+def q_sequence_order(spark, sf_dir):
+    conv, as_of, items, rows = _history_rows(spark, sf_dir)
+    base = inbox.latest_sequence_value(fx.conversation_messages(conv))
+    first = dedupe.first_per_key(rows.withColumn("page_id", F.lit(None)), ["event_id"], [F.col("observed_at")])
+    return dedupe.assign_sequence(first, [F.col("ts_num"), F.col("event_id")], base).select("event_id", "event_sequence")
+
+
+@register("metadata_parse", osql.with_ctes(TM + [f"""
+resp AS (
+  SELECT workspace_id, channel_id, 'team' AS kind,
+         CASE WHEN TRY_CAST(substr(workspace_id, 2) AS INTEGER) = 2 THEN '{{"ok":true,"team":{{}}}}'
+              ELSE '{{"ok":true,"team":{{"name":"Team ' || CAST(TRY_CAST(substr(workspace_id, 2) AS INTEGER) AS VARCHAR) || '"}}}}' END AS body,
+         200 AS status FROM targets
+  UNION ALL
+  SELECT workspace_id, channel_id, 'channel',
+         CASE WHEN TRY_CAST(substr(channel_id, 2) AS INTEGER) % 7 = 3 THEN '{{"ok":false,"error":"channel_not_found"}}'
+              WHEN TRY_CAST(substr(channel_id, 2) AS INTEGER) % 2 = 0 THEN '{{"ok":true,"channel":{{"name":"chan-' || CAST(TRY_CAST(substr(channel_id, 2) AS INTEGER) AS VARCHAR) || '"}}}}'
+              ELSE '{{"ok":true,"channel":{{"is_im":true}}}}' END,
+         CASE WHEN TRY_CAST(substr(channel_id, 2) AS INTEGER) % 7 = 3 THEN 404 ELSE 200 END FROM targets)""", f"""
+rj AS (SELECT *, CAST(body AS JSON) AS j FROM resp)""", f"""
+rerr AS (
+  SELECT *, CASE WHEN NOT COALESCE(json_type(j, '$.ok') = 'BOOLEAN' AND CAST(json_extract(j, '$.ok') AS BOOLEAN), FALSE)
+                 THEN 'lookup failed: ' || COALESCE({_sfield('j', '$.error')}, 'HTTP ' || CAST(status AS VARCHAR))
+                 WHEN kind = 'team' AND {_sfield('j', '$.team.name')} IS NULL THEN 'no team name' END AS error
+  FROM rj)"""], f"""
+SELECT workspace_id, channel_id, kind, error IS NULL AS ok,
+       CASE WHEN error IS NULL THEN CASE WHEN kind = 'team' THEN {_sfield('j', '$.team.name')}
+                                         ELSE COALESCE({_sfield('j', '$.channel.name')}, channel_id) END END AS name, error
+FROM rerr"""))
+def q_metadata_parse(spark, sf_dir):
+    _, as_of, targets, _, _ = _targets_meta(spark, sf_dir)
+    return metadata.read_metadata(fx.metadata_responses(targets, as_of)).select(
+        "workspace_id", "channel_id", "kind", "ok", "name", "error")
