@@ -73,3 +73,33 @@ def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
+
+
+def running_max_before(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    values: dict[str, Column],
+    slices: int | None = None,
+) -> DataFrame:
+    """For each ``out -> value``, add ``out`` = max of ``value`` over the earlier rows of
+    the key (exclusive). Same two-pass slicing as ``running_total``; max is associative,
+    so a slice's carry is the max of all earlier slices of the key."""
+    cols = df.columns
+    names = list(values)
+    sliced = df
+    for n, v in values.items():
+        sliced = sliced.withColumn(f"_v_{n}", v)
+    sliced = (sliced.repartitionByRange(_slices(df, slices), *[F.col(k) for k in keys], *order)
+              .withColumn("_rt_slice", F.spark_partition_id()))
+    part = Window.partitionBy(*keys, "_rt_slice")
+    before = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    for n in names:
+        sliced = (sliced.withColumn(f"_l_{n}", F.max(f"_v_{n}").over(before))
+                  .withColumn(f"_t_{n}", F.max(f"_v_{n}").over(part)))
+    local = stage(sliced, "running-max")
+    totals = local.select(*keys, "_rt_slice", *[f"_t_{n}" for n in names]).distinct()
+    earlier = Window.partitionBy(*keys).orderBy("_rt_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*keys, "_rt_slice", *[F.max(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in names])
+    j = local.join(carry, [*keys, "_rt_slice"])
+    return j.select(*cols, *[F.greatest(f"_l_{n}", f"_c_{n}").alias(n) for n in names])

@@ -469,3 +469,42 @@ def metadata_responses(targets: DataFrame, as_of) -> DataFrame:
     c = targets.select("workspace_id", "channel_id", F.lit("channel").alias("kind"), chan.alias("body"),
                        F.when(n % 7 == 3, 404).otherwise(200).alias("status"), at.alias("at"))
     return t.unionByName(c)
+
+
+def lifecycle_log(events: DataFrame) -> DataFrame:
+    """Lifecycle log of adapter E: source = user_id; error -> disconnected, signup -> connected."""
+    kind = (F.when(F.col("event_type") == "error", F.lit("disconnected"))
+            .when(F.col("event_type") == "signup", F.lit("connected")).otherwise(F.lit("event")))
+    return events.select(F.col("user_id").alias("source"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"),
+                         F.col("event_id").alias("seq"))
+
+
+SQL_LIFECYCLE = """
+lc AS (SELECT user_id AS source, epoch_us(ts) AS at_us, event_id AS seq,
+              CASE WHEN event_type = 'error' THEN 'disconnected' WHEN event_type = 'signup' THEN 'connected' ELSE 'event' END AS kind
+       FROM events),
+lcm AS (
+  SELECT *, max(CASE WHEN kind = 'disconnected' THEN at_us END) OVER w AS last_disconnect,
+            max(CASE WHEN kind = 'event' THEN at_us END) OVER w AS last_event,
+            max(CASE WHEN kind = 'connected' THEN at_us END) OVER w AS last_connect
+  FROM lc WINDOW w AS (PARTITION BY source ORDER BY at_us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+gaps AS (
+  SELECT DISTINCT source, COALESCE(last_disconnect, last_event, last_connect) AS start_us, at_us AS end_us FROM lcm
+  WHERE kind = 'connected' AND COALESCE(last_disconnect, last_event, last_connect) IS NOT NULL
+    AND at_us - COALESCE(last_disconnect, last_event, last_connect) >= 300 * 1000000),
+decisions AS (
+  SELECT source, start_us, end_us, 'accepted' AS decision, end_us + 1 AS decided_at FROM gaps WHERE source % 3 = 0
+  UNION ALL SELECT source, start_us, end_us, 'dismissed', end_us + 2 FROM gaps WHERE source % 3 = 0
+  UNION ALL SELECT source, start_us, end_us, 'dismissed', end_us + 1 FROM gaps WHERE source % 3 = 1)"""
+
+
+def suggestion_decisions(gaps: DataFrame) -> DataFrame:
+    """Decisions on suggestions: source % 3 = 0 accepted then (ignored) dismissed; source % 3 = 1 dismissed."""
+    s = F.col("source")
+    a = gaps.where(s % 3 == 0).select("source", "start_us", "end_us", F.lit("accepted").alias("decision"),
+                                       (F.col("end_us") + 1).alias("decided_at"))
+    b = gaps.where(s % 3 == 0).select("source", "start_us", "end_us", F.lit("dismissed").alias("decision"),
+                                       (F.col("end_us") + 2).alias("decided_at"))
+    c = gaps.where(s % 3 == 1).select("source", "start_us", "end_us", F.lit("dismissed").alias("decision"),
+                                       (F.col("end_us") + 1).alias("decided_at"))
+    return a.unionByName(b).unionByName(c)

@@ -768,3 +768,49 @@ def q_metadata_parse(spark, sf_dir):
     _, as_of, targets, _, _ = _targets_meta(spark, sf_dir)
     return metadata.read_metadata(fx.metadata_responses(targets, as_of)).select(
         "workspace_id", "channel_id", "kind", "ok", "name", "error")
+
+
+# ---------------------------------------------------------------- B7-B9
+
+from threadloom.operators import lifecycle  # noqa: E402
+
+
+def _gaps(spark, sf_dir):
+    log = fx.lifecycle_log(fx.table(spark, sf_dir, "events"))
+    return log, lifecycle.downtime_gaps(log)
+
+
+@register("downtime_gaps", osql.with_ctes([fx.SQL_LIFECYCLE], "SELECT source, start_us, end_us FROM gaps"))
+def q_downtime_gaps(spark, sf_dir):
+    _, gaps = _gaps(spark, sf_dir)
+    return gaps
+
+
+@register("suggestions", osql.with_ctes([fx.SQL_LIFECYCLE], """
+SELECT g.source, g.start_us, g.end_us, COALESCE((SELECT arg_min(d.decision, d.decided_at) FROM decisions d
+  WHERE d.source = g.source AND d.start_us = g.start_us AND d.end_us = g.end_us), 'pending') AS state FROM gaps g"""))
+def q_suggestions(spark, sf_dir):
+    _, gaps = _gaps(spark, sf_dir)
+    return lifecycle.decision_state(gaps, fx.suggestion_decisions(gaps))
+
+
+@register("pending_suggestions", osql.with_ctes([fx.SQL_LIFECYCLE], """
+SELECT source, start_us, end_us FROM gaps g WHERE NOT EXISTS (SELECT 1 FROM decisions d
+  WHERE d.source = g.source AND d.start_us = g.start_us AND d.end_us = g.end_us)"""))
+def q_pending_suggestions(spark, sf_dir):
+    _, gaps = _gaps(spark, sf_dir)
+    return lifecycle.pending_suggestions(gaps, fx.suggestion_decisions(gaps))
+
+
+@register("health", osql.with_ctes([fx.SQL_LIFECYCLE], """
+SELECT source, COALESCE(arg_max(kind, (at_us, seq)) FILTER (WHERE kind IN ('connected', 'disconnected')), 'unknown') AS state,
+       max(at_us) FILTER (WHERE kind = 'connected') AS last_connected_us,
+       max(at_us) FILTER (WHERE kind = 'disconnected') AS last_disconnected_us,
+       max(at_us) FILTER (WHERE kind = 'event') AS last_event_us
+FROM lc GROUP BY source"""))
+def q_health(spark, sf_dir):
+    log = fx.lifecycle_log(fx.table(spark, sf_dir, "events"))
+    h = lifecycle.health(log)
+    return h.select("source", "state", F.unix_micros("last_connected_at").alias("last_connected_us"),
+                    F.unix_micros("last_disconnected_at").alias("last_disconnected_us"),
+                    F.unix_micros("last_event_at").alias("last_event_us"))
