@@ -814,3 +814,54 @@ def q_health(spark, sf_dir):
     return h.select("source", "state", F.unix_micros("last_connected_at").alias("last_connected_us"),
                     F.unix_micros("last_disconnected_at").alias("last_disconnected_us"),
                     F.unix_micros("last_event_at").alias("last_event_us"))
+
+
+# ---------------------------------------------------------------- S2, T1-T5, T7 (availableNow streams)
+
+import uuid  # noqa: E402
+
+from threadloom.session import ensure_checkpoint_dir  # noqa: E402
+from threadloom.streaming import ingest  # noqa: E402
+
+
+def _stream_root(spark, name):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/threadloom-stream/{name}-{uuid.uuid4().hex}"
+
+
+@register("stream_ingest", ORACLES["envelope_parse"])
+def q_stream_ingest(spark, sf_dir):
+    """Envelopes of A land as text files; an availableNow stream ingests them."""
+    conv = fx.table(spark, sf_dir, "conversations")
+    root = _stream_root(spark, "ingest")
+    lines = fx.conversation_envelopes(conv).select("body")
+    # land twice: the second copy replays every envelope; dedupe keeps one
+    lines.unionByName(lines).repartition(4).write.text(f"{root}/landing")
+    q = ingest.start_ingest(spark, ingest.envelope_stream(spark, f"{root}/landing", max_files=2), f"{root}/tables",
+                            f"{root}/checkpoint")
+    q.awaitTermination()
+    return ingest.read_messages(spark, f"{root}/tables").select(
+        "event_id", "workspace_id", "channel_id", "message_ts", "thread_ts", "user_id", "subtype", "text")
+
+
+@register("stream_windows", osql.with_ctes([fx.SQL_EVENT_MESSAGES, f"""sel AS (SELECT 'all' AS scope, TRUE AS eligible, event_id, event_sequence, workspace_id, channel_id, message_ts,
+  thread_ts, user_id, subtype, text, {osql.secs()} AS secs, {osql.cost()} AS cost FROM emessages)"""] + osql.grouping_ctes(3600, "event_sequence"), """
+SELECT workspace_id, channel_id, CAST(min(secs) AS BIGINT) AS start_secs, CAST(count(*) AS BIGINT) AS n_messages
+FROM stdw GROUP BY scope, workspace_id, channel_id, window_no
+HAVING max(secs) + 3600 <= (SELECT max(secs) FROM sel) - 90"""))
+def q_stream_windows(spark, sf_dir):
+    """E messages replayed through a file stream; session windows with gap 3600 (T4).
+
+    Append mode emits a session once the watermark (max event second - 90 s) has passed
+    its end (last second + gap); sessions still open at the end of input are not emitted.
+    """
+    root = _stream_root(spark, "windows")
+    msgs = fx.event_messages(fx.table(spark, sf_dir, "events"))
+    msgs.repartition(4).write.parquet(f"{root}/landing")
+    stream = spark.readStream.schema(msgs.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/landing")
+    win = ingest.stream_windows(stream, 3600)
+    q = (win.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
+         .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    return out.select("workspace_id", "channel_id", F.unix_seconds("session_window.start").alias("start_secs"),
+                      F.col("n_messages").cast("bigint"))
