@@ -865,3 +865,26 @@ def q_stream_windows(spark, sf_dir):
     out = spark.read.parquet(f"{root}/out")
     return out.select("workspace_id", "channel_id", F.unix_seconds("session_window.start").alias("start_secs"),
                       F.col("n_messages").cast("bigint"))
+
+
+# ---------------------------------------------------------------- G12 thread digest
+
+THREAD_BUDGET = 4000
+
+
+@register("thread_digest", osql.with_ctes(
+    [fx.SQL_MESSAGES, fx.SQL_AS_OF, THREAD_KEYS_SQL, THREAD_READ_SQL, f"""
+sel AS (
+  SELECT t.workspace_id || '|' || t.channel_id || '|' || t.key_ts AS scope, TRUE AS eligible, m.event_id, m.event_sequence,
+         m.workspace_id, m.channel_id, m.message_ts, m.thread_ts, m.user_id, m.subtype, m.text,
+         {osql.secs('m.')} AS secs, {osql.cost('m.')} AS cost
+  FROM tread t JOIN messages m USING (event_id))"""] + osql.grouping_ctes(300, "message_ts") + osql.batch_ctes(THREAD_BUDGET), """
+SELECT split_part(scope, '|', 1) AS scope_ws, split_part(scope, '|', 2) AS scope_ch, split_part(scope, '|', 3) AS key_ts,
+       group_id, kind, CAST(group_position AS BIGINT) AS group_position, CAST(estimated_tokens AS BIGINT) AS estimated_tokens,
+       n_messages, thread_continues FROM dgroups"""))
+def q_thread_digest(spark, sf_dir):
+    conv, msgs, _, as_of = conv_inputs(spark, sf_dir)
+    keys = msgs.where(F.col("thread_ts").isNotNull()).select("workspace_id", "channel_id", "thread_ts").distinct()
+    _, batch = digest.thread_digest(msgs, keys, as_of, THREAD_BUDGET)
+    return batch.groups.select("scope_ws", "scope_ch", "key_ts", "group_id", "kind",
+                               F.col("group_position").cast("bigint"), "estimated_tokens", "n_messages", "thread_continues")
