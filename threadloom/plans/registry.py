@@ -888,3 +888,127 @@ def q_thread_digest(spark, sf_dir):
     _, batch = digest.thread_digest(msgs, keys, as_of, THREAD_BUDGET)
     return batch.groups.select("scope_ws", "scope_ch", "key_ts", "group_id", "kind",
                                F.col("group_position").cast("bigint"), "estimated_tokens", "n_messages", "thread_continues")
+
+
+# ---------------------------------------------------------------- B2, B4, B5, B6, N18
+
+import datetime as _dt  # noqa: E402
+
+from threadloom.operators import backfill  # noqa: E402
+
+
+def _jobs(as_of):
+    d = _dt.timedelta
+    return [(1, "initial", as_of - d(days=30), as_of), (2, "manual", as_of - d(days=2), as_of - d(days=1)),
+            (3, "downtime", as_of, as_of - d(hours=1))]
+
+
+JOBS_SQL = """
+jobs AS (SELECT * FROM (VALUES (1, 0), (2, -86400)) v(job_id, end_dt)),
+plan AS (
+  SELECT j.job_id, t.workspace_id, t.channel_id, 'history' AS phase, p.as_of_secs + j.end_dt - 30 * 86400 AS oldest_secs,
+         p.as_of_secs + j.end_dt AS latest_secs,
+         row_number() OVER (PARTITION BY j.job_id ORDER BY t.workspace_id, t.channel_id) AS task_no
+  FROM targets t CROSS JOIN jobs j CROSS JOIN params p WHERE t.enabled),
+tlog AS (
+  SELECT job_id * 1000 + task_no AS task_id, job_id, latest_secs AS t0, TRY_CAST(substr(channel_id, 2) AS INTEGER) AS n FROM plan),
+events AS (
+  SELECT task_id, t0 AS at_s, 'created' AS kind, NULL AS cursor, NULL AS error, NULL AS nb FROM tlog
+  UNION ALL SELECT task_id, t0 + 10, 'claimed', NULL, NULL, NULL FROM tlog WHERE n % 2 = 0
+  UNION ALL SELECT task_id, t0 + 20, 'page', CASE WHEN n % 4 = 0 THEN 'next' END, NULL, NULL FROM tlog WHERE n % 2 = 0
+  UNION ALL SELECT task_id, t0 + 30, 'error', NULL, 'HTTP 500', t0 + 90 FROM tlog WHERE n % 6 = 0
+  UNION ALL SELECT task_id, t0 + 100, 'cancel', NULL, NULL, NULL FROM tlog WHERE job_id = 2),
+tstate AS (
+  SELECT task_id,
+         CASE WHEN max(at_s) FILTER (WHERE kind = 'cancel') > max(at_s) FILTER (WHERE kind <> 'cancel')
+                   AND arg_max(CASE kind WHEN 'created' THEN 'queued' WHEN 'claimed' THEN 'running' WHEN 'page' THEN CASE WHEN cursor IS NOT NULL THEN 'queued' ELSE 'completed' END WHEN 'error' THEN 'retry' END, at_s) FILTER (WHERE kind <> 'cancel') IN ('queued', 'retry')
+              THEN 'canceled'
+              ELSE arg_max(CASE kind WHEN 'created' THEN 'queued' WHEN 'claimed' THEN 'running' WHEN 'page' THEN CASE WHEN cursor IS NOT NULL THEN 'queued' ELSE 'completed' END WHEN 'error' THEN 'retry' END, at_s) FILTER (WHERE kind <> 'cancel') END AS state,
+         CAST(count(*) FILTER (WHERE kind = 'claimed') AS BIGINT) AS attempts,
+         arg_max_null(cursor, at_s) FILTER (WHERE kind = 'page') AS cursor,
+         CASE WHEN max(at_s) FILTER (WHERE kind = 'error') IS NOT NULL
+                   AND (max(at_s) FILTER (WHERE kind = 'page') IS NULL OR max(at_s) FILTER (WHERE kind = 'error') > max(at_s) FILTER (WHERE kind = 'page'))
+              THEN arg_max(error, at_s) FILTER (WHERE kind = 'error') END AS last_error,
+         arg_max(nb, at_s) FILTER (WHERE kind = 'error') AS nb
+  FROM events GROUP BY task_id)"""
+
+
+def _plan(spark, sf_dir):
+    msgs, as_of, targets, _, _ = _targets_meta(spark, sf_dir)
+    tasks = backfill.plan_history(targets, _jobs(as_of), 30)
+    return spark, tasks.withColumn("task_id", F.col("job_id") * 1000 + F.col("task_no"))
+
+
+def _task_log(tasks):
+    n = F.expr("try_cast(substr(channel_id, 2) AS INT)")
+    t0 = F.unix_seconds("latest")
+    base = tasks.select("task_id", "job_id", t0.alias("t0"), n.alias("n"))
+
+    def ev(df, dt, kind, cursor=None, error=None, nb=None):
+        return df.select("task_id", F.timestamp_seconds(F.col("t0") + dt).alias("at"), F.lit(kind).alias("kind"),
+                         (cursor if cursor is not None else F.lit(None).cast("string")).alias("cursor"),
+                         F.lit(error).cast("string").alias("error"),
+                         (F.timestamp_seconds(F.col("t0") + nb) if nb is not None else F.lit(None).cast("timestamp")).alias("not_before"))
+
+    return (ev(base, 0, "created")
+            .unionByName(ev(base.where(F.col("n") % 2 == 0), 10, "claimed"))
+            .unionByName(ev(base.where(F.col("n") % 2 == 0), 20, "page", F.when(F.col("n") % 4 == 0, F.lit("next"))))
+            .unionByName(ev(base.where(F.col("n") % 6 == 0), 30, "error", error="HTTP 500", nb=90))
+            .unionByName(ev(base.where(F.col("job_id") == 2), 100, "cancel")))
+
+
+@register("plan_history", osql.with_ctes(TM + [JOBS_SQL], """
+SELECT job_id, workspace_id, channel_id, phase, oldest_secs, latest_secs, CAST(task_no AS BIGINT) AS task_no FROM plan"""))
+def q_plan_history(spark, sf_dir):
+    _, tasks = _plan(spark, sf_dir)
+    return tasks.select(F.col("job_id").cast("int").alias("job_id"), "workspace_id", "channel_id", "phase",
+                        F.unix_seconds("oldest").alias("oldest_secs"), F.unix_seconds("latest").alias("latest_secs"),
+                        "task_no")
+
+
+@register("task_state", osql.with_ctes(TM + [JOBS_SQL], """
+SELECT task_id, state, attempts, cursor, last_error, CASE WHEN state = 'retry' THEN nb END AS not_before_secs FROM tstate"""))
+def q_task_state(spark, sf_dir):
+    _, tasks = _plan(spark, sf_dir)
+    st = backfill.task_state(_task_log(tasks))
+    return st.select(F.col("task_id").cast("int").alias("task_id"), "state", "attempts", "cursor", "last_error",
+                     F.unix_seconds("not_before").alias("not_before_secs"))
+
+
+JOB_IDS_SQL = "alljobs AS (SELECT * FROM (VALUES (1), (2), (3)) v(job_id))"
+
+
+def _job_frames(spark, sf_dir):
+    _, tasks = _plan(spark, sf_dir)
+    states = backfill.task_state(_task_log(tasks))
+    jobs = spark.createDataFrame([(1,), (2,), (3,)], "job_id bigint")
+    return jobs, tasks, states
+
+
+@register("job_state", osql.with_ctes(TM + [JOBS_SQL, JOB_IDS_SQL], """
+SELECT CAST(a.job_id AS BIGINT) AS job_id,
+       CASE WHEN a.job_id = 2 THEN 'canceled'
+            WHEN COALESCE(x.open_n, 0) = 0 THEN 'completed'
+            WHEN COALESCE(x.att, 0) > 0 THEN 'running' ELSE 'queued' END AS state
+FROM alljobs a LEFT JOIN (
+  SELECT t.job_id, count(*) FILTER (WHERE s.state NOT IN ('completed', 'canceled')) AS open_n, max(s.attempts) AS att
+  FROM tlog t JOIN tstate s USING (task_id) GROUP BY t.job_id) x ON x.job_id = a.job_id"""))
+def q_job_state(spark, sf_dir):
+    jobs, tasks, states = _job_frames(spark, sf_dir)
+    cancels = spark.createDataFrame([(2,)], "job_id bigint")
+    return backfill.job_state(jobs, tasks, states, cancels)
+
+
+@register("job_report", osql.with_ctes(TM + [JOBS_SQL, JOB_IDS_SQL], """
+SELECT CAST(a.job_id AS BIGINT) AS job_id, COALESCE(x.channels, 0) AS channels, COALESCE(x.completed_tasks, 0) AS completed_tasks,
+       COALESCE(x.total_tasks, 0) AS total_tasks, COALESCE(x.history_tasks, 0) AS history_tasks, COALESCE(x.reply_tasks, 0) AS reply_tasks
+FROM alljobs a LEFT JOIN (
+  SELECT p.job_id, count(DISTINCT (p.workspace_id, p.channel_id)) AS channels,
+         count(*) FILTER (WHERE s.state = 'completed') AS completed_tasks, count(*) AS total_tasks,
+         count(*) FILTER (WHERE p.phase = 'history') AS history_tasks, count(*) FILTER (WHERE p.phase = 'replies') AS reply_tasks
+  FROM plan p JOIN tstate s ON s.task_id = p.job_id * 1000 + p.task_no GROUP BY p.job_id) x ON x.job_id = a.job_id
+ORDER BY a.job_id DESC LIMIT 20"""))
+def q_job_report(spark, sf_dir):
+    jobs, tasks, states = _job_frames(spark, sf_dir)
+    return backfill.job_report(jobs, tasks, states).select("job_id", "channels", "completed_tasks", "total_tasks",
+                                                            "history_tasks", "reply_tasks")
