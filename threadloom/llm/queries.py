@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import byte_bpe, chat, licenses, packing, parsing, quality_model, quality_rules, token_files
+from threadloom.llm import byte_bpe, chat, jaccard, licenses, packing, parsing, quality_model, quality_rules, repeats, token_files
 from threadloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_suffix_array_dedup")
+def op1(spark, sf_dir):
+    return repeats.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 @register("op2_license_scan")
 def op2(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
@@ -33,6 +38,26 @@ def op3(spark, sf_dir):
     return parsing.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+JACCARD_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
+      FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, b AS other FROM both_ways UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other),
+comp AS (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(comp.low, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)"""
+
+
+@register("op4_ngram_jaccard", JACCARD_SQL)
+def op4(spark, sf_dir):
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
+
+
 @register("op5_quality_classifier")
 def op5(spark, sf_dir):
     return quality_model.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
