@@ -1,4 +1,4 @@
-"""Digest behaviour on the reference's own test inputs (FIXTURES.md §1)."""
+"""Digest behaviour on small scenarios: grouping, budgets, order, costs."""
 
 import json
 
@@ -16,8 +16,8 @@ def run_batch(spark, rows, budget, payload_col=None):
 
 
 def test_thread_kept_together_across_unrelated_message(spark):
-    b = run_batch(spark, [(1, "1000.000001", "Incident starts", None), (2, "1001.000001", "Unrelated announcement", None),
-                          (3, "1002.000001", "Investigating", "1000.000001")], 2000)
+    b = run_batch(spark, [(1, "1000.000001", "who is on call tonight", None), (2, "1001.000001", "lunch is served", None),
+                          (3, "1002.000001", "me, until six", "1000.000001")], 2000)
     groups = b.groups.collect()
     assert len(groups) == 2
     thread = [g for g in groups if g.kind == "thread"][0]
@@ -34,7 +34,7 @@ def test_oversized_thread_keeps_root(spark):
 
 
 def test_payload_never_in_digest_and_budget_held(spark):
-    rows = [(1, "1000.000001", "Short digest text", None)]
+    rows = [(1, "1000.000001", "see the attached form", None)]
     msgs = make_messages(spark, rows).withColumn("event_payload", F.to_json(F.struct(F.lit("x" * 137000).alias("blocks"))))
     m = inbox.digest_ready(msgs)
     sel = m.select(F.lit("c").alias("consumer_id"), *inbox.NARROW).withColumn("eligible", F.lit(True))
@@ -52,7 +52,7 @@ def test_oversized_root_text_continues(spark):
 
 
 def test_reverse_arrival_ordered_by_message_time(spark):
-    b = run_batch(spark, [(10, "1001.000001", "Newer root", None), (20, "1000.000001", "Older root", None)], 2000)
+    b = run_batch(spark, [(10, "1001.000001", "second by clock", None), (20, "1000.000001", "first by clock", None)], 2000)
     ids = [r.event_id for r in b.messages.orderBy("position").collect()]
     assert ids == ["Ev20", "Ev10"]
 

@@ -14,13 +14,13 @@ ACK_SCHEMA = "consumer_id string, event_id string, acknowledged_at timestamp"
 def test_ack_empties_only_that_consumers_inbox(spark):
     msgs = make_messages(spark, [(1, "1000.0", "pending", None)])
     none = spark.createDataFrame([], ACK_SCHEMA)
-    p = inbox.pending(msgs, none, ["hermes", "another-agent"], 9, AS_OF, 90)
-    assert sorted(r.consumer_id for r in p.collect()) == ["another-agent", "hermes"]
-    req = spark.createDataFrame([("hermes", "Ev1")], "consumer_id string, event_id string")
+    p = inbox.pending(msgs, none, ["day-shift", "night-shift"], 9, AS_OF, 90)
+    assert sorted(r.consumer_id for r in p.collect()) == ["day-shift", "night-shift"]
+    req = spark.createDataFrame([("night-shift", "Ev1")], "consumer_id string, event_id string")
     outcomes, new = inbox.acknowledge(req, msgs, none, AS_OF)
     assert [r.outcome for r in outcomes.collect()] == ["acknowledged"]
-    p2 = inbox.pending(msgs, new, ["hermes", "another-agent"], 9, AS_OF, 90)
-    assert [r.consumer_id for r in p2.collect()] == ["another-agent"]
+    p2 = inbox.pending(msgs, new, ["day-shift", "night-shift"], 9, AS_OF, 90)
+    assert [r.consumer_id for r in p2.collect()] == ["day-shift"]
     again, _ = inbox.acknowledge(req, msgs, new, AS_OF)
     assert [r.outcome for r in again.collect()] == ["already"]
 

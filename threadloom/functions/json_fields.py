@@ -38,3 +38,8 @@ def count_field(v: Column | str, path: str, default: int | None = 0) -> Column:
 def is_object(v: Column | str, path: str = "$") -> Column:
     """True when the value at ``path`` is a JSON object."""
     return F.coalesce(json_type(v, path).startswith("OBJECT"), F.lit(False))
+
+
+def http_ok(status: Column | str) -> Column:
+    """A response status of 200 to 299; a response without a status counts by its body alone."""
+    return F.coalesce(_col(status).between(200, 299), F.lit(True))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.cost import MAX_BUDGET, MIN_BUDGET, MIN_COST
 from threadloom.operators.scan import first_k, ordinal
-from threadloom.operators.segments import next_segment_cols
+from threadloom.operators.segments import with_segment
 from threadloom.plans.stage import stage
 
 DEFAULT_GAP_SECS = 300
@@ -183,7 +183,7 @@ def make_batch(grouped: Grouped, messages: DataFrame, budget: int, tiebreak: str
 
     # whole groups: at most budget // 24 messages per scope can be delivered
     sel_keys = selected.select(*scope, "group_id")
-    whole = grouped.members.join(F.broadcast(sel_keys), [*scope, "group_id"], "left_semi")
+    whole = grouped.members.join(sel_keys, [*scope, "group_id"], "left_semi")
     whole = (whole.withColumn("position", F.row_number().over(
         Window.partitionBy(*scope, "group_id").orderBy(*member_order())))
         .join(text_cols, ["event_id"])
@@ -191,14 +191,14 @@ def make_batch(grouped: Grouped, messages: DataFrame, budget: int, tiebreak: str
                 "text", F.lit(None).cast("int").alias("text_continues"), "cost", elig.alias("eligible")))
 
     # oversized first group: anchored prefix, first message segmented when needed
-    big = grouped.members.join(F.broadcast(oversized.select(*scope, "group_id")), [*scope, "group_id"], "left_semi")
+    big = grouped.members.join(oversized.select(*scope, "group_id"), [*scope, "group_id"], "left_semi")
     big = first_k(big, [*scope, "group_id"], member_order(), budget // MIN_COST + 1, "position")
     big = big.join(text_cols, ["event_id"])
-    seg = next_segment_cols(budget)
     first_row = F.col("position") == 1
-    big = (big.withColumn("_text", F.when(first_row, seg["seg_text"]).otherwise(F.col("text")))
-           .withColumn("_cont", F.when(first_row, seg["text_continues"]))
-           .withColumn("_cost", F.when(first_row, seg["seg_cost"]).otherwise(F.col("cost"))))
+    heads = with_segment(big.where(first_row), budget).select(
+        *big.columns, F.col("seg_text").alias("_text"), F.col("text_continues").alias("_cont"), F.col("seg_cost").alias("_cost"))
+    big = heads.unionByName(big.where(~first_row).select(
+        "*", F.col("text").alias("_text"), F.lit(None).cast("int").alias("_cont"), F.col("cost").alias("_cost")))
     big = big.withColumn("_run", F.sum("_cost").over(
         Window.partitionBy(*scope, "group_id").orderBy("position")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)))

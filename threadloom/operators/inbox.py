@@ -12,8 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.operators.scan import ordinal
-
 DEFAULT_SETTLE_SECS = 90
 MAX_SETTLE_SECS = 3600
 RECEIPT_TTL_DAYS = 7
@@ -198,7 +196,7 @@ def issue_receipts(receipt_ids: DataFrame, issued_at) -> DataFrame:
 def valid_receipts(receipts_df: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     """Split receipts into (valid, rejected); rejected carry a reason.
 
-    Malformed: missing consumer, ids not a non-empty list, no expiry. Expired: expiry
+    Malformed: missing consumer, no list of ids, a null id, no expiry (an empty list is well formed). Expired: expiry
     earlier than ``as_of``.
     """
     malformed = (F.col("consumer_id").isNull() | (F.col("consumer_id") == "") | F.col("event_ids").isNull()
@@ -209,12 +207,7 @@ def valid_receipts(receipts_df: DataFrame, as_of) -> tuple[DataFrame, DataFrame]
     return tagged.where(F.col("reason").isNull()).drop("reason"), tagged.where(F.col("reason").isNotNull())
 
 
-def segment_receipts(segments: DataFrame) -> DataFrame:
-    """A finished text (its final segment) is ackable for that one event only."""
+def segment_receipts(segments: DataFrame, *extra: str) -> DataFrame:
+    """A finished text (its final segment) is ackable for that one event only; ``extra`` columns stay."""
     return segments.where(F.col("text_continues").isNull()).select(
-        *[c for c in ("consumer_id",) if c in segments.columns], "event_id")
-
-
-def rank_by_sequence(df: DataFrame, keys: Sequence[str], out: str = "position") -> DataFrame:
-    """Distributed 1-based position by event_sequence within ``keys``."""
-    return ordinal(df, list(keys), [F.col("event_sequence")], out)
+        *[c for c in ("consumer_id",) if c in segments.columns], "event_id", *extra)

@@ -13,22 +13,27 @@ MESSAGE_RETENTION_DAYS = 30
 
 
 def retain_raw(raw: DataFrame, as_of, days: int = RAW_RETENTION_DAYS) -> DataFrame:
-    """Raw events received within ``days`` of ``as_of``.
+    """Raw events received within ``days`` of ``as_of``; unreadable arrival times stay.
 
-    Stored partitioned by date(received_at), this filter prunes whole partitions.
+    A table that has ``received_date`` (the partition column of ingested data) is pruned by it.
     """
-    return raw.where(F.col("received_at") >= as_column(as_of) - F.make_interval(days=F.lit(days)))
+    cutoff = as_column(as_of) - F.make_interval(days=F.lit(days))
+    if "received_date" in raw.columns:
+        raw = raw.where(F.coalesce(F.col("received_date") >= F.to_date(cutoff), F.lit(True)))
+    return raw.where(F.coalesce(F.col("received_at") >= cutoff, F.lit(True)))
 
 
 def retain_messages(messages: DataFrame, as_of, days: int = MESSAGE_RETENTION_DAYS) -> DataFrame:
     """R2: messages newer than the cutoff, plus older roots whose thread has a recent reply.
 
-    Adds ``kept_by_reply`` (true for an expired root kept alive by a recent reply).
+    Adds ``kept_by_reply`` (true for an expired root kept alive by a recent reply). A message whose
+    time cannot be read is never expired: its age is not known.
     """
     cutoff = as_column(as_of) - F.make_interval(days=F.lit(days))
     t = message_instant("message_ts")
-    recent = messages.where(t >= cutoff)
-    old = messages.where(~F.coalesce(t >= cutoff, F.lit(False)))
+    stays = F.coalesce(t >= cutoff, F.lit(True))
+    recent = messages.where(stays)
+    old = messages.where(~stays)
     live_roots = (recent.where(F.col("thread_ts").isNotNull())
                   .select("workspace_id", "channel_id", F.col("thread_ts").alias("message_ts")).distinct())
     kept = old.join(live_roots, ["workspace_id", "channel_id", "message_ts"], "left_semi")

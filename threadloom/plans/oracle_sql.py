@@ -104,9 +104,10 @@ def batch_ctes(budget: int) -> list[str]:
         f"""selected AS (SELECT * FROM run WHERE running_cost <= {budget})""",
         f"""oversized AS (SELECT * FROM run WHERE group_position = 1 AND cost > {budget})""",
         # segment of the first message: per code point escaped bytes, prefix sums, largest fitting end
-        """ochars AS (
+        # (every code point costs a byte or more, so none beyond the budget can belong to the segment)
+        f"""ochars AS (
   SELECT scope, group_id, event_id, unnest(generate_series(1, length(t))) AS pos, unnest(string_split(t, '')) AS ch
-  FROM (SELECT m.scope, m.group_id, m.event_id, COALESCE(m.text, '') AS t
+  FROM (SELECT m.scope, m.group_id, m.event_id, substring(COALESCE(m.text, ''), 1, {budget}) AS t
         FROM members m JOIN oversized o ON o.scope = m.scope AND o.group_id = m.group_id
         WHERE m.member_position = 1 AND length(COALESCE(m.text, '')) > 0) x)""",
         """obytes AS (
@@ -122,7 +123,8 @@ def batch_ctes(budget: int) -> list[str]:
   FROM members m JOIN oversized o ON o.scope = m.scope AND o.group_id = m.group_id WHERE m.member_position = 1)""",
         f"""oseg AS (
   SELECT f.scope, f.group_id, f.event_id, f.t, f.n, f.base,
-         COALESCE((SELECT acc FROM obytes b WHERE b.scope = f.scope AND b.group_id = f.group_id AND b.pos = f.n), 0) AS full_bytes,
+         CASE WHEN f.n = 0 THEN 0
+              ELSE COALESCE((SELECT acc FROM obytes b WHERE b.scope = f.scope AND b.group_id = f.group_id AND b.pos = f.n), {budget} + 1) END AS full_bytes,
          COALESCE((SELECT max(b.pos) FROM obytes b WHERE b.scope = f.scope AND b.group_id = f.group_id
                     AND f.base + b.acc + 17 + length(CAST(b.pos AS VARCHAR)) <= {budget}), 0) AS fit_end
   FROM ofirst f)""",
@@ -162,8 +164,8 @@ def batch_ctes(budget: int) -> list[str]:
     ]
 
 
-def with_ctes(ctes: list[str], body: str) -> str:
-    return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + body
+def with_ctes(ctes: list[str], body: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(c.strip() for c in ctes) + "\n" + body
 
 
 CHAR_BYTES_SQL = ("CASE WHEN ch IN ('\"', '\\') OR ch IN (chr(8), chr(9), chr(10), chr(12), chr(13)) THEN 2 "
@@ -181,7 +183,7 @@ def segment_ctes(source: str, budget: int) -> list[str]:
                                     subtype := subtype, text := COALESCE(text, ''))))) AS full_cost
   FROM {source})""",
         f"""sch AS (
-  SELECT event_id, unnest(generate_series(1, n)) AS pos, unnest(string_split(t, '')) AS ch
+  SELECT event_id, unnest(generate_series(1, least(n, {budget}))) AS pos, unnest(string_split(substring(t, 1, {budget}), '')) AS ch
   FROM sd WHERE full_cost > {budget} AND n > 0)""",
         f"""sacc AS (SELECT event_id, pos, sum({CHAR_BYTES_SQL}) OVER (PARTITION BY event_id ORDER BY pos) AS acc FROM sch)""",
         f"""sfit AS (
@@ -195,3 +197,41 @@ def segment_ctes(source: str, budget: int) -> list[str]:
               ELSE greatest(24, sd.base + COALESCE(a.acc, 0) + 17 + length(CAST(COALESCE(f.fit_end, 0) AS VARCHAR))) END AS BIGINT) AS seg_cost
   FROM sd LEFT JOIN sfit f USING (event_id) LEFT JOIN sacc a ON a.event_id = sd.event_id AND a.pos = f.fit_end)""",
     ]
+
+
+def all_segment_ctes(source: str, budget: int) -> list[str]:
+    """Every segment of every message of ``source`` over the budget; use with ``WITH RECURSIVE``."""
+    return [
+        f"""sd AS (
+  SELECT event_id, COALESCE(text, '') AS t, length(COALESCE(text, '')) AS n,
+         strlen(to_json(struct_pack(eventId := event_id, messageTs := message_ts, userId := user_id, subtype := subtype, text := ''))) AS base
+  FROM {source}
+  WHERE greatest(24, strlen(to_json(struct_pack(eventId := event_id, messageTs := message_ts, userId := user_id,
+                                                subtype := subtype, text := COALESCE(text, ''))))) > {budget})""",
+        """sch AS (SELECT event_id, unnest(generate_series(1, n)) AS pos, unnest(string_split(t, '')) AS ch FROM sd WHERE n > 0)""",
+        f"""sacc AS (
+  SELECT event_id, list(acc ORDER BY pos) AS accs
+  FROM (SELECT event_id, pos, CAST(sum({CHAR_BYTES_SQL}) OVER (PARTITION BY event_id ORDER BY pos) AS BIGINT) AS acc FROM sch) x
+  GROUP BY event_id)""",
+        """sall AS (SELECT sd.event_id, sd.n, sd.base, a.accs FROM sd JOIN sacc a USING (event_id))""",
+        f"""chain AS (
+  SELECT event_id, CAST(0 AS BIGINT) AS seg_no, CAST(0 AS BIGINT) AS seg_start, CAST(0 AS BIGINT) AS seg_end, FALSE AS final FROM sall
+  UNION ALL
+  SELECT event_id, seg_no + 1, begins, CASE WHEN whole THEN n ELSE begins + size END, whole OR size = 0
+  FROM (
+    SELECT c.event_id, c.seg_no, c.seg_end AS begins, s.n,
+           s.base + s.accs[s.n] - COALESCE(s.accs[c.seg_end], 0) <= {budget} AS whole,
+           COALESCE(list_max(list_filter(range(1, least({budget}, s.n - c.seg_end) + 1),
+             lambda k: s.base + s.accs[c.seg_end + k] - COALESCE(s.accs[c.seg_end], 0) + 17 + length(CAST(c.seg_end + k AS VARCHAR)) <= {budget})), 0) AS size
+    FROM chain c JOIN sall s USING (event_id) WHERE NOT c.final) x)""",
+        """allseg AS (
+  SELECT c.event_id, c.seg_no, c.seg_start, c.seg_end,
+         s.base + s.accs[s.n] - COALESCE(s.accs[c.seg_start], 0) AS rest, s.n, s.base,
+         COALESCE(s.accs[c.seg_end], 0) - COALESCE(s.accs[c.seg_start], 0) AS bytes
+  FROM chain c JOIN sall s USING (event_id) WHERE c.seg_no > 0)""",
+        f"""aseg AS (
+  SELECT event_id, seg_no, seg_start, seg_end, CASE WHEN rest > {budget} THEN seg_end END AS text_continues,
+         CAST(greatest(24, CASE WHEN rest <= {budget} THEN rest ELSE base + bytes + 17 + length(CAST(seg_end AS VARCHAR)) END) AS BIGINT) AS seg_cost,
+         rest > {budget} AND seg_end = seg_start AS stalled
+  FROM allseg)""",
+    ]

@@ -275,11 +275,15 @@ def q_next_segment(spark, sf_dir):
                       F.col("text_continues").cast("bigint"), F.col("seg_cost").cast("bigint"))
 
 
-@register("all_segments")
+ALL_SEGMENTS = [fx.SQL_DOCUMENT_MESSAGES] + osql.all_segment_ctes("dmessages", 256)
+
+
+@register("all_segments", osql.with_ctes(ALL_SEGMENTS, """
+SELECT event_id, seg_no, seg_start, seg_end, text_continues, seg_cost, stalled FROM aseg""", recursive=True))
 def q_all_segments(spark, sf_dir):
     x = fx.document_messages(fx.table(spark, sf_dir, "documents"))
     return segments.all_segments(x, 256).select("event_id", "seg_no", "seg_start", "seg_end", "text_continues",
-                                                "seg_cost")
+                                                "seg_cost", "stalled")
 
 
 # ---------------------------------------------------------------- I5-I9, I11, I12
@@ -398,11 +402,16 @@ def q_receipts_valid(spark, sf_dir):
     return out.select("consumer_id", F.array_join("event_ids", ",").alias("event_ids"), "status")
 
 
-@register("segment_receipts", osql.with_ctes([fx.SQL_DOCUMENT_MESSAGES] + osql.segment_ctes("dmessages", 256),
-          "SELECT event_id FROM seg WHERE text_continues IS NULL"))
+@register("segment_receipts", osql.with_ctes(ALL_SEGMENTS, """
+SELECT event_id, seg_no FROM aseg WHERE text_continues IS NULL
+UNION ALL SELECT event_id, 1 FROM dmessages WHERE event_id NOT IN (SELECT event_id FROM sd)""", recursive=True))
 def q_segment_receipts(spark, sf_dir):
+    """The one segment of every text that acknowledges it: its last, or the text itself when it fits whole."""
     x = fx.document_messages(fx.table(spark, sf_dir, "documents"))
-    return inbox.segment_receipts(segments.next_segment(x, 256))
+    whole = segments.next_segment(x, 256).where(F.col("text_continues").isNull()).withColumn("seg_no", F.lit(1).cast("bigint"))
+    parts = segments.all_segments(x, 256)
+    return inbox.segment_receipts(whole.select("event_id", "seg_no", "text_continues")
+                                  .unionByName(parts.select("event_id", "seg_no", F.col("text_continues").cast("int"))), "seg_no")
 
 
 # ---------------------------------------------------------------- R1-R4

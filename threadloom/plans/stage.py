@@ -3,22 +3,45 @@
 Used at the boundaries where one result feeds several branches (the hydrated selection,
 grouped members and groups). The folder is the session's ``spark.checkpoint.dir``,
 which on a cluster names shared storage, so a lost executor does not lose the stage.
-Reading the files back also gives adaptive execution their true size.
+Reading the files back also gives adaptive execution their true size. Folders made here
+are removed when the driver ends, or earlier by ``drop_staged``.
 """
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.session import ensure_checkpoint_dir
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def scratch_path(spark: SparkSession, kind: str, name: str) -> str:
+    """A new folder name under the checkpoint folder, removed with the staged tables."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/threadloom-{kind}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Materialise ``df`` as Parquet under the checkpoint folder and return a scan of it."""
-    spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/threadloom-stage/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, "stage", name)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged() -> None:
+    """Delete every folder made by this driver; results that still read one must be written before."""
+    while _made:
+        spark, path = _made.pop()
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the session, or its JVM, is gone
+            return
+
+
+atexit.register(drop_staged)

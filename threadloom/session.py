@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -22,11 +23,7 @@ ENGINE_DEFAULTS = {
 def configure(spark: SparkSession) -> SparkSession:
     """Apply ENGINE_DEFAULTS to a running session without overriding explicit settings."""
     for key, value in ENGINE_DEFAULTS.items():
-        if key == "spark.sql.optimizer.windowGroupLimitThreshold":
-            current = spark.conf.get(key, None)
-            if current is None or int(current) < int(value):
-                spark.conf.set(key, value)
-        elif spark.conf.get(key, None) is None:
+        if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
     return spark
 
@@ -52,8 +49,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster this setting names a shared folder and is only read. A private
-    scratch folder is created only when it is unset, which happens in local tests.
+    On a cluster this setting names a shared folder and is only read; unset, it is an error there,
+    because a folder of one machine would lose what the others write. A private scratch folder is
+    made only for a local master, whose executors are this process.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -64,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     scratch = tempfile.mkdtemp(prefix="threadloom-ckpt-")
     sc.setCheckpointDir(scratch)
     spark.conf.set("spark.checkpoint.dir", scratch)

@@ -1,16 +1,18 @@
 """History and reply pages (S3, S4, S6) and their message rows.
 
 A page is one JSON response body per row with the task's workspace and channel (and,
-for reply pages, the root ts). ``variant_explode`` turns the messages array into rows.
+for reply pages, ``root_ts``). ``variant_explode`` turns the messages array into rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.functions.json_fields import count_field, is_object, json_type, str_field
+from threadloom.functions.json_fields import count_field, http_ok, is_object, json_type, str_field
 
+PAGE_SCHEMA = ("page_id string, workspace_id string, channel_id string, root_ts string, job_id bigint, body string, "
+               "status int, fetched_at timestamp")
 HISTORY_CALLBACK = "history_backfill"
 THREAD_CALLBACK = "thread_backfill"
 
@@ -20,14 +22,29 @@ def _ok(body: str) -> F.Column:
         F.try_variant_get(F.col(body), "$.ok", "boolean"), F.lit(False))
 
 
-def parse_pages(pages: DataFrame, body: str = "body") -> DataFrame:
-    """Parse page bodies; adds ``page`` (variant), ``ok`` and ``next_cursor`` (empty -> null)."""
+def parse_pages(pages: DataFrame, body: str = "body", status: str = "status") -> DataFrame:
+    """Parse page bodies; adds ``page`` (variant), ``ok`` and ``next_cursor`` (empty -> null).
+
+    A page is ok when its body says so and its HTTP status, if there is one, is 200 to 299.
+    """
     p = pages.withColumn("page", F.try_parse_json(F.col(body)))
     cursor = str_field("page", "$.response_metadata.next_cursor")
-    return p.withColumn("ok", F.coalesce(F.when(is_object("page"), _ok("page")), F.lit(False))).withColumn(
+    answered = http_ok(status) if status in pages.columns else F.lit(True)
+    return p.withColumn("ok", F.coalesce(F.when(is_object("page"), _ok("page")), F.lit(False)) & answered).withColumn(
         "next_cursor", F.when(is_object("page", "$.response_metadata") & (cursor != ""), cursor))
 
 
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Landed pages, one JSON object a line with the columns of PAGE_SCHEMA (``root_ts`` on reply pages)."""
+    return spark.read.schema(PAGE_SCHEMA).json(path)
+
+
+def reply_messages(items: DataFrame) -> DataFrame:
+    """Items of reply pages that belong to the thread asked for: the root itself or a reply to it."""
+    own = (str_field("m", "$.ts") == F.col("root_ts")) | (str_field("m", "$.thread_ts") == F.col("root_ts"))
+    return history_messages(items).where(F.col("root_ts").isNotNull() & own)
+
+
 def page_errors(parsed: DataFrame, status: str = "status") -> DataFrame:
     """Pages that are not ok, with the error text or ``HTTP <status>``."""
     err = F.when(is_object("page"), str_field("page", "$.error"))
