@@ -1,20 +1,18 @@
 """Column-level functions (N-series): all built from pyspark.sql.functions, JVM-side."""
 
-from threadloom.functions.cost import digest_message, message_cost, segment_cost
+from threadloom.functions.cost import digest_message, message_cost
 from threadloom.functions.json_fields import count_field, is_object, str_field
 from threadloom.functions.names import display_name
-from threadloom.functions.timestamps import canonical_ts, epoch_micros, message_instant, message_secs
+from threadloom.functions.timestamps import canonical_ts, message_instant, message_secs
 
 __all__ = [
     "canonical_ts",
     "count_field",
     "digest_message",
     "display_name",
-    "epoch_micros",
     "is_object",
     "message_cost",
     "message_instant",
     "message_secs",
-    "segment_cost",
     "str_field",
 ]

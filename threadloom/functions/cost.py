@@ -47,10 +47,3 @@ def projected_bytes(projection: Column) -> Column:
 def message_cost(text: Column | str | None = None) -> Column:
     """``max(24, bytes of the projected JSON)`` for the current row."""
     return F.greatest(F.lit(MIN_COST).cast("bigint"), projected_bytes(digest_message(text)))
-
-
-def segment_cost(base_bytes: Column, text_bytes: Column, end: Column, continues: Column) -> Column:
-    """Cost of a text segment: the projection with empty text (``base_bytes``), plus the
-    escaped bytes of the segment, plus the continuation key and offset when it continues."""
-    extra = F.when(continues, F.lit(CONTINUES_KEY_BYTES) + F.length(end.cast("string"))).otherwise(0)
-    return F.greatest(F.lit(MIN_COST).cast("bigint"), (base_bytes + text_bytes + extra).cast("bigint"))

@@ -38,8 +38,3 @@ def canonical_ts(value: Column | str) -> Column:
               F.try_variant_get(v, "$", "string"))
         .when(kind.isin("DOUBLE", "FLOAT"), F.try_variant_get(v, "$", "decimal(20,6)").cast("string"))
     )
-
-
-def epoch_micros(ts: Column | str) -> Column:
-    """Timestamp as epoch microseconds (the comparable, zone-free form used in reports)."""
-    return F.unix_micros(_col(ts))

@@ -165,35 +165,43 @@ def first_batch(grouped: Grouped, budget: int, tiebreak: str = "event_sequence")
     return top, top.where(F.col("running_cost") <= budget)
 
 
+# Delivered messages are joined to the texts by a broadcast of their ids only up to this many rows.
+BROADCAST_IDS = 200_000
+
+
+def _with_text(delivered: DataFrame, messages: DataFrame) -> DataFrame:
+    """Join text and user fields to delivered rows. Their number is bounded by scopes x budget // 24 and measured
+    here: a small set travels to the message scan, a large one is joined by a shuffle."""
+    delivered = stage(delivered, "delivered")
+    ids = F.broadcast(delivered) if delivered.count() <= BROADCAST_IDS else delivered
+    return messages.select("event_id", "user_id", "subtype", "text").join(ids, "event_id")
+
+
 def make_batch(grouped: Grouped, messages: DataFrame, budget: int, tiebreak: str = "event_sequence",
-               eligible_col: str | None = "eligible") -> Batch:
+               eligible_col: str | None = "eligible", scopes: DataFrame | None = None, upper: int | None = None) -> Batch:
     """The first batch per scope, with the oversized-group fallback.
 
-    ``messages`` supplies text and user fields by event_id for delivered rows only.
+    ``messages`` supplies text and user fields by event_id for delivered rows only. ``scopes`` lists the
+    scopes that must have a summary row even when nothing waits for them.
     """
     scope = grouped.scope
     top, selected = first_batch(grouped, budget, tiebreak)
-    n_groups = grouped.groups.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_groups"))
-    n_sel = selected.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n_sel"))
+    top = stage(top, "batch-candidates")
+    selected = top.where(F.col("running_cost") <= budget)
     # G8 applies where the first group alone exceeds the budget (then nothing was selected)
     oversized = top.where((F.col("group_position") == 1) & (F.col("cost") > budget))
-
-    text_cols = messages.select("event_id", "user_id", "subtype", "text")
     elig = F.col(eligible_col) if eligible_col else F.lit(True)
 
-    # whole groups: at most budget // 24 messages per scope can be delivered
-    sel_keys = selected.select(*scope, "group_id")
-    whole = grouped.members.join(sel_keys, [*scope, "group_id"], "left_semi")
-    whole = (whole.withColumn("position", F.row_number().over(
-        Window.partitionBy(*scope, "group_id").orderBy(*member_order())))
-        .join(text_cols, ["event_id"])
-        .select(*scope, "group_id", "position", "event_id", "event_sequence", "message_ts", "user_id", "subtype",
-                "text", F.lit(None).cast("int").alias("text_continues"), "cost", elig.alias("eligible")))
+    # members of picked groups only: of an oversized group as many as could fit
+    picked = selected.select(*scope, "group_id", F.lit(0).alias("_big")).unionByName(oversized.select(*scope, "group_id", F.lit(1).alias("_big")))
+    chosen = first_k(grouped.members.join(picked, [*scope, "group_id"]), [*scope, "group_id"], member_order(), budget // MIN_COST + 1, "position")
+    rows = _with_text(chosen.select(*scope, "group_id", "_big", "position", "event_id", "event_sequence", "message_ts", "cost",
+                                    elig.alias("eligible")), messages)
+    columns = [*scope, "group_id", "position", "event_id", "event_sequence", "message_ts", "user_id", "subtype", "text"]
+    whole = rows.where("_big = 0").select(*columns, F.lit(None).cast("int").alias("text_continues"), "cost", "eligible")
 
     # oversized first group: anchored prefix, first message segmented when needed
-    big = grouped.members.join(oversized.select(*scope, "group_id"), [*scope, "group_id"], "left_semi")
-    big = first_k(big, [*scope, "group_id"], member_order(), budget // MIN_COST + 1, "position")
-    big = big.join(text_cols, ["event_id"])
+    big = rows.where("_big = 1")
     first_row = F.col("position") == 1
     heads = with_segment(big.where(first_row), budget).select(
         *big.columns, F.col("seg_text").alias("_text"), F.col("text_continues").alias("_cont"), F.col("seg_cost").alias("_cost"))
@@ -203,49 +211,75 @@ def make_batch(grouped: Grouped, messages: DataFrame, budget: int, tiebreak: str
         Window.partitionBy(*scope, "group_id").orderBy("position")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     partial = big.where(first_row | (F.col("_run") <= budget)).select(
-        *scope, "group_id", "position", "event_id", "event_sequence", "message_ts", "user_id", "subtype",
-        F.col("_text").alias("text"), F.col("_cont").alias("text_continues"), F.col("_cost").alias("cost"),
-        elig.alias("eligible"))
-
-    delivered_msgs = whole.unionByName(partial)
-    partial_tokens = partial.groupBy(*scope, "group_id").agg(
-        F.sum("cost").alias("_ptokens"), F.count(F.lit(1)).alias("_pn"))
-    groups_out = (
-        selected.select(*scope, "group_id", "kind", "workspace_id", "channel_id", "thread_ts", "group_position",
-                        F.col("cost").alias("estimated_tokens"), "n_messages",
-                        F.lit(False).alias("thread_continues"))
-        .unionByName(
-            oversized.join(partial_tokens, [*scope, "group_id"]).select(
-                *scope, "group_id", "kind", "workspace_id", "channel_id", "thread_ts", "group_position",
-                F.col("_ptokens").cast("bigint").alias("estimated_tokens"), "n_messages",
-                (F.col("_pn") < F.col("n_messages")).alias("thread_continues")))
-    )
-    summary = (
-        n_groups.join(groups_out.groupBy(*scope).agg(
-            F.sum("estimated_tokens").alias("estimated_tokens"), F.count(F.lit(1)).alias("n_delivered"),
-            F.max(F.col("thread_continues").cast("int")).alias("_any_partial")), scope, "left")
-        .join(n_sel, scope, "left")
-        .select(*scope, F.coalesce("estimated_tokens", F.lit(0)).cast("bigint").alias("estimated_tokens"),
-                ((F.coalesce("_n_sel", F.lit(0)) < F.col("n_groups"))).alias("has_more"),
-                F.col("n_groups").cast("bigint"), F.coalesce("n_delivered", F.lit(0)).cast("bigint").alias("n_delivered"))
-    )
-    return Batch(groups=groups_out, messages=delivered_msgs, summary=summary)
+        *columns[:-1], F.col("_text").alias("text"), F.col("_cont").alias("text_continues"), F.col("_cost").alias("cost"), "eligible")
+
+    delivered = stage(whole.unionByName(partial), "batch-messages")
+    taken = delivered.groupBy(*scope, "group_id").agg(F.sum("cost").alias("_tokens"), F.count(F.lit(1)).alias("_n"))
+    groups_out = (selected.unionByName(oversized).join(taken, [*scope, "group_id"]).select(
+        *scope, "group_id", "kind", "workspace_id", "channel_id", "thread_ts", "group_position",
+        F.col("_tokens").cast("bigint").alias("estimated_tokens"), "n_messages", (F.col("_n") < F.col("n_messages")).alias("thread_continues")))
+    summary = grouped.groups.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_groups"))
+    if scopes is not None:
+        summary = scopes.select(*scope).distinct().join(summary, scope, "left")
+    totals = groups_out.groupBy(*scope).agg(F.sum("estimated_tokens").alias("estimated_tokens"), F.count(F.lit(1)).alias("n_delivered"))
+    n_sel = selected.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n_sel"))
+    none = F.lit(0).cast("bigint")
+    summary = summary.join(totals, scope, "left").join(n_sel, scope, "left").select(
+        *scope, F.coalesce("estimated_tokens", none).alias("estimated_tokens"),
+        (F.coalesce("_n_sel", none) < F.coalesce("n_groups", none)).alias("has_more"),
+        F.coalesce("n_groups", none).alias("n_groups"), F.coalesce("n_delivered", none).alias("n_delivered"),
+        F.lit(upper).cast("bigint").alias("upper_sequence"))
+    return Batch(groups=groups_out, messages=delivered, summary=summary)
 
 
 def inbox_digest(messages: DataFrame, acks: DataFrame, consumers: Sequence[str], as_of, budget: int,
                  settle_seconds: int = 90, gap_seconds: int = DEFAULT_GAP_SECS, upper=None) -> tuple[Grouped, Batch]:
     """I1 -> I3 -> I4 -> G1-G9 for every consumer in ``consumers`` at once.
 
-    ``messages`` must come from ``inbox.digest_ready``. ``upper`` defaults to I1.
+    ``messages`` must come from ``inbox.digest_ready``. ``upper`` defaults to I1. The texts are read once for
+    their cost (the narrow columns are staged) and once more for the delivered rows.
     """
     from threadloom.operators import inbox
 
     _check_budget(budget)
-    up = inbox.latest_sequence_value(messages) if upper is None else upper
-    pend = inbox.pending(messages, acks, consumers, up, as_of, settle_seconds)
-    sel = stage(inbox.hydrate_threads(pend, messages, ["consumer_id"]), "inbox-selection")
+    narrow = stage(messages.select(*inbox.NARROW, "observed_at"), "inbox-messages")
+    up = inbox.latest_sequence_value(narrow) if upper is None else upper
+    pend = inbox.pending(narrow, acks, consumers, up, as_of, settle_seconds)
+    sel = stage(inbox.hydrate_threads(pend, narrow, ["consumer_id"]), "inbox-selection")
     grouped = staged(group_messages(sel, ["consumer_id"], gap_seconds, "event_sequence"), "inbox")
-    return grouped, make_batch(grouped, messages, budget, "event_sequence")
+    everyone = messages.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(consumers)], "consumer_id string")
+    return grouped, make_batch(grouped, messages, budget, "event_sequence", scopes=everyone, upper=up)
+
+
+# ---------------------------------------------------------------- S8
+
+
+MESSAGE_JSON = "eventId string, messageTs string, userId string, subtype string, text string, textContinues int"
+
+
+def digest_documents(batch: Batch, ws_meta: DataFrame, ch_meta: DataFrame) -> DataFrame:
+    """One row per delivered group: scope, ``group_position`` and the group as nested JSON, with names.
+
+    A group's messages are bounded by the budget. The raw payload is not part of it.
+    """
+    from threadloom.operators.reports import with_names
+
+    scope = [c for c in batch.messages.columns[:batch.messages.columns.index("group_id")]]
+    one = F.struct(F.col("event_id").alias("eventId"), F.col("message_ts").alias("messageTs"), F.col("user_id").alias("userId"),
+                   "subtype", "text", F.col("text_continues").alias("textContinues"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("position", one.alias("m")))), lambda x: x["m"])
+    texts = batch.messages.groupBy(*scope, "group_id").agg(ordered.alias("messages"))
+    named = with_names(batch.groups, ws_meta, ch_meta).join(texts, [*scope, "group_id"])
+    body = F.struct(F.col("group_id").alias("id"), "kind", F.col("workspace_id").alias("workspaceId"),
+                    F.col("workspace_name").alias("workspaceName"), F.col("channel_id").alias("channelId"),
+                    F.col("channel_name").alias("channelName"), F.col("thread_ts").alias("threadTs"),
+                    F.col("thread_continues").alias("threadContinues"), F.col("estimated_tokens").alias("estimatedTokens"), "messages")
+    return named.select(*scope, "group_position", body.alias("group"))
+
+
+def write_digest(batch: Batch, ws_meta: DataFrame, ch_meta: DataFrame, path: str) -> None:
+    """Delivered groups as JSON lines."""
+    digest_documents(batch, ws_meta, ch_meta).write.mode("errorifexists").json(path)
 
 
 THREAD_SCOPE = ["scope_ws", "scope_ch", "key_ts"]

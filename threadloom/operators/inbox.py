@@ -74,10 +74,19 @@ def with_consumers(df: DataFrame, consumers: Sequence[str]) -> DataFrame:
 
 def pending(messages: DataFrame, acks: DataFrame, consumers: Sequence[str], upper, as_of,
             settle_seconds: int = DEFAULT_SETTLE_SECS) -> DataFrame:
-    """Per consumer, settled messages up to ``upper`` that this consumer has not acknowledged."""
+    """Per consumer, settled messages up to ``upper`` that this consumer has not acknowledged.
+
+    Acks are gathered per message first (at most one entry a consumer), so a message is one row until it
+    is known who still waits for it.
+    """
+    if not consumers:
+        raise ValueError("at least one consumer is required")
     candidates = settled(messages.where(F.col("event_sequence") <= as_column(upper)), as_of, settle_seconds)
-    mine = acks.where(F.col("consumer_id").isin(list(consumers))).select("consumer_id", "event_id")
-    return with_consumers(candidates, consumers).join(mine, ["consumer_id", "event_id"], "left_anti")
+    done = (acks.where(F.col("consumer_id").isin(list(consumers))).groupBy("event_id")
+            .agg(F.collect_set("consumer_id").alias("_acked")))
+    everyone = F.array(*[F.lit(c) for c in dict.fromkeys(consumers)])
+    waiting = F.array_except(everyone, F.coalesce("_acked", F.array().cast("array<string>")))
+    return candidates.join(done, "event_id", "left").withColumn("consumer_id", F.explode(waiting)).drop("_acked")
 
 
 def _thread_members(messages: DataFrame, keys: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -104,7 +113,10 @@ def hydrate_threads(pending_df: DataFrame, messages: DataFrame, scope: Sequence[
     members = _thread_members(messages, keys, scope).withColumn("eligible", F.lit(False))
     mine = pending_df.select(*scope, *NARROW).withColumn("eligible", F.lit(True))
     both = mine.unionByName(members)
-    return both.groupBy(*scope, *NARROW).agg(F.max("eligible").alias("eligible"))
+    # the rows of one event are equal but for the flag
+    rest = [c for c in NARROW if c != "event_id"]
+    return both.groupBy(*scope, "event_id").agg(*[F.first(c).alias(c) for c in rest], F.max("eligible").alias("eligible")).select(
+        *scope, *NARROW, "eligible")
 
 
 def get_thread(messages: DataFrame, keys: DataFrame, as_of, settle_seconds: int = DEFAULT_SETTLE_SECS) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.operators.scan import running_max_before
+from threadloom.operators.scan import ordinal, running_max_before
 
 DOWNTIME_MIN_GAP_SECS = 300
 
@@ -32,9 +32,10 @@ def downtime_gaps(log: DataFrame, min_gap_seconds: int = DOWNTIME_MIN_GAP_SECS)
 
 def pending_suggestions(gaps: DataFrame, decisions: DataFrame) -> DataFrame:
     """Suggestions still pending; the first decision on a suggestion is final
-    (accept/dismiss only from pending). Order: newest start first (``start_us`` desc)."""
+    (accept/dismiss only from pending). ``position``: newest start first, then newest end, then source."""
     decided = decisions.select("source", "start_us", "end_us").distinct()
-    return gaps.join(decided, ["source", "start_us", "end_us"], "left_anti")
+    rows = gaps.join(decided, ["source", "start_us", "end_us"], "left_anti").withColumn("_all", F.lit(0))
+    return ordinal(rows, ["_all"], [F.desc("start_us"), F.desc("end_us"), F.col("source")], "position").drop("_all")
 
 
 def decision_state(gaps: DataFrame, decisions: DataFrame) -> DataFrame:

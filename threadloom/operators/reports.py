@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import display_name, message_instant
+from threadloom.operators.scan import ordinal
 
 
 def with_names(df: DataFrame, ws_meta: DataFrame, ch_meta: DataFrame) -> DataFrame:
@@ -20,13 +21,15 @@ def list_channels(targets: DataFrame, messages: DataFrame, ws_meta: DataFrame, c
     """M1: every target with names, enabled flag, message count and last observed time.
 
     Messages are aggregated per channel before the join (eager aggregation), so the join
-    sees one row per channel. Order: last_observed_at desc nulls last, then channel_id.
+    sees one row per channel. ``position`` is the order of the list: last observed first, channels
+    without messages last, then by channel and workspace.
     """
     counts = messages.groupBy("workspace_id", "channel_id").agg(
         F.count("event_id").alias("message_count"), F.max("observed_at").alias("last_observed_at"))
     j = with_names(targets.select("workspace_id", "channel_id", "enabled")
                    .join(counts, ["workspace_id", "channel_id"], "left"), ws_meta, ch_meta)
-    return j.select("workspace_id", "workspace_name", "channel_id", "channel_name", "enabled",
+    j = ordinal(j.withColumn("_all", F.lit(0)), ["_all"], [F.desc_nulls_last("last_observed_at"), F.col("channel_id"), F.col("workspace_id")], "position")
+    return j.select("position", "workspace_id", "workspace_name", "channel_id", "channel_name", "enabled",
                     F.coalesce("message_count", F.lit(0)).cast("bigint").alias("message_count"), "last_observed_at",
                     display_name("workspace_name", "workspace_id").alias("workspace_ref"),
                     display_name("channel_name", "channel_id").alias("channel_ref"))

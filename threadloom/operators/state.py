@@ -28,7 +28,7 @@ def targets_state(registrations: DataFrame, toggles: DataFrame | None = None) ->
     if toggles is None:
         return reg.select(*keys, F.lit(True).alias("enabled"), "created_at", F.col("_reg_at").alias("updated_at"))
     t = toggles.join(reg.select(*keys, "created_at"), keys).where(F.col("at") >= F.col("created_at"))
-    tog = t.groupBy(*keys).agg(F.max_by("enabled", "at").alias("_enabled"), F.max("at").alias("_tog_at"))
+    tog = t.groupBy(*keys).agg(F.max_by("enabled", F.struct("at", "enabled")).alias("_enabled"), F.max("at").alias("_tog_at"))
     j = reg.join(tog, keys, "left")
     return j.select(*keys, F.coalesce("_enabled", F.lit(True)).alias("enabled"), "created_at",
                     F.greatest("_reg_at", F.coalesce("_tog_at", "_reg_at")).alias("updated_at"))
@@ -42,23 +42,22 @@ def metadata_state(log: DataFrame, keys: list[str], name_col: str) -> DataFrame:
     """
     ok = F.col("ok")
     return log.groupBy(*keys).agg(
-        F.max_by(F.when(ok, F.col("name")), F.when(ok, F.col("at"))).alias(name_col),
+        F.max_by("name", F.when(ok, F.struct("at", "name"))).alias(name_col),
         F.max(F.when(ok, F.col("at"))).alias("last_synced_at"),
         F.max("at").alias("last_attempted_at"),
-        F.max_by(F.when(~ok, F.col("error")), F.col("at")).alias("last_error"),
+        # at one instant a failure counts as the later of the two
+        F.max_by(F.when(~ok, F.col("error")), F.struct("at", (~ok).alias("failed"), "error")).alias("last_error"),
     )
 
 
-def metadata_log_split(lookups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A failed lookup is recorded against the workspace and the channel alike.
+def split_lookups(lookups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(workspace log, channel log) of lookups that carry both names.
 
-    ``lookups``: workspace_id, channel_id, scope ('workspace'|'channel'|'both'), ok, name, error, at.
-    Returns (workspace log, channel log).
+    ``lookups``: workspace_id, channel_id, ok, workspace_name, channel_name, error, at. A failed lookup is
+    recorded against the workspace and the channel alike.
     """
-    ws = lookups.where(F.col("scope").isin("workspace", "both")).select("workspace_id", "ok", "name", "error", "at")
-    ch = lookups.where(F.col("scope").isin("channel", "both")).select(
-        "workspace_id", "channel_id", "ok", "name", "error", "at")
-    return ws, ch
+    ws = lookups.select("workspace_id", "ok", F.col("workspace_name").alias("name"), "error", "at")
+    return ws, lookups.select("workspace_id", "channel_id", "ok", F.col("channel_name").alias("name"), "error", "at")
 
 
 def metadata_due(targets: DataFrame, ws_meta: DataFrame, ch_meta: DataFrame, as_of,

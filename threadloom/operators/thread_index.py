@@ -1,13 +1,15 @@
 """Thread index and reply planning.
 
-The index is an aggregate over page observations: per root, the latest observed reply
-count; the fetched count is the observed count as of the latest fetch. Nothing is
-updated in place, so the index can be rebuilt for any point in time.
+Observations of roots (from history pages) and fetches of their replies are one log per root. One
+window over the log in order of time gives every row the reply count last seen and the count that
+was covered by the last fetch; the index and the plan are read off the rows. At one instant an
+observation comes before a fetch, and ties are broken by the counts, so the answer does not depend
+on partitioning.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["workspace_id", "channel_id", "root_ts"]
@@ -22,28 +24,32 @@ def observations(history_items: DataFrame) -> DataFrame:
         F.col("latest_reply").alias("latest_reply_ts"), F.col("observed_at").alias("indexed_at"))
 
 
-def fetched_counts(obs: DataFrame, fetches: DataFrame) -> DataFrame:
-    """Per fetch, the observed reply count of the root as of that fetch."""
-    f = fetches.select(*KEY, "fetched_at")
-    j = f.join(obs.select(*KEY, "reply_count", "indexed_at"), KEY).where(F.col("indexed_at") <= F.col("fetched_at"))
-    return j.groupBy(*KEY, "fetched_at").agg(F.max_by("reply_count", "indexed_at").alias("fetched_reply_count"))
+def _log(obs: DataFrame, fetches: DataFrame | None) -> DataFrame:
+    """Observations (is_fetch 0) and fetches (1) with ``fetched``: the count covered by the last fetch up to the row."""
+    if "job_id" not in obs.columns:
+        obs = obs.withColumn("job_id", F.lit(None).cast("bigint"))
+    rows = obs.select("job_id", *KEY, F.col("indexed_at").alias("at"), F.lit(0).alias("is_fetch"), "reply_count", "latest_reply_ts")
+    if fetches is not None:
+        rows = rows.unionByName(fetches.select(
+            F.lit(None).cast("bigint").alias("job_id"), *KEY, F.col("fetched_at").alias("at"), F.lit(1).alias("is_fetch"),
+            F.lit(None).cast("bigint").alias("reply_count"), F.lit(None).cast("string").alias("latest_reply_ts")))
+    so_far = (Window.partitionBy(*KEY).orderBy("at", "is_fetch", "reply_count", "latest_reply_ts", "job_id")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seen = F.last("reply_count", ignorenulls=True).over(so_far)
+    rows = rows.withColumn("_covers", F.when(F.col("is_fetch") == 1, seen))
+    return rows.withColumn("fetched", F.last("_covers", ignorenulls=True).over(so_far)).drop("_covers")
 
 
 def thread_index(obs: DataFrame, fetches: DataFrame | None = None) -> DataFrame:
-    """Index rows per root."""
-    idx = obs.groupBy(*KEY).agg(
-        F.max_by(F.struct("reply_count", "latest_reply_ts"), "indexed_at").alias("_last"),
-        F.max("indexed_at").alias("indexed_at"))
-    idx = idx.select(*KEY, F.col("_last.reply_count").alias("observed_reply_count"),
-                     F.col("_last.latest_reply_ts").alias("latest_reply_ts"), "indexed_at")
-    if fetches is None:
-        return idx.withColumn("fetched_reply_count", F.lit(0).cast("bigint")).withColumn(
-            "fetched_at", F.lit(None).cast("timestamp"))
-    last = fetched_counts(obs, fetches).groupBy(*KEY).agg(
-        F.max_by("fetched_reply_count", "fetched_at").alias("fetched_reply_count"),
-        F.max("fetched_at").alias("fetched_at"))
-    return idx.join(last, KEY, "left").withColumn(
-        "fetched_reply_count", F.coalesce("fetched_reply_count", F.lit(0)).cast("bigint"))
+    """Index rows per observed root. A fetch of a root that was not observed before changes nothing."""
+    last = F.struct("at", "is_fetch", "reply_count", "latest_reply_ts")
+    seen = F.when(F.col("is_fetch") == 0, last)
+    idx = _log(obs, fetches).groupBy(*KEY).agg(
+        F.max(seen).alias("_last"), F.max_by("fetched", last).alias("_fetched"),
+        F.max(F.when((F.col("is_fetch") == 1) & F.col("fetched").isNotNull(), F.col("at"))).alias("fetched_at"))
+    return idx.where(F.col("_last").isNotNull()).select(
+        *KEY, F.col("_last.reply_count").alias("observed_reply_count"), F.col("_last.latest_reply_ts").alias("latest_reply_ts"),
+        F.col("_last.at").alias("indexed_at"), F.coalesce("_fetched", F.lit(0)).cast("bigint").alias("fetched_reply_count"), "fetched_at")
 
 
 def stale_threads(index: DataFrame) -> DataFrame:
@@ -51,15 +57,14 @@ def stale_threads(index: DataFrame) -> DataFrame:
     return index.where(F.col("observed_reply_count") > F.col("fetched_reply_count"))
 
 
-def plan_replies(obs_with_job: DataFrame, fetches: DataFrame) -> DataFrame:
-    """Reply tasks: a root seen in a job's page with more replies than fetched by then;
-    one task per (job, workspace, channel, root)."""
-    fc = fetched_counts(obs_with_job, fetches)
-    o = obs_with_job.select("job_id", *KEY, "reply_count", "indexed_at")
-    # fetched count as of each observation: the latest fetch not after it (few fetches per root)
-    f = fc.select(*[F.col(k).alias(f"_f_{k}") for k in KEY], "fetched_at", "fetched_reply_count")
-    cond = [o[k] == f[f"_f_{k}"] for k in KEY] + [f["fetched_at"] <= o["indexed_at"]]
-    j = o.join(f, cond, "left")
-    asof = j.groupBy("job_id", *KEY, "reply_count", "indexed_at").agg(
-        F.coalesce(F.max_by("fetched_reply_count", "fetched_at"), F.lit(0)).alias("fetched_then"))
-    return asof.where(F.col("reply_count") > F.col("fetched_then")).select("job_id", *KEY).distinct()
+def plan_replies(obs_with_job: DataFrame, fetches: DataFrame, history_tasks: DataFrame) -> DataFrame:
+    """Reply tasks: a root seen in a job's page with more replies than fetched by then.
+
+    One task per (job, workspace, channel, root), with the window of the history task that saw it.
+    ``history_tasks``: job_id, workspace_id, channel_id, oldest, latest.
+    """
+    asked = (_log(obs_with_job, fetches).where((F.col("is_fetch") == 0) & (F.col("reply_count") > F.coalesce("fetched", F.lit(0))))
+             .select("job_id", *KEY).distinct())
+    windows = history_tasks.groupBy("job_id", "workspace_id", "channel_id").agg(F.min("oldest").alias("oldest"), F.max("latest").alias("latest"))
+    return asked.join(windows, ["job_id", "workspace_id", "channel_id"], "left").select(
+        "job_id", *KEY, F.lit("replies").alias("phase"), "oldest", "latest")

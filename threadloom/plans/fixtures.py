@@ -285,8 +285,9 @@ def _jstr(c: Column) -> Column:
 
 
 def conversation_envelopes(conversations: DataFrame) -> DataFrame:
-    """Envelope lines for adapter A. Turn-0 rows of c % 9 in 0..5 are variants:
-    disconnect, array payload, missing event_id, non-message event, numeric channel, numeric ts."""
+    """Envelope lines for adapter A. Turn-0 rows of c % 9 in 0..6 are variants:
+    disconnect, array payload, missing event_id, non-message event, numeric channel, numeric ts; those of
+    c % 9 = 6 carry a text instead of an event object."""
     m = conversation_messages(conversations, with_ids=True)
     c, t = F.col("c"), F.col("t")
     v = F.when(t == 0, c % 9)
@@ -299,6 +300,7 @@ def conversation_envelopes(conversations: DataFrame) -> DataFrame:
         F.lit(',"user":'), _jstr(F.col("user_id")),
         F.when(F.col("subtype").isNotNull(), F.concat(F.lit(',"subtype":'), _jstr(F.col("subtype")))).otherwise(F.lit("")),
         F.lit(',"text":'), _jstr(F.col("text")), F.lit(',"event_ts":'), _jstr(F.col("message_ts")), F.lit("}"))
+    event = F.when(v == 6, _jstr(F.col("text"))).otherwise(event)
     eid = F.when(v == 2, F.lit("")).otherwise(F.concat(F.lit(',"event_id":'), _jstr(F.col("event_id"))))
     payload = F.concat(F.lit('{"type":"event_callback"'), eid, F.lit(',"team_id":'), _jstr(F.col("workspace_id")),
                        F.lit(',"api_app_id":"A1","event":'), event, F.lit("}"))
@@ -325,13 +327,13 @@ envelopes AS (
          || CASE WHEN v = 1 THEN '[1,2]' ELSE
               '{{"type":"event_callback"' || CASE WHEN v = 2 THEN '' ELSE ',"event_id":' || {_sj('event_id')} END
               || ',"team_id":' || {_sj('workspace_id')} || ',"api_app_id":"A1","event":'
-              || '{{"type":"' || CASE WHEN v = 3 THEN 'reaction_added' ELSE 'message' END || '","channel":'
+              || CASE WHEN v = 6 THEN {_sj('text')} ELSE '{{"type":"' || CASE WHEN v = 3 THEN 'reaction_added' ELSE 'message' END || '","channel":'
               || CASE WHEN v = 4 THEN '42' ELSE {_sj('channel_id')} END
               || ',"ts":' || CASE WHEN v = 5 THEN message_ts ELSE {_sj('message_ts')} END
               || CASE WHEN thread_ts IS NOT NULL THEN ',"thread_ts":' || {_sj('thread_ts')} ELSE '' END
               || ',"user":' || {_sj('user_id')}
               || CASE WHEN subtype IS NOT NULL THEN ',"subtype":' || {_sj('subtype')} ELSE '' END
-              || ',"text":' || {_sj('text')} || ',"event_ts":' || {_sj('message_ts')} || '}}}}' END
+              || ',"text":' || {_sj('text')} || ',"event_ts":' || {_sj('message_ts')} || '}}' END || '}}' END
          || '}}' AS body, observed_secs, event_sequence AS arrival
   FROM envl)"""
 
@@ -346,7 +348,8 @@ def _root_json(prefix_obs: Column) -> Column:
 def history_pages(conversations: DataFrame, as_of) -> DataFrame:
     """History pages of adapter A: each root (t = 0, c % 4 <> 0) observed in rounds 1 and 2
     (round 1 one reply short), with a non-message item and an item without string ts;
-    plus error pages for c % 6 = 1 (error text), c % 6 = 5 (no body error, HTTP 500)."""
+    plus error pages for c % 6 = 1 (error text), c % 6 = 5 (no body error, HTTP 500) and
+    c % 6 = 3 (a good body with HTTP 502)."""
     m = conversation_messages(conversations, with_ids=True)
     c = F.col("c")
     last = (conversations.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
@@ -371,7 +374,8 @@ def history_pages(conversations: DataFrame, as_of) -> DataFrame:
             _shift(as_of, F.lit(3600)).alias("fetched_at"), c.alias("conv_id"))
 
     return (ok_pages.unionByName(err(c % 6 == 1, '{"ok":false,"error":"ratelimited"}', 429))
-            .unionByName(err(c % 6 == 5, '{"ok":false}', 500)))
+            .unionByName(err(c % 6 == 5, '{"ok":false}', 500))
+            .unionByName(err(c % 6 == 3, '{"ok":true,"messages":[{"type":"message","ts":"1.000001"}]}', 502)))
 
 
 def reply_fetches(conversations: DataFrame, as_of) -> DataFrame:
@@ -404,7 +408,10 @@ pages AS (
          (SELECT as_of_secs FROM params) + 3600, c FROM hroots WHERE c % 6 = 1
   UNION ALL
   SELECT 'e' || CAST(c AS VARCHAR), workspace_id, channel_id, 1, '{{"ok":false}}', 500,
-         (SELECT as_of_secs FROM params) + 3600, c FROM hroots WHERE c % 6 = 5),
+         (SELECT as_of_secs FROM params) + 3600, c FROM hroots WHERE c % 6 = 5
+  UNION ALL
+  SELECT 'e' || CAST(c AS VARCHAR), workspace_id, channel_id, 1, '{{"ok":true,"messages":[{{"type":"message","ts":"1.000001"}}]}}', 502,
+         (SELECT as_of_secs FROM params) + 3600, c FROM hroots WHERE c % 6 = 3),
 fetches AS (
   SELECT workspace_id, channel_id, message_ts AS root_ts,
          (SELECT as_of_secs FROM params) + CASE WHEN c % 3 = 0 THEN 1 ELSE 2 END * 3600 + 1800 AS fetched_secs
@@ -413,7 +420,7 @@ items AS (
   SELECT p.page_id, p.workspace_id, p.channel_id, p.job_id, p.fetched_secs, u.item_no - 1 AS item_no, u.m
   FROM pages p, LATERAL (SELECT unnest(CAST(json_extract(p.body, '$.messages') AS JSON[])) AS m,
                                 unnest(generate_series(1, CAST(json_array_length(p.body, '$.messages') AS BIGINT))) AS item_no) u
-  WHERE json_type(p.body, '$.ok') = 'BOOLEAN' AND CAST(json_extract(p.body, '$.ok') AS BOOLEAN)
+  WHERE json_type(p.body, '$.ok') = 'BOOLEAN' AND CAST(json_extract(p.body, '$.ok') AS BOOLEAN) AND p.status BETWEEN 200 AND 299
     AND json_type(u.m) = 'OBJECT' AND json_type(u.m, '$.ts') = 'VARCHAR'),
 hitems AS (
   SELECT *, json_extract_string(m, '$.ts') AS message_ts,
@@ -441,6 +448,29 @@ def conversation_feed(conversations: DataFrame) -> DataFrame:
     return live.unionByName(replay).unionByName(hist).drop("c", "t")
 
 
+def reply_pages(conversations: DataFrame, as_of) -> DataFrame:
+    """S4 input: for roots of c % 5 = 2 (t = 0, c % 4 <> 0) one reply page with the root, its replies and a
+    message of another thread."""
+    m = conversation_messages(conversations, with_ids=True).where((F.col("c") % 4 != 0) & (F.col("c") % 5 == 2))
+    thread = F.when(F.col("thread_ts").isNotNull(), F.concat(F.lit(',"thread_ts":'), _jstr(F.col("thread_ts")))).otherwise(F.lit(""))
+    one = F.concat(F.lit('{"type":"message","ts":'), _jstr(F.col("message_ts")), thread, F.lit(',"user":'), _jstr(F.col("user_id")),
+                   F.lit(',"text":'), _jstr(F.concat("text", F.lit(" [page]"))), F.lit("}"))
+    per = m.groupBy("c", "workspace_id", "channel_id").agg(
+        F.min(F.when(F.col("t") == 0, F.col("message_ts"))).alias("root_ts"),
+        F.transform(F.array_sort(F.collect_list(F.struct("t", one.alias("j")))), lambda x: x["j"]).alias("items"))
+    body = F.concat(F.lit('{"ok":true,"messages":['), F.array_join("items", ","),
+                    F.lit(',{"type":"message","ts":"1.000002","thread_ts":"1.000001","text":"elsewhere"}]}'))
+    return per.select(F.concat(F.lit("r"), F.col("c").cast("string")).alias("page_id"), "workspace_id", "channel_id", "root_ts",
+                      F.lit(1).cast("bigint").alias("job_id"), body.alias("body"), F.lit(200).alias("status"),
+                      _shift(as_of, F.lit(7200)).alias("fetched_at"))
+
+
+SQL_REPLY_FEED = """
+replyfeed AS (
+  SELECT 'history:' || workspace_id || ':' || channel_id || ':' || message_ts AS event_id, workspace_id, channel_id, message_ts, thread_ts,
+         user_id, text || ' [page]' AS text, c FROM messages WHERE c % 4 <> 0 AND c % 5 = 2)"""
+
+
 SQL_FEED = """
 feed AS (
   SELECT event_id, workspace_id, channel_id, message_ts, thread_ts, user_id, subtype, text, 'event_callback' AS callback_type,
@@ -455,17 +485,17 @@ feed AS (
 
 def metadata_responses(targets: DataFrame, as_of) -> DataFrame:
     """S5 input: a team and a channel lookup body per target. Workspace 2 answers without a
-    team name; odd channels have no name; channel number % 7 = 3 answers not ok."""
+    team name; for channel number 4 the team name is empty, for 6 the status is 500 although the body is good; odd channels have no name; channel number % 7 = 3 answers not ok."""
     n = F.expr("try_cast(substr(channel_id, 2) AS INT)")
     w = F.expr("try_cast(substr(workspace_id, 2) AS INT)")
-    team = F.when(w == 2, F.lit('{"ok":true,"team":{}}')).otherwise(
+    team = F.when(w == 2, F.lit('{"ok":true,"team":{}}')).when(n == 4, F.lit('{"ok":true,"team":{"name":""}}')).otherwise(
         F.concat(F.lit('{"ok":true,"team":{"name":"Team '), w.cast("string"), F.lit('"}}')))
     chan = (F.when(n % 7 == 3, F.lit('{"ok":false,"error":"channel_not_found"}'))
             .when(n % 2 == 0, F.concat(F.lit('{"ok":true,"channel":{"name":"chan-'), n.cast("string"), F.lit('"}}')))
             .otherwise(F.lit('{"ok":true,"channel":{"is_im":true}}')))
     at = _shift(as_of, F.lit(0))
     t = targets.select("workspace_id", "channel_id", F.lit("team").alias("kind"), team.alias("body"),
-                       F.lit(200).alias("status"), at.alias("at"))
+                       F.when(n == 6, 500).otherwise(200).alias("status"), at.alias("at"))
     c = targets.select("workspace_id", "channel_id", F.lit("channel").alias("kind"), chan.alias("body"),
                        F.when(n % 7 == 3, 404).otherwise(200).alias("status"), at.alias("at"))
     return t.unionByName(c)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import message_instant, message_secs
-from threadloom.operators import digest, inbox, segments
+from threadloom.operators import backlog, digest, inbox, segments
 from threadloom.operators.scan import ordinal
 from threadloom.plans import fixtures as fx
 from threadloom.plans import oracle_sql as osql
@@ -128,17 +128,26 @@ def q_first_batch(spark, sf_dir):
 
 
 SUMMARY_SQL = """
-SELECT g.scope AS consumer_id, CAST(COALESCE(d.tokens, 0) AS BIGINT) AS estimated_tokens,
-       COALESCE(s.n, 0) < g.n AS has_more, g.n AS n_groups, CAST(COALESCE(d.n, 0) AS BIGINT) AS n_delivered
-FROM (SELECT scope, count(*) AS n FROM groups GROUP BY scope) g
-LEFT JOIN (SELECT scope, sum(estimated_tokens) AS tokens, count(*) AS n FROM dgroups GROUP BY scope) d USING (scope)
-LEFT JOIN (SELECT scope, count(*) AS n FROM selected GROUP BY scope) s USING (scope)"""
+SELECT c.consumer_id, CAST(COALESCE(d.tokens, 0) AS BIGINT) AS estimated_tokens,
+       COALESCE(s.n, 0) < COALESCE(g.n, 0) AS has_more, CAST(COALESCE(g.n, 0) AS BIGINT) AS n_groups,
+       CAST(COALESCE(d.n, 0) AS BIGINT) AS n_delivered, CAST((SELECT upper_seq FROM params) AS BIGINT) AS upper_sequence
+FROM (SELECT consumer_id FROM consumers UNION ALL SELECT 'idle') c
+LEFT JOIN (SELECT scope, count(*) AS n FROM groups GROUP BY scope) g ON g.scope = c.consumer_id
+LEFT JOIN (SELECT scope, sum(estimated_tokens) AS tokens, count(*) AS n FROM dgroups GROUP BY scope) d ON d.scope = c.consumer_id
+LEFT JOIN (SELECT scope, count(*) AS n FROM selected GROUP BY scope) s ON s.scope = c.consumer_id"""
+
+
+def _summary(spark, sf_dir, budget):
+    """Consumers alpha and beta, and one that acknowledged everything: its row has no groups."""
+    _, msgs, acks, as_of = conv_inputs(spark, sf_dir)
+    idle = msgs.select(F.lit("idle").alias("consumer_id"), "event_id", F.col("observed_at").alias("acknowledged_at"))
+    _, batch = digest.inbox_digest(msgs, acks.unionByName(idle), [*fx.CONSUMERS, "idle"], as_of, budget)
+    return batch.summary
 
 
 @register("batch_summary", inbox_sql(SUMMARY_SQL, 16000))
 def q_batch_summary(spark, sf_dir):
-    _, _, batch = inbox_run(spark, sf_dir, 16000)
-    return batch.summary
+    return _summary(spark, sf_dir, 16000)
 
 
 BATCH_MSG_SQL = """
@@ -159,8 +168,7 @@ def q_partial_group(spark, sf_dir):
 
 @register("partial_summary", inbox_sql(SUMMARY_SQL, 1000))
 def q_partial_summary(spark, sf_dir):
-    _, _, batch = inbox_run(spark, sf_dir, 1000)
-    return batch.summary
+    return _summary(spark, sf_dir, 1000)
 
 
 @register("inbox_digest", inbox_sql("""
@@ -196,14 +204,28 @@ def q_ackable_ids(spark, sf_dir):
     return inbox.receipts(msgs).select("consumer_id", "group_id", F.array_join("event_ids", ",").alias("event_ids"))
 
 
-@register("ackable_ids_partial", inbox_sql(ACKABLE_SQL, 1000))
-def q_ackable_ids_partial(spark, sf_dir):
-    _, _, batch = inbox_run(spark, sf_dir, 1000)
+@register("ackable_ids_small", inbox_sql(ACKABLE_SQL, 4000))
+def q_ackable_ids_small(spark, sf_dir):
+    _, _, batch = inbox_run(spark, sf_dir, 4000)
     msgs = batch.messages.join(batch.groups.select("consumer_id", "group_id", "thread_continues"),
                                ["consumer_id", "group_id"])
     return inbox.receipts(msgs).select("consumer_id", "group_id", F.array_join("event_ids", ",").alias("event_ids"))
 
 
+@register("backlog_plan", osql.with_ctes(INBOX + GROUPING + ["""
+walk AS (
+  SELECT scope, CAST(1 AS BIGINT) AS group_position, cost AS used, CAST(1 AS BIGINT) AS batch_no FROM ordered WHERE group_position = 1
+  UNION ALL
+  SELECT w.scope, w.group_position + 1, CASE WHEN w.used + o.cost <= 4000 THEN w.used + o.cost ELSE o.cost END,
+         CASE WHEN w.used + o.cost <= 4000 THEN w.batch_no ELSE w.batch_no + 1 END
+  FROM walk w JOIN ordered o ON o.scope = w.scope AND o.group_position = w.group_position + 1)"""], """
+SELECT o.scope AS consumer_id, o.group_id, CAST(o.group_position AS BIGINT) AS group_position, o.cost, w.batch_no
+FROM ordered o JOIN walk w ON w.scope = o.scope AND w.group_position = o.group_position""", recursive=True))
+def q_backlog_plan(spark, sf_dir):
+    _, grouped, _ = inbox_run(spark, sf_dir, 4000)
+    return backlog.plan_batches(grouped, 4000)
+
+
 # ---------------------------------------------------------------- N9, N10, N12, N13
 
 
@@ -258,9 +280,9 @@ def q_channel_windows(spark, sf_dir):
     return _all_groups(inbox.digest_ready(fx.conversation_messages(fx.table(spark, sf_dir, "conversations"))), 300)
 
 
-@register("event_windows", _window_sql([fx.SQL_EVENT_MESSAGES], "emessages", 3600))
+@register("event_windows", _window_sql([fx.SQL_EVENT_MESSAGES], "emessages", 600))
 def q_event_windows(spark, sf_dir):
-    return _all_groups(inbox.digest_ready(fx.event_messages(fx.table(spark, sf_dir, "events"))), 3600)
+    return _all_groups(inbox.digest_ready(fx.event_messages(fx.table(spark, sf_dir, "events"))), 600)
 
 
 # ---------------------------------------------------------------- G10, G11
@@ -478,10 +500,9 @@ def _targets_meta(spark, sf_dir):
     conv, msgs, _, as_of = conv_inputs(spark, sf_dir)
     targets = state.targets_state(fx.target_registrations(msgs, as_of), fx.target_toggles(spark, as_of))
     look = fx.metadata_lookups(targets, as_of)
-    ws = state.metadata_state(look.select("workspace_id", "ok", F.col("workspace_name").alias("name"), "error", "at"),
-                              ["workspace_id"], "workspace_name")
-    ch = state.metadata_state(look.select("workspace_id", "channel_id", "ok", F.col("channel_name").alias("name"),
-                                          "error", "at"), ["workspace_id", "channel_id"], "channel_name")
+    ws_log, ch_log = state.split_lookups(look)
+    ws = state.metadata_state(ws_log, ["workspace_id"], "workspace_name")
+    ch = state.metadata_state(ch_log, ["workspace_id", "channel_id"], "channel_name")
     return msgs, as_of, targets, ws, ch
 
 
@@ -521,7 +542,8 @@ def q_metadata_due(spark, sf_dir):
 
 
 @register("list_channels", osql.with_ctes(TM, """
-SELECT t.workspace_id, w.workspace_name, t.channel_id, c.channel_name, t.enabled,
+SELECT row_number() OVER (ORDER BY max(m.observed_secs) DESC NULLS LAST, t.channel_id, t.workspace_id) AS position,
+       t.workspace_id, w.workspace_name, t.channel_id, c.channel_name, t.enabled,
        CAST(count(m.event_id) AS BIGINT) AS message_count, max(m.observed_secs) AS last_observed_secs,
        CASE WHEN w.workspace_name IS NOT NULL AND w.workspace_name <> '' AND w.workspace_name <> t.workspace_id THEN w.workspace_name ELSE t.workspace_id END AS workspace_ref,
        CASE WHEN c.channel_name IS NOT NULL AND c.channel_name <> '' AND c.channel_name <> t.channel_id THEN c.channel_name ELSE t.channel_id END AS channel_ref
@@ -531,7 +553,7 @@ GROUP BY t.workspace_id, w.workspace_name, t.channel_id, c.channel_name, t.enabl
 def q_list_channels(spark, sf_dir):
     msgs, _, targets, ws, ch = _targets_meta(spark, sf_dir)
     out = reports.list_channels(targets, msgs, ws, ch)
-    return out.select("workspace_id", "workspace_name", "channel_id", "channel_name", "enabled", "message_count",
+    return out.select("position", "workspace_id", "workspace_name", "channel_id", "channel_name", "enabled", "message_count",
                       F.unix_seconds("last_observed_at").alias("last_observed_secs"), "workspace_ref", "channel_ref")
 
 
@@ -587,7 +609,7 @@ SELECT event_id, workspace_id, api_app_id, callback_type, {_sfield('ev', '$.type
        {_sfield('ev', '$.event_ts')} AS event_ts FROM raw"""))
 def q_envelope_raw(spark, sf_dir):
     good, _ = _envelopes(spark, sf_dir)
-    return env.raw_events(good).select("event_id", "workspace_id", "api_app_id", "callback_type", "event_type", "event_ts")
+    return good.select("event_id", "workspace_id", "api_app_id", "callback_type", "event_type", "event_ts")
 
 
 @register("envelope_parse", osql.with_ctes(ENV_SQL, f"""
@@ -598,7 +620,7 @@ FROM raw WHERE {_sfield('ev', '$.type')} = 'message' AND {_sfield('ev', '$.chann
   AND {_sfield('ev', '$.ts')} IS NOT NULL"""))
 def q_envelope_parse(spark, sf_dir):
     good, _ = _envelopes(spark, sf_dir)
-    return env.normalise(env.raw_events(good)).select(
+    return env.normalise(good).select(
         "event_id", "workspace_id", "channel_id", "message_ts", "thread_ts", "user_id", "subtype", "text")
 
 
@@ -641,7 +663,7 @@ def q_history_parse(spark, sf_dir):
 SELECT page_id, CASE WHEN json_type(body, '$.response_metadata') = 'OBJECT' AND json_type(body, '$.response_metadata.next_cursor') = 'VARCHAR'
                       AND json_extract_string(body, '$.response_metadata.next_cursor') <> ''
                      THEN json_extract_string(body, '$.response_metadata.next_cursor') END AS next_cursor
-FROM pages WHERE json_type(body, '$.ok') = 'BOOLEAN' AND CAST(json_extract(body, '$.ok') AS BOOLEAN)"""))
+FROM pages WHERE json_type(body, '$.ok') = 'BOOLEAN' AND CAST(json_extract(body, '$.ok') AS BOOLEAN) AND status BETWEEN 200 AND 299"""))
 def q_page_cursors(spark, sf_dir):
     _, _, parsed = _pages(spark, sf_dir)
     return parsed.where("ok").select("page_id", "next_cursor")
@@ -650,7 +672,8 @@ def q_page_cursors(spark, sf_dir):
 @register("page_errors", osql.with_ctes(PAGE_SQL, """
 SELECT page_id, COALESCE(CASE WHEN json_type(body, '$.error') = 'VARCHAR' THEN json_extract_string(body, '$.error') END,
                          'HTTP ' || CAST(status AS VARCHAR)) AS error
-FROM pages WHERE NOT (COALESCE(json_type(body, '$.ok') = 'BOOLEAN', FALSE) AND COALESCE(CAST(json_extract(body, '$.ok') AS BOOLEAN), FALSE))"""))
+FROM pages WHERE NOT (COALESCE(json_type(body, '$.ok') = 'BOOLEAN', FALSE) AND COALESCE(CAST(json_extract(body, '$.ok') AS BOOLEAN), FALSE)
+                      AND status BETWEEN 200 AND 299)"""))
 def q_page_errors(spark, sf_dir):
     _, _, parsed = _pages(spark, sf_dir)
     return history.page_errors(parsed).select("page_id", "error")
@@ -699,16 +722,6 @@ def q_stale_threads(spark, sf_dir):
     return thread_index.stale_threads(thread_index.thread_index(obs, fetches)).select("workspace_id", "channel_id", "root_ts")
 
 
-@register("plan_replies", osql.with_ctes(PAGE_SQL + [OBS_SQL], """
-SELECT DISTINCT o.job_id, o.workspace_id, o.channel_id, o.root_ts FROM obs o
-WHERE o.reply_count > COALESCE((SELECT arg_max(f.fetched_reply_count, f.fetched_secs) FROM fcount f
-                                 WHERE f.workspace_id = o.workspace_id AND f.channel_id = o.channel_id
-                                   AND f.root_ts = o.root_ts AND f.fetched_secs <= o.indexed_at), 0)"""))
-def q_plan_replies(spark, sf_dir):
-    _, _, _, rows, obs, fetches = _index(spark, sf_dir)
-    return thread_index.plan_replies(obs, fetches).select("job_id", "workspace_id", "channel_id", "root_ts")
-
-
 FEED = [fx.SQL_MESSAGES, fx.SQL_FEED,
         "ev1 AS (SELECT * FROM feed QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY arrival) = 1)"]
 
@@ -717,13 +730,29 @@ def _feed(spark, sf_dir):
     return fx.conversation_feed(fx.table(spark, sf_dir, "conversations"))
 
 
-@register("feed_union", osql.with_ctes(FEED, "SELECT event_id, callback_type, arrival FROM feed"))
-def q_feed_union(spark, sf_dir):
+def _reply_rows(spark, sf_dir):
     conv = fx.table(spark, sf_dir, "conversations")
-    f = fx.conversation_feed(conv)
+    pages = history.parse_pages(fx.reply_pages(conv, fx.conversation_as_of(conv)))
+    items = history.reply_messages(history.page_messages(pages))
+    return history.history_rows(items, history.THREAD_CALLBACK, extra=("root_ts",))
+
+
+@register("reply_parse", osql.with_ctes([fx.SQL_MESSAGES, fx.SQL_REPLY_FEED], """
+SELECT event_id, workspace_id, channel_id, message_ts, thread_ts, user_id, text,
+       CAST(1700000000 + (c // 11) * 240 AS VARCHAR) || '.' || lpad(CAST((c * 8) % 1000000 AS VARCHAR), 6, '0') AS root_ts FROM replyfeed"""))
+def q_reply_parse(spark, sf_dir):
+    return _reply_rows(spark, sf_dir).select("event_id", "workspace_id", "channel_id", "message_ts", "thread_ts", "user_id", "text", "root_ts")
+
+
+@register("feed_union", osql.with_ctes(FEED + [fx.SQL_REPLY_FEED], """
+SELECT event_id, callback_type, text FROM feed
+UNION ALL SELECT event_id, 'thread_backfill', text FROM replyfeed"""))
+def q_feed_union(spark, sf_dir):
+    """Live, history and thread feeds, each from its own source, with their own columns."""
+    f = _feed(spark, sf_dir)
     live = f.where(F.col("callback_type") == "event_callback")
-    hist = f.where(F.col("callback_type") == "history_backfill")
-    return dedupe.union_feeds(live, hist).select("event_id", "callback_type", "arrival")
+    hist = f.where(F.col("callback_type") == "history_backfill").drop("subtype")
+    return dedupe.union_feeds(live, hist, _reply_rows(spark, sf_dir)).select("event_id", "callback_type", "text")
 
 
 @register("dedupe_events", osql.with_ctes(FEED, "SELECT event_id, callback_type, arrival, text FROM ev1"))
@@ -755,8 +784,9 @@ def q_sequence_order(spark, sf_dir):
 resp AS (
   SELECT workspace_id, channel_id, 'team' AS kind,
          CASE WHEN TRY_CAST(substr(workspace_id, 2) AS INTEGER) = 2 THEN '{{"ok":true,"team":{{}}}}'
+              WHEN TRY_CAST(substr(channel_id, 2) AS INTEGER) = 4 THEN '{{"ok":true,"team":{{"name":""}}}}'
               ELSE '{{"ok":true,"team":{{"name":"Team ' || CAST(TRY_CAST(substr(workspace_id, 2) AS INTEGER) AS VARCHAR) || '"}}}}' END AS body,
-         200 AS status FROM targets
+         CASE WHEN TRY_CAST(substr(channel_id, 2) AS INTEGER) = 6 THEN 500 ELSE 200 END AS status FROM targets
   UNION ALL
   SELECT workspace_id, channel_id, 'channel',
          CASE WHEN TRY_CAST(substr(channel_id, 2) AS INTEGER) % 7 = 3 THEN '{{"ok":false,"error":"channel_not_found"}}'
@@ -765,9 +795,9 @@ resp AS (
          CASE WHEN TRY_CAST(substr(channel_id, 2) AS INTEGER) % 7 = 3 THEN 404 ELSE 200 END FROM targets)""", f"""
 rj AS (SELECT *, CAST(body AS JSON) AS j FROM resp)""", f"""
 rerr AS (
-  SELECT *, CASE WHEN NOT COALESCE(json_type(j, '$.ok') = 'BOOLEAN' AND CAST(json_extract(j, '$.ok') AS BOOLEAN), FALSE)
+  SELECT *, CASE WHEN NOT COALESCE(json_type(j, '$.ok') = 'BOOLEAN' AND CAST(json_extract(j, '$.ok') AS BOOLEAN), FALSE) OR status NOT BETWEEN 200 AND 299
                  THEN 'lookup failed: ' || COALESCE({_sfield('j', '$.error')}, 'HTTP ' || CAST(status AS VARCHAR))
-                 WHEN kind = 'team' AND {_sfield('j', '$.team.name')} IS NULL THEN 'no team name' END AS error
+                 WHEN kind = 'team' AND COALESCE({_sfield('j', '$.team.name')}, '') = '' THEN 'no team name' END AS error
   FROM rj)"""], f"""
 SELECT workspace_id, channel_id, kind, error IS NULL AS ok,
        CASE WHEN error IS NULL THEN CASE WHEN kind = 'team' THEN {_sfield('j', '$.team.name')}
@@ -804,7 +834,7 @@ def q_suggestions(spark, sf_dir):
 
 
 @register("pending_suggestions", osql.with_ctes([fx.SQL_LIFECYCLE], """
-SELECT source, start_us, end_us FROM gaps g WHERE NOT EXISTS (SELECT 1 FROM decisions d
+SELECT source, start_us, end_us, row_number() OVER (ORDER BY start_us DESC, end_us DESC, source) AS position FROM gaps g WHERE NOT EXISTS (SELECT 1 FROM decisions d
   WHERE d.source = g.source AND d.start_us = g.start_us AND d.end_us = g.end_us)"""))
 def q_pending_suggestions(spark, sf_dir):
     _, gaps = _gaps(spark, sf_dir)
@@ -825,55 +855,150 @@ def q_health(spark, sf_dir):
                     F.unix_micros("last_event_at").alias("last_event_us"))
 
 
-# ---------------------------------------------------------------- S2, T1-T5, T7 (availableNow streams)
+# ---------------------------------------------------------------- S2, S8, T1-T8 (availableNow streams)
 
-import uuid  # noqa: E402
-
-from threadloom.session import ensure_checkpoint_dir  # noqa: E402
+from threadloom.plans.stage import scratch_path  # noqa: E402
 from threadloom.streaming import ingest  # noqa: E402
 
 
-def _stream_root(spark, name):
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/threadloom-stream/{name}-{uuid.uuid4().hex}"
+def _land(df: DataFrame, order: str, parts: int, path: str) -> None:
+    """Write ``df`` as ``parts`` files in the order of ``order``, one after the other, as a feed would."""
+    span = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    width = (span["hi"] - span["lo"]) // parts + 1
+    for k in range(parts):
+        part = df.where((F.col(order) - span["lo"]).between(k * width, (k + 1) * width - 1))
+        part.coalesce(1).write.mode("append").parquet(path)
+
 
+def _ingested(spark, sf_dir, files: int = 4, per_trigger: int = 1) -> str:
+    """Envelopes of A, landed in order of arrival, then all of them once more; returns the root of the tables."""
+    lines = fx.conversation_envelopes(fx.table(spark, sf_dir, "conversations"))
+    root = scratch_path(spark, "stream", "ingest")
+    _land(lines, "arrival", files, f"{root}/landing")
+    again = lines.withColumn("arrival", F.col("arrival") + 1_000_000_000).withColumn("received_at", F.col("received_at") + F.expr("INTERVAL 1 HOUR"))
+    again.coalesce(1).write.mode("append").parquet(f"{root}/landing")
+    ingest.start_ingest(spark, ingest.envelope_stream(spark, f"{root}/landing", per_trigger, "parquet"), f"{root}/tables",
+                        f"{root}/checkpoint").awaitTermination()
+    return f"{root}/tables"
 
-@register("stream_ingest", ORACLES["envelope_parse"])
+
+STREAM_SQL = ENV_SQL + [f"""
+sm AS (
+  SELECT event_id, workspace_id, {_sfield('ev', '$.channel')} AS channel_id, {_sfield('ev', '$.ts')} AS message_ts,
+         {_sfield('ev', '$.thread_ts')} AS thread_ts, {_sfield('ev', '$.user')} AS user_id, {_sfield('ev', '$.subtype')} AS subtype,
+         {_sfield('ev', '$.text')} AS text, observed_secs,
+         row_number() OVER (ORDER BY part, observed_secs, arrival, {_sfield('ev', '$.event_ts')}, event_id) AS event_sequence
+  FROM (SELECT *, (arrival - (SELECT min(arrival) FROM envelopes)) // (((SELECT max(arrival) - min(arrival) FROM envelopes)) // 4 + 1) AS part FROM raw) x
+  WHERE {_sfield('ev', '$.type')} = 'message' AND {_sfield('ev', '$.channel')} IS NOT NULL AND {_sfield('ev', '$.ts')} IS NOT NULL)"""]
+
+
+@register("stream_ingest", osql.with_ctes(STREAM_SQL, """
+SELECT event_id, CAST(event_sequence AS BIGINT) AS event_sequence, workspace_id, channel_id, message_ts, thread_ts, user_id, subtype, text FROM sm"""))
 def q_stream_ingest(spark, sf_dir):
-    """Envelopes of A land as text files; an availableNow stream ingests them."""
-    conv = fx.table(spark, sf_dir, "conversations")
-    root = _stream_root(spark, "ingest")
-    lines = fx.conversation_envelopes(conv).select("body")
-    # land twice: the second copy replays every envelope; dedupe keeps one
-    lines.unionByName(lines).repartition(4).write.text(f"{root}/landing")
-    q = ingest.start_ingest(spark, ingest.envelope_stream(spark, f"{root}/landing", max_files=2), f"{root}/tables",
-                            f"{root}/checkpoint")
-    q.awaitTermination()
-    return ingest.read_messages(spark, f"{root}/tables").select(
-        "event_id", "workspace_id", "channel_id", "message_ts", "thread_ts", "user_id", "subtype", "text")
+    """A feed of four files and a replay of everything."""
+    return ingest.read_messages(spark, _ingested(spark, sf_dir)).select(
+        "event_id", "event_sequence", "workspace_id", "channel_id", "message_ts", "thread_ts", "user_id", "subtype", "text")
+
+
+@register("envelope_quarantine", osql.with_ctes(ENV_SQL, """
+SELECT envelope_id, reject_reason FROM tagged CROSS JOIN range(2) r WHERE reject_reason IS NOT NULL"""))
+def q_envelope_quarantine(spark, sf_dir):
+    """N3 in the stream: every rejected envelope, replayed ones included."""
+    return ingest.read_quarantine(spark, _ingested(spark, sf_dir)).select("envelope_id", "reject_reason")
+
+
+STREAM_AFTER = 50
+
+
+@register("stream_changed", osql.with_ctes(STREAM_SQL, f"""
+SELECT event_id, CAST(event_sequence AS BIGINT) AS event_sequence FROM sm
+WHERE event_sequence > {STREAM_AFTER} AND observed_secs <= (SELECT max(observed_secs) FROM sm) - 90 - 600"""))
+def q_stream_changed(spark, sf_dir):
+    """Settled messages after a sequence number, from the ingested tables."""
+    root = _ingested(spark, sf_dir)
+    as_of = ingest.read_messages(spark, root).agg((F.max("observed_at") - F.expr("INTERVAL 600 SECONDS")).alias("m")).first()["m"]
+    return ingest.read_changed(spark, root, STREAM_AFTER, as_of, 90).select("event_id", "event_sequence")
+
+
+@register("stream_targets", osql.with_ctes(STREAM_SQL, """
+SELECT workspace_id, channel_id, min(observed_secs) AS created_secs, max(observed_secs) AS updated_secs FROM sm GROUP BY ALL"""))
+def q_stream_targets(spark, sf_dir):
+    """Channels register when their first message arrives; a later one moves only the last time."""
+    t = state.targets_state(ingest.read_targets(spark, _ingested(spark, sf_dir)))
+    return t.select("workspace_id", "channel_id", F.unix_seconds("created_at").alias("created_secs"),
+                    F.unix_seconds("updated_at").alias("updated_secs"))
+
+
+STREAM_INBOX = [fx.SQL_MESSAGES.replace("messages AS", "amessages AS", 1)] + [
+    c.replace("FROM messages", "FROM amessages") for c in STREAM_SQL[1:]] + [
+    "messages AS (SELECT *, CAST(NULL AS BIGINT) AS c, CAST(NULL AS BIGINT) AS t FROM sm)",
+    "acks AS (SELECT 'alpha' AS consumer_id, event_id, observed_secs AS acknowledged_secs FROM messages WHERE event_sequence % 3 = 0)"]
+
+
+@register("stream_inbox", osql.with_ctes(STREAM_INBOX + osql.inbox_ctes()[2:] + GROUPING + osql.batch_ctes(16000), """
+SELECT scope AS consumer_id, group_id, kind, CAST(group_position AS BIGINT) AS group_position, CAST(estimated_tokens AS BIGINT) AS estimated_tokens
+FROM dgroups"""))
+def q_stream_inbox(spark, sf_dir):
+    """Ingest, then the first batch of two consumers over what was ingested; alpha acked every third message."""
+    msgs = inbox.digest_ready(ingest.read_messages(spark, _ingested(spark, sf_dir)))
+    acks = msgs.where("event_sequence % 3 = 0").select(F.lit("alpha").alias("consumer_id"), "event_id", F.col("observed_at").alias("acknowledged_at"))
+    as_of = msgs.agg((F.max("observed_at") - F.expr("INTERVAL 605 SECONDS")).alias("m")).first()["m"]
+    _, batch = digest.inbox_digest(msgs, acks, fx.CONSUMERS, as_of, 16000)
+    return batch.groups.select("consumer_id", "group_id", "kind", F.col("group_position").cast("bigint"), "estimated_tokens")
+
+
+def _windowed(spark, sf_dir, files: int, per_trigger: int) -> DataFrame:
+    root = scratch_path(spark, "stream", "windows")
+    msgs = fx.event_messages(fx.table(spark, sf_dir, "events"))
+    msgs.repartition(files).write.parquet(f"{root}/landing")
+    stream = spark.readStream.schema(msgs.schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{root}/landing")
+    ingest.start_windows(stream, 600, f"{root}/tables", f"{root}/checkpoint").awaitTermination()
+    return ingest.read_windows(spark, f"{root}/tables")
 
 
 @register("stream_windows", osql.with_ctes([fx.SQL_EVENT_MESSAGES, f"""sel AS (SELECT 'all' AS scope, TRUE AS eligible, event_id, event_sequence, workspace_id, channel_id, message_ts,
-  thread_ts, user_id, subtype, text, {osql.secs()} AS secs, {osql.cost()} AS cost FROM emessages)"""] + osql.grouping_ctes(3600, "event_sequence"), """
+  thread_ts, user_id, subtype, text, {osql.secs()} AS secs, {osql.cost()} AS cost FROM emessages)"""] + osql.grouping_ctes(600, "event_sequence"), """
 SELECT workspace_id, channel_id, CAST(min(secs) AS BIGINT) AS start_secs, CAST(count(*) AS BIGINT) AS n_messages
-FROM stdw GROUP BY scope, workspace_id, channel_id, window_no
-HAVING max(secs) + 3600 <= (SELECT max(secs) FROM sel) - 90"""))
+FROM stdw GROUP BY scope, workspace_id, channel_id, window_no"""))
 def q_stream_windows(spark, sf_dir):
-    """E messages replayed through a file stream; session windows with gap 3600 (T4).
+    """E messages, shuffled over files and so out of order, through the window stream (T4, T5)."""
+    return _windowed(spark, sf_dir, 4, 2).select("workspace_id", "channel_id", F.col("first_secs").cast("bigint").alias("start_secs"), "n_messages")
 
-    Append mode emits a session once the watermark (max event second - 90 s) has passed
-    its end (last second + gap); sessions still open at the end of input are not emitted.
-    """
-    root = _stream_root(spark, "windows")
-    msgs = fx.event_messages(fx.table(spark, sf_dir, "events"))
-    msgs.repartition(4).write.parquet(f"{root}/landing")
-    stream = spark.readStream.schema(msgs.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/landing")
-    win = ingest.stream_windows(stream, 3600)
-    q = (win.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
+
+@register("stream_gaps", osql.with_ctes([fx.SQL_LIFECYCLE], "SELECT source, start_us, end_us FROM gaps"))
+def q_stream_gaps(spark, sf_dir):
+    """The lifecycle log in four files in order of time, downtime state kept per source."""
+    root = scratch_path(spark, "stream", "gaps")
+    log = fx.lifecycle_log(fx.table(spark, sf_dir, "events"))
+    _land(log, "seq", 4, f"{root}/landing")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")
+    q = (ingest.stream_gaps(stream).writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
          .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    out = spark.read.parquet(f"{root}/out")
-    return out.select("workspace_id", "channel_id", F.unix_seconds("session_window.start").alias("start_secs"),
-                      F.col("n_messages").cast("bigint"))
+    return spark.read.schema(ingest.GAPS).parquet(f"{root}/out").distinct()
+
+
+@register("digest_json", osql.with_ctes(INBOX + GROUPING + osql.batch_ctes(16000) + [fx.SQL_TARGETS, fx.SQL_METADATA], """
+SELECT d.scope AS consumer_id, CAST(g.group_position AS BIGINT) AS group_position, d.group_id AS id, w.workspace_name, c.channel_name, g.kind,
+       CAST(g.estimated_tokens AS BIGINT) AS estimated_tokens, g.thread_continues,
+       CAST(row_number() OVER (PARTITION BY d.scope, d.group_id ORDER BY d.position) AS BIGINT) AS position, d.event_id, d.message_ts, d.user_id, d.subtype, d.text
+FROM delivered d JOIN dgroups g ON g.scope = d.scope AND g.group_id = d.group_id
+LEFT JOIN wsmeta w ON w.workspace_id = g.workspace_id LEFT JOIN chmeta c ON c.workspace_id = g.workspace_id AND c.channel_id = g.channel_id"""))
+def q_digest_json(spark, sf_dir):
+    """The delivered groups written as JSON with names, and read back."""
+    _, _, _, ws, ch = _targets_meta(spark, sf_dir)
+    _, _, batch = inbox_run(spark, sf_dir, 16000)
+    path = scratch_path(spark, "digest", "json")
+    digest.write_digest(batch, ws, ch, path)
+    group = ("id string, kind string, workspaceId string, workspaceName string, channelId string, channelName string, threadTs string, "
+             f"threadContinues boolean, estimatedTokens bigint, messages array<struct<{digest.MESSAGE_JSON.replace(' ', ':').replace(',:', ',')}>>")
+    rows = spark.read.schema(f"consumer_id string, group_position bigint, group struct<{', '.join(x.replace(' ', ':', 1) for x in group.split(', '))}>").json(path)
+    m = rows.select("consumer_id", "group_position", "group", F.posexplode("group.messages").alias("p", "m"))
+    return m.select("consumer_id", "group_position", "group.id", F.col("group.workspaceName").alias("workspace_name"),
+                    F.col("group.channelName").alias("channel_name"), "group.kind", F.col("group.estimatedTokens").alias("estimated_tokens"),
+                    F.col("group.threadContinues").alias("thread_continues"), (F.col("p") + 1).cast("bigint").alias("position"),
+                    F.col("m.eventId").alias("event_id"), F.col("m.messageTs").alias("message_ts"), F.col("m.userId").alias("user_id"),
+                    "m.subtype", "m.text")
 
 
 # ---------------------------------------------------------------- G12 thread digest
@@ -907,117 +1032,151 @@ from threadloom.operators import backfill  # noqa: E402
 
 
 def _jobs(as_of):
+    """Jobs 1 and 2 in progress (2 canceled), 3 refused (start after end), 4 canceled when it was complete
+    already, 5 canceled while its tasks ran, which then completed."""
     d = _dt.timedelta
     return [(1, "initial", as_of - d(days=30), as_of), (2, "manual", as_of - d(days=2), as_of - d(days=1)),
-            (3, "downtime", as_of, as_of - d(hours=1))]
+            (3, "downtime", as_of, as_of - d(hours=1)), (4, "manual", as_of - d(days=4), as_of - d(days=2, microseconds=-250000)),
+            (5, "downtime", as_of - d(days=5), as_of - d(days=3))]
 
 
 JOBS_SQL = """
-jobs AS (SELECT * FROM (VALUES (1, 0), (2, -86400)) v(job_id, end_dt)),
+jobs AS (SELECT * FROM (VALUES (1, 'initial', -30 * 86400, 0, 0), (2, 'manual', -2 * 86400, -86400, 0),
+                               (4, 'manual', -4 * 86400, -2 * 86400, 250000), (5, 'downtime', -5 * 86400, -3 * 86400, 0)) v(job_id, kind, start_dt, end_dt, end_us)),
+jobx AS (SELECT j.*, (p.as_of_secs + start_dt) * 1000000 AS start_at, (p.as_of_secs + end_dt) * 1000000 + end_us AS end_at FROM jobs j CROSS JOIN params p),
 plan AS (
-  SELECT j.job_id, t.workspace_id, t.channel_id, 'history' AS phase, p.as_of_secs + j.end_dt - 30 * 86400 AS oldest_secs,
-         p.as_of_secs + j.end_dt AS latest_secs,
-         row_number() OVER (PARTITION BY j.job_id ORDER BY t.workspace_id, t.channel_id) AS task_no
-  FROM targets t CROSS JOIN jobs j CROSS JOIN params p WHERE t.enabled),
-tlog AS (
-  SELECT job_id * 1000 + task_no AS task_id, job_id, latest_secs AS t0, TRY_CAST(substr(channel_id, 2) AS INTEGER) AS n FROM plan),
+  SELECT j.job_id, t.workspace_id, t.channel_id, 'history' AS phase, j.end_at - CAST(30 AS BIGINT) * 86400 * 1000000 AS oldest_us, j.end_at AS latest_us,
+         j.kind, row_number() OVER (PARTITION BY j.job_id ORDER BY t.workspace_id, t.channel_id) AS task_no
+  FROM targets t CROSS JOIN jobx j WHERE t.enabled),
+tlog AS (SELECT job_id * 1000 + task_no AS task_id, job_id, latest_us // 1000000 AS t0, TRY_CAST(substr(channel_id, 2) AS INTEGER) AS n FROM plan),
 events AS (
-  SELECT task_id, t0 AS at_s, 'created' AS kind, NULL AS cursor, NULL AS error, NULL AS nb FROM tlog
-  UNION ALL SELECT task_id, t0 + 10, 'claimed', NULL, NULL, NULL FROM tlog WHERE n % 2 = 0
-  UNION ALL SELECT task_id, t0 + 20, 'page', CASE WHEN n % 4 = 0 THEN 'next' END, NULL, NULL FROM tlog WHERE n % 2 = 0
-  UNION ALL SELECT task_id, t0 + 30, 'error', NULL, 'HTTP 500', t0 + 90 FROM tlog WHERE n % 6 = 0
-  UNION ALL SELECT task_id, t0 + 100, 'cancel', NULL, NULL, NULL FROM tlog WHERE job_id = 2),
+  SELECT task_id, t0 AS at_s, 0 AS seq, 'created' AS kind, NULL AS cursor, NULL AS error, NULL AS nb FROM tlog
+  UNION ALL SELECT task_id, t0 + 10, 1, 'claimed', NULL, NULL, NULL FROM tlog WHERE n % 2 = 0 OR job_id > 3
+  UNION ALL SELECT task_id, t0 + 20, 2, 'page', CASE WHEN n % 4 = 0 AND job_id < 3 THEN 'next' END, NULL, NULL FROM tlog WHERE (n % 2 = 0 AND job_id < 3) OR job_id = 4
+  UNION ALL SELECT task_id, t0 + 30, 3, 'error', NULL, 'HTTP 500', t0 + 90 FROM tlog WHERE n % 6 = 0 AND job_id < 3
+  UNION ALL SELECT task_id, t0 + 100, 4, 'cancel', NULL, NULL, NULL FROM tlog WHERE job_id IN (2, 4, 5)
+  UNION ALL SELECT task_id, t0 + 200, 5, 'page', NULL, NULL, NULL FROM tlog WHERE job_id = 5),
+lastev AS (
+  SELECT task_id, arg_max(CASE kind WHEN 'created' THEN 'queued' WHEN 'claimed' THEN 'running' WHEN 'error' THEN 'retry'
+                               ELSE CASE WHEN cursor IS NOT NULL THEN 'queued' ELSE 'completed' END END, seq) FILTER (kind <> 'cancel') AS last_state,
+         max(seq) FILTER (kind <> 'cancel') AS last_seq, max(seq) FILTER (kind = 'cancel') AS cancel_seq
+  FROM events GROUP BY task_id),
 tstate AS (
-  SELECT task_id,
-         CASE WHEN max(at_s) FILTER (WHERE kind = 'cancel') > max(at_s) FILTER (WHERE kind <> 'cancel')
-                   AND arg_max(CASE kind WHEN 'created' THEN 'queued' WHEN 'claimed' THEN 'running' WHEN 'page' THEN CASE WHEN cursor IS NOT NULL THEN 'queued' ELSE 'completed' END WHEN 'error' THEN 'retry' END, at_s) FILTER (WHERE kind <> 'cancel') IN ('queued', 'retry')
-              THEN 'canceled'
-              ELSE arg_max(CASE kind WHEN 'created' THEN 'queued' WHEN 'claimed' THEN 'running' WHEN 'page' THEN CASE WHEN cursor IS NOT NULL THEN 'queued' ELSE 'completed' END WHEN 'error' THEN 'retry' END, at_s) FILTER (WHERE kind <> 'cancel') END AS state,
-         CAST(count(*) FILTER (WHERE kind = 'claimed') AS BIGINT) AS attempts,
-         arg_max_null(cursor, at_s) FILTER (WHERE kind = 'page') AS cursor,
-         CASE WHEN max(at_s) FILTER (WHERE kind = 'error') IS NOT NULL
-                   AND (max(at_s) FILTER (WHERE kind = 'page') IS NULL OR max(at_s) FILTER (WHERE kind = 'error') > max(at_s) FILTER (WHERE kind = 'page'))
-              THEN arg_max(error, at_s) FILTER (WHERE kind = 'error') END AS last_error,
-         arg_max(nb, at_s) FILTER (WHERE kind = 'error') AS nb
-  FROM events GROUP BY task_id)"""
+  SELECT e.task_id, CASE WHEN l.cancel_seq > l.last_seq AND l.last_state IN ('queued', 'retry') THEN 'canceled' ELSE l.last_state END AS state,
+         CAST(count(*) FILTER (e.kind = 'claimed') AS BIGINT) AS attempts, arg_max_null(e.cursor, e.seq) FILTER (e.kind = 'page') AS cursor,
+         CASE WHEN max(e.seq) FILTER (e.kind = 'error') > COALESCE(max(e.seq) FILTER (e.kind = 'page'), -1)
+              THEN arg_max(e.error, e.seq) FILTER (e.kind = 'error') END AS last_error,
+         arg_max(e.nb, e.seq) FILTER (e.kind = 'error') AS nb, max(e.at_s) FILTER (e.kind = 'page' AND e.cursor IS NULL) AS done_s,
+         max(e.error) AS any_error
+  FROM events e JOIN lastev l USING (task_id) GROUP BY e.task_id, l.cancel_seq, l.last_seq, l.last_state),
+pjob AS (
+  SELECT p.job_id, count(*) AS total_tasks, count(*) FILTER (s.state NOT IN ('completed', 'canceled')) AS open_n,
+         count(*) FILTER (s.state = 'canceled') AS canceled_n, count(*) FILTER (s.state = 'completed') AS completed_tasks, max(s.attempts) AS att,
+         max(s.done_s) FILTER (s.state = 'completed') AS done_s, count(DISTINCT (p.workspace_id, p.channel_id)) AS channels,
+         count(*) FILTER (p.phase = 'history') AS history_tasks, count(*) FILTER (p.phase = 'replies') AS reply_tasks, max(s.any_error) AS last_error
+  FROM plan p JOIN tstate s ON s.task_id = p.job_id * 1000 + p.task_no GROUP BY p.job_id),
+jstate AS (
+  SELECT j.job_id, j.kind, j.start_at, j.end_at, x.*,
+         CASE WHEN COALESCE(x.open_n, 0) = 0 AND (c.cancel_s IS NULL OR COALESCE(x.canceled_n, 0) = 0 OR COALESCE(x.done_s > c.cancel_s, FALSE)) THEN 'completed'
+              WHEN c.cancel_s IS NOT NULL THEN 'canceled' WHEN COALESCE(x.att, 0) > 0 THEN 'running' ELSE 'queued' END AS state
+  FROM jobx j LEFT JOIN pjob x ON x.job_id = j.job_id
+  LEFT JOIN (SELECT job_id, end_at // 1000000 + 100 AS cancel_s FROM jobx WHERE job_id IN (2, 4, 5)) c ON c.job_id = j.job_id)"""
 
 
 def _plan(spark, sf_dir):
     msgs, as_of, targets, _, _ = _targets_meta(spark, sf_dir)
     tasks = backfill.plan_history(targets, _jobs(as_of), 30)
-    return spark, tasks.withColumn("task_id", F.col("job_id") * 1000 + F.col("task_no"))
+    return as_of, tasks.withColumn("task_id", F.col("job_id") * 1000 + F.col("task_no"))
 
 
 def _task_log(tasks):
     n = F.expr("try_cast(substr(channel_id, 2) AS INT)")
-    t0 = F.unix_seconds("latest")
-    base = tasks.select("task_id", "job_id", t0.alias("t0"), n.alias("n"))
+    base = tasks.select("task_id", "job_id", F.unix_seconds("latest").alias("t0"), n.alias("n"))
+    early, job = F.col("job_id") < 3, F.col("job_id")
 
-    def ev(df, dt, kind, cursor=None, error=None, nb=None):
-        return df.select("task_id", F.timestamp_seconds(F.col("t0") + dt).alias("at"), F.lit(kind).alias("kind"),
-                         (cursor if cursor is not None else F.lit(None).cast("string")).alias("cursor"),
-                         F.lit(error).cast("string").alias("error"),
-                         (F.timestamp_seconds(F.col("t0") + nb) if nb is not None else F.lit(None).cast("timestamp")).alias("not_before"))
+    def ev(where, dt, seq, kind, cursor=None, error=None, nb=None):
+        return base.where(where).select(
+            "task_id", F.timestamp_seconds(F.col("t0") + dt).alias("at"), F.lit(seq).alias("seq"), F.lit(kind).alias("kind"),
+            (cursor if cursor is not None else F.lit(None).cast("string")).alias("cursor"), F.lit(error).cast("string").alias("error"),
+            (F.timestamp_seconds(F.col("t0") + nb) if nb is not None else F.lit(None).cast("timestamp")).alias("not_before"))
 
-    return (ev(base, 0, "created")
-            .unionByName(ev(base.where(F.col("n") % 2 == 0), 10, "claimed"))
-            .unionByName(ev(base.where(F.col("n") % 2 == 0), 20, "page", F.when(F.col("n") % 4 == 0, F.lit("next"))))
-            .unionByName(ev(base.where(F.col("n") % 6 == 0), 30, "error", error="HTTP 500", nb=90))
-            .unionByName(ev(base.where(F.col("job_id") == 2), 100, "cancel")))
+    even = F.col("n") % 2 == 0
+    return (ev(F.lit(True), 0, 0, "created").unionByName(ev(even | ~early, 10, 1, "claimed"))
+            .unionByName(ev((even & early) | (job == 4), 20, 2, "page", F.when((F.col("n") % 4 == 0) & early, F.lit("next"))))
+            .unionByName(ev((F.col("n") % 6 == 0) & early, 30, 3, "error", error="HTTP 500", nb=90))
+            .unionByName(ev(job.isin(2, 4, 5), 100, 4, "cancel")).unionByName(ev(job == 5, 200, 5, "page")))
 
 
 @register("plan_history", osql.with_ctes(TM + [JOBS_SQL], """
-SELECT job_id, workspace_id, channel_id, phase, oldest_secs, latest_secs, CAST(task_no AS BIGINT) AS task_no FROM plan"""))
+SELECT p.job_id, p.workspace_id, p.channel_id, p.phase, p.oldest_us, p.latest_us, CAST(p.task_no AS BIGINT) AS task_no, p.kind, j.start_at AS start_us
+FROM plan p JOIN jobx j USING (job_id)"""))
 def q_plan_history(spark, sf_dir):
     _, tasks = _plan(spark, sf_dir)
     return tasks.select(F.col("job_id").cast("int").alias("job_id"), "workspace_id", "channel_id", "phase",
-                        F.unix_seconds("oldest").alias("oldest_secs"), F.unix_seconds("latest").alias("latest_secs"),
-                        "task_no")
+                        F.unix_micros("oldest").alias("oldest_us"), F.unix_micros("latest").alias("latest_us"), "task_no", "kind",
+                        F.unix_micros("start_at").alias("start_us"))
+
+
+@register("plan_replies", osql.with_ctes(PAGE_SQL + [OBS_SQL] + TM[2:] + [JOBS_SQL], """
+SELECT DISTINCT o.job_id, o.workspace_id, o.channel_id, o.root_ts, 'replies' AS phase, p.oldest_us, p.latest_us FROM obs o
+LEFT JOIN plan p ON p.job_id = o.job_id AND p.workspace_id = o.workspace_id AND p.channel_id = o.channel_id
+WHERE o.reply_count > COALESCE((SELECT arg_max(f.fetched_reply_count, f.fetched_secs) FROM fcount f
+                                 WHERE f.workspace_id = o.workspace_id AND f.channel_id = o.channel_id
+                                   AND f.root_ts = o.root_ts AND f.fetched_secs <= o.indexed_at), 0)"""))
+def q_plan_replies(spark, sf_dir):
+    _, _, _, _, obs, fetches = _index(spark, sf_dir)
+    _, tasks = _plan(spark, sf_dir)
+    return thread_index.plan_replies(obs, fetches, tasks).select(
+        "job_id", "workspace_id", "channel_id", "root_ts", "phase", F.unix_micros("oldest").alias("oldest_us"), F.unix_micros("latest").alias("latest_us"))
 
 
 @register("task_state", osql.with_ctes(TM + [JOBS_SQL], """
-SELECT task_id, state, attempts, cursor, last_error, CASE WHEN state = 'retry' THEN nb END AS not_before_secs FROM tstate"""))
+SELECT task_id, state, attempts, cursor, last_error, CASE WHEN state = 'retry' THEN nb END AS not_before_secs,
+       CASE WHEN state = 'completed' THEN done_s END AS completed_secs FROM tstate"""))
 def q_task_state(spark, sf_dir):
     _, tasks = _plan(spark, sf_dir)
     st = backfill.task_state(_task_log(tasks))
     return st.select(F.col("task_id").cast("int").alias("task_id"), "state", "attempts", "cursor", "last_error",
-                     F.unix_seconds("not_before").alias("not_before_secs"))
-
-
-JOB_IDS_SQL = "alljobs AS (SELECT * FROM (VALUES (1), (2), (3)) v(job_id))"
+                     F.unix_seconds("not_before").alias("not_before_secs"), F.unix_seconds("completed_at").alias("completed_secs"))
 
 
 def _job_frames(spark, sf_dir):
-    _, tasks = _plan(spark, sf_dir)
+    as_of, tasks = _plan(spark, sf_dir)
     states = backfill.task_state(_task_log(tasks))
-    jobs = spark.createDataFrame([(1,), (2,), (3,)], "job_id bigint")
-    return jobs, tasks, states
-
-
-@register("job_state", osql.with_ctes(TM + [JOBS_SQL, JOB_IDS_SQL], """
-SELECT CAST(a.job_id AS BIGINT) AS job_id,
-       CASE WHEN a.job_id = 2 THEN 'canceled'
-            WHEN COALESCE(x.open_n, 0) = 0 THEN 'completed'
-            WHEN COALESCE(x.att, 0) > 0 THEN 'running' ELSE 'queued' END AS state
-FROM alljobs a LEFT JOIN (
-  SELECT t.job_id, count(*) FILTER (WHERE s.state NOT IN ('completed', 'canceled')) AS open_n, max(s.attempts) AS att
-  FROM tlog t JOIN tstate s USING (task_id) GROUP BY t.job_id) x ON x.job_id = a.job_id"""))
+    good, _ = backfill.valid_jobs(_jobs(as_of))
+    jobs = spark.createDataFrame(good, backfill.JOBS).withColumn("created_at", F.col("end_at"))
+    cancels = jobs.where("job_id IN (2, 4, 5)").select("job_id", F.timestamp_seconds(F.unix_seconds("end_at") + 100).alias("at"))
+    return jobs, tasks, states, cancels
+
+
+@register("job_state", osql.with_ctes(TM + [JOBS_SQL], "SELECT CAST(job_id AS BIGINT) AS job_id, state FROM jstate"))
 def q_job_state(spark, sf_dir):
-    jobs, tasks, states = _job_frames(spark, sf_dir)
-    cancels = spark.createDataFrame([(2,)], "job_id bigint")
-    return backfill.job_state(jobs, tasks, states, cancels)
-
-
-@register("job_report", osql.with_ctes(TM + [JOBS_SQL, JOB_IDS_SQL], """
-SELECT CAST(a.job_id AS BIGINT) AS job_id, COALESCE(x.channels, 0) AS channels, COALESCE(x.completed_tasks, 0) AS completed_tasks,
-       COALESCE(x.total_tasks, 0) AS total_tasks, COALESCE(x.history_tasks, 0) AS history_tasks, COALESCE(x.reply_tasks, 0) AS reply_tasks
-FROM alljobs a LEFT JOIN (
-  SELECT p.job_id, count(DISTINCT (p.workspace_id, p.channel_id)) AS channels,
-         count(*) FILTER (WHERE s.state = 'completed') AS completed_tasks, count(*) AS total_tasks,
-         count(*) FILTER (WHERE p.phase = 'history') AS history_tasks, count(*) FILTER (WHERE p.phase = 'replies') AS reply_tasks
-  FROM plan p JOIN tstate s ON s.task_id = p.job_id * 1000 + p.task_no GROUP BY p.job_id) x ON x.job_id = a.job_id
-ORDER BY a.job_id DESC LIMIT 20"""))
+    return backfill.job_state(*_job_frames(spark, sf_dir))
+
+
+@register("job_report", osql.with_ctes(TM + [JOBS_SQL], """
+SELECT CAST(job_id AS BIGINT) AS job_id, kind, state, start_at AS start_us, end_at AS end_us, last_error,
+       CASE WHEN state = 'completed' THEN COALESCE(done_s, end_at // 1000000) END AS completed_secs,
+       COALESCE(channels, 0) AS channels, COALESCE(completed_tasks, 0) AS completed_tasks, COALESCE(total_tasks, 0) AS total_tasks,
+       COALESCE(history_tasks, 0) AS history_tasks, COALESCE(reply_tasks, 0) AS reply_tasks
+FROM jstate ORDER BY job_id DESC LIMIT 20"""))
 def q_job_report(spark, sf_dir):
-    jobs, tasks, states = _job_frames(spark, sf_dir)
-    return backfill.job_report(jobs, tasks, states).select("job_id", "channels", "completed_tasks", "total_tasks",
-                                                            "history_tasks", "reply_tasks")
+    return backfill.job_report(*_job_frames(spark, sf_dir)).select(
+        "job_id", "kind", "state", F.unix_micros("start_at").alias("start_us"), F.unix_micros("end_at").alias("end_us"), "last_error",
+        F.unix_seconds("completed_at").alias("completed_secs"), "channels", "completed_tasks", "total_tasks", "history_tasks", "reply_tasks")
+
+
+@register("window_validation", osql.with_ctes([fx.SQL_LIFECYCLE], """
+SELECT source, start_us, end_us, CASE WHEN source % 7 = 0 THEN 'unreadable start' WHEN source % 7 = 1 THEN 'unreadable end'
+                                      WHEN source % 7 = 2 THEN 'start not before end' ELSE 'accepted' END AS outcome FROM gaps"""))
+def q_window_validation(spark, sf_dir):
+    """Downtime windows sent as text requests; some sources send an unreadable or a reversed window."""
+    _, gaps = _gaps(spark, sf_dir)
+    a = F.date_format(F.timestamp_micros("start_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    z = F.date_format(F.timestamp_micros("end_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    k = F.col("source") % 7
+    asked = gaps.select("source", "start_us", "end_us", F.when(k == 0, "yesterday noon").when(k == 2, z).otherwise(a).alias("start_text"),
+                        F.when(k == 1, "2024-13-45").when(k == 2, a).otherwise(z).alias("end_text"))
+    good, bad = backfill.validate_window(asked)
+    return (good.select("source", "start_us", "end_us", F.lit("accepted").alias("outcome"))
+            .unionByName(bad.select("source", "start_us", "end_us", F.col("reason").alias("outcome"))))

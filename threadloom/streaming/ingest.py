@@ -1,11 +1,17 @@
-"""Streaming ingest (T1, T2, T3, T7, S2) and session windows (T4).
-
-T1: the checkpointed source replaces the socket acknowledgement; each micro-batch is
-written by ``foreachBatch`` into a folder named by its batch id, overwritten on replay,
-so a batch that is redelivered after a failure is written exactly once.
-T2: duplicates inside the raw-retention horizon are dropped by
-``dropDuplicatesWithinWatermark``; the message identity rule (D2) is applied when the
-messages table is read.
+"""Streaming ingest (T1-T3, T5, T7, T8, S2), channel windows (T4) and downtime gaps.
+
+Each micro-batch is parsed and landed once; every table is then derived from that landing:
+
+* ``landed/batch=N``: the typed rows of the batch, rejects included;
+* ``quarantine/batch=N``: rejected envelopes with the reason (N3);
+* ``raw/received_date=D/batch=N``: one row per event id (D1), not stored before;
+* ``messages/message_date=D/batch=N``: first arrival of each identity (D2), with ``event_sequence`` (D3);
+* ``target_log/batch=N``: first and last time a channel was seen (T7);
+* ``sequences/batch=N``: first sequence number and count of the batch.
+
+A batch overwrites its own folders only, so a batch that is delivered again after a failure leaves
+each row once. Nothing is dropped for being late: duplicates are found by joins with what is stored
+(pruned by date partitions), not by a watermark.
 """
 
 from __future__ import annotations
@@ -13,60 +19,188 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.functions import message_secs
-from threadloom.operators import dedupe
+from threadloom.functions import message_instant
+from threadloom.operators import dedupe, digest, inbox
 from threadloom.sources import envelopes as env
 
-RAW_HORIZON = "7 days"
+RAW_HORIZON_DAYS = 7
+ARRIVAL = ["received_at", "arrival", "event_ts", "event_id"]
+_MESSAGE = ("event_id string, workspace_id string, channel_id string, message_ts string, thread_ts string, user_id string, "
+            "subtype string, text string, event_payload string")
+SCHEMAS = {
+    "landed": "received_at timestamp, arrival bigint, envelope_id string, event_id string, workspace_id string, api_app_id string, "
+              "callback_type string, event_type string, event_ts string, channel_id string, message_ts string, thread_ts string, "
+              "user_id string, subtype string, text string, payload string, event_payload string, reject_reason string, batch bigint",
+    "quarantine": "envelope_id string, reject_reason string, received_at timestamp, payload string, batch bigint",
+    "raw": "event_id string, workspace_id string, api_app_id string, callback_type string, event_type string, event_ts string, "
+           "received_at timestamp, payload string, arrival bigint, received_date date, batch bigint",
+    "messages": f"{_MESSAGE}, observed_at timestamp, event_sequence bigint, message_date date, batch bigint",
+    "sequences": "first bigint, n bigint, batch bigint",
+    "target_log": "workspace_id string, channel_id string, first_at timestamp, last_at timestamp, batch bigint",
+    "window_messages": f"{_MESSAGE}, event_sequence bigint, observed_at timestamp, batch bigint",
+    "windows": "workspace_id string, channel_id string, first_secs bigint, n_messages bigint, batch bigint",
+}
+
 
+def envelope_stream(spark: SparkSession, path: str, max_files: int | None = None, fmt: str = "text") -> DataFrame:
+    """S1 as a stream of landed files (see ``sources.envelopes.read_envelopes``)."""
+    return env.read_envelopes(spark, path, streaming=True, fmt=fmt, options={"maxFilesPerTrigger": str(max_files)} if max_files else {})
 
-def envelope_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """S1 as a stream of text files (one envelope per line)."""
-    opts = {"maxFilesPerTrigger": str(max_files)} if max_files else {}
-    lines = spark.readStream.format("text").options(**opts).load(path)
-    return env.envelope_payloads(lines.select(F.col("value").alias("body"), F.current_timestamp().alias("received_at")))
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
-def stream_dedupe(raw: DataFrame, horizon: str = RAW_HORIZON) -> DataFrame:
-    """One row per event_id within the raw-retention horizon."""
-    return raw.withWatermark("received_at", horizon).dropDuplicatesWithinWatermark(["event_id"])
+
+def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A stored table; empty before its first batch."""
+    path = f"{root}/{name}"
+    if not _exists(spark, path):
+        return spark.createDataFrame([], SCHEMAS[name])
+    return spark.read.schema(SCHEMAS[name]).parquet(path)
+
+
+def _put(df: DataFrame, path: str, batch_id: int, *dates: str) -> None:
+    """Write a batch's rows under its own partitions, replacing what an earlier try of the batch left there."""
+    (df.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*dates, "batch").parquet(path))
 
 
 def _write_batch(root: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        raw = batch.select("event_id", "workspace_id", "api_app_id", "callback_type", "event_type", "event_ts",
-                           "received_at", "payload", "event")
-        raw.drop("event").write.mode("overwrite").parquet(f"{root}/raw/batch={batch_id}")
-        msgs = env.normalise(raw).withColumn("batch_id", F.lit(batch_id))
-        msgs.write.mode("overwrite").parquet(f"{root}/messages/batch={batch_id}")
-        # Channels seen in this batch register as targets
-        msgs.groupBy("workspace_id", "channel_id").agg(F.min("observed_at").alias("at")).write.mode(
-            "overwrite").parquet(f"{root}/target_log/batch={batch_id}")
+        spark = batch.sparkSession
+        _put(env.with_reason(batch), f"{root}/landed", batch_id)
+        landed = _table(spark, root, "landed").where(F.col("batch") == batch_id).drop("batch")
+        _put(landed.where(F.col("reject_reason").isNotNull()).select("envelope_id", "reject_reason", "received_at", "payload"),
+             f"{root}/quarantine", batch_id)
+
+        # First arrival of an event id in the batch, unless stored within the raw horizon
+        good = landed.where(F.col("reject_reason").isNull()).withColumn("received_date", F.to_date("received_at"))
+        oldest = good.agg(F.min("received_date").alias("d")).first()["d"]
+        before = _table(spark, root, "raw").where(F.col("batch") < batch_id)
+        if oldest is not None:
+            before = before.where(F.col("received_date") >= F.date_sub(F.lit(oldest), RAW_HORIZON_DAYS))
+        fresh = dedupe.dedupe_events(good, before, ARRIVAL)
+        _put(fresh.select(*env.RAW_COLUMNS, "arrival", "received_date"), f"{root}/raw", batch_id, "received_date")
+
+        # First arrival of a message identity; an identity lies in one date partition
+        rows = env.normalise(fresh, "arrival", "event_ts", "received_at").withColumn(
+            "message_date", F.coalesce(F.to_date(message_instant("message_ts")), F.lit("1970-01-01").cast("date")))
+        days = rows.select("message_date").distinct()
+        known = _table(spark, root, "messages").where(F.col("batch") < batch_id)
+        known = known.join(F.broadcast(days) if days.count() <= 10_000 else days, "message_date", "left_semi")
+        new = dedupe.dedupe_messages(rows, known, ARRIVAL)
+        # D3: dense numbers after all earlier batches
+        earlier = _table(spark, root, "sequences").where(F.col("batch") < batch_id)
+        base = int(earlier.agg(F.coalesce(F.max(F.col("first") + F.col("n")), F.lit(0)).alias("b")).first()["b"])
+        numbered = dedupe.assign_sequence(new, [F.col(c) for c in ARRIVAL], base)
+        _put(numbered.drop("event_ts", "received_at", "arrival"), f"{root}/messages", batch_id, "message_date")
+        stored = _table(spark, root, "messages").where(F.col("batch") == batch_id)
+        _put(stored.agg(F.lit(base).cast("bigint").alias("first"), F.count(F.lit(1)).alias("n")), f"{root}/sequences", batch_id)
+        # Channels seen in this batch register as targets; a repeat moves only the last time
+        _put(rows.groupBy("workspace_id", "channel_id").agg(F.min("observed_at").alias("first_at"), F.max("observed_at").alias("last_at")),
+             f"{root}/target_log", batch_id)
     return write
 
 
 def start_ingest(spark: SparkSession, source: DataFrame, root: str, checkpoint: str, available_now: bool = True):
-    """Validate, dedupe and persist a stream of envelope payloads under ``root``."""
-    good, _ = env.validate(source)
-    raw = stream_dedupe(env.raw_events(good))
-    writer = raw.writeStream.foreachBatch(_write_batch(root)).option("checkpointLocation", checkpoint)
+    """Land, validate, dedupe, number and persist a stream of envelopes under ``root``."""
+    writer = source.writeStream.foreachBatch(_write_batch(root)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
 
 def read_messages(spark: SparkSession, root: str) -> DataFrame:
-    """Stored messages with the identity rule applied (D2); the batch id orders arrival (T5)."""
-    m = spark.read.parquet(f"{root}/messages")
-    return dedupe.dedupe_messages(m, order=["batch", "event_id"]).drop("batch", "batch_id")
+    """Stored messages; identities and sequence numbers are unique as written (T5: in order of arrival)."""
+    return _table(spark, root, "messages").drop("batch", "message_date")
+
+
+def read_changed(spark: SparkSession, root: str, after: int, as_of, settle_seconds: int = inbox.DEFAULT_SETTLE_SECS) -> DataFrame:
+    """Settled messages after sequence ``after``; batches that end before it are not read.
+
+    The settle delay is a filter on arrival at read time, so an unsettled message is returned later, never lost.
+    """
+    spans = _table(spark, root, "sequences")
+    low = spans.where(F.col("first") + F.col("n") > after).agg(F.min("batch").alias("b")).first()["b"]
+    rows = _table(spark, root, "messages")
+    rows = rows.where(F.col("batch") >= low) if low is not None else rows.where(F.lit(False))
+    rows = rows.where(F.col("event_sequence") > after).drop("batch", "message_date")
+    return inbox.settled(rows, as_of, settle_seconds)
+
+
+def read_targets(spark: SparkSession, root: str) -> DataFrame:
+    """Registrations for ``state.targets_state``: a row for the first and for the last time of each batch."""
+    log = _table(spark, root, "target_log")
+    return log.select("workspace_id", "channel_id", F.explode(F.array("first_at", "last_at")).alias("at"))
+
+
+def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
+    """Rejected envelopes of all batches."""
+    return _table(spark, root, "quarantine").drop("batch")
+
 
+# ---------------------------------------------------------------- T4, channel windows
 
-def stream_windows(stream: DataFrame, gap_seconds: int, delay: str = "90 seconds") -> DataFrame:
-    """T4: channel windows of standalone messages as session windows on the message second.
 
-    The event time is the whole second of message_ts (the digest compares whole seconds),
-    with a watermark on it; the window closes ``gap`` after its last message.
+def _write_windows(root: str, gap_seconds: int):
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        _put(batch, f"{root}/window_messages", batch_id)
+        stored = _table(spark, root, "window_messages").where(F.col("batch") <= batch_id)
+        touched = stored.where(F.col("batch") == batch_id).select("workspace_id", "channel_id").distinct()
+        again = stored.drop("batch").join(touched, ["workspace_id", "channel_id"], "left_semi")
+        sel = inbox.digest_ready(again).select(F.lit("all").alias("audience"), *inbox.NARROW)
+        groups = digest.group_messages(sel, ["audience"], gap_seconds).groups.where(F.col("kind") == "channel_window")
+        _put(groups.select("workspace_id", "channel_id", "first_secs", "n_messages"), f"{root}/windows", batch_id)
+    return write
+
+
+def start_windows(stream: DataFrame, gap_seconds: int, root: str, checkpoint: str):
+    """T4: channel windows of a stream of standalone messages, recomputed for the channels a batch touches.
+
+    Windows come from all stored messages of a channel, so the result does not depend on how messages
+    fall into batches, late and reversed ones included, and open windows are there as well.
+    """
+    return (stream.where(F.col("thread_ts").isNull()).writeStream.foreachBatch(_write_windows(root, gap_seconds))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def read_windows(spark: SparkSession, root: str) -> DataFrame:
+    """The windows of each channel as of the last batch that touched it."""
+    rows = _table(spark, root, "windows")
+    last = rows.groupBy("workspace_id", "channel_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["workspace_id", "channel_id", "batch"]).drop("batch")
+
+
+# ---------------------------------------------------------------- T6, downtime gaps
+
+
+GAP_STATE = "last_disconnect bigint, last_event bigint, last_connect bigint"
+GAPS = "source bigint, start_us bigint, end_us bigint"
+
+
+def stream_gaps(log: DataFrame, min_gap_seconds: int = 300) -> DataFrame:
+    """B7 over a stream of lifecycle rows (source, at, kind, seq), with state per source.
+
+    A batch's rows of a source are taken in order of (at, seq), chunk by chunk as Spark hands them over;
+    the state is three times per source.
     """
-    t = F.timestamp_seconds(message_secs("message_ts"))
-    s = stream.where(F.col("thread_ts").isNull()).withColumn("msg_time", t).withWatermark("msg_time", delay)
-    return s.groupBy("workspace_id", "channel_id", F.session_window("msg_time", f"{gap_seconds} seconds")).agg(
-        F.count(F.lit(1)).alias("n_messages"))
+    import pandas as pd
+
+    def step(key, frames, state):
+        held = list(state.get) if state.exists else [None, None, None]
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(["at_us", "seq"])
+        out = []
+        for at, kind in zip(rows["at_us"].tolist(), rows["kind"].tolist()):
+            if kind == "connected":
+                start = next((x for x in held if x is not None), None)
+                if start is not None and at - start >= min_gap_seconds * 1_000_000:
+                    out.append((int(key[0]), int(start), int(at)))
+            slot = {"disconnected": 0, "event": 1, "connected": 2}[kind]
+            held[slot] = at if held[slot] is None else max(held[slot], at)
+        state.update(tuple(held))
+        yield pd.DataFrame(out, columns=["source", "start_us", "end_us"]).astype("int64").drop_duplicates()
+
+    rows = log.select("source", F.unix_micros("at").alias("at_us"), "kind", "seq")
+    return rows.groupBy("source").applyInPandasWithState(step, GAPS, GAP_STATE, "append", "NoTimeout")
+
