@@ -70,6 +70,22 @@ def lists(values: np.ndarray, lengths, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values, kind))
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """``stage`` a large intermediate, then let Spark remove the shuffle files behind it.
+
+    Spark deletes a shuffle's files when the driver no longer refers to it, which it notices at a
+    garbage collection only; without one they would pile up over the steps of a long operator.
+    """
+    out = stage(df, name)
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
+def if_small(df: DataFrame, rows: int) -> DataFrame:
+    """A staged ``df``, marked for broadcast when it has at most ``rows`` rows; else Spark shuffles both sides."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node in ``links(a, b)``; component is the smallest node reachable.
 

@@ -9,13 +9,14 @@ each document's component. Nothing is approximate beyond 64-bit hashes of shingl
    shingles count as frequent is a bounded list; it steers cost, never results.
 3. Leaders: classes of like size with an equal minimum hash are compared with the smallest of them.
    Verified pairs give first components, so a large group of near copies is a star, not all pairs.
-4. Only prefix shingles that are shared by different components go on. Each such group of documents is a
-   signature tree: nodes hold the OR of their documents' shingle bitmaps, their range of sizes and
+4. Only prefix shingles that are shared by different components go on. Two documents that share one are a
+   pair. Each larger group is a signature tree: nodes hold the OR of their documents' shingle bitmaps, their range of sizes and
    the most shingles that share a bit. Two nodes are traversed together and dropped as soon as the
    largest overlap they allow is below what 0.8 needs, or both lie in one component.
    Groups over BLOCK rows are dealt into blocks; rows of the group's main component meet only the
    others, and every key holds at most 2 * BLOCK rows.
-5. Surviving pairs are verified on the whole sets, and links are contracted to components.
+5. Each distinct pair is bounded once more by signatures that grow with the documents (2 to 4 bits a
+   shingle), then verified on the whole sets; links are contracted to components.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm import words as W
-from threadloom.llm.common import components, lists, mix, stage, text_slices
+from threadloom.llm.common import components, if_small, lists, mix, settle, stage, text_slices
 
 SHINGLE = 5
 BITS = 1024
@@ -37,6 +38,7 @@ FREQUENT = 65_536  # entries of the list of frequent shingles: half a megabyte,
 FREQUENT_AT = 3  # documents of one task's chunk that hold a shingle before it is reported
 CHUNK_SHINGLES = 4_000_000
 BLOCK = 256
+SMALL_SIDE = 1_000_000  # rows of (long) keys, 8 MB, up to which a side travels to the other one
 FANOUT = 8
 
 
@@ -74,6 +76,42 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return rows["t"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
 
 
+# ---------------------------------------------------------------- signatures
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    """Bitmap of a set of hashes by their top bits: a power of two of bits, BITS at least, 2 to 4 for each hash."""
+    power = max(BITS.bit_length() - 1, int(2 * len(s) - 1).bit_length() if len(s) else 0)
+    marks = np.zeros(1 << power, bool)
+    marks[s >> np.uint64(64 - power)] = True
+    return np.packbits(marks).view(np.uint64)
+
+
+def fold(bits: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap of the same set with ``size`` bits: neighbours are ORed."""
+    marks = np.unpackbits(bits.view(np.uint8))
+    return np.packbits(marks.reshape(size, -1).any(1)).view(np.uint64)
+
+
+def may_reach(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> bool:
+    """Whether two sets with these signatures and sizes may have similarity 0.8."""
+    size = 64 * min(len(a), len(b))
+    if len(a) != len(b):
+        a, b = (fold(a, size), b) if len(a) > len(b) else (a, fold(b, size))
+    ca, cb, both = (int(np.bitwise_count(x).sum()) for x in (a, b, a & b))
+    # a bit of one alone is a shingle of it that the other lacks; shingles beyond one a bit may be shared
+    most = min(both + min(na - ca, nb - cb), na - (ca - both), nb - (cb - both))
+    return 9 * most >= 4 * (na + nb)
+
+
+def _reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cols = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+        keep = [may_reach(np.frombuffer(x, np.uint64), na, np.frombuffer(y, np.uint64), nb)
+                for x, na, y, nb in zip(cols["bits_a"], cols["na"], cols["bits_b"], cols["nb"])]
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+
 # ---------------------------------------------------------------- features of a document
 
 
@@ -86,7 +124,7 @@ def _features(frequent):
         for rows, data, off in text_slices(batches, "text", 1 << 20):
             sets = W.shingle_sets(data, off, SHINGLE)
             n = np.array([len(s) for s in sets], np.int64)
-            prefixes, mins, maps, key1, key2 = [], [], [], [], []
+            prefixes, mins, maps, wides, key1, key2 = [], [], [], [], [], []
             for s in sets:
                 key1.append(mix(s).sum(dtype=np.uint64))
                 key2.append(mix(s ^ seed).sum(dtype=np.uint64))
@@ -99,15 +137,15 @@ def _features(frequent):
                     first = np.concatenate([first, last[:take - len(first)]])
                 prefixes.append(first)
                 mins.append(s[:LEADERS])
-                marks = np.zeros(BITS, bool)
-                marks[s >> np.uint64(54)] = True
-                maps.append(np.packbits(marks).tobytes() if len(s) else None)
+                wide = signature(s)
+                maps.append(fold(wide, BITS).tobytes() if len(s) else None)
+                wides.append(wide.tobytes() if len(wide) > BITS // 64 else None)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), pa.array(n), pa.array(np.array(key1, np.uint64).view(np.int64)),
                  pa.array(np.array(key2, np.uint64).view(np.int64)),
                  lists(np.concatenate(prefixes).view(np.int64), list(map(len, prefixes)), pa.int64()),
-                 lists(np.concatenate(mins).view(np.int64), list(map(len, mins)), pa.int64()), pa.array(maps, pa.binary())],
-                names=["doc_id", "n", "k1", "k2", "prefix", "mins", "bits"])
+                 lists(np.concatenate(mins).view(np.int64), list(map(len, mins)), pa.int64()), pa.array(maps, pa.binary()),
+                 pa.array(wides, pa.binary())], names=["doc_id", "n", "k1", "k2", "prefix", "mins", "bits", "wide"])
     return run
 
 
@@ -226,14 +264,21 @@ def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- the join
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets reach similarity 0.8, staged."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stage(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, shingles array<bigint>"), f"{name}-sets")
-    met = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    def side(x: str) -> DataFrame:
+        return reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.coalesce("wide", "bits").alias(f"bits_{x}"))
+
+    sized = pairs.join(reps.select(F.col("rep").alias("a"), F.col("n").alias("_na")), "a").join(
+        reps.select(F.col("rep").alias("b"), F.col("n").alias("_nb")), "b").where("5 * least(_na, _nb) >= 4 * greatest(_na, _nb)").select("a", "b")
+    bounded = sized.join(side("a"), "a").join(side("b"), "b").mapInArrow(_reachable, "a bigint, b bigint")
+    near = settle(bounded, f"{name}-near")
+    wanted = stage(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
+    sets = settle(docs.join(if_small(wanted, SMALL_SIDE), "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, shingles array<bigint>"), f"{name}-sets")
+    met = (near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
            .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return stage(met.where(100 * both >= 80 * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct(), f"{name}-links")
+    return settle(met.where(100 * both >= 80 * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct(), f"{name}-links")
 
 
 def _leader_pairs(reps: DataFrame) -> DataFrame:
@@ -278,19 +323,25 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     frequent = sc.broadcast(frequent_shingles(docs))
     features = stage(docs.mapInArrow(_features(frequent), "doc_id bigint, n bigint, k1 bigint, k2 bigint, prefix array<bigint>, "
-                                                          "mins array<bigint>, bits binary"), "shingle-features")
+                                                          "mins array<bigint>, bits binary, wide binary"), "shingle-features")
     known = features.where("doc_id is not null and n > 0")
-    reps = stage(known.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"),
-                                                   F.first("mins").alias("mins"), F.first("bits").alias("bits")), "shingle-classes")
-    first_links = _verified(docs, _leader_pairs(reps), "leaders")
+    payload = [F.first(c).alias(c) for c in ("prefix", "mins", "bits", "wide")]
+    reps = settle(known.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), *payload), "shingle-classes")
+    first_links = _verified(docs, reps, _leader_pairs(reps), "leaders")
     first = stage(components(first_links), "first-components")
-    labelled = reps.select("rep", "n", "prefix").join(first.withColumnRenamed("node", "rep"), "rep", "left").select(
+    labelled = reps.select("rep", "prefix").join(first.withColumnRenamed("node", "rep"), "rep", "left").select(
         "rep", F.coalesce("component", "rep").alias("comp"), F.explode("prefix").alias("t"))
-    mixed = labelled.groupBy("t").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("c")).where("c0 < c1").select("t", "c")
-    rows = stage(labelled.join(mixed, "t"), "shared-shingles")
+    # of a shingle in two documents the two rows are the least and the greatest; others are looked up again
+    ends = F.struct("comp", "rep")
+    shared = settle(labelled.groupBy("t").agg(F.min(ends).alias("lo"), F.max(ends).alias("hi"), F.count("*").alias("c"))
+                    .where("lo.comp < hi.comp").select("t", "c", F.col("lo.rep").alias("a"), F.col("hi.rep").alias("b")), "shared-shingles")
+    couples = shared.where("c = 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crowds = if_small(stage(shared.where("c > 2").select("t", "c"), "crowded-shingles"), SMALL_SIDE)
+    rows = settle(labelled.join(crowds, "t"), "crowd-rows")
     keyed = _blocks(rows).join(reps.select("rep", "n", "bits"), "rep")
-    found = _hash_dealt(keyed, "t", "x", "y").mapInArrow(_traverse, "a bigint, b bigint").distinct()
-    links = first_links.unionByName(_verified(docs, stage(found, "tree-pairs"), "trees"))
+    found = _hash_dealt(keyed, "t", "x", "y").mapInArrow(_traverse, "a bigint, b bigint")
+    pairs = settle(couples.unionByName(found).distinct(), "candidate-pairs")
+    links = first_links.unionByName(_verified(docs, reps, pairs, "trees"))
     n, ids = known.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
     if n != ids:  # rows of one id are one document: it links the classes of its texts
         several = known.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
