@@ -3,6 +3,7 @@
 A byte goes when it lies in a 400-byte string that starts at another place too, in any document.
 
 1. Copies of a whole text are one text with a count; a counted text of 400 bytes or more goes whole.
+   Equal passages inside one text are found there, and one of them goes on.
 2. Every window of 400 bytes names an anchor: the place of its least 32-byte hash, leftmost on ties. Equal
    windows have equal anchors at equal distance, so only windows of one anchor hash need comparing. An
    anchor hash that occurs once is no repeat; that ends the work for most of the text.
@@ -13,10 +14,10 @@ A byte goes when it lies in a 400-byte string that starts at another place too,
    order, and the common prefix of neighbours is one more than the least of the old values between
    them. Where two neighbours share 400 symbols, both windows repeat. A round's order, symbols and
    common prefixes are read and written once, front to back.
-4. An anchor with over GROUP passages is split by what its windows share: first into cells of 23
-   neighbouring windows, keyed by the bytes common to all of the cell, then into single windows. Equal
-   passages of a cell are counted before they are shuffled, and one stands for all. So no collection is
-   unbounded, whatever part of the rows holds one passage.
+4. An anchor with over GROUP passages is split by what its windows share: into cells of neighbouring windows
+   (all, then 92, 23, 1), keyed by the bytes common to the whole cell. Equal passages of a cell are counted
+   before they are shuffled, and one stands for all. So no collection is unbounded, whatever part of the
+   rows holds one passage.
 """
 
 from __future__ import annotations
@@ -31,12 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm import words as W
-from threadloom.llm.common import mix, slices, stage, text_slices, utf8
+from threadloom.llm.common import mix, settle, slices, stage, text_slices, utf8
 
 WINDOW, GRAM = 400, 32
 SPREAD = WINDOW - GRAM + 1  # places an anchor may take in a window
 GROUP = 2000  # passages of one anchor that make one collection
-CELLS = (23, 1)  # widths, in windows, that larger groups are split to
+CELLS = (SPREAD, 92, 23, 1)  # widths, in windows, that larger groups are split to
 BATCH_PASSAGES = 8192  # passages whose columns are held at once; collections are joined up to it
 SEGMENT = 4 << 20  # window starts of a long text that are looked at together
 ANCHOR = "struct<h:bigint,p:int,i0:int,i1:int>"
@@ -98,6 +99,34 @@ def _text_anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def own_repeats(data: np.ndarray, off: np.ndarray, found: tuple[np.ndarray, ...]):
+    """Split ``anchors`` into those that go on and runs (text, lo, hi) of windows that repeat inside their text.
+
+    Equal passages at equal distance from anchors of one hash hold equal windows; the first goes on for all.
+    """
+    text, h, p, i0, i1 = found
+    none = np.zeros(0, np.int64)
+    _, back, count = np.unique(mix(h ^ mix(text.astype(np.uint64))), return_inverse=True, return_counts=True)
+    some = np.flatnonzero(count[back] > 1)
+    if not len(some):
+        return found, (none, none, none)
+    t, a, z = text[some], i0[some], i1[some]
+    shape = (p[some] - a).astype(np.uint64) * W.GOLDEN + (z - a).astype(np.uint64)
+    whole = mix(W.span_hash(data, off[t] + a, off[t] + z + WINDOW) ^ mix(shape) ^ mix(t.astype(np.uint64) * W.GOLDEN))
+    _, first, back, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+    twice = count[back] > 1
+    stay = np.ones(len(text), bool)
+    stay[some[twice]] = False
+    stay[some[first]] = True
+    t, a, z = t[twice], a[twice], z[twice]
+    by = np.lexsort((a, t))
+    t, a, z = t[by], a[by], z[by]
+    begin = np.append(True, (t[1:] != t[:-1]) | (a[1:] > z[:-1] + 1)) if len(t) else np.zeros(0, bool)
+    lo = np.flatnonzero(begin)
+    runs = (t[lo], a[lo], z[np.append(lo[1:], len(t)) - 1]) if len(t) else (none, none, none)
+    return tuple(x[stay] for x in found), runs
+
+
 def _anchor_lists(text: np.ndarray, columns: dict[str, np.ndarray], n: int) -> pa.Array:
     count = np.bincount(text, minlength=n)
     off = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
@@ -109,11 +138,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, off in text_slices(batches, "text", 1 << 20):
         raw = data.tobytes()
         sha = [hashlib.sha256(raw[a:z]) for a, z in zip(off[:-1].tolist(), off[1:].tolist())]
-        text, h, p, i0, i1 = _text_anchors(data, off)
+        (text, h, p, i0, i1), (own, lo, hi) = own_repeats(data, off, _text_anchors(data, off))
+        runs = _anchor_lists(own, {"lo": lo.astype(np.int32), "hi": hi.astype(np.int32)}, len(sha))
         lists = _anchor_lists(text, {"h": h.view(np.int64), "p": p.astype(np.int32), "i0": i0.astype(np.int32), "i1": i1.astype(np.int32)}, len(sha))
         yield pa.RecordBatch.from_arrays(
             [rows.column("doc_id"), pa.array([s.digest()[:16] for s in sha], pa.binary()), pa.array([s.hexdigest() for s in sha]),
-             pa.array(np.diff(off).astype(np.int64)), lists], names=["doc_id", "k", "sha", "n_bytes", "anchors"])
+             pa.array(np.diff(off).astype(np.int64)), lists, runs], names=["doc_id", "k", "sha", "n_bytes", "anchors", "own"])
 
 
 # ---------------------------------------------------------------- passages and cells
@@ -322,26 +352,29 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, texts, runs): every row's key, digest, size and copies; the texts with repeated anchors; and runs
     (k, lo, hi) of window starts that occur elsewhere. All are staged."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    features = stage(docs.mapInArrow(_features, f"doc_id bigint, k binary, sha string, n_bytes bigint, anchors array<{ANCHOR}>"), "repeat-features")
-    distinct = stage(features.groupBy("k").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"),
-                                               F.first("anchors").alias("anchors")), "repeat-texts")
+    features = stage(docs.mapInArrow(_features, f"doc_id bigint, k binary, sha string, n_bytes bigint, anchors array<{ANCHOR}>, own array<struct<lo:int,hi:int>>"), "repeat-features")
+    distinct = settle(features.groupBy("k").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("anchors").alias("anchors"),
+                                                F.first("own").alias("own")), "repeat-texts")
     rows = features.select("doc_id", "k", "sha", "n_bytes")
     exploded = distinct.select("k", "rep", F.explode("anchors").alias("a")).select("k", "rep", "a.*")
-    counted = exploded.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    counted = settle(exploded.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "repeat-anchors")
     asked = (exploded.join(counted, "h").groupBy("k", "rep")
              .agg(F.collect_list(F.when(F.col("c") <= GROUP, F.struct("h", "p", "i0", "i1"))).alias("few"),
                   F.collect_list(F.when(F.col("c") > GROUP, F.struct("h", "p", "i0", "i1"))).alias("hot")))
     held = docs.withColumn("k", text_key(F.col("text")))
-    texts = stage(held.join(asked, (held["k"] == asked["k"]) & held["doc_id"].eqNullSafe(asked["rep"]))
-                  .select(held["k"], held["text"], "few", "hot"), "repeat-passages")
+    # texts whose only repeats are inside them are cut later, so they are kept as well
+    inner = distinct.where("size(own) > 0").select("k", F.col("rep").alias("_rep"), "own")
+    asked = asked.join(inner, "k", "full_outer").select(F.col("k").alias("_k"), F.coalesce("rep", "_rep").alias("_one"), "few", "hot", "own")
+    texts = settle(held.join(asked, (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_one")))
+                   .select("k", "text", "few", "hot", "own"), "repeat-passages")
     few = texts.where("size(few) > 0").select("k", "text", "few").mapInArrow(_cut("few", "h"), PASSAGE)
     runs, passages = _split_hot(texts, texts.select("k", F.explode("hot").alias("a")).select("k", "a.*"))
     for extra in passages:
         few = few.unionByName(extra)
     found = few.repartition("g").sortWithinPartitions("g", "k", "p", "i0").mapInArrow(_collect, "k binary, lo int, hi int")
-    for extra in runs:
+    for extra in [texts.select("k", F.explode("own").alias("r")).select("k", "r.*"), *runs]:
         found = found.unionByName(extra)
-    spans = stage(found.groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "repeat-runs")
+    spans = settle(found.groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "repeat-runs")
     copies = distinct.select("k", "copies")
     return rows.join(copies, "k"), texts.select("k", "text"), spans
 
