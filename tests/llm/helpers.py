@@ -3,7 +3,7 @@
 import random
 import re
 
-DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, _slice int, words string"
+DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, _slice int, words string, n_words int, _k string, _kept int, bits int, runs int, t int"
 SYLLABLES = ["ka", "mo", "ri", "ten", "sul", "pra", "vé", "dor", "ini", "ö", "lu", "st"]
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -15,7 +15,7 @@ def prose(seed, n):
 
 def frame(spark, texts):
     """documents with clashing extra columns; ids are positions."""
-    rows = [(i, t, "en", "s", None if t is None else len(t), -5, "x") for i, t in enumerate(texts)]
+    rows = [(i, t, "en", "s", None if t is None else len(t), -5, "x", -1, "k", 1, 2, 3, 4) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, DOC_SCHEMA)
 
 

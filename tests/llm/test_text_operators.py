@@ -128,6 +128,18 @@ def test_classifier_edges(spark):
     assert len(quality_model.score_documents(docs, odd).collect()) == len(AWKWARD)
 
 
+def test_filters_keep_rows_and_columns(spark):
+    """Stages of a pipeline return the columns of their input, also ones named like their own."""
+    docs = frame(spark, AWKWARD + [prose(k, 60) for k in range(10)])
+    labels = spark.createDataFrame([(i, int(i >= len(AWKWARD))) for i in range(len(AWKWARD) + 10)], "doc_id bigint, quality int")
+    for kept in (quality_model.filter_documents(docs, labels), quality_rules.filter_documents(docs)):
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert {r["n_words"] for r in rows} == {-1}
+        assert {r["doc_id"] for r in rows} >= set(range(len(AWKWARD), len(AWKWARD) + 10))
+    assert quality_rules.filter_documents(docs.where("false")).collect() == []
+
+
 def test_compiled_rules_equal_the_model():
     rng = np.random.default_rng(0)
     x = rng.random((800, 3))
@@ -175,12 +187,28 @@ def test_rule_statistics(spark):
 
 
 def test_cascade_order_never_changes_verdicts(spark):
-    stats = quality_rules.measure(frame(spark, AWKWARD + [prose(k, 30) for k in range(10)])).cache()
+    docs = frame(spark, AWKWARD + [prose(k, 30) for k in range(10)])
+    stats = quality_rules.measure(docs).cache()
     a = stats.select("doc_id", quality_rules.verdict(list(quality_rules.RULES)).alias("k")).collect()
     b = stats.select("doc_id", quality_rules.verdict(list(reversed(quality_rules.RULES))).alias("k")).collect()
     assert sorted(a) == sorted(b) and {r["k"] for r in a} == {True, False}
-    assert set(quality_rules.plan_cascade(stats)) == set(quality_rules.RULES)
-    assert quality_rules.plan_cascade(stats.where("false")) == list(quality_rules.RULES)
+    assert set(quality_rules.plan_cascade(docs)) == set(quality_rules.RULES)
+    assert quality_rules.plan_cascade(docs.where("false")) == list(quality_rules.RULES)
+    want = {r["doc_id"] for r in a if r["k"]}
+    assert {r["doc_id"] for r in quality_rules.filter_documents(docs).collect()} == want
+    for order in (quality_rules.RULES, quality_rules.RULES[::-1]):
+        packed = quality_rules.row_struct(docs)
+        rows = packed.mapInArrow(quality_rules._cascade(list(order)), packed.select("_row").schema).select("_row.*")
+        assert {r["doc_id"] for r in rows.collect()} == want
+
+
+def test_cascade_orders_by_rejection_per_cost(spark):
+    """A cheap rule that rejects much comes before a costly one that rejects nothing, and reads no other statistics."""
+    docs = frame(spark, ["a b c"] * 50 + [prose(k, 400) for k in range(50)])
+    cheap, dear = quality_rules.Rule("cheap", "n_words < 20"), quality_rules.Rule("dear", "n_repeat_words > 10 * n_words")
+    assert [r.name for r in quality_rules.plan_cascade(docs, (dear, cheap))] == ["cheap", "dear"]
+    texts = quality_rules.Texts(np.frombuffer(b"a b cd e", np.uint8), np.array([0, 3, 8]))
+    assert texts.rejected(cheap).all() and set(texts.known) == {"n_words"}
 
 
 @have_tables

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import stage
-from threadloom.llm.quality_rules import measure
+from threadloom.llm.quality_rules import measure, row_struct
 
 MAX_LABELLED = 20_000  # labelled rows that are gathered to fit the model, chosen by hash of doc_id
 TREES, DEPTH, BINS, RATE = 40, 3, 32, 0.3
@@ -167,4 +167,4 @@ def filter_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LAB
     """The rows of ``docs`` predicted to be of good quality, with their columns; no text is shuffled."""
     stats = stage(measure(docs), "quality-stats")
     score = train(stats, labels, max_rows).score()
-    return measure(docs, *docs.columns).where(score >= CUT).select(*docs.columns)
+    return measure(row_struct(docs), "_row").where(score >= CUT).select("_row.*")

@@ -1,19 +1,22 @@
 """Operator 6: quality rules as a short-circuit cascade ordered by rejection per cost.
 
-``measure`` computes the statistics that rules read, for every whole text. A ``Rule`` is a named
-rejecting predicate over those statistics. ``plan_cascade`` times each rule and counts its
-rejections on a bounded sample and orders the rules by rejections per second; ``verdict`` compiles
-the order into one nested CASE, which Spark evaluates lazily from the first rule on. The order
-changes cost only, never a verdict: a text is kept when no rule rejects it.
+A ``Rule`` is a named rejecting predicate over statistics of a text; the statistics come in groups, each
+with a kernel of its own. ``plan_cascade`` times every rule with the kernels it needs, and counts what it
+rejects, on a bounded sample, and orders the rules by rejections per second. ``filter_documents`` runs
+the order as a cascade: a rule's statistics are computed only for texts that no earlier rule rejected.
+``judge`` reports all statistics of every text and the verdict as one nested CASE. The order changes
+cost only, never a verdict: a text is kept when no rule rejects it.
 """
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,14 +27,15 @@ from threadloom.llm.common import text_slices
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 STATS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_alpha_words bigint, n_shouted_words bigint"
-SAMPLE_ROWS = 2000  # rows that rule costs and selectivities are estimated on; verdicts do not depend on it
+SAMPLE_ROWS, SAMPLE_CHARS = 1000, 65_536  # texts, and their greatest length, that costs and selectivities are estimated on
+STAT_NAMES = [x.split()[0] for x in STATS.split(", ")]
 LETTER = np.zeros(256, bool)
 LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = LETTER[0x80:] = True
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is SQL over the statistics; ``about`` says what it looks for."""
+    """``rejects`` is a condition over the statistics, read by Spark and by pandas; ``about`` says what it looks for."""
     name: str
     rejects: str
     about: str = ""
@@ -73,30 +77,66 @@ def _line_counts(data: np.ndarray, off: np.ndarray, start: np.ndarray, at: np.nd
     return lines, np.bincount(text[order][1:][same], minlength=len(off) - 1)
 
 
+class Texts:
+    """Concatenated texts with the groups of statistics computed on demand, each once."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray):
+        self.data, self.off = data, off
+        self.start, self.end, self.at = W.word_spans(data, off)
+        self.known: dict[str, np.ndarray] = {"n_words": np.diff(self.at)}
+
+    def _chars(self):
+        data = self.data
+        solid = ~W.SPACE[data] & ((data & 0xC0) != 0x80)
+        return {"word_chars": W.counts_per(self.off, solid), "n_symbols": W.counts_per(self.off, SYMBOL[data])}
+
+    def _lines(self):
+        lines, dup = _line_counts(self.data, self.off, self.start, self.at)
+        return {"n_lines": lines, "n_dup_lines": dup}
+
+    def _repeats(self):
+        return {"n_repeat_words": W.repeated_words(W.span_hash(self.data, self.start, self.end), self.at)}
+
+    def _kinds(self):
+        data, start, end = self.data, self.start, self.end
+        if len(start):
+            total = np.zeros(len(data) + 1, np.int64)
+            np.cumsum(LETTER[data], out=total[1:])
+            alpha = total[end] > total[start]
+            shout = (end - start > 2) & (data[end - 1] == 33) & (data[np.maximum(end - 2, 0)] == 33)
+        else:
+            alpha = shout = np.zeros(0, bool)
+        return {"n_alpha_words": W.counts_per(self.at, alpha), "n_shouted_words": W.counts_per(self.at, shout)}
+
+    GROUPS = {"word_chars": _chars, "n_symbols": _chars, "n_lines": _lines, "n_dup_lines": _lines, "n_repeat_words": _repeats,
+              "n_alpha_words": _kinds, "n_shouted_words": _kinds}
+
+    def stat(self, name: str) -> np.ndarray:
+        if name not in self.known:
+            self.known.update(self.GROUPS[name](self))
+        return self.known[name]
+
+    def rejected(self, rule: Rule) -> np.ndarray:
+        """Which texts the rule rejects; computes only the statistics it names."""
+        columns = {n: self.stat(n) for n in STAT_NAMES if re.search(rf"\b{n}\b", rule.rejects)}
+        return pd.DataFrame(columns).eval(rule.rejects).to_numpy(bool)
+
+    def only(self, keep: np.ndarray) -> Texts:
+        """The texts of ``keep`` alone."""
+        return Texts(self.data[np.repeat(keep, np.diff(self.off))], np.concatenate([[0], np.cumsum(np.diff(self.off)[keep])]))
+
+
 def text_stats(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     """The columns of STATS for each text."""
-    start, end, at = W.word_spans(data, off)
-    n_words = np.diff(at)
-    solid = ~W.SPACE[data] & ((data & 0xC0) != 0x80)
-    lines, dup = _line_counts(data, off, start, at)
-    hashes = W.span_hash(data, start, end)
-    if len(start):
-        total = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(LETTER[data], out=total[1:])
-        alpha = total[end] > total[start]
-        shout = (end - start > 2) & (data[end - 1] == 33) & (data[np.maximum(end - 2, 0)] == 33)
-    else:
-        alpha = shout = np.zeros(0, bool)
-    return [n_words, W.counts_per(off, solid), W.counts_per(off, SYMBOL[data]), dup,
-            W.repeated_words(hashes, at), lines, W.counts_per(at, alpha), W.counts_per(at, shout)]
+    texts = Texts(data, off)
+    return [texts.stat(n) for n in STAT_NAMES]
 
 
 def _measure(columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in STATS.split(", ")]
         for rows, data, off in text_slices(batches, "text"):
             stats = [pa.array(x, pa.int64()) for x in text_stats(data, off)]
-            yield pa.RecordBatch.from_arrays([rows.column(c) for c in columns] + stats, names=columns + names)
+            yield pa.RecordBatch.from_arrays([rows.column(c) for c in columns] + stats, names=columns + STAT_NAMES)
     return run
 
 
@@ -112,26 +152,24 @@ def measure(docs: DataFrame, *carry: str) -> DataFrame:
     return picked.mapInArrow(_measure(columns), schema)
 
 
-def plan_cascade(stats: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """``rules`` by estimated rejection per cost, best first, from a bounded sample of ``stats``.
+def plan_cascade(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """``rules`` by estimated rejection per cost, best first, from a bounded sample of ``docs``.
 
-    The sample (at most ``sample_rows`` rows) is held once; each rule is timed alone over it. On an
-    empty table the given order stays.
+    The sample is the first ``sample_rows`` texts of at most SAMPLE_CHARS characters, read from as few
+    partitions as hold them. A rule's cost is the time of the kernels it needs and of its condition. On
+    an empty table the given order stays.
     """
-    spark = stats.sparkSession
-    rows = stats.limit(sample_rows).collect()
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= SAMPLE_CHARS).limit(sample_rows).collect()
     if not rows:
         return list(rules)
-    sample = spark.createDataFrame(rows, stats.schema).repartition(1).cache()
-    try:
-        sample.count()
-        scored = []
-        for rule in rules:
-            began = time.perf_counter()
-            rejected = sample.where(F.coalesce(F.expr(rule.rejects), F.lit(False))).count()
-            scored.append((rejected / max(time.perf_counter() - began, 1e-6), rule))
-    finally:
-        sample.unpersist()
+    raw = [r["text"].encode() for r in rows]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    scored = []
+    for rule in rules:
+        texts = Texts(data, off)  # words are cut for every rule, so that is no rule's own cost
+        began = time.perf_counter()
+        n = int(texts.rejected(rule).sum())
+        scored.append((n / max(time.perf_counter() - began, 1e-6), rule))
     return [r for _, r in sorted(scored, key=lambda x: -x[0])]
 
 
@@ -150,13 +188,38 @@ def judge(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataF
     Null and empty texts have no words, so ``too_short`` rejects them. An empty table gives an
     empty result. Extra columns are ignored; duplicate rows are judged alike.
     """
-    order = plan_cascade(measure(docs.limit(sample_rows)), rules, sample_rows)
-    stats = measure(docs)
+    order = plan_cascade(docs, rules, sample_rows)
     failed = " or ".join(f"({r.rejects})" for r in BASE_RULES)
-    return stats.withColumn("base_failed", F.expr(failed)).withColumn("kept", verdict(order))
+    return measure(docs).withColumn("base_failed", F.expr(failed)).withColumn("kept", verdict(order))
+
+
+def _cascade(order: list[Rule]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, off in text_slices(batches, "text"):
+            alive = np.arange(rows.num_rows)
+            texts = Texts(data, off)
+            for rule in order:
+                out = texts.rejected(rule)
+                if out.any():
+                    alive = alive[~out]
+                    texts = texts.only(~out)
+                if not len(alive):
+                    break
+            if len(alive):
+                yield rows.take(pa.array(alive)).select(["_row"])
+    return run
 
 
 def filter_documents(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs`` whose text no rule rejects, with their columns."""
-    order = plan_cascade(measure(docs.limit(sample_rows)), rules, sample_rows)
-    return measure(docs, *docs.columns).where(verdict(order)).select(*docs.columns)
+    """The rows of ``docs`` whose text no rule rejects, with their columns, by the short-circuit cascade.
+
+    Whole rows travel as one struct, whatever their columns are called. No shuffle.
+    """
+    order = plan_cascade(docs, rules, sample_rows)
+    packed = row_struct(docs)
+    return packed.mapInArrow(_cascade(order), packed.select("_row").schema).select("_row.*")
+
+
+def row_struct(docs: DataFrame) -> DataFrame:
+    """``docs`` as (``_row``: all its columns as a struct, ``text``)."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))

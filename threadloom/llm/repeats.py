@@ -451,8 +451,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with every repeated byte string cut out of ``text``; rows and other columns stay."""
     rows, _, spans = find_repeats(docs)
     copied = rows.where(f"copies > 1 and n_bytes >= {WINDOW}").select(F.col("k").alias("_k"), F.lit(True).alias("_copied")).dropDuplicates(["_k"])
-    keyed = docs.withColumn("_k", text_key(F.col("text")))
+    # whole rows travel as one struct, whatever their columns are called
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).withColumn("_k", text_key(F.col("_row.text")))
     met = keyed.join(spans.select(F.col("k").alias("_k"), F.col("runs").alias("_runs")), "_k", "left").join(copied, "_k", "left")
-    text = F.when(F.col("_copied"), F.lit("")).when(F.col("_runs").isNull(), F.col("text")).otherwise(
-        F.pandas_udf(_without, "string")("text", "_runs"))
-    return met.withColumn("text", text).select(*docs.columns)
+    text = F.col("_row.text")
+    text = F.when(F.col("_copied"), F.lit("")).when(F.col("_runs").isNull(), text).otherwise(F.pandas_udf(_without, "string")(text, "_runs"))
+    return met.select(*[(text if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
