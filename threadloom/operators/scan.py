@@ -65,14 +65,21 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: st
     return running_total(df, keys, order, F.lit(1), out, slices)
 
 
+FIRST_K_SALTS = 16
+
+
 def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "_pos") -> DataFrame:
-    """Keep the first ``k`` rows per key in ``order`` and number them.
+    """Keep the first ``k`` rows per key in ``order`` (a total order) and number them.
 
-    ``row_number() <= k`` is planned with a map-side WindowGroupLimit, so at most k rows
-    per key and map partition cross the shuffle; ``k`` comes from a budget bound.
+    Two steps, each planned with a map-side group limit: the first k of every map task meet in one of
+    FIRST_K_SALTS tasks per key, and the first k of those in one, which so sorts at most FIRST_K_SALTS * k rows
+    however many map tasks there are. The salt changes which task sees a row, never the result.
     """
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(FIRST_K_SALTS)))
+    near = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    some = salted.withColumn(out, F.row_number().over(near)).where(F.col(out) <= k).drop(out, "_salt")
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
+    return some.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
 
 
 def running_max_before(

@@ -110,11 +110,6 @@ params AS (
 )"""
 
 
-def with_sql(*ctes: str) -> str:
-    """Join CTE bodies into a WITH prefix."""
-    return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
-
-
 # ---------------------------------------------------------------- adapter E: events
 
 

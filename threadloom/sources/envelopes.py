@@ -92,11 +92,6 @@ MESSAGE_COLUMNS = ["event_id", "workspace_id", "channel_id", "message_ts", "thre
                    "event_payload"]
 
 
-def raw_events(good: DataFrame) -> DataFrame:
-    """Raw-event rows of valid payloads, with the fields that N6 needs."""
-    return good
-
-
 def is_message() -> Column:
     """Event type ``message`` with string channel and string ts."""
     return (F.col("event_type") == "message") & F.col("channel_id").isNotNull() & F.col("message_ts").isNotNull()
