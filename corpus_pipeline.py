@@ -7,11 +7,14 @@ stage's docs. All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import jaccard, packing, quality_model, quality_rules, repeats
 from threadloom.llm.common import stage, table
+from threadloom.session import configure
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +42,17 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, with_text=True)
 
 
+def _configured(function):
+    """The stage with the engine's session defaults (batches bounded by bytes) where the caller set none."""
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return function(configure(spark), docs, sf_dir)
+    return run_stage
+
+
 STAGES = [("quality_classifier", classify), ("quality_rules", apply_rules), ("ngram_jaccard", drop_similar),
           ("suffix_array_dedup", cut_repeats), ("best_fit_packing", pack)]
+STAGES = [(name, _configured(function)) for name, function in STAGES]
 
 ORACLE_SQL = None  # the classifier's fit is not expressible in SQL; tests/llm/test_pipeline.py checks each stage
 

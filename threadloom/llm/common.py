@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from threadloom.plans.stage import stage
 
-KERNEL_BYTES = 4 << 20  # text handed to one call of a numpy kernel; one longer text is a call of its own
+KERNEL_BYTES = 1 << 20  # text handed to one call of a numpy kernel; one longer text is a call of its own
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -36,7 +36,7 @@ BITS = 1024
 LEADERS = 4
 FREQUENT = 65_536  # entries of the list of frequent shingles: half a megabyte, sent to every task
 FREQUENT_AT = 3  # documents of one task's chunk that hold a shingle before it is reported
-CHUNK_SHINGLES = 4_000_000
+CHUNK_SHINGLES = 2_000_000
 BLOCK = 256
 SMALL_SIDE = 1_000_000  # rows of (long) keys, 8 MB, up to which a side travels to the other one
 FANOUT = 8
