@@ -38,7 +38,8 @@ END_ID = 2
 FILE_BYTES = 256 << 20  # a new file begins beyond this size
 FRAME_IDS = 1 << 24  # ids in one frame; a longer document has several
 BATCH_CHARS = 1 << 20
-WORD_END = re.compile(r"(?<=[a-z])([.,])(?= |\Z)")
+COMPOSABLE = re.compile("[^\x00-\u02ff]")
+WORD_END = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,])(?= |\Z)")
 JOINED = 512  # new chunks that one call of the tokenizer encodes as a line
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_TABLE, SKIPPABLE_DOCS, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1, 0x80
@@ -134,9 +135,9 @@ def encoder(tokenizer_file: str) -> PieceCodes:
 
     library = Tokenizer.from_file(tokenizer_file)
 
-    def encode(pieces: list[str]):
+    def lines_of(pieces: list[str]):
         # many chunks a call, a space between them; a token's place in the line tells its chunk
-        flat, lengths = [], np.zeros(len(pieces), np.int64)
+        flat, lengths = [np.zeros(0, np.uint32)], np.zeros(len(pieces), np.int64)
         lines = [pieces[lo:lo + JOINED] for lo in range(0, len(pieces), JOINED)]
         for k, got in enumerate(library.encode_batch([" ".join(x) for x in lines], add_special_tokens=False)):
             width = np.fromiter(map(len, lines[k]), np.int64, len(lines[k])) + 1
@@ -145,16 +146,32 @@ def encoder(tokenizer_file: str) -> PieceCodes:
             lengths[k * JOINED:k * JOINED + len(lines[k])] = np.bincount(chunk, minlength=len(lines[k]))
             flat.append(np.array(got.ids, np.uint32))
         return np.concatenate(flat), lengths
+
+    def encode(pieces: list[str]):
+        # a lower-case ASCII word is its own normal form and one word to the splitter: the model alone decides
+        plain = np.fromiter((p.isascii() and p.isalpha() and p.islower() for p in pieces), bool, len(pieces))
+        other = np.flatnonzero(~plain)
+        tokens = [[t.id for t in library.model.tokenize(pieces[i])] for i in np.flatnonzero(plain).tolist()]
+        flat, lengths = lines_of([pieces[i] for i in other.tolist()])
+        sizes = np.zeros(len(pieces), np.int64)
+        sizes[plain] = [len(t) for t in tokens]
+        sizes[other] = lengths
+        out = np.zeros(int(sizes.sum()), np.uint32)
+        mine = np.repeat(plain, sizes)
+        out[mine] = [i for t in tokens for i in t]
+        out[~mine] = flat
+        return out, sizes
     return PieceCodes(encode)
 
 
 def chunks(text: str) -> list[str]:
     """Pieces that ``encoder`` may encode apart: between spaces, less a comma or stop that ends a word.
 
-    ASCII texts are lower-cased first, as the normaliser would, so that fewer pieces differ; texts
-    that may hold a special token's string, whose case matters, are left as they are.
+    Texts below U+0300, which normalisation cannot compose, are lower-cased first, as the normaliser
+    would, so that fewer pieces differ; texts that may hold a special token's string, whose case
+    matters, are left as they are.
     """
-    if text.isascii() and "<|" not in text:
+    if (text.isascii() or not COMPOSABLE.search(text)) and "<|" not in text:
         text = text.lower()
     return WORD_END.sub(r" \1", text.replace("\n", " ").replace("\t", " ")).split(" ")
 

@@ -7,6 +7,7 @@ encodes the new ones together, and turns whole batches of texts into flat ids wi
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -44,7 +45,7 @@ class PieceCodes(dict):
             self._length = self._length[:0]
             self._pool = self._pool[:0]
         counts = np.array([len(t) for t in texts], np.int64)
-        codes = np.fromiter((self[p] for t in texts for p in t), np.int64, int(counts.sum()))
+        codes = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, int(counts.sum()))
         if self._fresh:
             flat, lengths = self._encode(self._fresh)
             self._start = np.concatenate([self._start, len(self._pool) + np.cumsum(lengths) - lengths])
