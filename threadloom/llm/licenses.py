@@ -2,10 +2,9 @@
 
 Words are runs of ASCII letters, digits and non-ASCII bytes, lower-cased; a text's 5-word shingles
 are cut into blocks of L shingles, and every two neighbouring blocks are a window. A template of m
-shingles is sought in windows of the least L >= m (L a power of two, 4 at least), so an occurrence
-of it lies whole in some window, and its Jaccard similarity to that window is at least
-0.8 m / (2 L + 0.2 m) > 0.19, or 0.1 for templates of one shingle. With 64 bands of one row the chance that
-no band agrees is below 0.81^64 = 1.4e-6 (0.9^64 = 1.2e-3 at one shingle at worst, found whole: 2e-4).
+shingles is sought in windows of the least L >= m (L a power of two), so an occurrence of it lies whole
+in some window, and its Jaccard similarity to that window is at least 0.8 m / (2 L + 0.2 m) > 0.19. With
+64 bands of one row the chance that no band agrees is below 0.81^64 = 1.4e-6 for each occurrence.
 Each retrieved template is verified exactly: the share of its distinct shingles that the window holds.
 """
 
@@ -21,7 +20,7 @@ from threadloom.llm import words as W
 from threadloom.llm.common import mix, text_slices
 
 BANDS, SHINGLE, CONTAINED = 64, 5, 0.8
-LEAST_BLOCK = 4
+LEAST_BLOCK = 1
 
 # Notices and grants of public licenses, as their texts state them.
 TEMPLATES = (
@@ -87,7 +86,6 @@ def find(data: np.ndarray, off: np.ndarray, by_block) -> list[tuple[int, str, in
     size = np.diff(bounds)
     block, n_blocks = 0, size
     mins = [every * s for s in SEEDS]
-    levels = []
     for length in sorted(by_block):
         while block < length:
             step = length if not block else 2
@@ -115,7 +113,6 @@ def find(data: np.ndarray, off: np.ndarray, by_block) -> list[tuple[int, str, in
                 if share >= CONTAINED:
                     at = np.flatnonzero(np.isin(every[lo:hi], own))
                     found.append((t, name, int(lo - bounds[t] + at[0]), int(lo - bounds[t] + at[-1] + 1), share))
-        levels.append(length)
     return found
 
 
