@@ -361,7 +361,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay when of each group of similar documents the smallest id stays."""
     groups = similar_groups(docs)
     keep = stage(groups.where("doc_id is null or doc_id = component_id"), "kept-ids")
-    kept = keep.where("doc_id is not null").select("doc_id").distinct()
+    kept = if_small(stage(keep.where("doc_id is not null").select("doc_id").distinct(), "kept-distinct"), SMALL_SIDE)
     stay = docs.join(kept, docs["doc_id"] == kept["doc_id"], "left_semi")
     n, ids = keep.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
     if n != ids:  # repeated rows: one of each id stays

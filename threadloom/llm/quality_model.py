@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import stage
 from threadloom.llm.quality_rules import measure, row_struct
 
-MAX_LABELLED = 20_000  # labelled rows that are gathered to fit the model, chosen by hash of doc_id
+MAX_LABELLED = 6_000  # labelled rows that are gathered to fit the model, chosen by hash of doc_id
 TREES, DEPTH, BINS, RATE = 40, 3, 32, 0.3
 PENALTY, STEPS = 1e-3, 400
 CUT = 0.3
@@ -108,14 +108,16 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 7) -> RuleMo
     paths = list(dict.fromkeys(tuple(sorted(set(p))) for p in paths if all(k < len(cuts[j]) for j, _, k in p)))
     if not paths:
         return RuleModel(base, ())
-    z = np.stack([_holds(codes, p) for p in paths], 1).astype(np.float64)
-    distinct = np.unique(z, axis=1, return_index=True)[1]  # rules that hold on the same rows count once
-    paths, z = [paths[i] for i in sorted(distinct)], z[:, sorted(distinct)]
-    scale = np.maximum(z.std(0), 1e-6)
-    w, b, mom, t = np.zeros(z.shape[1]), base, np.zeros(z.shape[1]), 1.0
-    zs = z / scale
+    masks: dict[bytes, tuple] = {}  # rules that hold on the same rows count once
+    for path in paths:
+        masks.setdefault(np.packbits(_holds(codes, path)).tobytes(), path)
+    paths = list(masks.values())
+    zs = np.stack([np.unpackbits(np.frombuffer(m, np.uint8), count=len(y)) for m in masks], 1).astype(np.float64)
+    scale = np.maximum(zs.std(0), 1e-6)
+    zs /= scale
+    w, b, mom, t = np.zeros(zs.shape[1]), base, np.zeros(zs.shape[1]), 1.0
     # largest curvature of the smooth part, by power iteration: the step of the proximal method
-    v = np.ones(z.shape[1])
+    v = np.ones(zs.shape[1])
     for _ in range(20):
         v = zs.T @ (zs @ v)
         v /= np.linalg.norm(v)

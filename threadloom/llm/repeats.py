@@ -365,7 +365,8 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # texts whose only repeats are inside them are cut later, so they are kept as well
     inner = distinct.where("size(own) > 0").select("k", F.col("rep").alias("_rep"), "own")
     asked = asked.join(inner, "k", "full_outer").select(F.col("k").alias("_k"), F.coalesce("rep", "_rep").alias("_one"), "few", "hot", "own")
-    texts = settle(held.join(asked, (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_one")))
+    # texts are joined alike at every size: both sides shuffled, neither sent whole to the other
+    texts = settle(held.join(asked.hint("merge"), (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_one")))
                    .select("k", "text", "few", "hot", "own"), "repeat-passages")
     few = texts.where("size(few) > 0").select("k", "text", "few").mapInArrow(_cut("few", "h"), PASSAGE)
     runs, passages = _split_hot(texts, texts.select("k", F.explode("hot").alias("a")).select("k", "a.*"))
@@ -419,7 +420,7 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
     empty result. Extra columns are ignored.
     """
     rows, texts, spans = find_repeats(docs)
-    cut = texts.join(spans, "k").mapInArrow(_digests, "k binary, removed bigint, spans bigint, kept string")
+    cut = texts.join(spans.hint("merge"), "k").mapInArrow(_digests, "k binary, removed bigint, spans bigint, kept string")
     whole = F.expr(f"copies > 1 and n_bytes >= {WINDOW}")
     # a text with copies is removed whole; joining only the others keeps one row a key
     met = rows.where(~whole).join(cut.dropDuplicates(["k"]), "k", "left")
@@ -453,7 +454,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     copied = rows.where(f"copies > 1 and n_bytes >= {WINDOW}").select(F.col("k").alias("_k"), F.lit(True).alias("_copied")).dropDuplicates(["_k"])
     # whole rows travel as one struct, whatever their columns are called
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).withColumn("_k", text_key(F.col("_row.text")))
-    met = keyed.join(spans.select(F.col("k").alias("_k"), F.col("runs").alias("_runs")), "_k", "left").join(copied, "_k", "left")
+    met = (keyed.join(spans.select(F.col("k").alias("_k"), F.col("runs").alias("_runs")).hint("merge"), "_k", "left")
+           .join(copied.hint("merge"), "_k", "left"))
     text = F.col("_row.text")
     text = F.when(F.col("_copied"), F.lit("")).when(F.col("_runs").isNull(), text).otherwise(F.pandas_udf(_without, "string")(text, "_runs"))
     return met.select(*[(text if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
