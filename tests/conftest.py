@@ -20,7 +20,7 @@ MESSAGE_SCHEMA = ("event_id string, event_sequence bigint, workspace_id string,
 
 
 def make_messages(spark, rows):
-    """rows: (sequence, ts, text, thread_ts) like the reference's test helper; workspace T1, channel C1, user U1."""
+    """rows: (sequence, ts, text, thread_ts); workspace T1, channel C1, user U1."""
     import datetime as dt
 
     data = [(f"Ev{seq}", seq, "T1", "C1", ts, thread, "U1", None, text, None, dt.datetime(2026, 8, 11))

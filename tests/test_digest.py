@@ -72,3 +72,55 @@ def test_window_gap_boundary(spark):
     sel = msgs.select(F.lit("c").alias("consumer_id"), *inbox.NARROW)
     g = digest.group_messages(sel, ["consumer_id"], 300).groups.orderBy("first_secs").collect()
     assert [x.n_messages for x in g] == [2, 1]
+
+
+THREAD = [(1, "1000.0", "opening", None), (2, "1010.0", "one", "1000.0"), (3, "1020.0", "two", "1000.0"), (4, "1030.0", "three", "1000.0")]
+KEYS = "workspace_id string, channel_id string, thread_ts string"
+
+
+def read_thread(spark, **options):
+    import datetime as dt
+    msgs = inbox.digest_ready(make_messages(spark, THREAD))
+    keys = spark.createDataFrame([("T1", "C1", "1000.0")], KEYS)
+    _, b = digest.thread_digest(msgs, keys, dt.datetime(2026, 8, 12), 4000, **options)
+    return b.groups.first(), [r.event_id for r in b.messages.orderBy("position").collect()]
+
+
+def test_thread_digest_after_a_marker_repeats_the_root(spark):
+    marker = spark.createDataFrame([("T1", "C1", "1000.0", "1010.0")], KEYS + ", after_ts string")
+    group, ids = read_thread(spark, markers=marker)
+    assert ids == ["Ev1", "Ev3", "Ev4"] and group.kind == "thread"
+
+
+def test_thread_digest_without_root(spark):
+    group, ids = read_thread(spark, include_root=False)
+    assert ids == ["Ev2", "Ev3", "Ev4"] and group.thread_ts == "1000.0"
+
+
+def test_thread_read_left_with_its_root_is_a_window(spark):
+    marker = spark.createDataFrame([("T1", "C1", "1000.0", "1030.0")], KEYS + ", after_ts string")
+    group, ids = read_thread(spark, markers=marker)
+    assert ids == ["Ev1"] and group.kind == "channel_window"
+
+
+def test_empty_inbox_has_a_summary_row(spark):
+    import datetime as dt
+    msgs = inbox.digest_ready(make_messages(spark, THREAD))
+    acks = msgs.select(F.lit("done").alias("consumer_id"), "event_id", F.col("observed_at").alias("acknowledged_at"))
+    _, b = digest.inbox_digest(msgs, acks, ["done", "new"], dt.datetime(2026, 8, 12), 4000)
+    rows = {r.consumer_id: r for r in b.summary.collect()}
+    assert (rows["done"].n_groups, rows["done"].has_more, rows["done"].upper_sequence) == (0, False, 4)
+    assert rows["new"].n_delivered == 1
+
+
+def test_json_digest_has_names_and_no_payload(spark, tmp_path):
+    b = run_batch(spark, THREAD, 4000)
+    ws = spark.createDataFrame([("T1", "Team One")], "workspace_id string, workspace_name string")
+    ch = spark.createDataFrame([("T1", "C9", "other")], "workspace_id string, channel_id string, channel_name string")
+    digest.write_digest(b, ws, ch, str(tmp_path / "out"))
+    docs = [json.loads(line) for f in (tmp_path / "out").glob("part-*") for line in f.read_text().splitlines()]
+    assert len(docs) == 1
+    group = docs[0]["group"]
+    assert group["workspaceName"] == "Team One" and "channelName" not in group
+    assert [m["eventId"] for m in group["messages"]] == ["Ev1", "Ev2", "Ev3", "Ev4"]
+    assert all(set(m) <= {"eventId", "messageTs", "userId", "subtype", "text", "textContinues"} for m in group["messages"])

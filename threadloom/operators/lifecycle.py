@@ -1,7 +1,7 @@
 """Connection lifecycle: downtime suggestions, suggestion list, health.
 
 Input log: source, at (timestamp), kind in ('connected', 'disconnected', 'event'), seq
-(tie order). Many sources are handled at once; a source is one observer.
+(tie order). Many sources are handled at once; a source is one connection.
 """
 
 from __future__ import annotations

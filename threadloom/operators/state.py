@@ -1,6 +1,6 @@
 """Latest-state tables from append logs (D6, D7, D10, D11) and the metadata-due test (M3).
 
-The reference upserts rows in place; here every change is an appended log row and the
+Rows are never updated in place: every change is an appended log row and the
 state is an aggregate per key (``max_by`` on the change time), so the log can be
 replayed, compacted or read at any ``as_of``.
 """

@@ -557,6 +557,16 @@ def q_list_channels(spark, sf_dir):
                       F.unix_seconds("last_observed_at").alias("last_observed_secs"), "workspace_ref", "channel_ref")
 
 
+@register("message_names", osql.with_ctes(TM, """
+SELECT m.event_id, m.workspace_id, w.workspace_name, m.channel_id, c.channel_name FROM messages m
+LEFT JOIN wsmeta w ON w.workspace_id = m.workspace_id
+LEFT JOIN chmeta c ON c.workspace_id = m.workspace_id AND c.channel_id = m.channel_id"""))
+def q_message_names(spark, sf_dir):
+    """N16 on messages."""
+    msgs, _, _, ws, ch = _targets_meta(spark, sf_dir)
+    return reports.with_names(msgs, ws, ch).select("event_id", "workspace_id", "workspace_name", "channel_id", "channel_name")
+
+
 @register("status", osql.with_ctes(TM, """
 SELECT (SELECT count(*) FROM messages) AS events, (SELECT max(observed_secs) FROM messages) AS last_received_secs,
        (SELECT count(*) FROM messages) AS messages,
