@@ -18,8 +18,8 @@ from threadloom.llm.common import stage
 from threadloom.llm.quality_rules import measure, row_struct
 
 MAX_LABELLED = 6_000  # labelled rows that are gathered to fit the model, chosen by hash of doc_id
-TREES, DEPTH, BINS, RATE = 40, 3, 32, 0.3
-PENALTY, STEPS = 1e-3, 400
+TREES, DEPTH, BINS, RATE = 24, 3, 32, 0.3
+PENALTY, STEPS = 4e-3, 400
 CUT = 0.3
 
 # Statistics the rules read; SQL over the columns of ``quality_rules.measure``.
@@ -44,15 +44,17 @@ class RuleModel:
 
     def score(self) -> Column:
         """The probability of label 1 as one expression over ``quality_rules.measure`` columns."""
-        total = F.lit(float(self.intercept))
+        terms = [F.lit(float(self.intercept))]
         for weight, tests in self.rules:
             cond = None
             for name, above, cut in tests:
                 x = F.expr(FEATURES[name])
                 test = x > F.lit(float(cut)) if above else x <= F.lit(float(cut))
                 cond = test if cond is None else cond & test
-            total = total + F.when(cond, F.lit(float(weight))).otherwise(F.lit(0.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+            terms.append(F.when(cond, F.lit(float(weight))).otherwise(F.lit(0.0)))
+        while len(terms) > 1:  # pairwise, so that the expression is as shallow as it can be
+            terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) // 2 * 2:]
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-terms[0]))
 
 
 def _tree_paths(codes: np.ndarray, grad: np.ndarray, hess: np.ndarray, rows: np.ndarray, depth: int, path, out, gain, step) -> None:
