@@ -26,7 +26,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -430,32 +429,45 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
         "doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(EMPTY).alias("kept_sha256")))
 
 
-def _without(text, runs):
-    """The texts less their repeated bytes; a code point goes only when all its bytes do."""
-    out = []
-    for t, r in zip(text, runs):
-        if r is None or t is None:
-            out.append(t)
-            continue
-        data = np.frombuffer(t.encode(), np.uint8)
-        start, end = removed_spans(np.array([x["lo"] for x in r]), np.array([x["hi"] for x in r]))
-        tail = np.append((data & 0xC0) == 0x80, False)  # bytes inside a code point
-        while tail[start].any():
-            start = start + tail[start]
-        while tail[end].any():
-            end = end - tail[end]
-        out.append(_kept(data, start, end).tobytes().decode())
-    return pd.Series(out, dtype=object)
+def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (``_row`` struct, ``_runs``, ``_copied``) in; ``_row`` with its text less the repeated bytes out.
+
+    A code point goes only when all its bytes do.
+    """
+    for batch in batches:
+        row, copied = batch.column("_row"), batch.column("_copied").to_pylist()
+        at = row.type.get_field_index("text")
+        text = row.field(at)
+        data, off = utf8(text)
+        owner, run = _list_column(batch, "runs")
+        first = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+        out = []
+        for i, whole in enumerate(copied):
+            if whole:
+                out.append("")
+            elif first[i] == first[i + 1]:
+                out.append(text[i].as_py())
+            else:
+                part = data[off[i]:off[i + 1]]
+                start, end = removed_spans(run["lo"][first[i]:first[i + 1]], run["hi"][first[i]:first[i + 1]])
+                tail = np.append((part & 0xC0) == 0x80, False)  # bytes inside a code point
+                while tail[start].any():
+                    start = start + tail[start]
+                while tail[end].any():
+                    end = end - tail[end]
+                out.append(_kept(part, start, end).tobytes().decode())
+        fields = [pa.array(out, f.type) if k == at else row.field(k) for k, f in enumerate(row.type)]
+        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(row.type))], names=["_row"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with every repeated byte string cut out of ``text``; rows and other columns stay."""
+    """``docs`` with every repeated byte string cut out of ``text``; rows and other columns stay.
+
+    Whole rows travel as one struct, whatever their columns are called.
+    """
     rows, _, spans = find_repeats(docs)
     copied = rows.where(f"copies > 1 and n_bytes >= {WINDOW}").select(F.col("k").alias("_k"), F.lit(True).alias("_copied")).dropDuplicates(["_k"])
-    # whole rows travel as one struct, whatever their columns are called
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).withColumn("_k", text_key(F.col("_row.text")))
-    met = (keyed.join(spans.select(F.col("k").alias("_k"), F.col("runs").alias("_runs")).hint("merge"), "_k", "left")
-           .join(copied.hint("merge"), "_k", "left"))
-    text = F.col("_row.text")
-    text = F.when(F.col("_copied"), F.lit("")).when(F.col("_runs").isNull(), text).otherwise(F.pandas_udf(_without, "string")(text, "_runs"))
-    return met.select(*[(text if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    met = (keyed.join(spans.select(F.col("k").alias("_k"), "runs").hint("merge"), "_k", "left")
+           .join(copied.hint("merge"), "_k", "left").select("_row", "runs", "_copied"))
+    return met.mapInArrow(_strip, keyed.select("_row").schema).select("_row.*")
