@@ -18,7 +18,7 @@ ENGINE_DEFAULTS = {
     # budgets go up to 100000, so let the map-side window group limit cover k <= 5000.
     "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
     # Python workers hold a few batches at a time; long texts make batches by bytes, not by rows.
-    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
