@@ -84,24 +84,27 @@ def find(data: np.ndarray, off: np.ndarray, by_block) -> list[tuple[int, str, in
         return []
     found = []
     size = np.diff(bounds)
-    block, n_blocks = 0, size
-    mins = [every * s for s in SEEDS]
+    block, n_blocks = 1, size
+    # a block of one shingle is its own minimum in every band, so one band is all of them
+    mins = [every * SEEDS[0]]
     for length in sorted(by_block):
+        if length > 1 and len(mins) == 1:
+            mins = [every * s for s in SEEDS]
         while block < length:
-            step = length if not block else 2
+            step = length if block == 1 else 2
             new = -(-n_blocks // step)
             first = np.concatenate([[0], np.cumsum(n_blocks)])[:-1]
             base = np.concatenate([[0], np.cumsum(new)])
             cut = np.repeat(first - step * base[:-1], new) + step * np.arange(base[-1])
             mins = [np.minimum.reduceat(m, cut) for m in mins]
-            block, n_blocks = (length if not block else 2 * block), new
+            block, n_blocks = step * block, new
         text = np.repeat(np.arange(len(size)), n_blocks)
         paired = np.append(text[1:] == text[:-1], False)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
         for name, own, sign in by_block[length]:
             hit = np.zeros(len(text), bool)
-            for k in range(BANDS):
-                hit |= mins[k] == sign[k]
+            for least, own_least in zip(mins, sign):
+                hit |= least == own_least
             # a window is a block and the next; it collides when either of its blocks has the least value
             hit[:-1] |= hit[1:] & paired[:-1]
             for w in np.flatnonzero(hit):
