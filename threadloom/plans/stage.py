@@ -33,13 +33,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_so_far() -> int:
+    """A mark for ``drop_between``."""
+    return len(_made)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_between(first: int, last: int) -> None:
+    """Delete the folders made between two marks: an operator's steps, once its result is staged itself."""
+    for spark, path in _made[first:last]:
+        _delete(spark, path)
+    del _made[first:last]
+
+
 def drop_staged() -> None:
     """Delete every folder made by this driver; results that still read one must be written before."""
     while _made:
-        spark, path = _made.pop()
         try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(*_made.pop())
         except Exception:  # noqa: BLE001  the session, or its JVM, is gone
             return
 
