@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.plans.stage import stage
+from threadloom.plans.stage import drop_between, stage, staged_so_far
 
 KERNEL_BYTES = 1 << 20  # text handed to one call of a numpy kernel; one longer text is a call of its own
 
@@ -81,6 +81,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def finish(first: int, *results: DataFrame) -> list[DataFrame]:
+    """Stage an operator's (small) results and delete what it staged since mark ``first``."""
+    last = staged_so_far()
+    out = [stage(df, "result") for df in results]
+    drop_between(first, last)
+    return out
+
+
 def if_small(df: DataFrame, rows: int) -> DataFrame:
     """A staged ``df``, marked for broadcast when it has at most ``rows`` rows; else Spark shuffles both sides."""
     return F.broadcast(df) if df.count() <= rows else df

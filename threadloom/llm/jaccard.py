@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm import words as W
-from threadloom.llm.common import components, if_small, lists, mix, settle, stage, text_slices
+from threadloom.llm.common import components, finish, if_small, lists, mix, settle, stage, staged_so_far, text_slices
 
 SHINGLE = 5
 BITS = 1024
@@ -319,6 +319,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     link with nothing and have a null component. Rows of one id are one document with several texts:
     it has the links of all of them. An empty table gives an empty result.
     """
+    first_step = staged_so_far()
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sc = docs.sparkSession.sparkContext
     frequent = sc.broadcast(frequent_shingles(docs))
@@ -354,7 +355,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
               .select("doc_id", "n_shingles", "component_id"))
     alone = features.where("doc_id is null or n = 0").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("doc_id")).alias("component_id"))
-    return linked.unionByName(alone)
+    return finish(first_step, linked.unionByName(alone))[0]
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:

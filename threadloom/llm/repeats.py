@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm import words as W
-from threadloom.llm.common import mix, settle, slices, stage, text_slices, utf8
+from threadloom.llm.common import finish, mix, settle, slices, stage, staged_so_far, text_slices, utf8
 
 WINDOW, GRAM = 400, 32
 SPREAD = WINDOW - GRAM + 1  # places an anchor may take in a window
@@ -134,7 +134,7 @@ def _anchor_lists(text: np.ndarray, columns: dict[str, np.ndarray], n: int) -> p
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, off in text_slices(batches, "text", 1 << 20):
+    for rows, data, off in text_slices(batches, "text", 1 << 19):
         raw = data.tobytes()
         sha = [hashlib.sha256(raw[a:z]) for a, z in zip(off[:-1].tolist(), off[1:].tolist())]
         (text, h, p, i0, i1), (own, lo, hi) = own_repeats(data, off, _text_anchors(data, off))
@@ -229,10 +229,11 @@ def repeated_windows(group: np.ndarray, p: np.ndarray, i0: np.ndarray, i1: np.nd
     lead, size = (p - i0).astype(np.int64), (i1 - i0 + WINDOW).astype(np.int64)
     left = int(lead.max())
     width = left + int((size - lead).max())
-    columns = np.full((width, m), END, np.uint16)
-    who = np.repeat(np.arange(m), size)
-    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    columns[left - lead[who] + step, who] = np.frombuffer(b"".join(passages), np.uint8)
+    aligned = np.full((m, width), END, np.uint16)
+    for row, begin, passage in zip(aligned, (left - lead).tolist(), passages):
+        row[begin:begin + len(passage)] = np.frombuffer(passage, np.uint8)
+    columns = np.ascontiguousarray(aligned.T)
+    del aligned
     # before the first round: empty suffixes, by group; ``common`` is of a suffix and the one before it
     order = np.argsort(group, kind="stable")
     common = np.zeros(m + 1, np.int32)
@@ -418,6 +419,7 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
     rows goes whole in both; shorter texts hold no 400-byte string and stay. An empty table gives an
     empty result. Extra columns are ignored.
     """
+    first_step = staged_so_far()
     rows, texts, spans = find_repeats(docs)
     cut = texts.join(spans.hint("merge"), "k").mapInArrow(_digests, "k binary, removed bigint, spans bigint, kept string")
     whole = F.expr(f"copies > 1 and n_bytes >= {WINDOW}")
@@ -425,8 +427,9 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
     met = rows.where(~whole).join(cut.dropDuplicates(["k"]), "k", "left")
     part = met.select("doc_id", "n_bytes", F.coalesce("removed", F.lit(0)).alias("n_removed"),
                       F.coalesce("spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
-    return part.unionByName(rows.where(whole).select(
-        "doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(EMPTY).alias("kept_sha256")))
+    gone = rows.where(whole).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"),
+                                    F.lit(EMPTY).alias("kept_sha256"))
+    return finish(first_step, part.unionByName(gone))[0]
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -465,8 +468,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Whole rows travel as one struct, whatever their columns are called.
     """
+    first_step = staged_so_far()
     rows, _, spans = find_repeats(docs)
     copied = rows.where(f"copies > 1 and n_bytes >= {WINDOW}").select(F.col("k").alias("_k"), F.lit(True).alias("_copied")).dropDuplicates(["_k"])
+    spans, copied = finish(first_step, spans, copied)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).withColumn("_k", text_key(F.col("_row.text")))
     met = (keyed.join(spans.select(F.col("k").alias("_k"), "runs").hint("merge"), "_k", "left")
            .join(copied.hint("merge"), "_k", "left").select("_row", "runs", "_copied"))
