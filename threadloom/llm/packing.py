@@ -24,7 +24,7 @@ from threadloom.llm import words as W
 from threadloom.llm.common import utf8
 
 CAPACITIES = (256, 512, 1024, 2048, 4096)
-GROUP_ROWS, GROUP_BYTES = 20_000, 48 << 20
+GROUP_ROWS, GROUP_BYTES = 20_000, 16 << 20
 SCHEMA = ("doc_id bigint, piece int, start bigint, n_units bigint, bin_id bigint, bin_capacity int, bin_offset int")
 
 
