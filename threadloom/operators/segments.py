@@ -69,6 +69,9 @@ def next_segment(messages: DataFrame, budget: int, offset_col: str | None = None
 # ---------------------------------------------------------------- G11, all segments
 
 
+SEGMENT_ROWS = 8192  # segments handed on together
+
+
 def _escaped_lengths(text: str) -> np.ndarray:
     """JSON-escaped UTF-8 bytes of every code point of ``text``."""
     cps = np.frombuffer(text.encode("utf-32-le"), dtype="<u4") if text else np.zeros(0, dtype="<u4")
@@ -113,8 +116,8 @@ def all_segments(messages: DataFrame, budget: int) -> DataFrame:
 
     One output row per segment: event_id, seg_no (1-based), seg_start, seg_end, text_continues,
     seg_cost, stalled, seg_text. A text that cannot go on ends with a row whose ``stalled`` is true.
-    The chain of one text is sequential and runs in ``mapInPandas``, text by text, so a batch's
-    segments are never held together; Spark spreads the messages over tasks.
+    The chain of one text is sequential and runs in ``mapInPandas``, which hands on
+    segments in frames of bounded size; Spark spreads the messages over tasks.
     """
     if budget < MIN_BUDGET:
         raise ValueError("budget must be at least 128")
@@ -124,14 +127,22 @@ def all_segments(messages: DataFrame, budget: int) -> DataFrame:
         "event_id", "message_ts", "user_id", "subtype", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     columns = ["event_id", "seg_no", "seg_start", "seg_end", "text_continues", "seg_cost", "stalled", "seg_text"]
 
+    def frame(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype(
+            {"seg_no": "int64", "seg_start": "int64", "seg_end": "int64", "text_continues": "Int64", "seg_cost": "int64"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list = []
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 base = _base_bytes(r.event_id, r.message_ts, r.user_id, r.subtype)
-                rows = [(r.event_id, no, a, b, cont, cost, stalled, r.text[a:b])
-                        for no, (a, b, cont, cost, stalled) in enumerate(_segments_of(r.text, base, budget), start=1)]
-                yield pd.DataFrame(rows, columns=columns).astype(
-                    {"seg_no": "int64", "seg_start": "int64", "seg_end": "int64", "text_continues": "Int64", "seg_cost": "int64"})
+                for no, (a, b, cont, cost, stalled) in enumerate(_segments_of(r.text, base, budget), start=1):
+                    rows.append((r.event_id, no, a, b, cont, cost, stalled, r.text[a:b]))
+                    if len(rows) >= SEGMENT_ROWS:
+                        yield frame(rows)
+                        rows = []
+        if rows:
+            yield frame(rows)
 
     schema = ("event_id string, seg_no bigint, seg_start bigint, seg_end bigint, text_continues bigint, "
               "seg_cost bigint, stalled boolean, seg_text string")
