@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import byte_bpe, chat, jaccard, licenses, packing, parsing, quality_model, quality_rules, repeats, token_files
+from threadloom.llm import (
+    byte_bpe, chat, jaccard, licenses, packing, parsing, quality_model, quality_rules, repair, repeats, spelling, token_files, urls,
+)
 from threadloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +145,43 @@ def op9(spark, sf_dir):
 @register("op10_best_fit_packing")
 def op10(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with a fifth of their rows damaged, by crc32 of ``conv_id:turn`` modulo 20; nulls are one space."""
+    fill = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    kind = F.crc32(F.concat(fill[0], F.lit(":"), fill[1]).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", fill[2].alias("role"), fill[3].alias("text"), kind.alias("kind")).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies.alias("copy"))
+
+
+@register("op11_conversation_repair")
+def op11(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair_digests(damaged(turns), turns)
+
+
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+URL_SQL = """
+WITH p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r(rhost, rpath, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                                    ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fit AS (SELECT page_id, host, path, CASE WHEN (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) THEN rhost || rpath END AS rule, verdict
+        FROM h CROSS JOIN r),
+best AS (SELECT page_id, host, path, max_by(struct_pack(rule := rule, verdict := verdict), length(rule)) AS b, count(*) / 5 AS copies
+         FROM fit GROUP BY page_id, host, path)
+SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verdict FROM best, range(CAST(copies AS BIGINT))"""
+
+
+@register("op12_url_filter", URL_SQL)
+def op12(spark, sf_dir):
+    return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), spark.createDataFrame(URL_RULES, "rule string, verdict string"))
+
+
+@register("op13_spelling_variants")
+def op13(spark, sf_dir):
+    return spelling.variant_groups(table(spark, sf_dir, "documents"), damage=spelling.drop_one_letter(97))
