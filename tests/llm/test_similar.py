@@ -122,7 +122,7 @@ def test_tree_never_prunes_a_link():
             if 100 * both >= 80 * (n[a] + n[b] - both):
                 pairs += 1
                 assert (a, b) in found
-                assert jaccard.may_reach(wide[a], int(n[a]), wide[b], int(n[b]))
+                assert jaccard.reachable([w.tobytes() for w in (wide[a], wide[b])], n[[a, b]], np.array([0]), np.array([1])).all()
     assert pairs > 50 and len(found) < 0.2 * len(sets) ** 2 / 2
 
 

@@ -9,14 +9,14 @@ each document's component. Nothing is approximate beyond 64-bit hashes of shingl
    shingles count as frequent is a bounded list; it steers cost, never results.
 3. Leaders: classes of like size with an equal minimum hash are compared with the smallest of them.
    Verified pairs give first components, so a large group of near copies is a star, not all pairs.
-4. Only prefix shingles that are shared by different components go on. Two documents that share one are a
-   pair. Each larger group is a signature tree: nodes hold the OR of their documents' shingle bitmaps, their range of sizes and
+4. Only prefix shingles that are shared by different components go on, one of those with the same documents.
+   Each such group is a signature tree: nodes hold the OR of their documents' shingle bitmaps, their range of sizes and
    the most shingles that share a bit. Two nodes are traversed together and dropped as soon as the
-   largest overlap they allow is below what 0.8 needs, or both lie in one component.
+   largest overlap they allow is below what 0.8 needs, or both lie in one component. Pairs of leaves are bounded once more, in the
+   task, by signatures that grow with the documents (2 to 4 bits a shingle); only what they leave is put out.
    Groups over BLOCK rows are dealt into blocks; rows of the group's main component meet only the
    others, and every key holds at most 2 * BLOCK rows.
-5. Each distinct pair is bounded once more by signatures that grow with the documents (2 to 4 bits a
-   shingle), then verified on the whole sets; links are contracted to components.
+5. Each distinct pair is verified on the whole sets; links are contracted to components.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ CHUNK_SHINGLES = 2_000_000
 BLOCK = 256
 SMALL_SIDE = 1_000_000  # rows of (long) keys, 8 MB, up to which a side travels to the other one
 FANOUT = 8
+PAIRS = 4096  # pairs whose signatures are compared together
 
 
 def _at_least(n: np.ndarray) -> np.ndarray:
@@ -89,27 +90,34 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def fold(bits: np.ndarray, size: int) -> np.ndarray:
     """The bitmap of the same set with ``size`` bits: neighbours are ORed."""
+    if 64 * len(bits) == size:
+        return bits
     marks = np.unpackbits(bits.view(np.uint8))
     return np.packbits(marks.reshape(size, -1).any(1)).view(np.uint64)
 
 
-def may_reach(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> bool:
-    """Whether two sets with these signatures and sizes may have similarity 0.8."""
-    size = 64 * min(len(a), len(b))
-    if len(a) != len(b):
-        a, b = (fold(a, size), b) if len(a) > len(b) else (a, fold(b, size))
-    ca, cb, both = (int(np.bitwise_count(x).sum()) for x in (a, b, a & b))
+def may_reach(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether sets with signatures ``a[k]``, ``b[k]`` (rows of one width) and these sizes may have similarity 0.8."""
+    ca, cb, both = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (a, b, a & b))
     # a bit of one alone is a shingle of it that the other lacks; shingles beyond one a bit may be shared
-    most = min(both + min(na - ca, nb - cb), na - (ca - both), nb - (cb - both))
+    most = np.minimum(both + np.minimum(na - ca, nb - cb), np.minimum(na - (ca - both), nb - (cb - both)))
     return 9 * most >= 4 * (na + nb)
 
 
-def _reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cols = {c: batch.column(c).to_pylist() for c in batch.schema.names}
-        keep = [may_reach(np.frombuffer(x, np.uint64), na, np.frombuffer(y, np.uint64), nb)
-                for x, na, y, nb in zip(cols["bits_a"], cols["na"], cols["bits_b"], cols["nb"])]
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+def reachable(signatures: list[bytes], size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``may_reach`` of the pairs (i, j) of sets, each at the lesser of its two widths; pairs of equal widths are tested as matrices."""
+    width = np.array([len(x) for x in signatures], np.int64)
+    out = (5 * size[i] >= 4 * size[j]) & (5 * size[j] >= 4 * size[i])
+    least = np.minimum(width[i], width[j])
+    for w in np.unique(least[out]).tolist():
+        at = np.flatnonzero(out & (least == w))
+        used, back = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        rows = np.stack([fold(np.frombuffer(signatures[k], np.uint64), 8 * w) for k in used.tolist()])
+        x, y = back[:len(at)], back[len(at):]
+        for s in range(0, len(at), PAIRS):  # so that the matrices of a chunk stay small
+            part = slice(s, s + PAIRS)
+            out[at[part]] = may_reach(rows[x[part]], size[i[at[part]]], rows[y[part]], size[j[at[part]]])
+    return out
 
 
 # ---------------------------------------------------------------- features of a document
@@ -214,12 +222,13 @@ def tree_pairs(bits: np.ndarray, size: np.ndarray, comp: np.ndarray, side: np.nd
 
 
 def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key (t, x, y), one signature tree for each key; emits candidate pairs."""
+    """Rows sorted by key (t, x, y), one signature tree for each key; emits the pairs that whole signatures leave."""
     tail = None
 
     def pairs(table: pa.Table):
         rep, comp, size, side = (table.column(c).to_numpy() for c in ("rep", "comp", "n", "side"))
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        signatures = table.column("bits").to_pylist()
+        bits = np.stack([fold(np.frombuffer(x, np.uint64), BITS) for x in signatures])
         key = np.stack([table.column(c).to_numpy() for c in ("t", "x", "y")], 1)
         begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
         length = np.diff(begin, append=len(key))
@@ -230,7 +239,7 @@ def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(at):
                 i, j = np.triu_indices(m, 1)
                 a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                keep = may_link(level, a, b)
+                keep = np.flatnonzero(may_link(level, a, b))
                 left.append(a[keep])
                 right.append(b[keep])
         for at, m in zip(begin[length > FANOUT].tolist(), length[length > FANOUT].tolist()):
@@ -240,9 +249,13 @@ def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             right.append(b + at)
         if not left:
             return None
-        a, b = rep[np.concatenate(left)], rep[np.concatenate(right)]
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        both = both[both[:, 0] != both[:, 1]]
+        a, b = np.concatenate(left), np.concatenate(right)
+        # equal pairs of several groups are tested once
+        _, once = np.unique(np.stack([np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])], 1), axis=0, return_index=True)
+        a, b = a[once], b[once]
+        keep = (rep[a] != rep[b]) & reachable(signatures, size, a, b)
+        a, b = rep[a[keep]], rep[b[keep]]
+        both = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
     for batch in batches:
@@ -264,15 +277,8 @@ def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- the join
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets reach similarity 0.8, staged."""
-    def side(x: str) -> DataFrame:
-        return reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.coalesce("wide", "bits").alias(f"bits_{x}"))
-
-    sized = pairs.join(reps.select(F.col("rep").alias("a"), F.col("n").alias("_na")), "a").join(
-        reps.select(F.col("rep").alias("b"), F.col("n").alias("_nb")), "b").where("5 * least(_na, _nb) >= 4 * greatest(_na, _nb)").select("a", "b")
-    bounded = sized.join(side("a"), "a").join(side("b"), "b").mapInArrow(_reachable, "a bigint, b bigint")
-    near = settle(bounded, f"{name}-near")
+def _verified(docs: DataFrame, near: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) of ``near`` whose whole shingle sets reach similarity 0.8, staged."""
     wanted = stage(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
     sets = settle(docs.join(if_small(wanted, SMALL_SIDE), "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, shingles array<bigint>"), f"{name}-sets")
     met = (near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -281,6 +287,23 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, name: str) ->
     return settle(met.where(100 * both >= 80 * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct(), f"{name}-links")
 
 
+def _pairs_left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = batch.num_rows
+        size = np.concatenate([batch.column(c).to_numpy() for c in ("na", "nb")])
+        at = np.arange(n)
+        keep = reachable(batch.column("bits_a").to_pylist() + batch.column("bits_b").to_pylist(), size, at, at + n) if n else np.zeros(0, bool)
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+
+def _bounded(reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and signatures leave."""
+    def side(x: str) -> DataFrame:
+        return reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.coalesce("wide", "bits").alias(f"bits_{x}"))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_pairs_left, "a bigint, b bigint")
+
+
 def _leader_pairs(reps: DataFrame) -> DataFrame:
     """Each class with the smallest class that has an equal minimum hash and a size of the same order."""
     like = reps.select("rep", "n", F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.25))).alias("order"), F.explode("mins").alias("t"))
@@ -328,21 +351,19 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     known = features.where("doc_id is not null and n > 0")
     payload = [F.first(c).alias(c) for c in ("prefix", "mins", "bits", "wide")]
     reps = settle(known.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), *payload), "shingle-classes")
-    first_links = _verified(docs, reps, _leader_pairs(reps), "leaders")
+    first_links = _verified(docs, settle(_bounded(reps, _leader_pairs(reps)), "leaders-near"), "leaders")
     first = stage(components(first_links), "first-components")
     labelled = reps.select("rep", "prefix").join(first.withColumnRenamed("node", "rep"), "rep", "left").select(
         "rep", F.coalesce("component", "rep").alias("comp"), F.explode("prefix").alias("t"))
-    # of a shingle in two documents the two rows are the least and the greatest; others are looked up again
-    ends = F.struct("comp", "rep")
-    shared = settle(labelled.groupBy("t").agg(F.min(ends).alias("lo"), F.max(ends).alias("hi"), F.count("*").alias("c"))
-                    .where("lo.comp < hi.comp").select("t", "c", F.col("lo.rep").alias("a"), F.col("hi.rep").alias("b")), "shared-shingles")
-    couples = shared.where("c = 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crowds = if_small(stage(shared.where("c > 2").select("t", "c"), "crowded-shingles"), SMALL_SIDE)
-    rows = settle(labelled.join(crowds, "t"), "crowd-rows")
-    keyed = _blocks(rows).join(reps.select("rep", "n", "bits"), "rep")
+    # shingles with the same documents (a passage has many) are one group, told by 128 bits of its documents' ids
+    members = labelled.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("s1"),
+                                        F.bit_xor(F.xxhash64("rep", F.lit(SHINGLE))).alias("s2"))
+    groups = settle(members.where("lo < hi").groupBy("c", "s1", "s2").agg(F.min("t").alias("t")).select("t", "c"), "shared-shingles")
+    rows = settle(labelled.join(if_small(groups, SMALL_SIDE), "t"), "shared-rows")
+    keyed = _blocks(rows).join(reps.select("rep", "n", F.coalesce("wide", "bits").alias("bits")), "rep")
     found = _hash_dealt(keyed, "t", "x", "y").mapInArrow(_traverse, "a bigint, b bigint")
-    pairs = settle(couples.unionByName(found).distinct(), "candidate-pairs")
-    links = first_links.unionByName(_verified(docs, reps, pairs, "trees"))
+    pairs = settle(found.distinct(), "candidate-pairs")
+    links = first_links.unionByName(_verified(docs, pairs, "trees"))
     n, ids = known.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
     if n != ids:  # rows of one id are one document: it links the classes of its texts
         several = known.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
