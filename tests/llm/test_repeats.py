@@ -13,7 +13,7 @@ from threadloom.llm import repeats
 W = repeats.WINDOW
 
 
-def brute(texts):
+def brute(texts, W=W):
     """(bytes, removed mask) of each text."""
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[i:i + W] for b in raw for i in range(len(b) - W + 1))
@@ -27,12 +27,23 @@ def brute(texts):
     return out
 
 
-def expected(texts):
+def left_text(b, mask):
+    """What is left as text: a code point goes only when all its bytes do."""
+    at, kept = 0, []
+    for c in b.decode():
+        size = len(c.encode())
+        if not mask[at:at + size].all():
+            kept.append(c)
+        at += size
+    return "".join(kept)
+
+
+def expected(texts, window=W):
     rows = []
-    for i, (b, mask) in enumerate(brute(texts)):
+    for i, (b, mask) in enumerate(brute(texts, window)):
         kept = bytes(np.frombuffer(b, np.uint8)[~mask])
         spans = int(np.diff(np.concatenate([[0], mask.astype(int)])).clip(0).sum())
-        rows.append((i, len(b), int(mask.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        rows.append((i, len(b), int(mask.sum()), spans, hashlib.sha256(kept).hexdigest(), len(kept), left_text(b, mask)))
     return rows
 
 
@@ -49,10 +60,10 @@ def corpus(seed, n=50):
     return texts
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_repeats_equal_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,window", [(1, W), (2, W), (3, 200)])
+def test_repeats_equal_brute_force(spark, seed, window):
     texts = corpus(seed)
-    assert sorted(tuple(r) for r in repeats.repeat_digests(frame(spark, texts)).collect()) == expected(texts)
+    assert sorted(tuple(r) for r in repeats.repeat_digests(frame(spark, texts), window).collect()) == expected(texts, window)
 
 
 def test_large_groups_are_split(spark, monkeypatch):
@@ -85,18 +96,13 @@ def test_ids_nulls_and_empty(spark):
     assert repeats.repeat_digests(df.where("false")).collect() == []
 
 
-def test_remove_repeats_cuts_whole_code_points(spark):
+@pytest.mark.parametrize("window", [W, 200])
+def test_remove_repeats_cuts_whole_code_points(spark, window):
     texts = corpus(4)
-    got = {r["doc_id"]: r for r in repeats.remove_repeats(frame(spark, texts)).collect()}
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(frame(spark, texts), window).collect()}
     assert len(got) == len(texts)
-    for i, (b, mask) in enumerate(brute(texts)):
-        chars, at, kept = b.decode(), 0, []
-        for c in chars:
-            size = len(c.encode())
-            if not mask[at:at + size].all():
-                kept.append(c)
-            at += size
-        assert got[i]["text"] == (None if texts[i] is None else "".join(kept))
+    for i, (b, mask) in enumerate(brute(texts, window)):
+        assert got[i]["text"] == (None if texts[i] is None else left_text(b, mask))
         assert got[i]["_slice"] == -5
 
 
@@ -105,7 +111,7 @@ def test_every_window_has_one_anchor():
     off = np.cumsum([0] + [len(x) for x in raw])
     text, h, p, i0, i1 = repeats.anchors(np.frombuffer(b"".join(raw), np.uint8), off)
     assert int((i1 - i0 + 1).sum()) == sum(max(0, len(x) - W + 1) for x in raw)
-    assert (i0 <= p).all() and (i1 <= p).all() and (p - i0 < repeats.SPREAD).all()
+    assert (i0 <= p).all() and (i1 <= p).all() and (p - i0 < repeats.spread(W)).all()
     named = {}
     for t, g, q, a, b in zip(text, h, p, i0, i1):
         for i in range(a, b + 1):

@@ -34,17 +34,24 @@ from threadloom.llm import words as W
 from threadloom.llm.common import finish, mix, settle, slices, stage, staged_so_far, text_slices, utf8
 
 WINDOW, GRAM = 400, 32
-SPREAD = WINDOW - GRAM + 1  # places an anchor may take in a window
 GROUP = 2000  # passages of one anchor that make one collection
-CELLS = (SPREAD, 92, 23, 1)  # widths, in windows, that larger groups are split to
 BATCH_PASSAGES = 8192  # passages whose columns are held at once; collections are joined up to it
 SEGMENT = 4 << 20  # window starts of a long text that are looked at together
 ANCHOR = "struct<h:bigint,p:int,i0:int,i1:int>"
 END = 256  # symbol beyond a passage's ends; no byte equals it
-EMPTY = hashlib.sha256(b"").hexdigest()
 PLACE = np.uint64((1 << 31) - 1)
 
 
+def spread(window: int) -> int:
+    """Places that an anchor may take in a window."""
+    return window - GRAM + 1
+
+
+def cell_widths(window: int) -> tuple[int, ...]:
+    """Widths, in windows, that larger groups are split to."""
+    return spread(window), spread(window) // 4, spread(window) // 16, 1
+
+
 def text_key(text: Column) -> Column:
     """128 bits of the text's SHA-256; a null text is empty."""
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
@@ -53,28 +60,28 @@ def text_key(text: Column) -> Column:
 # ---------------------------------------------------------------- anchors
 
 
-def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, off: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     """(text, hash, place, first window, last window) of every anchor; windows never cross texts."""
-    n = len(data) - WINDOW + 1
+    n, reach = len(data) - window + 1, spread(window)
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none.astype(np.uint64), none, none, none
     at = np.arange(len(data) - GRAM + 1)
     h = W.span_hash(data, at, at + GRAM)
     key = (h & ~PLACE) | at.astype(np.uint64)
-    # least key of every SPREAD places: running minima from both ends of blocks of SPREAD
-    rows = -(-len(key) // SPREAD)
-    block = np.full(rows * SPREAD, np.uint64(0xFFFFFFFFFFFFFFFF))
+    # least key of every ``reach`` places: running minima from both ends of blocks of as many
+    rows = -(-len(key) // reach)
+    block = np.full(rows * reach, np.uint64(0xFFFFFFFFFFFFFFFF))
     block[:len(key)] = key
-    block = block.reshape(rows, SPREAD)
+    block = block.reshape(rows, reach)
     ahead = np.minimum.accumulate(block, 1).ravel()
     behind = np.minimum.accumulate(block[:, ::-1], 1)[:, ::-1].ravel()
-    place = (np.minimum(behind[:n], ahead[SPREAD - 1:SPREAD - 1 + n]) & PLACE).astype(np.int64)
-    # a text's last WINDOW - 1 places begin no window
+    place = (np.minimum(behind[:n], ahead[reach - 1:reach - 1 + n]) & PLACE).astype(np.int64)
+    # a text's last window - 1 places begin no window
     valid = np.zeros(n + 1, np.int64)
-    own = np.flatnonzero(np.diff(off) >= WINDOW)
+    own = np.flatnonzero(np.diff(off) >= window)
     valid[off[own]] += 1
-    np.subtract.at(valid, off[own + 1] - WINDOW + 1, 1)
+    np.subtract.at(valid, off[own + 1] - window + 1, 1)
     valid = np.cumsum(valid[:-1]) > 0
     place[~valid] = -1
     first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
@@ -86,19 +93,19 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return text, h[p], p - off[text], first - off[text], last - off[text]
 
 
-def _text_anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+def _text_anchors(data: np.ndarray, off: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """``anchors`` with a long text taken in segments of window starts."""
-    if len(off) > 2 or len(data) <= SEGMENT + WINDOW:
-        return anchors(data, off)
+    if len(off) > 2 or len(data) <= SEGMENT + window:
+        return anchors(data, off, window)
     parts = []
-    for lo in range(0, len(data) - WINDOW + 1, SEGMENT):
-        piece = data[lo:lo + SEGMENT + WINDOW - 1]
-        text, h, p, i0, i1 = anchors(piece, np.array([0, len(piece)]))
+    for lo in range(0, len(data) - window + 1, SEGMENT):
+        piece = data[lo:lo + SEGMENT + window - 1]
+        text, h, p, i0, i1 = anchors(piece, np.array([0, len(piece)]), window)
         parts.append((text, h, p + lo, i0 + lo, i1 + lo))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def own_repeats(data: np.ndarray, off: np.ndarray, found: tuple[np.ndarray, ...]):
+def own_repeats(data: np.ndarray, off: np.ndarray, found: tuple[np.ndarray, ...], window: int = WINDOW):
     """Split ``anchors`` into those that go on and runs (text, lo, hi) of windows that repeat inside their text.
 
     Equal passages at equal distance from anchors of one hash hold equal windows; the first goes on for all.
@@ -111,7 +118,7 @@ def own_repeats(data: np.ndarray, off: np.ndarray, found: tuple[np.ndarray, ...]
         return found, (none, none, none)
     t, a, z = text[some], i0[some], i1[some]
     shape = (p[some] - a).astype(np.uint64) * W.GOLDEN + (z - a).astype(np.uint64)
-    whole = mix(W.span_hash(data, off[t] + a, off[t] + z + WINDOW) ^ mix(shape) ^ mix(t.astype(np.uint64) * W.GOLDEN))
+    whole = mix(W.span_hash(data, off[t] + a, off[t] + z + window) ^ mix(shape) ^ mix(t.astype(np.uint64) * W.GOLDEN))
     _, first, back, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
     twice = count[back] > 1
     stay = np.ones(len(text), bool)
@@ -133,16 +140,17 @@ def _anchor_lists(text: np.ndarray, columns: dict[str, np.ndarray], n: int) -> p
     return pa.ListArray.from_arrays(pa.array(off, pa.int32()), values)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, off in text_slices(batches, "text", 1 << 19):
-        raw = data.tobytes()
-        sha = [hashlib.sha256(raw[a:z]) for a, z in zip(off[:-1].tolist(), off[1:].tolist())]
-        (text, h, p, i0, i1), (own, lo, hi) = own_repeats(data, off, _text_anchors(data, off))
-        runs = _anchor_lists(own, {"lo": lo.astype(np.int32), "hi": hi.astype(np.int32)}, len(sha))
-        lists = _anchor_lists(text, {"h": h.view(np.int64), "p": p.astype(np.int32), "i0": i0.astype(np.int32), "i1": i1.astype(np.int32)}, len(sha))
-        yield pa.RecordBatch.from_arrays(
-            [rows.column("doc_id"), pa.array([s.digest()[:16] for s in sha], pa.binary()), pa.array([s.hexdigest() for s in sha]),
-             pa.array(np.diff(off).astype(np.int64)), lists, runs], names=["doc_id", "k", "sha", "n_bytes", "anchors", "own"])
+def _features(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, off in text_slices(batches, "text", 1 << 19):
+            raw = data.tobytes()
+            sha = [hashlib.sha256(raw[a:z]).digest()[:16] for a, z in zip(off[:-1].tolist(), off[1:].tolist())]
+            (text, h, p, i0, i1), (own, lo, hi) = own_repeats(data, off, _text_anchors(data, off, window), window)
+            runs = _anchor_lists(own, {"lo": lo.astype(np.int32), "hi": hi.astype(np.int32)}, len(sha))
+            lists = _anchor_lists(text, {"h": h.view(np.int64), "p": p.astype(np.int32), "i0": i0.astype(np.int32), "i1": i1.astype(np.int32)}, len(sha))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sha, pa.binary()), pa.array(np.diff(off).astype(np.int64)), lists, runs],
+                                             names=["doc_id", "k", "n_bytes", "anchors", "own"])
+    return run
 
 
 # ---------------------------------------------------------------- passages and cells
@@ -160,7 +168,7 @@ def _list_column(batch: pa.RecordBatch, name: str):
     return rows, {f.name: values.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(values.type)}
 
 
-def _cut(name: str, group: str):
+def _cut(name: str, group: str, window: int):
     """Passages of the anchors in list column ``name``: (g, k, p, i0, i1, passage bytes)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +177,7 @@ def _cut(name: str, group: str):
             keys = batch.column("k")
             raw = memoryview(data)
             base = off[rows]
-            lo, hi = (base + a["i0"]).tolist(), (base + a["i1"] + WINDOW).tolist()
+            lo, hi = (base + a["i0"]).tolist(), (base + a["i1"] + window).tolist()
             for s in range(0, len(rows), 8192):
                 part = slice(s, s + 8192)
                 yield pa.RecordBatch.from_arrays(
@@ -183,7 +191,7 @@ PASSAGE = "g bigint, k binary, p int, i0 int, i1 int, passage binary"
 CELL = "g bigint, same bigint, k binary, h bigint, p int, i0 int, i1 int"
 
 
-def _cells(width: int):
+def _cells(width: int, window: int):
     """Cells of the anchors in list column ``hot``: key of the bytes all its windows share, and of all its bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,8 +211,8 @@ def _cells(width: int):
                 low = np.maximum(i0[which], p[which] - cell * width - width + 1)
                 high = np.minimum(i1[which], p[which] - cell * width)
                 base = off[row[which]] - off[lo]
-                core = W.span_hash(bytes_, base + p[which] - cell * width, base + p[which] - cell * width - width + 1 + WINDOW)
-                whole = W.span_hash(bytes_, base + low, base + high + WINDOW)
+                core = W.span_hash(bytes_, base + p[which] - cell * width, base + p[which] - cell * width - width + 1 + window)
+                whole = W.span_hash(bytes_, base + low, base + high + window)
                 g = mix(core ^ mix(h[which].view(np.uint64) + cell.astype(np.uint64) * W.GOLDEN))
                 same = mix(whole ^ mix((p[which] - low).astype(np.uint64)))
                 for s in range(0, len(which), 16384):
@@ -219,14 +227,14 @@ def _cells(width: int):
 # ---------------------------------------------------------------- the columns of a collection
 
 
-def repeated_windows(group: np.ndarray, p: np.ndarray, i0: np.ndarray, i1: np.ndarray, passages: list[bytes]):
+def repeated_windows(group: np.ndarray, p: np.ndarray, i0: np.ndarray, i1: np.ndarray, passages: list[bytes], window: int = WINDOW):
     """(passage, first window, last window) of all runs of repeated windows among passages of equal group.
 
     The passages are aligned at their anchors. Rounds go from the last column to the first. Passages of several
     groups may be built together: equal windows have equal anchors, so only one group's can match.
     """
     m = len(passages)
-    lead, size = (p - i0).astype(np.int64), (i1 - i0 + WINDOW).astype(np.int64)
+    lead, size = (p - i0).astype(np.int64), (i1 - i0 + window).astype(np.int64)
     left = int(lead.max())
     width = left + int((size - lead).max())
     aligned = np.full((m, width), END, np.uint16)
@@ -254,7 +262,7 @@ def repeated_windows(group: np.ndarray, p: np.ndarray, i0: np.ndarray, i1: np.nd
         order, common = order[after], new
         if j < 0:
             continue
-        match = common >= WINDOW
+        match = common >= window
         hit = match[:-1] | match[1:]
         if hit.any():
             own = order[hit]
@@ -263,7 +271,7 @@ def repeated_windows(group: np.ndarray, p: np.ndarray, i0: np.ndarray, i1: np.nd
             hits_j.append(np.full(len(own), j))
         if j % 8 == 0:  # passages that can no longer share a window leave
             near = np.maximum(common[:-1], common[1:])
-            stay = (near + (jmax[order] - j) >= WINDOW) & (near >= j) & (jmax[order] > j)
+            stay = (near + (jmax[order] - j) >= window) & (near >= j) & (jmax[order] > j)
             if not stay.all():
                 kept = np.flatnonzero(stay)
                 if len(kept) < 2:
@@ -283,8 +291,14 @@ def repeated_windows(group: np.ndarray, p: np.ndarray, i0: np.ndarray, i1: np.nd
     return own[first], start[first], start[last]
 
 
-def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _collect(window: int):
     """Passages sorted by g in, runs (k, lo, hi) of repeated window starts out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _collected(batches, window)
+    return run
+
+
+def _collected(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
 
     def build(table: pa.Table):
@@ -295,7 +309,7 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not table.num_rows:
             return None
         p, i0, i1 = (table.column(c).to_numpy().astype(np.int64) for c in ("p", "i0", "i1"))
-        own, lo, hi = repeated_windows(table.column("g").to_numpy(), p, i0, i1, table.column("passage").to_pylist())
+        own, lo, hi = repeated_windows(table.column("g").to_numpy(), p, i0, i1, table.column("passage").to_pylist(), window)
         if not len(own):
             return None
         keys = table.column("k").combine_chunks().take(pa.array(own))
@@ -329,33 +343,33 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- the operator
 
 
-def _split_hot(texts: DataFrame, hot: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+def _split_hot(texts: DataFrame, hot: DataFrame, window: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """Split anchors (k, h, p, i0, i1) with large groups; returns resolved runs and passages to compare."""
     runs, passages = [], []
-    for width in CELLS:
+    for width in cell_widths(window):
         if hot.isEmpty():
             break
         listed = hot.groupBy("k").agg(F.collect_list(F.struct("h", "p", "i0", "i1")).alias("hot"))
-        cells = stage(texts.select("k", "text").join(listed, "k").mapInArrow(_cells(width), CELL), "repeat-cells")
+        cells = stage(texts.select("k", "text").join(listed, "k").mapInArrow(_cells(width, window), CELL), "repeat-cells")
         kinds = stage(cells.groupBy("g", "same").agg(F.count("*").alias("n"), F.min(F.struct("k", "h", "p", "i0", "i1")).alias("one")), "repeat-kinds")
         equal = kinds.where("n > 1").select("g", "same")
         runs.append(cells.join(equal, ["g", "same"]).select("k", F.col("i0").alias("lo"), F.col("i1").alias("hi")))
         groups = kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1")
         several = stage(kinds.join(groups, "g").select("g", "kinds", "one.*"), "repeat-several")
         ship = several.where(f"kinds <= {GROUP}").groupBy("k").agg(F.collect_list(F.struct("g", "p", "i0", "i1")).alias("cells"))
-        passages.append(texts.select("k", "text").join(ship, "k").mapInArrow(_cut("cells", "g"), PASSAGE))
+        passages.append(texts.select("k", "text").join(ship, "k").mapInArrow(_cut("cells", "g", window), PASSAGE))
         hot = several.where(f"kinds > {GROUP}").select("k", "h", "p", "i0", "i1")
     return runs, passages
 
 
-def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, texts, runs): every row's key, digest, size and copies; the texts with repeated anchors; and runs
-    (k, lo, hi) of window starts that occur elsewhere. All are staged."""
+def find_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(runs, copied): lists of runs (lo, hi) of window starts that occur elsewhere, by text key; and keys of
+    the texts of a window or more that several rows hold. Both are staged; steps are deleted."""
+    first_step = staged_so_far()
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    features = stage(docs.mapInArrow(_features, f"doc_id bigint, k binary, sha string, n_bytes bigint, anchors array<{ANCHOR}>, own array<struct<lo:int,hi:int>>"), "repeat-features")
-    distinct = settle(features.groupBy("k").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("anchors").alias("anchors"),
+    features = stage(docs.mapInArrow(_features(window), f"doc_id bigint, k binary, n_bytes bigint, anchors array<{ANCHOR}>, own array<struct<lo:int,hi:int>>"), "repeat-features")
+    distinct = settle(features.groupBy("k").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("n_bytes").alias("n_bytes"), F.first("anchors").alias("anchors"),
                                                 F.first("own").alias("own")), "repeat-texts")
-    rows = features.select("doc_id", "k", "sha", "n_bytes")
     exploded = distinct.select("k", "rep", F.explode("anchors").alias("a")).select("k", "rep", "a.*")
     counted = settle(exploded.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "repeat-anchors")
     asked = (exploded.join(counted, "h").groupBy("k", "rep")
@@ -368,22 +382,25 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # texts are joined alike at every size: both sides shuffled, neither sent whole to the other
     texts = settle(held.join(asked.hint("merge"), (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_one")))
                    .select("k", "text", "few", "hot", "own"), "repeat-passages")
-    few = texts.where("size(few) > 0").select("k", "text", "few").mapInArrow(_cut("few", "h"), PASSAGE)
-    runs, passages = _split_hot(texts, texts.select("k", F.explode("hot").alias("a")).select("k", "a.*"))
+    few = texts.where("size(few) > 0").select("k", "text", "few").mapInArrow(_cut("few", "h", window), PASSAGE)
+    runs, passages = _split_hot(texts, texts.select("k", F.explode("hot").alias("a")).select("k", "a.*"), window)
     for extra in passages:
         few = few.unionByName(extra)
-    found = few.repartition("g").sortWithinPartitions("g", "k", "p", "i0").mapInArrow(_collect, "k binary, lo int, hi int")
+    found = few.repartition("g").sortWithinPartitions("g", "k", "p", "i0").mapInArrow(_collect(window), "k binary, lo int, hi int")
     for extra in [texts.select("k", F.explode("own").alias("r")).select("k", "r.*"), *runs]:
         found = found.unionByName(extra)
     spans = settle(found.groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "repeat-runs")
-    copies = distinct.select("k", "copies")
-    return rows.join(copies, "k"), texts.select("k", "text"), spans
+    copied = distinct.where(f"copies > 1 and n_bytes >= {window}").select(F.col("k").alias("_k"), F.lit(True).alias("_copied"))
+    spans, copied = finish(first_step, spans.select(F.col("k").alias("_k"), "runs"), copied)
+    return spans, copied
 
 
-def removed_spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def removed_spans(lo: np.ndarray, hi: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Maximal removed byte ranges from runs of repeated window starts."""
+    if not len(lo):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     by = np.argsort(lo, kind="stable")
-    lo, end = lo[by].astype(np.int64), hi[by].astype(np.int64) + WINDOW
+    lo, end = lo[by].astype(np.int64), hi[by].astype(np.int64) + window
     reach = np.maximum.accumulate(end)
     begin = np.append(True, lo[1:] > reach[:-1])
     first = np.flatnonzero(begin)
@@ -397,82 +414,87 @@ def _kept(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return data[np.cumsum(mark[:-1]) == 0]
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, off = utf8(batch.column("text"))
-        rows, run = _list_column(batch, "runs")
-        at = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-        out = []
-        for i in range(batch.num_rows):
-            start, end = removed_spans(run["lo"][at[i]:at[i + 1]], run["hi"][at[i]:at[i + 1]])
-            rest = _kept(data[off[i]:off[i + 1]], start, end)
-            out.append((int((end - start).sum()), len(start), hashlib.sha256(rest.tobytes()).hexdigest()))
-        cols = list(zip(*out)) if out else [[], [], []]
-        yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())],
-                                         names=["k", "removed", "spans", "kept"])
-
-
-def repeat_digests(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``.
-
-    Null texts are empty. Repeated rows are other places, so a text of 400 bytes or more that occurs in two
-    rows goes whole in both; shorter texts hold no 400-byte string and stay. An empty table gives an
+def _whole_points(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges without the bytes of code points that they hold in part only."""
+    tail = np.append((data & 0xC0) == 0x80, False)  # bytes inside a code point
+    while tail[start].any():
+        start = start + tail[start]
+    while tail[end].any():
+        end = end - tail[end]
+    return start, end
+
+
+def _spans(batch: pa.RecordBatch, text: pa.Array, window: int):
+    """(bytes, starts, ends of the removed ranges) of each row's text, from its ``runs`` and ``_copied``."""
+    data, off = utf8(text)
+    owner, run = _list_column(batch, "runs")
+    first = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+    for i, whole in enumerate(batch.column("_copied").to_pylist()):
+        part = data[off[i]:off[i + 1]]
+        if whole:
+            yield part, np.array([0]), np.array([len(part)])
+        else:
+            yield part, *removed_spans(run["lo"][first[i]:first[i + 1]], run["hi"][first[i]:first[i + 1]], window)
+
+
+def _with_runs(docs: DataFrame, columns: list[str], window: int) -> DataFrame:
+    """``_row`` (a struct of ``columns``, whatever they are called), ``runs`` and ``_copied`` of every row of ``docs``."""
+    spans, copied = find_repeats(docs, window)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")).withColumn("_k", text_key(F.col("_row.text")))
+    return (keyed.join(spans.hint("merge"), "_k", "left")
+            .join(copied.hint("merge"), "_k", "left").select("_row", "runs", "_copied"))
+
+
+DIGEST = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_kept bigint, text string"
+
+
+def _digests(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column("_row")
+            out = []
+            for data, start, end in _spans(batch, row.field("text"), window):
+                rest = _kept(data, start, end).tobytes()
+                text = _kept(data, *_whole_points(data, start, end)).tobytes().decode() if len(start) else rest.decode()
+                out.append((len(data), len(data) - len(rest), len(start), hashlib.sha256(rest).hexdigest(), len(rest), text))
+            cols = list(zip(*out)) if out else [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([row.field("doc_id")] + [pa.array(c, k) for c, k in zip(cols, kinds)],
+                                             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "text"])
+    return run
+
+
+def repeat_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, text`` for every row of ``docs``.
+
+    ``n_kept`` counts the bytes that are left, which ``kept_sha256`` digests; ``text`` is what is left as text, where a code
+    point goes only when all its bytes do. Null texts are empty. Repeated rows are other places, so a text of ``window`` bytes
+    or more that occurs in two rows goes whole in both; shorter texts hold no such string and stay. An empty table gives an
     empty result. Extra columns are ignored.
     """
-    first_step = staged_so_far()
-    rows, texts, spans = find_repeats(docs)
-    cut = texts.join(spans.hint("merge"), "k").mapInArrow(_digests, "k binary, removed bigint, spans bigint, kept string")
-    whole = F.expr(f"copies > 1 and n_bytes >= {WINDOW}")
-    # a text with copies is removed whole; joining only the others keeps one row a key
-    met = rows.where(~whole).join(cut.dropDuplicates(["k"]), "k", "left")
-    part = met.select("doc_id", "n_bytes", F.coalesce("removed", F.lit(0)).alias("n_removed"),
-                      F.coalesce("spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
-    gone = rows.where(whole).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"),
-                                    F.lit(EMPTY).alias("kept_sha256"))
-    return finish(first_step, part.unionByName(gone))[0]
-
-
-def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (``_row`` struct, ``_runs``, ``_copied``) in; ``_row`` with its text less the repeated bytes out.
-
-    A code point goes only when all its bytes do.
-    """
-    for batch in batches:
-        row, copied = batch.column("_row"), batch.column("_copied").to_pylist()
-        at = row.type.get_field_index("text")
-        text = row.field(at)
-        data, off = utf8(text)
-        owner, run = _list_column(batch, "runs")
-        first = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-        out = []
-        for i, whole in enumerate(copied):
-            if whole:
-                out.append("")
-            elif first[i] == first[i + 1]:
-                out.append(text[i].as_py())
-            else:
-                part = data[off[i]:off[i + 1]]
-                start, end = removed_spans(run["lo"][first[i]:first[i + 1]], run["hi"][first[i]:first[i + 1]])
-                tail = np.append((part & 0xC0) == 0x80, False)  # bytes inside a code point
-                while tail[start].any():
-                    start = start + tail[start]
-                while tail[end].any():
-                    end = end - tail[end]
-                out.append(_kept(part, start, end).tobytes().decode())
-        fields = [pa.array(out, f.type) if k == at else row.field(k) for k, f in enumerate(row.type)]
-        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(row.type))], names=["_row"])
-
-
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with every repeated byte string cut out of ``text``; rows and other columns stay.
-
-    Whole rows travel as one struct, whatever their columns are called.
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return _with_runs(docs, ["doc_id", "text"], window).mapInArrow(_digests(window), DIGEST)
+
+
+def _strip(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``_row`` with its text less the repeated bytes; a code point goes only when all its bytes do."""
+        for batch in batches:
+            row = batch.column("_row")
+            at = row.type.get_field_index("text")
+            text = row.field(at)
+            out = []
+            for i, (data, start, end) in enumerate(_spans(batch, text, window)):
+                out.append(_kept(data, *_whole_points(data, start, end)).tobytes().decode() if len(start) else text[i].as_py())
+            fields = [pa.array(out, f.type) if k == at else row.field(k) for k, f in enumerate(row.type)]
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(row.type))], names=["_row"])
+    return run
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with every byte string of ``window`` bytes that occurs again cut out of ``text``; rows and other columns stay.
+
+    Null and empty texts stay as they are. Of repeated rows of ``window`` bytes or more nothing is left. An empty table gives an empty one.
     """
-    first_step = staged_so_far()
-    rows, _, spans = find_repeats(docs)
-    copied = rows.where(f"copies > 1 and n_bytes >= {WINDOW}").select(F.col("k").alias("_k"), F.lit(True).alias("_copied")).dropDuplicates(["_k"])
-    spans, copied = finish(first_step, spans, copied)
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).withColumn("_k", text_key(F.col("_row.text")))
-    met = (keyed.join(spans.select(F.col("k").alias("_k"), "runs").hint("merge"), "_k", "left")
-           .join(copied.hint("merge"), "_k", "left").select("_row", "runs", "_copied"))
-    return met.mapInArrow(_strip, keyed.select("_row").schema).select("_row.*")
+    met = _with_runs(docs, docs.columns, window)
+    return met.mapInArrow(_strip(window), met.select("_row").schema).select("_row.*")
