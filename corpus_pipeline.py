@@ -16,6 +16,7 @@ from threadloom.llm import jaccard, packing, quality_model, quality_rules, repea
 from threadloom.llm.common import stage, table
 from threadloom.session import configure
 
+REPEAT_BYTES = 200  # less than any passage of 50 words of four letters and a space on average
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (score 0.3 or more)."""
@@ -33,8 +34,8 @@ def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 400-byte strings that occur more than once; ``n_chars`` follows the text."""
-    return repeats.remove_repeats(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    """Documents without the strings of REPEAT_BYTES bytes that occur more than once; ``n_chars`` follows the text."""
+    return repeats.remove_repeats(docs, REPEAT_BYTES).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
