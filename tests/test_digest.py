@@ -15,46 +15,73 @@ def run_batch(spark, rows, budget, payload_col=None):
     return digest.make_batch(grouped, msgs, budget)
 
 
-def test_thread_kept_together_across_unrelated_message(spark):
-    b = run_batch(spark, [(1, "1000.000001", "who is on call tonight", None), (2, "1001.000001", "lunch is served", None),
-                          (3, "1002.000001", "me, until six", "1000.000001")], 2000)
-    groups = b.groups.collect()
-    assert len(groups) == 2
-    thread = [g for g in groups if g.kind == "thread"][0]
-    ids = [r.event_id for r in b.messages.where(F.col("group_id") == thread.group_id).orderBy("position").collect()]
-    assert ids == ["Ev1", "Ev3"]
-
-
-def test_oversized_thread_keeps_root(spark):
-    b = run_batch(spark, [(1, "1000.000001", "Root", None), (2, "1001.000001", "x" * 2000, "1000.000001")], 128)
-    g = b.groups.collect()
-    assert g[0].kind == "thread" and g[0].thread_continues
-    first = b.messages.orderBy("position").first()
-    assert first.event_id == "Ev1"
-
-
-def test_payload_never_in_digest_and_budget_held(spark):
-    rows = [(1, "1000.000001", "see the attached form", None)]
-    msgs = make_messages(spark, rows).withColumn("event_payload", F.to_json(F.struct(F.lit("x" * 137000).alias("blocks"))))
-    m = inbox.digest_ready(msgs)
-    sel = m.select(F.lit("c").alias("consumer_id"), *inbox.NARROW).withColumn("eligible", F.lit(True))
-    b = digest.make_batch(digest.group_messages(sel, ["consumer_id"]), m, 128)
-    assert "event_payload" not in b.messages.columns
-    assert b.summary.first().estimated_tokens <= 128
-
-
-def test_oversized_root_text_continues(spark):
-    b = run_batch(spark, [(1, "1000.000001", "x" * 10000, None)], 128)
-    m = b.messages.first()
-    assert m.text_continues is not None and len(m.text) < 10000
-    assert b.summary.first().estimated_tokens <= 128
-    assert m.cost <= 128
-
-
-def test_reverse_arrival_ordered_by_message_time(spark):
-    b = run_batch(spark, [(10, "1001.000001", "second by clock", None), (20, "1000.000001", "first by clock", None)], 2000)
-    ids = [r.event_id for r in b.messages.orderBy("position").collect()]
-    assert ids == ["Ev20", "Ev10"]
+def said(n, at, text, thread=None):
+    return n, f"{at}.{n:06d}", text, thread
+
+
+def cost_of(spark, *rows):
+    return sum(r.cost for r in inbox.digest_ready(make_messages(spark, list(rows))).collect())
+
+
+def test_interleaved_threads_and_windows(spark):
+    """Two threads whose replies alternate, with standalone messages close together and far apart."""
+    a, b = said(31, 52000, "deploy blocked?"), said(32, 52003, "who has the cable")
+    rows = [a, b, said(33, 52010, "coffee"), said(34, 52011, "rolled back", a[1]), said(35, 52020, "desk four", b[1]), said(36, 52030, "tea"),
+            said(37, 52400, "thanks", a[1]), said(38, 54000, "bye")]
+    batch = run_batch(spark, rows, 5000)
+    groups = {g.group_id: g for g in batch.groups.collect()}
+    ids = {}
+    for r in batch.messages.orderBy("position").collect():
+        ids.setdefault(groups[r.group_id].group_position, []).append((groups[r.group_id].kind, r.event_id))
+    assert [ids[k] for k in sorted(ids)] == [[("thread", "Ev31"), ("thread", "Ev34"), ("thread", "Ev37")], [("thread", "Ev32"), ("thread", "Ev35")],
+                                             [("channel_window", "Ev33"), ("channel_window", "Ev36")], [("channel_window", "Ev38")]]
+
+
+def test_prefix_of_an_oversized_thread(spark):
+    """Budgets from the costs: exactly the root and one reply fit; a byte less leaves the root alone."""
+    rows = [said(5, 700, "agenda"), said(6, 701, "point one " * 9, "700.000005"), said(7, 702, "point two " * 30, "700.000005")]
+    two = cost_of(spark, *rows[:2])
+    for budget, want in ((two, ["Ev5", "Ev6"]), (two - 1, ["Ev5"])):
+        batch = run_batch(spark, rows, budget)
+        group = batch.groups.first()
+        assert (group.kind, group.thread_continues, group.n_messages) == ("thread", True, 3)
+        assert [r.event_id for r in batch.messages.orderBy("position").collect()] == want
+        assert batch.summary.first().has_more
+
+
+def test_payload_is_neither_delivered_nor_counted(spark):
+    rows = [said(k, 900 + k, f"note {k}") for k in range(1, 4)]
+    small = make_messages(spark, rows)
+    big = small.withColumn("event_payload", F.to_json(F.struct(F.repeat(F.col("text"), 20_000).alias("files"))))
+    costs = []
+    for frame in (small, big):
+        m = inbox.digest_ready(frame)
+        sel = m.select(F.lit("c").alias("consumer_id"), *inbox.NARROW).withColumn("eligible", F.lit(True))
+        batch = digest.make_batch(digest.group_messages(sel, ["consumer_id"]), m, 1000)
+        assert "event_payload" not in batch.messages.columns
+        costs.append(batch.summary.first().estimated_tokens)
+    assert costs[0] == costs[1] == cost_of(spark, *rows)
+
+
+def test_long_first_text_is_cut_to_the_budget(spark):
+    text = "päivää " * 700
+    for budget in (150, 333, 2500):
+        batch = run_batch(spark, [said(3, 10, text), said(4, 20, "after")], budget)
+        m = batch.messages.collect()
+        assert len(m) == 1 and m[0].text == text[:m[0].text_continues] and m[0].cost <= budget
+        # a longer cut would not fit: the next code point has at most two bytes, its offset at most one more digit
+        assert m[0].cost > budget - 3
+        assert batch.summary.first().estimated_tokens == m[0].cost
+
+
+def test_order_is_by_clock_then_arrival(spark):
+    rows = [said(90, 333, "c"), said(80, 334, "d"), said(70, 332, "b"), (60, "332.999999", "a", None), (95, "soon", "first", None)]
+    batch = run_batch(spark, rows, 5000)
+    assert [(r.group_id, r.event_id) for r in batch.messages.orderBy("event_sequence").collect()]
+    by_group = {g.group_id: g.group_position for g in batch.groups.collect()}
+    got = [r.event_id for r in sorted(batch.messages.collect(), key=lambda r: (by_group[r.group_id], r.position))]
+    # an unreadable time is second 0; equal seconds keep the order of arrival, whatever the fraction
+    assert got == ["Ev95", "Ev60", "Ev70", "Ev90", "Ev80"]
 
 
 def test_cost_matches_json_bytes(spark):
@@ -92,6 +119,16 @@ def test_thread_digest_after_a_marker_repeats_the_root(spark):
     assert ids == ["Ev1", "Ev3", "Ev4"] and group.kind == "thread"
 
 
+def test_thread_read_summary(spark):
+    """Upper sequence and a row for every thread asked for, in one call."""
+    import datetime as dt
+    msgs = inbox.digest_ready(make_messages(spark, THREAD + [(9, "1500.0", "elsewhere", None)]))
+    keys = spark.createDataFrame([("T1", "C1", "1000.0"), ("T1", "C1", "7.7"), ("T1", "C1", "7.7"), (None, "C1", "1.0")], KEYS)
+    _, b = digest.thread_digest(msgs, keys, dt.datetime(2026, 8, 12), 4000)
+    rows = {r.key_ts: (r.n_groups, r.n_delivered, r.has_more, r.upper_sequence) for r in b.summary.collect()}
+    assert rows == {"1000.0": (1, 1, False, 9), "7.7": (0, 0, False, 9), "1.0": (0, 0, False, 9)}
+
+
 def test_thread_digest_without_root(spark):
     group, ids = read_thread(spark, include_root=False)
     assert ids == ["Ev2", "Ev3", "Ev4"] and group.thread_ts == "1000.0"

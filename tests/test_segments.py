@@ -33,10 +33,11 @@ def expected_segments(row, text, budget):
 
 
 def test_segment_loop_concatenates(spark):
-    msgs = make_messages(spark, [(1, "1000.0", "x" * 500, None)])
-    segs = segments.all_segments(msgs, 128).orderBy("seg_no").collect()
-    assert "".join(s.seg_text for s in segs) == "x" * 500
-    assert all(s.seg_cost <= 128 for s in segs)
+    text = "".join(f"{k} für {chr(0x4e00 + k)}; " for k in range(211))
+    msgs = make_messages(spark, [(12, "88.5", text, "80.1")])
+    segs = segments.all_segments(msgs, 190).orderBy("seg_no").collect()
+    assert "".join(s.seg_text for s in segs) == text
+    assert all(s.seg_cost <= 190 for s in segs)
     assert segs[-1].text_continues is None and all(s.text_continues is not None for s in segs[:-1])
 
 

@@ -290,10 +290,13 @@ def thread_digest(messages: DataFrame, keys: DataFrame, as_of, budget: int, sett
     """I5 -> I6 -> I7 -> G1-G9 per requested thread; every settled thread message is ackable.
 
     Ties order by message_ts text, as a thread read does. A read left with only its root
-    becomes a channel window (Q15).
+    becomes a channel window (Q15). Every distinct requested thread has a summary row, also one without settled
+    messages, and its upper sequence is the latest of all messages (I1). A null in a requested key reads nothing.
     """
     from threadloom.operators import inbox
 
+    upper = inbox.latest_sequence_value(messages.select("event_sequence"))
+    asked = keys.select(F.col("workspace_id").alias("scope_ws"), F.col("channel_id").alias("scope_ch"), F.col("thread_ts").alias("key_ts"))
     thread = inbox.get_thread(messages, keys, as_of, settle_seconds)
     if markers is not None:
         thread = inbox.thread_after(thread, markers)
@@ -303,4 +306,4 @@ def thread_digest(messages: DataFrame, keys: DataFrame, as_of, budget: int, sett
            .select(*THREAD_SCOPE, *inbox.NARROW).withColumn("eligible", F.lit(True)))
     grouped = staged(group_messages(stage(sel, "thread-selection"), THREAD_SCOPE, DEFAULT_GAP_SECS, "message_ts"),
                      "thread")
-    return grouped, make_batch(grouped, messages, budget, "message_ts")
+    return grouped, make_batch(grouped, messages, budget, "message_ts", scopes=asked, upper=upper)

@@ -173,20 +173,23 @@ CHAR_BYTES_SQL = ("CASE WHEN ch IN ('\"', '\\') OR ch IN (chr(8), chr(9), chr(10
 
 
 def segment_ctes(source: str, budget: int) -> list[str]:
-    """First segment (offset 0) of every message of ``source`` (event_id, message_ts, user_id, subtype, text)."""
+    """First segment (offset 0) of every message of ``source`` (event_id, message_ts, user_id, subtype, text).
+
+    Each step is materialised, so that its cost does not depend on how the planner would unfold it.
+    """
     return [
-        f"""sd AS (
+        f"""sd AS MATERIALIZED (
   SELECT event_id, message_ts, user_id, subtype, COALESCE(text, '') AS t, length(COALESCE(text, '')) AS n,
          strlen(to_json(struct_pack(eventId := event_id, messageTs := message_ts, userId := user_id,
                                     subtype := subtype, text := ''))) AS base,
          greatest(24, strlen(to_json(struct_pack(eventId := event_id, messageTs := message_ts, userId := user_id,
                                     subtype := subtype, text := COALESCE(text, ''))))) AS full_cost
   FROM {source})""",
-        f"""sch AS (
+        f"""sch AS MATERIALIZED (
   SELECT event_id, unnest(generate_series(1, least(n, {budget}))) AS pos, unnest(string_split(substring(t, 1, {budget}), '')) AS ch
   FROM sd WHERE full_cost > {budget} AND n > 0)""",
-        f"""sacc AS (SELECT event_id, pos, sum({CHAR_BYTES_SQL}) OVER (PARTITION BY event_id ORDER BY pos) AS acc FROM sch)""",
-        f"""sfit AS (
+        f"""sacc AS MATERIALIZED (SELECT event_id, pos, sum({CHAR_BYTES_SQL}) OVER (PARTITION BY event_id ORDER BY pos) AS acc FROM sch)""",
+        f"""sfit AS MATERIALIZED (
   SELECT a.event_id, max(a.pos) AS fit_end FROM sacc a JOIN sd USING (event_id)
   WHERE sd.base + a.acc + 17 + length(CAST(a.pos AS VARCHAR)) <= {budget} GROUP BY a.event_id)""",
         f"""seg AS (

@@ -1016,22 +1016,62 @@ def q_digest_json(spark, sf_dir):
 THREAD_BUDGET = 4000
 
 
-@register("thread_digest", osql.with_ctes(
-    [fx.SQL_MESSAGES, fx.SQL_AS_OF, THREAD_KEYS_SQL, THREAD_READ_SQL, f"""
+THREAD_CTES = [fx.SQL_MESSAGES, fx.SQL_AS_OF, THREAD_KEYS_SQL, THREAD_READ_SQL, f"""
 sel AS (
   SELECT t.workspace_id || '|' || t.channel_id || '|' || t.key_ts AS scope, TRUE AS eligible, m.event_id, m.event_sequence,
          m.workspace_id, m.channel_id, m.message_ts, m.thread_ts, m.user_id, m.subtype, m.text,
          {osql.secs('m.')} AS secs, {osql.cost('m.')} AS cost
-  FROM tread t JOIN messages m USING (event_id))"""] + osql.grouping_ctes(300, "message_ts") + osql.batch_ctes(THREAD_BUDGET), """
-SELECT split_part(scope, '|', 1) AS scope_ws, split_part(scope, '|', 2) AS scope_ch, split_part(scope, '|', 3) AS key_ts,
+  FROM tread t JOIN messages m USING (event_id))"""] + osql.grouping_ctes(300, "message_ts") + osql.batch_ctes(THREAD_BUDGET)
+THREAD_SCOPE_SQL = "split_part(scope, '|', 1) AS scope_ws, split_part(scope, '|', 2) AS scope_ch, split_part(scope, '|', 3) AS key_ts"
+
+
+def _thread_batch(spark, sf_dir, unknown: bool = False) -> digest.Batch:
+    """The digest of every thread of A; ``unknown`` asks for one more, of which there is no message."""
+    _, msgs, _, as_of = conv_inputs(spark, sf_dir)
+    keys = msgs.where(F.col("thread_ts").isNotNull()).select("workspace_id", "channel_id", "thread_ts").distinct()
+    if unknown:
+        keys = keys.unionByName(keys.groupBy().agg(F.min("workspace_id").alias("workspace_id")).select("workspace_id", F.lit("none").alias("channel_id"),
+                                                                                                       F.lit("0.0").alias("thread_ts")))
+    return digest.thread_digest(msgs, keys, as_of, THREAD_BUDGET)[1]
+
+
+@register("thread_digest", osql.with_ctes(THREAD_CTES, f"""
+SELECT {THREAD_SCOPE_SQL},
        group_id, kind, CAST(group_position AS BIGINT) AS group_position, CAST(estimated_tokens AS BIGINT) AS estimated_tokens,
        n_messages, thread_continues FROM dgroups"""))
 def q_thread_digest(spark, sf_dir):
-    conv, msgs, _, as_of = conv_inputs(spark, sf_dir)
-    keys = msgs.where(F.col("thread_ts").isNotNull()).select("workspace_id", "channel_id", "thread_ts").distinct()
-    _, batch = digest.thread_digest(msgs, keys, as_of, THREAD_BUDGET)
-    return batch.groups.select("scope_ws", "scope_ch", "key_ts", "group_id", "kind",
-                               F.col("group_position").cast("bigint"), "estimated_tokens", "n_messages", "thread_continues")
+    return _thread_batch(spark, sf_dir).groups.select("scope_ws", "scope_ch", "key_ts", "group_id", "kind", F.col("group_position").cast("bigint"),
+                                                      "estimated_tokens", "n_messages", "thread_continues")
+
+
+@register("thread_summary", osql.with_ctes(THREAD_CTES + ["""
+asked AS (
+  SELECT DISTINCT workspace_id AS scope_ws, channel_id AS scope_ch, thread_ts AS key_ts FROM messages WHERE thread_ts IS NOT NULL
+  UNION ALL SELECT min(workspace_id), 'none', '0.0' FROM messages),
+given AS (SELECT scope, sum(estimated_tokens) AS estimated_tokens, count(*) AS n_delivered FROM dgroups GROUP BY scope),
+known AS (SELECT scope, count(DISTINCT group_id) AS n_groups FROM ordered GROUP BY scope),
+taken AS (SELECT scope, count(*) AS n FROM selected GROUP BY scope)"""], """
+SELECT a.scope_ws, a.scope_ch, a.key_ts, CAST(coalesce(g.estimated_tokens, 0) AS BIGINT) AS estimated_tokens,
+       coalesce(t.n, 0) < coalesce(k.n_groups, 0) AS has_more, coalesce(g.n_delivered, 0) AS n_delivered,
+       (SELECT max(event_sequence) FROM messages) AS upper_sequence
+FROM asked a LEFT JOIN given g ON g.scope = concat_ws('|', a.scope_ws, a.scope_ch, a.key_ts)
+LEFT JOIN known k ON k.scope = concat_ws('|', a.scope_ws, a.scope_ch, a.key_ts)
+LEFT JOIN taken t ON t.scope = concat_ws('|', a.scope_ws, a.scope_ch, a.key_ts)"""))
+def q_thread_summary(spark, sf_dir):
+    """G9 of thread reads: totals, whether more is left, and the upper sequence; a thread without messages has a row too."""
+    return _thread_batch(spark, sf_dir, unknown=True).summary.select("scope_ws", "scope_ch", "key_ts", "estimated_tokens", "has_more", "n_delivered", "upper_sequence")
+
+
+@register("thread_receipts", osql.with_ctes(THREAD_CTES, f"""
+SELECT {THREAD_SCOPE_SQL}, group_id, string_agg(event_id, ',' ORDER BY position) AS event_ids
+FROM (SELECT m.scope, m.group_id, m.event_id, m.position, bool_or(m.text_continues IS NOT NULL) OVER w AS cut, g.thread_continues
+      FROM delivered m JOIN dgroups g ON g.scope = m.scope AND g.group_id = m.group_id WINDOW w AS (PARTITION BY m.scope, m.group_id)) x
+WHERE NOT cut AND NOT thread_continues GROUP BY scope, group_id"""))
+def q_thread_receipts(spark, sf_dir):
+    """I10 of thread reads: the ids that each wholly delivered group acknowledges, in order of delivery."""
+    b = _thread_batch(spark, sf_dir)
+    rows = b.messages.join(b.groups.select(*digest.THREAD_SCOPE, "group_id", "thread_continues"), [*digest.THREAD_SCOPE, "group_id"])
+    return inbox.receipts(rows, digest.THREAD_SCOPE).select(*digest.THREAD_SCOPE, "group_id", F.array_join("event_ids", ",").alias("event_ids"))
 
 
 # ---------------------------------------------------------------- B2, B4, B5, B6, N18
