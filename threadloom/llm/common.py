@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,12 +47,36 @@ def slices(off: np.ndarray, limit: int = KERNEL_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; other C libraries have none
+
+
+def release() -> None:
+    """Return what a kernel has freed to the machine, at the end of its task.
+
+    Python workers stay for later tasks, and their allocators would keep each kernel's largest use beside the next one's.
+    """
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def released(kernel):
+    """The kernel (an iterator of batches to an iterator of batches) with ``release`` at the end of its task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            release()
+    return run
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = KERNEL_BYTES):
     """Yield (batch rows lo..hi as a RecordBatch, bytes, offsets) in kernel-sized pieces."""
     for batch in batches:
         data, off = utf8(batch.column(column))
         for lo, hi in slices(off, limit):
             yield batch.slice(lo, hi - lo), data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
+    release()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

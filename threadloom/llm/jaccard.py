@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm import words as W
-from threadloom.llm.common import components, finish, if_small, lists, mix, settle, stage, staged_so_far, text_slices
+from threadloom.llm.common import components, finish, if_small, lists, mix, released, settle, stage, staged_so_far, text_slices
 
 SHINGLE = 5
 BITS = 1024
@@ -301,7 +301,7 @@ def _bounded(reps: DataFrame, pairs: DataFrame) -> DataFrame:
     def side(x: str) -> DataFrame:
         return reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.coalesce("wide", "bits").alias(f"bits_{x}"))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_pairs_left, "a bigint, b bigint")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(released(_pairs_left), "a bigint, b bigint")
 
 
 def _leader_pairs(reps: DataFrame) -> DataFrame:
@@ -361,7 +361,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     groups = settle(members.where("lo < hi").groupBy("c", "s1", "s2").agg(F.min("t").alias("t")).select("t", "c"), "shared-shingles")
     rows = settle(labelled.join(if_small(groups, SMALL_SIDE), "t"), "shared-rows")
     keyed = _blocks(rows).join(reps.select("rep", "n", F.coalesce("wide", "bits").alias("bits")), "rep")
-    found = _hash_dealt(keyed, "t", "x", "y").mapInArrow(_traverse, "a bigint, b bigint")
+    found = _hash_dealt(keyed, "t", "x", "y").mapInArrow(released(_traverse), "a bigint, b bigint")
     pairs = settle(found.distinct(), "candidate-pairs")
     links = first_links.unionByName(_verified(docs, pairs, "trees"))
     n, ids = known.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from threadloom.llm import words as W
-from threadloom.llm.common import utf8
+from threadloom.llm.common import released, utf8
 
 CAPACITIES = (256, 512, 1024, 2048, 4096)
 GROUP_ROWS, GROUP_BYTES = 20_000, 16 << 20
@@ -145,4 +145,4 @@ def pack_documents(docs: DataFrame, capacities=CAPACITIES, with_text: bool = Fal
     pieces of a document, joined in order, are its text.
     """
     picked = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text")
-    return picked.mapInArrow(_packer(tuple(capacities), with_text), SCHEMA + (", text string" if with_text else ""))
+    return picked.mapInArrow(released(_packer(tuple(capacities), with_text)), SCHEMA + (", text string" if with_text else ""))

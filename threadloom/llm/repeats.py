@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm import words as W
-from threadloom.llm.common import finish, mix, settle, slices, stage, staged_so_far, text_slices, utf8
+from threadloom.llm.common import finish, mix, released, settle, slices, stage, staged_so_far, text_slices, utf8
 
 WINDOW, GRAM = 400, 32
 GROUP = 2000  # passages of one anchor that make one collection
@@ -350,14 +350,14 @@ def _split_hot(texts: DataFrame, hot: DataFrame, window: int) -> tuple[list[Data
         if hot.isEmpty():
             break
         listed = hot.groupBy("k").agg(F.collect_list(F.struct("h", "p", "i0", "i1")).alias("hot"))
-        cells = stage(texts.select("k", "text").join(listed, "k").mapInArrow(_cells(width, window), CELL), "repeat-cells")
+        cells = stage(texts.select("k", "text").join(listed, "k").mapInArrow(released(_cells(width, window)), CELL), "repeat-cells")
         kinds = stage(cells.groupBy("g", "same").agg(F.count("*").alias("n"), F.min(F.struct("k", "h", "p", "i0", "i1")).alias("one")), "repeat-kinds")
         equal = kinds.where("n > 1").select("g", "same")
         runs.append(cells.join(equal, ["g", "same"]).select("k", F.col("i0").alias("lo"), F.col("i1").alias("hi")))
         groups = kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1")
         several = stage(kinds.join(groups, "g").select("g", "kinds", "one.*"), "repeat-several")
         ship = several.where(f"kinds <= {GROUP}").groupBy("k").agg(F.collect_list(F.struct("g", "p", "i0", "i1")).alias("cells"))
-        passages.append(texts.select("k", "text").join(ship, "k").mapInArrow(_cut("cells", "g", window), PASSAGE))
+        passages.append(texts.select("k", "text").join(ship, "k").mapInArrow(released(_cut("cells", "g", window)), PASSAGE))
         hot = several.where(f"kinds > {GROUP}").select("k", "h", "p", "i0", "i1")
     return runs, passages
 
@@ -382,11 +382,11 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Data
     # texts are joined alike at every size: both sides shuffled, neither sent whole to the other
     texts = settle(held.join(asked.hint("merge"), (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_one")))
                    .select("k", "text", "few", "hot", "own"), "repeat-passages")
-    few = texts.where("size(few) > 0").select("k", "text", "few").mapInArrow(_cut("few", "h", window), PASSAGE)
+    few = texts.where("size(few) > 0").select("k", "text", "few").mapInArrow(released(_cut("few", "h", window)), PASSAGE)
     runs, passages = _split_hot(texts, texts.select("k", F.explode("hot").alias("a")).select("k", "a.*"), window)
     for extra in passages:
         few = few.unionByName(extra)
-    found = few.repartition("g").sortWithinPartitions("g", "k", "p", "i0").mapInArrow(_collect(window), "k binary, lo int, hi int")
+    found = few.repartition("g").sortWithinPartitions("g", "k", "p", "i0").mapInArrow(released(_collect(window)), "k binary, lo int, hi int")
     for extra in [texts.select("k", F.explode("own").alias("r")).select("k", "r.*"), *runs]:
         found = found.unionByName(extra)
     spans = settle(found.groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "repeat-runs")
@@ -473,7 +473,7 @@ def repeat_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     empty result. Extra columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return _with_runs(docs, ["doc_id", "text"], window).mapInArrow(_digests(window), DIGEST)
+    return _with_runs(docs, ["doc_id", "text"], window).mapInArrow(released(_digests(window)), DIGEST)
 
 
 def _strip(window: int):
@@ -497,4 +497,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Null and empty texts stay as they are. Of repeated rows of ``window`` bytes or more nothing is left. An empty table gives an empty one.
     """
     met = _with_runs(docs, docs.columns, window)
-    return met.mapInArrow(_strip(window), met.select("_row").schema).select("_row.*")
+    return met.mapInArrow(released(_strip(window)), met.select("_row").schema).select("_row.*")
