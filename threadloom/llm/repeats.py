@@ -343,22 +343,27 @@ def _collected(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Re
 # ---------------------------------------------------------------- the operator
 
 
-def _split_hot(texts: DataFrame, hot: DataFrame, window: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Split anchors (k, h, p, i0, i1) with large groups; returns resolved runs and passages to compare."""
+def _split_hot(texts: DataFrame, window: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Split the anchors in ``hot`` (those of large groups) of ``texts``; returns resolved runs and passages to compare.
+
+    Only texts that have such anchors are read again; the first round needs no join, as they carry their lists.
+    """
     runs, passages = [], []
+    held = settle(texts.where("size(hot) > 0").select("k", "text", "hot"), "repeat-hot-texts")
+    asked = held
     for width in cell_widths(window):
-        if hot.isEmpty():
+        if asked.isEmpty():
             break
-        listed = hot.groupBy("k").agg(F.collect_list(F.struct("h", "p", "i0", "i1")).alias("hot"))
-        cells = stage(texts.select("k", "text").join(listed, "k").mapInArrow(released(_cells(width, window)), CELL), "repeat-cells")
+        cells = stage(asked.mapInArrow(released(_cells(width, window)), CELL), "repeat-cells")
         kinds = stage(cells.groupBy("g", "same").agg(F.count("*").alias("n"), F.min(F.struct("k", "h", "p", "i0", "i1")).alias("one")), "repeat-kinds")
         equal = kinds.where("n > 1").select("g", "same")
         runs.append(cells.join(equal, ["g", "same"]).select("k", F.col("i0").alias("lo"), F.col("i1").alias("hi")))
         groups = kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1")
         several = stage(kinds.join(groups, "g").select("g", "kinds", "one.*"), "repeat-several")
         ship = several.where(f"kinds <= {GROUP}").groupBy("k").agg(F.collect_list(F.struct("g", "p", "i0", "i1")).alias("cells"))
-        passages.append(texts.select("k", "text").join(ship, "k").mapInArrow(released(_cut("cells", "g", window)), PASSAGE))
-        hot = several.where(f"kinds > {GROUP}").select("k", "h", "p", "i0", "i1")
+        passages.append(held.select("k", "text").join(ship, "k").mapInArrow(released(_cut("cells", "g", window)), PASSAGE))
+        listed = stage(several.where(f"kinds > {GROUP}").groupBy("k").agg(F.collect_list(F.struct("h", "p", "i0", "i1")).alias("hot")), "repeat-hot")
+        asked = held.select("k", "text").join(listed, "k")
     return runs, passages
 
 
@@ -383,7 +388,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Data
     texts = settle(held.join(asked.hint("merge"), (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_one")))
                    .select("k", "text", "few", "hot", "own"), "repeat-passages")
     few = texts.where("size(few) > 0").select("k", "text", "few").mapInArrow(released(_cut("few", "h", window)), PASSAGE)
-    runs, passages = _split_hot(texts, texts.select("k", F.explode("hot").alias("a")).select("k", "a.*"), window)
+    runs, passages = _split_hot(texts, window)
     for extra in passages:
         few = few.unionByName(extra)
     found = few.repartition("g").sortWithinPartitions("g", "k", "p", "i0").mapInArrow(released(_collect(window)), "k binary, lo int, hi int")
