@@ -45,7 +45,7 @@ def test_stages_one_by_one(spark, tmp_path):
     assert set(rows[3]) == {ids[c] for _, _, c in brute_components([rows[2][d]["text"] for d in ids])}
     ids = sorted(rows[3])
     assert set(rows[4]) == set(ids)
-    for d, (raw, mask) in zip(ids, brute_repeats([rows[3][d]["text"] for d in ids], corpus_pipeline.REPEAT_BYTES)):
+    for d, (raw, mask) in zip(ids, brute_repeats([rows[3][d]["text"] for d in ids], P.REPEAT_BYTES)):
         at, rest = 0, []
         for c in raw.decode():
             size = len(c.encode())
