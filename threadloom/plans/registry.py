@@ -868,6 +868,7 @@ def q_health(spark, sf_dir):
 # ---------------------------------------------------------------- S2, S8, T1-T8 (availableNow streams)
 
 from threadloom.plans.stage import scratch_path  # noqa: E402
+from threadloom.sources import feeds  # noqa: E402
 from threadloom.streaming import ingest  # noqa: E402
 
 
@@ -975,6 +976,62 @@ def q_stream_windows(spark, sf_dir):
     return _windowed(spark, sf_dir, 4, 2).select("workspace_id", "channel_id", F.col("first_secs").cast("bigint").alias("start_secs"), "n_messages")
 
 
+def _parts(rows: str, key: str) -> str:
+    """The file a row of a feed lands in, as ``_land`` deals four of them."""
+    return f"({key} - (SELECT min({key}) FROM {rows})) // ((SELECT max({key}) - min({key}) FROM {rows}) // 4 + 1)"
+
+
+PLACE = "(c * 37) % 101"  # pages land in another order than their messages did, so some come before the event and some after
+STORE_SQL = ENV_SQL + [fx.SQL_AS_OF, fx.SQL_PAGES, fx.SQL_REPLY_FEED, f"""
+hplace AS (SELECT page_id, {PLACE.replace("c *", "conv_id *")} AS place FROM pages)""", f"""
+rplace AS (SELECT DISTINCT c, {PLACE} AS place FROM replyfeed)""", f"""
+arrivals AS (
+  SELECT {_parts('envelopes', 'arrival')} AS part, observed_secs AS received_secs, arrival, NULL AS page_id, CAST(NULL AS DECIMAL(20,6)) AS ts_num,
+         NULL AS item_no, event_id, workspace_id, {_sfield('ev', '$.channel')} AS channel_id, {_sfield('ev', '$.ts')} AS message_ts,
+         {_sfield('ev', '$.thread_ts')} AS thread_ts, {_sfield('ev', '$.user')} AS user_id, {_sfield('ev', '$.text')} AS text, callback_type
+  FROM raw WHERE {_sfield('ev', '$.type')} = 'message' AND {_sfield('ev', '$.channel')} IS NOT NULL AND {_sfield('ev', '$.ts')} IS NOT NULL
+  UNION ALL
+  SELECT {_parts('hplace', 'place')}, fetched_secs, NULL, page_id, TRY_CAST(message_ts AS DECIMAL(20,6)), item_no,
+         'history:' || workspace_id || ':' || channel_id || ':' || message_ts, workspace_id, channel_id, message_ts, thread_ts,
+         {_sfield('m', '$.user')}, {_sfield('m', '$.text')}, 'history_backfill'
+  FROM hitems JOIN hplace USING (page_id)
+  UNION ALL
+  SELECT {_parts('rplace', 'place')}, (SELECT as_of_secs FROM params) + 7200, NULL, 'r' || CAST(c AS VARCHAR),
+         TRY_CAST(message_ts AS DECIMAL(20,6)), NULL, event_id, workspace_id, channel_id, message_ts, thread_ts, user_id, text, 'thread_backfill'
+  FROM replyfeed JOIN rplace USING (c))""", """
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY part, received_secs NULLS FIRST, arrival NULLS FIRST, page_id NULLS FIRST, ts_num NULLS FIRST,
+                                        item_no NULLS FIRST, event_id) AS place FROM arrivals)""", """
+by_event AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY place) = 1)""", """
+stored AS (
+  SELECT *, row_number() OVER (ORDER BY place) AS event_sequence
+  FROM (SELECT * FROM by_event QUALIFY row_number() OVER (PARTITION BY workspace_id, channel_id, message_ts ORDER BY place) = 1) x)"""]
+
+
+def _stored(spark, sf_dir) -> str:
+    """Live envelopes, history pages and reply pages of A through one store, four files each; returns the root of its tables."""
+    conv = fx.table(spark, sf_dir, "conversations")
+    as_of = fx.conversation_as_of(conv)
+    root = scratch_path(spark, "stream", "store")
+    _land(fx.conversation_envelopes(conv), "arrival", 4, f"{root}/live")
+    place = F.expr(PLACE)
+    _land(fx.history_pages(conv, as_of).withColumnRenamed("conv_id", "c").withColumn("place", place), "place", 4, f"{root}/history")
+    _land(fx.reply_pages(conv, as_of).withColumn("c", F.expr("cast(substring(page_id, 2) AS bigint)")).withColumn("place", place),
+          "place", 4, f"{root}/replies")
+    rows = feeds.all_rows(ingest.envelope_stream(spark, f"{root}/live", 1, "parquet"), ingest.page_stream(spark, f"{root}/history", 1, "parquet"),
+                          ingest.page_stream(spark, f"{root}/replies", 1, "parquet"))
+    ingest.start_store(rows, f"{root}/tables", f"{root}/checkpoint").awaitTermination()
+    return f"{root}/tables"
+
+
+@register("stream_backfill", osql.with_ctes(STORE_SQL, """
+SELECT event_id, CAST(event_sequence AS BIGINT) AS event_sequence, workspace_id, channel_id, message_ts, thread_ts, user_id, text FROM stored"""))
+def q_stream_backfill(spark, sf_dir):
+    """Live, history and reply feeds interleaved in one store, one identity check and one sequence."""
+    return ingest.read_messages(spark, _stored(spark, sf_dir)).select(
+        "event_id", "event_sequence", "workspace_id", "channel_id", "message_ts", "thread_ts", "user_id", "text")
+
+
 @register("stream_gaps", osql.with_ctes([fx.SQL_LIFECYCLE], "SELECT source, start_us, end_us FROM gaps"))
 def q_stream_gaps(spark, sf_dir):
     """The lifecycle log in four files in order of time, downtime state kept per source."""

@@ -41,16 +41,25 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def reply_messages(items: DataFrame) -> DataFrame:
     """Items of reply pages that belong to the thread asked for: the root itself or a reply to it."""
+    return history_messages(items).where(in_thread())
+
+
+def in_thread() -> F.Column:
+    """The item is the thread's root or a reply to it."""
     own = (str_field("m", "$.ts") == F.col("root_ts")) | (str_field("m", "$.thread_ts") == F.col("root_ts"))
-    return history_messages(items).where(F.col("root_ts").isNotNull() & own)
+    return F.coalesce(F.col("root_ts").isNotNull() & own, F.lit(False))
+
+
+def page_error(status: str = "status") -> F.Column:
+    """The error text of a page that is not ok, or ``HTTP <status>``."""
+    err = F.when(is_object("page"), str_field("page", "$.error"))
+    return F.coalesce(err, F.concat(F.lit("HTTP "), F.col(status).cast("string")))
 
 
 def page_errors(parsed: DataFrame, status: str = "status") -> DataFrame:
     """Pages that are not ok, with the error text or ``HTTP <status>``."""
-    err = F.when(is_object("page"), str_field("page", "$.error"))
     return parsed.where(~F.col("ok")).select(
-        *[c for c in parsed.columns if c not in ("page", "ok", "next_cursor")],
-        F.coalesce(err, F.concat(F.lit("HTTP "), F.col(status).cast("string"))).alias("error"))
+        *[c for c in parsed.columns if c not in ("page", "ok", "next_cursor")], page_error(status).alias("error"))
 
 
 def page_messages(parsed: DataFrame) -> DataFrame:
@@ -63,9 +72,14 @@ def page_messages(parsed: DataFrame) -> DataFrame:
 
 def history_messages(items: DataFrame) -> DataFrame:
     """Keep items whose type is absent, empty or ``message``."""
+    return items.where(is_history_item())
+
+
+def is_history_item() -> F.Column:
+    """The item's type is absent, empty or ``message``."""
     kind = json_type("m", "$.type")
     t = str_field("m", "$.type")
-    return items.where(kind.isNull() | (kind == "NULL") | t.isin("", "message"))
+    return F.coalesce(kind.isNull() | (kind == "NULL") | t.isin("", "message"), F.lit(False))
 
 
 def history_event_id(workspace: str = "workspace_id", channel: str = "channel_id", ts: F.Column | None = None) -> F.Column:
