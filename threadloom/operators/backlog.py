@@ -2,7 +2,7 @@
 
 A batch takes groups in digest order while their cost stays within the budget; a group over the
 budget is a batch of its own. That is a walk along one scope's groups, but no task walks: running
-costs tell for every group where the next batch would begin if one began there, and the walk from
+costs and limits, merged in one order, tell for every group where the next batch would begin if one began there, and the walk from
 the first group is then found by doubling these jumps, in logarithmically many joins.
 """
 
@@ -19,21 +19,16 @@ from threadloom.plans.stage import stage
 def _next_starts(ordered: DataFrame, scope: list[str], budget: int) -> DataFrame:
     """For each group, the position of the first group that does not fit after it.
 
-    The first group whose running cost passes a limit lies in the cost bucket (of width ``budget``) of
-    the limit, or right behind the groups of it, or of the one before. A bucket holds budget // 24 + 1
-    groups at most, since no group costs less than 24.
+    A batch that begins at a group takes every group whose running cost is at most the group's limit. Running costs and
+    limits are merged into one ordered stream; the running costs passed before a limit are the positions it covers, because
+    positions are dense. The stream has two rows a group, whatever the budget.
     """
-    rows = ordered.withColumn("limit", F.col("upto") - F.col("cost") + budget).withColumn("bucket", F.expr(f"upto div {budget}"))
-    rows = rows.withColumn("aim", F.expr(f"limit div {budget}"))
-    ends = rows.groupBy(*scope, "bucket").agg(F.max("group_position").alias("end"))
-    beyond = rows.select(*scope, F.col("bucket").alias("aim"), F.col("group_position").alias("far"), F.col("upto").alias("far_upto"))
-    hit = (rows.join(beyond, [*scope, "aim"]).where(F.col("far_upto") > F.col("limit"))
-           .groupBy(*scope, "group_position").agg(F.min("far").alias("hit")))
-    here = ends.select(*scope, F.col("bucket").alias("aim"), F.col("end").alias("end_here"))
-    before = ends.select(*scope, (F.col("bucket") + 1).alias("aim"), F.col("end").alias("end_before"))
-    j = (rows.join(hit, [*scope, "group_position"], "left").join(here, [*scope, "aim"], "left").join(before, [*scope, "aim"], "left"))
-    after = F.coalesce("hit", F.coalesce("end_here", "end_before", F.lit(0)) + 1)
-    return j.select(*scope, "group_position", F.greatest(F.col("group_position") + 1, after).alias("jump"))
+    ends = ordered.select(*scope, F.col("upto").alias("at"), F.lit(0).alias("is_limit"), "group_position")
+    limits = ordered.select(*scope, (F.col("upto") - F.col("cost") + budget).alias("at"), F.lit(1).alias("is_limit"), "group_position")
+    order = [F.col("at"), F.col("is_limit"), F.col("group_position")]
+    merged = running_total(ends.unionByName(limits), scope, order, 1 - F.col("is_limit"), "covered")
+    return merged.where("is_limit = 1").select(
+        *scope, "group_position", (F.greatest("group_position", "covered") + 1).cast("bigint").alias("jump"))
 
 
 def plan_batches(grouped: Grouped, budget: int, tiebreak: str = "event_sequence") -> DataFrame:

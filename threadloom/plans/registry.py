@@ -869,7 +869,7 @@ def q_health(spark, sf_dir):
 
 from threadloom.plans.stage import scratch_path  # noqa: E402
 from threadloom.sources import feeds  # noqa: E402
-from threadloom.streaming import ingest  # noqa: E402
+from threadloom.streaming import ingest, purge  # noqa: E402
 
 
 def _land(df: DataFrame, order: str, parts: int, path: str) -> None:
@@ -1032,6 +1032,41 @@ def q_stream_backfill(spark, sf_dir):
         "event_id", "event_sequence", "workspace_id", "channel_id", "message_ts", "thread_ts", "user_id", "text")
 
 
+PURGE_SQL = STORE_SQL + ["""
+kept AS (
+  SELECT s.* FROM stored s, (SELECT 1700000000 + (max(conv_id) // 11) * 120 + 1000 AS cutoff FROM conversations) p
+  WHERE TRY_CAST(s.message_ts AS DECIMAL(20,6)) >= cutoff OR EXISTS (
+    SELECT 1 FROM stored r WHERE r.workspace_id = s.workspace_id AND r.channel_id = s.channel_id AND r.thread_ts = s.message_ts
+      AND TRY_CAST(r.message_ts AS DECIMAL(20,6)) >= cutoff))""", """
+events AS (
+  SELECT event_id, received_secs FROM by_event
+  UNION ALL SELECT event_id, observed_secs FROM raw WHERE event_id NOT IN (SELECT event_id FROM by_event))"""]
+
+
+@register("purge_store", osql.with_ctes(PURGE_SQL, """
+SELECT 'message' AS kind, event_id AS id, CAST(event_sequence AS BIGINT) AS event_sequence FROM kept
+UNION ALL SELECT 'raw', event_id, NULL FROM events WHERE received_secs >= (SELECT 1700000000 + (max(conv_id) // 11) * 120 + 1000 FROM conversations)
+UNION ALL SELECT 'ack', event_id, NULL FROM kept WHERE event_sequence % 3 = 0
+UNION ALL SELECT DISTINCT 'thread', h.workspace_id || ':' || h.channel_id || ':' || h.message_ts, NULL FROM hitems h
+  WHERE h.thread_ts IS NULL AND EXISTS (SELECT 1 FROM kept k WHERE k.workspace_id = h.workspace_id AND k.channel_id = h.channel_id
+    AND k.message_ts = h.message_ts)"""))
+def q_purge_store(spark, sf_dir):
+    """R1-R4 on the stored tables: what is left of messages, raw events, acknowledgements and thread index after a purge."""
+    import datetime as dt
+    root = _stored(spark, sf_dir)
+    msgs = ingest.read_messages(spark, root).where("event_sequence % 3 = 0")
+    purge.append_acks(spark, root, msgs.select(F.lit("alpha").alias("consumer_id"), "event_id", F.col("observed_at").alias("acknowledged_at")), 0)
+    hi = fx.table(spark, sf_dir, "conversations").agg(F.max(F.expr("conv_id div 11")).alias("m")).first()["m"]
+    as_of = dt.datetime.fromtimestamp(fx.BASE_SECS + hi * 120 + 1000 + 86400, tz=dt.timezone.utc)
+    purge.purge_store(spark, root, as_of, raw_days=1, message_days=1)
+    none = F.lit(None).cast("bigint").alias("event_sequence")
+    parts = [ingest.read_messages(spark, root).select(F.lit("message").alias("kind"), F.col("event_id").alias("id"), "event_sequence"),
+             ingest._table(spark, root, "raw").select(F.lit("raw").alias("kind"), F.col("event_id").alias("id"), none),
+             purge.read_acks(spark, root).select(F.lit("ack").alias("kind"), F.col("event_id").alias("id"), none),
+             ingest.read_thread_index(spark, root).select(F.lit("thread").alias("kind"), F.concat_ws(":", *thread_index.KEY).alias("id"), none)]
+    return dedupe.union_feeds(*parts)
+
+
 @register("stream_gaps", osql.with_ctes([fx.SQL_LIFECYCLE], "SELECT source, start_us, end_us FROM gaps"))
 def q_stream_gaps(spark, sf_dir):
     """The lifecycle log in four files in order of time, downtime state kept per source."""
