@@ -232,21 +232,32 @@ def make_batch(grouped: Grouped, messages: DataFrame, budget: int, tiebreak: str
     return Batch(groups=groups_out, messages=delivered, summary=summary)
 
 
-def inbox_digest(messages: DataFrame, acks: DataFrame, consumers: Sequence[str], as_of, budget: int,
-                 settle_seconds: int = 90, gap_seconds: int = DEFAULT_GAP_SECS, upper=None) -> tuple[Grouped, Batch]:
-    """I1 -> I3 -> I4 -> G1-G9 for every consumer in ``consumers`` at once.
+def inbox_groups(messages: DataFrame, acks: DataFrame, consumers: Sequence[str], as_of, settle_seconds: int = 90,
+                 gap_seconds: int = DEFAULT_GAP_SECS, upper=None) -> tuple[Grouped, int]:
+    """G13 up to the groups: I1 -> I3 -> I4 -> G1-G5 for every consumer at once, and the upper sequence.
 
-    ``messages`` must come from ``inbox.digest_ready``. ``upper`` defaults to I1. The texts are read once for
-    their cost (the narrow columns are staged) and once more for the delivered rows.
+    The texts are read once for their cost; the narrow columns and the selection are staged, members and groups are not,
+    so who reads only one of them pays for that one.
     """
     from threadloom.operators import inbox
 
-    _check_budget(budget)
     narrow = stage(messages.select(*inbox.NARROW, "observed_at"), "inbox-messages")
     up = inbox.latest_sequence_value(narrow) if upper is None else upper
     pend = inbox.pending(narrow, acks, consumers, up, as_of, settle_seconds)
     sel = stage(inbox.hydrate_threads(pend, narrow, ["consumer_id"]), "inbox-selection")
-    grouped = staged(group_messages(sel, ["consumer_id"], gap_seconds, "event_sequence"), "inbox")
+    return group_messages(sel, ["consumer_id"], gap_seconds, "event_sequence"), up
+
+
+def inbox_digest(messages: DataFrame, acks: DataFrame, consumers: Sequence[str], as_of, budget: int,
+                 settle_seconds: int = 90, gap_seconds: int = DEFAULT_GAP_SECS, upper=None) -> tuple[Grouped, Batch]:
+    """``inbox_groups``, then the first batch (G6-G9) of every consumer in ``consumers``.
+
+    ``messages`` must come from ``inbox.digest_ready``. ``upper`` defaults to I1. Of the groups, which the batch reads several
+    times, a stage is written; the members are read once, for the picked groups.
+    """
+    _check_budget(budget)
+    grouped, up = inbox_groups(messages, acks, consumers, as_of, settle_seconds, gap_seconds, upper)
+    grouped = Grouped(members=grouped.members, groups=stage(grouped.groups, "inbox-groups"), scope=grouped.scope)
     everyone = messages.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(consumers)], "consumer_id string")
     return grouped, make_batch(grouped, messages, budget, "event_sequence", scopes=everyone, upper=up)
 

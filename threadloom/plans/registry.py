@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import message_instant, message_secs
-from threadloom.operators import backlog, digest, inbox, segments
+from threadloom.operators import ack_blocks, backlog, digest, inbox, segments
 from threadloom.operators.scan import ordinal
 from threadloom.plans import fixtures as fx
 from threadloom.plans import oracle_sql as osql
+from threadloom.plans.stage import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +46,12 @@ def inbox_run(spark: SparkSession, sf_dir: str, budget: int):
     return msgs, grouped, batch
 
 
+def inbox_groups(spark: SparkSession, sf_dir: str) -> digest.Grouped:
+    """Members and groups of the consumers' inboxes, without a batch."""
+    _, msgs, acks, as_of = conv_inputs(spark, sf_dir)
+    return digest.inbox_groups(msgs, acks, fx.CONSUMERS, as_of)[0]
+
+
 INBOX = osql.inbox_ctes()
 GROUPING = osql.grouping_ctes(300, "event_sequence")
 
@@ -82,6 +89,19 @@ def q_pending(spark, sf_dir):
     return inbox.pending(msgs, acks, fx.CONSUMERS, up, as_of).select("consumer_id", "event_id", "event_sequence")
 
 
+@register("pending_by_blocks", osql.with_ctes(INBOX, "SELECT consumer_id, event_id, event_sequence FROM pending"))
+def q_pending_by_blocks(spark, sf_dir):
+    """I3 with bitmaps of acknowledged sequence numbers, built in two parts and merged, over messages stored by spans."""
+    conv, msgs, acks, as_of = conv_inputs(spark, sf_dir)
+    path = scratch_path(spark, "messages", "spans")
+    ack_blocks.write_spans(msgs.select("event_id", "event_sequence", "observed_at"), path)
+    stored = spark.read.parquet(path)
+    first = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
+    blocks = ack_blocks.merge_blocks(ack_blocks.ack_blocks(acks.where(first), stored), ack_blocks.ack_blocks(acks, stored))
+    up = inbox.latest_sequence_value(stored)
+    return ack_blocks.pending_by_blocks(stored, blocks, fx.CONSUMERS, up, up, as_of).select("consumer_id", "event_id", "event_sequence")
+
+
 @register("hydrated_threads", osql.with_ctes(INBOX, """
 SELECT h.consumer_id, h.event_id, m.event_sequence, h.eligible FROM hydrated h JOIN messages m USING (event_id)"""))
 def q_hydrated(spark, sf_dir):
@@ -98,7 +118,7 @@ def q_hydrated(spark, sf_dir):
 SELECT scope AS consumer_id, group_id, kind, workspace_id, channel_id, thread_ts, CAST(first_secs AS BIGINT) AS first_secs,
        n_messages, cost FROM groups"""))
 def q_thread_groups(spark, sf_dir):
-    _, grouped, _ = inbox_run(spark, sf_dir, 16000)
+    grouped = inbox_groups(spark, sf_dir)
     return grouped.groups.select("consumer_id", "group_id", "kind", "workspace_id", "channel_id", "thread_ts",
                                  F.col("first_secs").cast("bigint"), "n_messages", "cost")
 
@@ -106,7 +126,7 @@ def q_thread_groups(spark, sf_dir):
 @register("group_members", inbox_sql("""
 SELECT scope AS consumer_id, group_id, event_id, CAST(member_position AS BIGINT) AS member_position FROM members"""))
 def q_group_members(spark, sf_dir):
-    _, grouped, _ = inbox_run(spark, sf_dir, 16000)
+    grouped = inbox_groups(spark, sf_dir)
     return ordinal(grouped.members, ["consumer_id", "group_id"], digest.member_order(), "member_position").select(
         "consumer_id", "group_id", "event_id", "member_position")
 
@@ -114,7 +134,7 @@ def q_group_members(spark, sf_dir):
 @register("ordered_groups", inbox_sql("""
 SELECT scope AS consumer_id, group_id, CAST(group_position AS BIGINT) AS group_position FROM ordered"""))
 def q_ordered_groups(spark, sf_dir):
-    _, grouped, _ = inbox_run(spark, sf_dir, 16000)
+    grouped = inbox_groups(spark, sf_dir)
     return digest.ordered_groups(grouped).select("consumer_id", "group_id", "group_position")
 
 
@@ -122,7 +142,7 @@ def q_ordered_groups(spark, sf_dir):
 SELECT scope AS consumer_id, group_id, CAST(group_position AS BIGINT) AS group_position,
        CAST(running_cost AS BIGINT) AS running_cost FROM selected""", 16000))
 def q_first_batch(spark, sf_dir):
-    _, grouped, _ = inbox_run(spark, sf_dir, 16000)
+    grouped = inbox_groups(spark, sf_dir)
     _, selected = digest.first_batch(grouped, 16000)
     return selected.select("consumer_id", "group_id", F.col("group_position").cast("bigint"), "running_cost")
 
@@ -222,7 +242,7 @@ walk AS (
 SELECT o.scope AS consumer_id, o.group_id, CAST(o.group_position AS BIGINT) AS group_position, o.cost, w.batch_no
 FROM ordered o JOIN walk w ON w.scope = o.scope AND w.group_position = o.group_position""", recursive=True))
 def q_backlog_plan(spark, sf_dir):
-    _, grouped, _ = inbox_run(spark, sf_dir, 4000)
+    grouped = inbox_groups(spark, sf_dir)
     return backlog.plan_batches(grouped, 4000)
 
 
@@ -867,7 +887,6 @@ def q_health(spark, sf_dir):
 
 # ---------------------------------------------------------------- S2, S8, T1-T8 (availableNow streams)
 
-from threadloom.plans.stage import scratch_path  # noqa: E402
 from threadloom.sources import feeds  # noqa: E402
 from threadloom.streaming import ingest, purge  # noqa: E402
 

@@ -363,8 +363,9 @@ GAPS = "source bigint, start_us bigint, end_us bigint"
 def stream_gaps(log: DataFrame, min_gap_seconds: int = 300) -> DataFrame:
     """B7 over a stream of lifecycle rows (source, at, kind, seq), with state per source.
 
-    A batch's rows of a source are taken in order of (at, seq), chunk by chunk as Spark hands them over;
-    the state is three times per source.
+    A batch's rows of a source are put in order of (at, seq) in memory, so a batch must be bounded per source; the state is
+    three times per source, each the latest of its kind. A row that comes in a later batch than a row after it moves no time
+    back, and a connect that is late is compared with the times known by then.
     """
     import pandas as pd
 
