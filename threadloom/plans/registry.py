@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.functions import message_instant, message_secs
+from threadloom.functions import canonical_ts, message_instant, message_secs
 from threadloom.operators import ack_blocks, backlog, digest, inbox, segments
 from threadloom.operators.scan import ordinal
 from threadloom.plans import fixtures as fx
@@ -89,6 +89,23 @@ def q_pending(spark, sf_dir):
     return inbox.pending(msgs, acks, fx.CONSUMERS, up, as_of).select("consumer_id", "event_id", "event_sequence")
 
 
+@register("canonical_keys", osql.with_ctes([fx.SQL_MESSAGES], """
+SELECT event_id, CASE WHEN event_sequence % 3 = 0 THEN message_ts WHEN event_sequence % 3 = 1 THEN rtrim(rtrim(message_ts, '0'), '.') END AS key,
+       event_sequence % 3 = 0 OR (event_sequence % 3 = 1 AND message_ts NOT LIKE '%0') AS found
+FROM messages WHERE regexp_full_match(message_ts, '[1-9][0-9]*[.][0-9]+')"""))
+def q_canonical_keys(spark, sf_dir):
+    """Message keys that arrive as JSON text, as JSON numbers (which have no trailing zeros) and as null, and whether they name a message."""
+    m = fx.conversation_messages(fx.table(spark, sf_dir, "conversations")).where(F.col("message_ts").rlike(r"^[1-9][0-9]*\.[0-9]+$"))
+    as_text = F.concat(F.lit('{"ts":"'), "message_ts", F.lit('"}'))
+    as_number = F.concat(F.lit('{"ts":'), "message_ts", F.lit("}"))
+    kind = F.col("event_sequence") % 3
+    body = F.when(kind == 0, as_text).when(kind == 1, as_number).otherwise(F.lit('{"ts":null}'))
+    keys = m.select("event_id", "workspace_id", "channel_id", canonical_ts(F.try_variant_get(F.try_parse_json(body), "$.ts", "variant")).alias("key"))
+    named = inbox.get_messages(m, keys.select("workspace_id", "channel_id", F.col("key").alias("message_ts")))
+    hit = named.select("workspace_id", "channel_id", F.col("message_ts").alias("key"), F.lit(True).alias("_hit")).distinct()
+    return keys.join(hit, ["workspace_id", "channel_id", "key"], "left").select("event_id", "key", F.coalesce("_hit", F.lit(False)).alias("found"))
+
+
 @register("pending_by_blocks", osql.with_ctes(INBOX, "SELECT consumer_id, event_id, event_sequence FROM pending"))
 def q_pending_by_blocks(spark, sf_dir):
     """I3 with bitmaps of acknowledged sequence numbers, built in two parts and merged, over messages stored by spans."""
