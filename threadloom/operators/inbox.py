@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.scan import ordinal
+
 DEFAULT_SETTLE_SECS = 90
 MAX_SETTLE_SECS = 3600
 RECEIPT_TTL_DAYS = 7
@@ -179,6 +181,23 @@ def acknowledge(requests: DataFrame, messages: DataFrame, acks: DataFrame, at=No
     return outcomes, new_acks
 
 
+def acknowledge_lists(requests: DataFrame, messages: DataFrame, acks: DataFrame, at=None) -> tuple[DataFrame, DataFrame]:
+    """I9 for requests with a list of ids each (consumer_id, event_ids): the distinct ids of all lists of a consumer.
+
+    A null or empty list, and null ids in a list, ask for nothing.
+    """
+    each = requests.select("consumer_id", F.explode(F.array_distinct("event_ids")).alias("event_id"))
+    return acknowledge(each.where(F.col("event_id").isNotNull()), messages, acks, at)
+
+
+def in_read_order(rows: DataFrame, scope: Sequence[str], *order: str) -> DataFrame:
+    """Add ``position``, from 1, of each row in its scope: by ``event_sequence`` for I2 and I3, by the text of ``message_ts`` for
+    I5. ``order`` must be a total order in a scope; no scope is sorted in one task."""
+    if scope:
+        return ordinal(rows, scope, [F.col(c) for c in order], "position")
+    return ordinal(rows.withColumn("_all", F.lit(0)), ["_all"], [F.col(c) for c in order], "position").drop("_all")
+
+
 def receipts(batch_messages: DataFrame, scope: Sequence[str] = ("consumer_id",)) -> DataFrame:
     """Ackable ids per delivered group.
 

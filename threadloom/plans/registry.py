@@ -447,6 +447,48 @@ rc AS (SELECT CASE WHEN (c * 8 + t) // 8 % 13 = 0 THEN NULL ELSE 'alpha' END AS
 rp AS (SELECT min(observed_secs) + 7 * 86400 + (max(observed_secs) - min(observed_secs)) // 2 AS as_of_secs FROM messages)"""
 
 
+@register("ack_lists", osql.with_ctes(INBOX + ["""
+req AS (
+  SELECT c.consumer_id, r.event_id FROM (
+    SELECT 'Ev' || lpad(CAST(conv_id * 8 + turn AS VARCHAR), 9, '0') AS event_id FROM conversations WHERE (conv_id + turn) % 5 = 0
+    UNION ALL SELECT 'missing' || CAST(conv_id AS VARCHAR) FROM conversations WHERE conv_id % 10 = 0 AND turn = 0) r
+  CROSS JOIN consumers c CROSS JOIN range(2) d)"""], """
+SELECT DISTINCT r.consumer_id, r.event_id,
+  CASE WHEN NOT EXISTS (SELECT 1 FROM messages m WHERE m.event_id = r.event_id) THEN 'unknown'
+       WHEN EXISTS (SELECT 1 FROM acks a WHERE a.consumer_id = r.consumer_id AND a.event_id = r.event_id) THEN 'already'
+       ELSE 'acknowledged' END AS outcome
+FROM req r"""))
+def q_ack_lists(spark, sf_dir):
+    """I9 with a list of ids a request, with repeats inside and between lists, a null id and an empty list."""
+    conv = fx.table(spark, sf_dir, "conversations")
+    msgs = fx.conversation_messages(conv)
+    asked = ack_requests(conv).groupBy("consumer_id", F.pmod(F.xxhash64("event_id"), F.lit(50)).alias("request")).agg(F.collect_list("event_id").alias("event_ids"))
+    asked = asked.select("consumer_id", F.array_append("event_ids", F.lit(None).cast("string")).alias("event_ids"))
+    empty = asked.select("consumer_id", F.array().cast("array<string>").alias("event_ids")).distinct()
+    outcomes, _ = inbox.acknowledge_lists(asked.unionByName(empty), msgs, fx.conversation_acks(conv))
+    return outcomes.select("consumer_id", "event_id", "outcome")
+
+
+@register("read_order", osql.with_ctes(INBOX + [THREAD_KEYS_SQL, THREAD_READ_SQL], f"""
+SELECT 'changed' AS scope, event_id, row_number() OVER (ORDER BY event_sequence) AS position FROM messages, params
+WHERE event_sequence > {CHANGED_AFTER} AND event_sequence <= upper_seq AND observed_secs <= as_of_secs - 90
+UNION ALL SELECT consumer_id, event_id, row_number() OVER (PARTITION BY consumer_id ORDER BY event_sequence) FROM pending
+UNION ALL SELECT workspace_id || ':' || channel_id || ':' || key_ts, event_id,
+  row_number() OVER (PARTITION BY workspace_id, channel_id, key_ts ORDER BY message_ts) FROM tread"""))
+def q_read_order(spark, sf_dir):
+    """I2 and I3 in order of sequence, I5 in text order of the timestamp, each with its position."""
+    conv, msgs, acks, as_of = conv_inputs(spark, sf_dir)
+    up = inbox.latest_sequence_value(msgs)
+    changed = inbox.in_read_order(inbox.changed_messages(msgs, CHANGED_AFTER, up, as_of).select("event_id", "event_sequence"), [], "event_sequence")
+    pend = inbox.pending(msgs, acks, fx.CONSUMERS, up, as_of).select("consumer_id", "event_id", "event_sequence")
+    pend = inbox.in_read_order(pend, ["consumer_id"], "event_sequence")
+    key = ["workspace_id", "channel_id", "key_ts"]
+    thread = inbox.in_read_order(_thread_read(spark, sf_dir)[1].select(*key, "event_id", "message_ts"), key, "message_ts")
+    return (changed.select(F.lit("changed").alias("scope"), "event_id", "position")
+            .unionByName(pend.select(F.col("consumer_id").alias("scope"), "event_id", "position"))
+            .unionByName(thread.select(F.concat_ws(":", *key).alias("scope"), "event_id", "position")))
+
+
 @register("receipts_valid", osql.with_ctes([fx.SQL_MESSAGES, RECEIPT_SQL], """
 SELECT consumer_id, event_id AS event_ids,
        CASE WHEN consumer_id IS NULL THEN 'malformed' WHEN expires_secs < rp.as_of_secs THEN 'expired' ELSE 'valid' END AS status
