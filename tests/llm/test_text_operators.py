@@ -128,6 +128,20 @@ def test_classifier_edges(spark):
     assert len(quality_model.score_documents(docs, odd).collect()) == len(AWKWARD)
 
 
+def test_classifier_takes_one_row_of_a_repeated_id(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    good, bad = prose(3, 60), "# * $ " * 12
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, quality int")
+    # ids whose rows differ, copies of a row, and an id that holds a third of all rows
+    rows = [(i, good if i % 2 else bad) for i in ids] + [(i, good) for i in ids[::7]] + [(ids[0], prose(n, 9)) for n in range(100)]
+    models = []
+    for k in (0, 1):
+        random.Random(k).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3 + 4 * k)
+        models.append(quality_model.train(quality_rules.measure(docs), labels))
+    assert models[0] == models[1] and models[0].rules
+
+
 def test_filters_keep_rows_and_columns(spark):
     """Stages of a pipeline return the columns of their input, also ones named like their own."""
     docs = frame(spark, AWKWARD + [prose(k, 60) for k in range(10)])

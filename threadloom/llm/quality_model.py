@@ -143,14 +143,17 @@ def held_out(doc_id: Column) -> Column:
 def train(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> RuleModel:
     """Fit on labelled rows that are not held out, at most ``max_rows`` of them, chosen by id hash.
 
-    Several labels of one document count as their majority; null labels and ids are ignored.
+    Several labels of one document count as their majority; null labels and ids are ignored. Of several rows of one
+    doc_id the one with the least statistics is taken, in the order of ``FEATURES``. The labelled ids, at most
+    ``max_rows``, are broadcast, so only their rows are grouped.
     """
     known = (labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("_label"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     names = list(FEATURES)
-    rows = (stats.dropDuplicates(["doc_id"]).join(known, "doc_id")
-            .select("doc_id", "_label", *[F.expr(FEATURES[n]).alias(n) for n in names]).toPandas().sort_values("doc_id"))
+    found = F.struct(*[F.expr(FEATURES[n]).alias(n) for n in names])
+    rows = (stats.join(F.broadcast(known), "doc_id").groupBy("doc_id", "_label").agg(F.min(found).alias("_x"))
+            .select("doc_id", "_label", "_x.*").toPandas().sort_values("doc_id"))
     return fit(rows[names].to_numpy(np.float64), rows["_label"].to_numpy(np.float64), names)
 
 
