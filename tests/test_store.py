@@ -6,6 +6,7 @@ import os
 import random
 
 from threadloom.plans.stage import scratch_path
+from threadloom.operators import thread_index
 from threadloom.sources import envelopes, feeds, history
 from threadloom.streaming import ingest, purge
 
@@ -94,6 +95,83 @@ def test_windows_merge_over_batches_and_days(spark):
     assert len(near) == sum(c == "C1" and a // day <= 20002 <= b // day for c, a, _, b in got)
 
 
+LOG = "is_fetch int, workspace_id string, channel_id string, root_ts string, reply_count bigint, latest_reply_ts string, at timestamp"
+
+
+def walk_index(log):
+    """The index by a walk over the log in order of time, an observation before a fetch at one instant."""
+    out = {}
+    first = lambda v: (v is not None, v)  # noqa: E731  missing values come first
+    for is_fetch, w, c, root, n, latest, at in sorted(set(log), key=lambda r: (first(r[6]), r[0], first(r[4]), first(r[5]))):
+        seen = out.get((w, c, root))
+        if not is_fetch:
+            out[w, c, root] = (n, latest, at, *(seen[3:] if seen else (0, None)))
+        elif seen:
+            out[w, c, root] = (*seen[:3], seen[0], at)
+    return out
+
+
+def as_index(rows):
+    return {(r.workspace_id, r.channel_id, r.root_ts): (r.observed_reply_count, r.latest_reply_ts, r.indexed_at, r.fetched_reply_count, r.fetched_at)
+            for r in rows.collect()}
+
+
+def index_of(log):
+    return thread_index.thread_index(log.where("is_fetch = 0").withColumnRenamed("at", "indexed_at"),
+                                     log.where("is_fetch = 1").withColumnRenamed("at", "fetched_at"))
+
+
+def random_log(seed, n, roots):
+    rnd = random.Random(seed)
+    log = []
+    for _ in range(n):
+        fetch, root = int(rnd.random() < 0.35), rnd.choice(roots + roots[:1] * len(roots))  # the first root is hot
+        at = None if rnd.random() < 0.05 else T0 + rnd.randrange(40) * SEC
+        log.append((fetch, rnd.choice(["T", None]) if root == roots[-1] else "T", "C", root, None if fetch else rnd.randrange(4),
+                    None if fetch or rnd.random() < 0.5 else str(rnd.randrange(3)), at))
+    return log + log[: n // 5]
+
+
+def test_open_rows_give_the_index_after_any_split(spark):
+    for seed in range(3):
+        log = random_log(seed, 150, ["1.5", "2.5", "3.5", "4.5", "never"])
+        random.Random(seed).shuffle(log)
+        state = spark.createDataFrame([], LOG)
+        for k in range(3):
+            state = thread_index.open_log(state.unionByName(spark.createDataFrame(log[k::3], LOG)))
+            state = spark.createDataFrame(state.collect(), LOG)
+        want = walk_index(log)
+        assert as_index(index_of(state)) == want and as_index(index_of(spark.createDataFrame(log, LOG))) == want
+        # rows before the last covered observation are gone: a fetch, what it covers, what came after it
+        assert sorted(map(repr, state.collect())) == sorted(map(repr, thread_index.open_log(spark.createDataFrame(log, LOG)).collect()))
+        hot = [r for r in state.collect() if r.root_ts == "1.5"]
+        until = [r.at for r in hot if r.is_fetch]
+        assert len(until) == 1 and sum(not r.is_fetch and (r.at is None or r.at <= until[0]) for r in hot) <= 1
+    assert thread_index.open_log(spark.createDataFrame([], LOG)).collect() == []
+
+
+def test_thread_state_reads_and_writes_the_dates_of_its_batch(spark):
+    root = scratch_path(spark, "test", "threads")
+    write = ingest._write_batch(root)
+    day = [1785500000 + 86400 * k for k in range(3)]
+    page = lambda p, k, n, s: (p, "C1", None, [{"ts": f"{day[k]}.5", "text": "r", "reply_count": n}], s)
+    write(feeds.all_rows(history_pages=pages(spark, page("a", 0, 1, 10), page("b", 1, 2, 10), page("c", 2, 3, 10))), 0)
+    write(feeds.all_rows(history_pages=pages(spark, page("d", 1, 5, 30)), reply_pages=pages(
+        spark, ("r", "C1", f"{day[1]}.5", [{"ts": f"{day[1]}.5", "text": "r"}], 20))), 1)
+    before = files(f"{root}/thread_state")
+    # a page that was fetched before the thread was, and comes later: the fetch covers its count
+    write(feeds.all_rows(history_pages=pages(spark, page("e", 1, 4, 15))), 2)
+    write(feeds.all_rows(history_pages=pages(spark, page("e", 1, 4, 15))), 2)  # delivered again
+    got = {r.root_ts: (r.observed_reply_count, r.fetched_reply_count) for r in ingest.read_thread_index(spark, root).collect()}
+    assert got == {f"{day[0]}.5": (1, 0), f"{day[1]}.5": (5, 4), f"{day[2]}.5": (3, 0)}
+    assert {r.root_ts for r in thread_index.stale_threads(ingest.read_thread_index(spark, root)).collect()} == set(got)
+    new = [f for f in files(f"{root}/thread_state") if f not in before]
+    assert all(f in files(f"{root}/thread_state") for f in before) and new and all("/batch=2/" in f and "root_date=" in f for f, _ in new)
+    assert len({f.split("root_date=")[1][:10] for f, _ in new}) == 1
+    touched = {f.split("root_date=")[1][:10] for f, _ in files(f"{root}/thread_state") if "/batch=1/" in f}
+    assert len(touched) == 1
+
+
 def files(path):
     return sorted((os.path.join(d, f), os.path.getmtime(os.path.join(d, f))) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet"))
 

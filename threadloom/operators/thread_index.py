@@ -52,6 +52,30 @@ def thread_index(obs: DataFrame, fetches: DataFrame | None = None) -> DataFrame:
         F.col("_last.at").alias("indexed_at"), F.coalesce("_fetched", F.lit(0)).cast("bigint").alias("fetched_reply_count"), "fetched_at")
 
 
+def open_log(log: DataFrame) -> DataFrame:
+    """The rows of a log that its index rests on or that a later row can still bring into play, whatever its time.
+
+    ``log``: KEY, is_fetch, reply_count, latest_reply_ts, at. Of each root these stay: the last fetch, the last observation
+    that it covers, and every observation after it. An observation before the last covered one can neither be the last
+    seen nor the last before a fetch again, because the time of the last fetch only grows. So the index of a log is the
+    index of its open rows, and open rows may be merged with new rows in any order: ``open_log(open_log(a) + b)`` equals
+    ``open_log(a + b)``. Equal rows count once. A missing ``at`` comes before all times, as in ``thread_index``.
+    """
+    fetch = F.col("is_fetch") == 1
+    last = log.groupBy(*KEY).agg(F.count_if(fetch).alias("_fetches"), F.max(F.when(fetch, F.col("at"))).alias("_until"))
+    keyed = last.select(*[F.col(k).alias(f"_{k}") for k in KEY], "_fetches", "_until")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY]
+    covered = (F.col("_fetches") > 0) & F.coalesce(F.col("at") <= F.col("_until"), F.col("at").isNull())
+    seen = log.where(~fetch).join(keyed, same).withColumn("_covered", covered)
+    value = ["at", "reply_count", "latest_reply_ts"]
+    before = seen.where("_covered").groupBy(*KEY).agg(F.max(F.struct(*value)).alias("_last")).select(*KEY, "_last.*")
+    after = seen.where(~F.col("_covered")).select(*KEY, *value).distinct()
+    none = [F.lit(None).cast("bigint").alias("reply_count"), F.lit(None).cast("string").alias("latest_reply_ts")]
+    out = ["is_fetch", *KEY, "reply_count", "latest_reply_ts", "at"]
+    return (before.unionByName(after).withColumn("is_fetch", F.lit(0)).select(*out)
+            .unionByName(last.where("_fetches > 0").select(F.lit(1).alias("is_fetch"), *KEY, *none, F.col("_until").alias("at")).select(*out)))
+
+
 def stale_threads(index: DataFrame) -> DataFrame:
     """B1: roots whose observed reply count exceeds the fetched one."""
     return index.where(F.col("observed_reply_count") > F.col("fetched_reply_count"))

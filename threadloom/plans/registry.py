@@ -1145,6 +1145,24 @@ def q_purge_store(spark, sf_dir):
     return dedupe.union_feeds(*parts)
 
 
+STORE_THREADS = STORE_SQL + ["""
+rfetches AS (
+  SELECT workspace_id, channel_id, message_ts AS root_ts, (SELECT as_of_secs FROM params) + 7200 AS fetched_secs
+  FROM messages WHERE t = 0 AND c % 4 <> 0 AND c % 5 = 2)""", OBS_SQL.replace("FROM fetches f", "FROM rfetches f")]
+
+
+@register("stream_threads", osql.with_ctes(STORE_THREADS, """
+SELECT workspace_id, channel_id, root_ts, CAST(observed_reply_count AS BIGINT) AS observed_reply_count,
+       CAST(fetched_reply_count AS BIGINT) AS fetched_reply_count, latest_reply_ts, indexed_secs, fetched_secs,
+       observed_reply_count > fetched_reply_count AS stale FROM tindex"""))
+def q_stream_threads(spark, sf_dir):
+    """D8, D9, B1 over the store: the thread index merged batch by batch from history and reply pages, and its stale threads."""
+    idx = ingest.read_thread_index(spark, _stored(spark, sf_dir))
+    return idx.select(*thread_index.KEY, "observed_reply_count", "fetched_reply_count", "latest_reply_ts",
+                      F.unix_seconds("indexed_at").alias("indexed_secs"), F.unix_seconds("fetched_at").alias("fetched_secs"),
+                      (F.col("observed_reply_count") > F.col("fetched_reply_count")).alias("stale"))
+
+
 @register("stream_gaps", osql.with_ctes([fx.SQL_LIFECYCLE], "SELECT source, start_us, end_us FROM gaps"))
 def q_stream_gaps(spark, sf_dir):
     """The lifecycle log in four files in order of time, downtime state kept per source."""

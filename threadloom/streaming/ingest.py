@@ -9,6 +9,7 @@ Each micro-batch is parsed and landed once; every table is then derived from tha
 * ``raw/received_date=D/batch=N``: one row per event id (D1), not stored before;
 * ``messages/message_date=D/batch=N``: first arrival of each identity (D2) over all feeds, with ``event_sequence`` (D3);
 * ``thread_log/batch=N``: roots seen in history pages and threads fetched (D8, D9);
+* ``thread_state/root_date=D/batch=N``: of each root that the batch brought, the open rows of its log after the batch;
 * ``target_log/batch=N``: first and last time a live channel was seen (T7);
 * ``sequences/batch=N``: first sequence number and count of the batch.
 
@@ -46,6 +47,8 @@ SCHEMAS = {
     "sequences": "first bigint, n bigint, batch bigint",
     "thread_log": "is_fetch int, job_id bigint, workspace_id string, channel_id string, root_ts string, reply_count bigint, "
                   "latest_reply_ts string, at timestamp, batch bigint",
+    "thread_state": "is_fetch int, workspace_id string, channel_id string, root_ts string, reply_count bigint, "
+                    "latest_reply_ts string, at timestamp, root_date date, batch bigint",
     "target_log": "workspace_id string, channel_id string, first_at timestamp, last_at timestamp, batch bigint",
     "windows": "workspace_id string, channel_id string, first_secs bigint, last_secs bigint, n_messages bigint, alive boolean, "
                "window_date date, batch bigint",
@@ -144,6 +147,7 @@ def _write_batch(root: str):
                 f"{root}/page_errors", batch_id)
         if seen["of_pages"]:
             _put(_thread_rows(landed), f"{root}/thread_log", batch_id)
+            _merge_threads(spark, root, batch_id)
 
         # First arrival of an event id in the batch, unless stored within the raw horizon
         good = landed.where(F.col("reject_reason").isNull() & F.col("event_id").isNotNull()).withColumn("received_date", F.to_date("received_at"))
@@ -197,6 +201,28 @@ def _thread_rows(landed: DataFrame) -> DataFrame:
                                                F.col("received_at").alias("at")))
 
 
+def _latest_threads(versions: DataFrame) -> DataFrame:
+    """Of each root the open rows that the last of its batches wrote."""
+    last = versions.groupBy(*thread_index.KEY).agg(F.max("batch").alias("_batch"))
+    last = last.select(*[F.col(k).alias(f"_{k}") for k in thread_index.KEY], "_batch")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in thread_index.KEY] + [F.col("batch") == F.col("_batch")]
+    return versions.join(last, same, "left_semi").drop("batch", "root_date")
+
+
+def _merge_threads(spark: SparkSession, root: str, batch_id: int) -> None:
+    """Merge the thread rows of a batch with the open rows of their roots. Open rows are stored under the date of the root, so
+    only the dates of the batch's roots are read, and only the batch's roots are written."""
+    own = _own(spark, root, "thread_log", batch_id).drop("job_id")
+    listed = own.select(_message_date("root_ts").alias("d")).distinct().limit(MAX_DATES + 1).collect()
+    wanted = {str(r["d"]) for r in listed}
+    stored = _dated(spark, root, "thread_state", batch_id, lambda d: len(wanted) > MAX_DATES or d in wanted)
+    touched = own.select(*[F.col(k).alias(f"_{k}") for k in thread_index.KEY]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in thread_index.KEY]
+    old = _latest_threads(stored.join(touched, same, "left_semi"))
+    merged = thread_index.open_log(old.unionByName(own))
+    _put(merged.withColumn("root_date", _message_date("root_ts")), f"{root}/thread_state", batch_id, "root_date")
+
+
 def start_store(rows: DataFrame, root: str, checkpoint: str, available_now: bool = True):
     """Land, validate, dedupe, number and persist a stream of feed rows (``feeds.all_rows``) under ``root``.
 
@@ -225,8 +251,8 @@ def read_page_errors(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_thread_index(spark: SparkSession, root: str) -> DataFrame:
-    """The thread index of what history and reply pages brought."""
-    log = _table(spark, root, "thread_log")
+    """The thread index of what history and reply pages brought, from the open rows of each root."""
+    log = _latest_threads(_table(spark, root, "thread_state"))
     obs = log.where("is_fetch = 0").withColumnRenamed("at", "indexed_at")
     return thread_index.thread_index(obs, log.where("is_fetch = 1").select(*thread_index.KEY, F.col("at").alias("fetched_at")))
 

@@ -20,7 +20,7 @@ from threadloom.operators import retention
 from threadloom.streaming import ingest
 
 FOLDERS = {"raw": ["received_date", "batch"], "messages": ["message_date", "batch"], "acks": ["message_date", "batch"],
-           "thread_log": ["batch"]}
+           "thread_log": ["batch"], "thread_state": ["root_date", "batch"]}
 ingest.SCHEMAS["acks"] = "consumer_id string, event_id string, acknowledged_at timestamp, message_date date, batch bigint"
 
 
@@ -115,3 +115,6 @@ def purge_store(spark: SparkSession, root: str, as_of: dt.datetime, raw_days: in
     _keep(spark, root, "acks", acks, retention.retain_acks(acks, left))
     log = ingest._table(spark, root, "thread_log")
     _keep(spark, root, "thread_log", log, retention.retain_index(log, ingest._table(spark, root, "messages")))
+    # a root lies under the date of its message, so later dates keep all their roots
+    threads = _upto(spark, root, "thread_state", day)
+    _keep(spark, root, "thread_state", threads, retention.retain_index(threads, _upto(spark, root, "messages", day)))
