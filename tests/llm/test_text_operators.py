@@ -65,6 +65,15 @@ def test_licenses_on_documents(spark):
             assert (r["doc_id"], name) in seen
 
 
+def test_licenses_null_and_repeated_ids_and_empty_table(spark):
+    name, text = licenses.TEMPLATES[0]
+    rows = [(None, text), (None, text), (None, None), (4, text), (4, text), (4, "clean words only here today"), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r["doc_id"], r["license"]) for r in licenses.scan_licenses(docs).collect()), key=str)
+    assert got == [(4, name), (4, name), (None, name), (None, name)]  # a row for each document row
+    assert licenses.scan_licenses(docs.where("false")).collect() == []
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -316,6 +325,19 @@ def test_byte_bpe_long_pieces_equal_matrix(spark):
         assert flat.tolist() == byte_bpe._merge_long(ranks, ranks.single[np.frombuffer(piece.encode(), np.uint8)]).tolist()
 
 
+def test_byte_bpe_null_and_repeated_ids_and_empty_table(spark):
+    import public_tokenizers
+    path = Q.tokenizer("byte_bpe_50k.tiktoken")
+    rows = [(None, "one text"), (None, None), (3, "one text"), (3, "one text"), (3, "another")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = byte_bpe.round_trip_digests(docs, path, public_tokenizers.PATTERN).collect()
+    assert sorted((str(r["doc_id"]), r["decoded_sha256"]) for r in out) == sorted(
+        (str(i), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+    empty = docs.where("false")
+    assert byte_bpe.round_trip_digests(empty, path, public_tokenizers.PATTERN).collect() == []
+    assert byte_bpe.decode_documents(byte_bpe.encode_documents(empty, path, public_tokenizers.PATTERN), path).collect() == []
+
+
 # ---------------------------------------------------------------- 9
 
 

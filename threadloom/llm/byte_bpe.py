@@ -251,7 +251,9 @@ def _run(rank_file: str, pattern: str, emit):
 
 
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """``doc_id, ids`` (array of int) of every row; a null or empty text has no ids. No shuffle."""
+    """``doc_id, ids`` (array of int) of every row; a null or empty text has no ids. No shuffle.
+
+    Each row stands for itself: null and repeated doc_ids keep all their rows, an empty table gives none."""
     def emit(ranks, doc_id, flat, lengths):
         off = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         return pa.RecordBatch.from_arrays([doc_id, pa.ListArray.from_arrays(pa.array(off), pa.array(flat.astype(np.int32)))], names=["doc_id", "ids"])
