@@ -1,6 +1,7 @@
 """Streams: results do not depend on how rows fall into batches, and nothing is lost."""
 
 import datetime as dt
+import os
 
 import pytest
 
@@ -102,3 +103,27 @@ def test_gaps_across_batches(spark):
     got = sorted(map(tuple, spark.read.schema(ingest.GAPS).parquet(f"{root}/out").collect()))
     want = sorted(map(tuple, lifecycle.downtime_gaps(spark.createDataFrame(log, schema)).collect()))
     assert got == want and len(got) == 2
+
+
+def test_landed_files_are_made_once_and_read_by_several_tasks(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from threadloom.plans import registry
+
+    made = spark.sparkContext.accumulator(0)
+
+    def make(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(0, 12_000, 1, 6).selectExpr("id AS seq", "array_join(transform(sequence(1, 32), k -> sha2(concat(id, ':', k), 512)), '') AS body")
+    path = scratch_path(spark, "test", "land")
+    registry._land(rows.mapInArrow(make, rows.schema), "seq", 2, path)
+    files = sorted(glob.glob(f"{path}/*.parquet"), key=os.path.getmtime)
+    assert made.value == 12_000 and len(files) == 2
+    assert all(pq.ParquetFile(f).metadata.num_row_groups > 1 for f in files)
+    seqs = [sorted(pq.read_table(f, columns=["seq"]).column("seq").to_pylist()) for f in files]
+    assert seqs == [list(range(6000)), list(range(6000, 12_000))]

@@ -16,7 +16,7 @@ from threadloom.operators import ack_blocks, backlog, digest, inbox, segments
 from threadloom.operators.scan import ordinal
 from threadloom.plans import fixtures as fx
 from threadloom.plans import oracle_sql as osql
-from threadloom.plans.stage import scratch_path
+from threadloom.plans.stage import drop_between, scratch_path, stage, staged_so_far
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -950,13 +950,24 @@ from threadloom.sources import feeds  # noqa: E402
 from threadloom.streaming import ingest, purge  # noqa: E402
 
 
+LANDED_ROW_GROUP = 4 << 20  # bytes of a row group of a landed file; a file is read by as many tasks as it has groups
+
+
+def _land_file(df: DataFrame, path: str) -> None:
+    """Append ``df`` as one file that several tasks can read; its rows are made where they lie and only written by one task."""
+    df.repartition(1).write.mode("append").option("parquet.block.size", LANDED_ROW_GROUP).parquet(path)
+
+
 def _land(df: DataFrame, order: str, parts: int, path: str) -> None:
     """Write ``df`` as ``parts`` files in the order of ``order``, one after the other, as a feed would."""
+    mark = staged_so_far()
+    df = stage(df, "landing")  # made once, not once a file
+    last = staged_so_far()
     span = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
     width = (span["hi"] - span["lo"]) // parts + 1
     for k in range(parts):
-        part = df.where((F.col(order) - span["lo"]).between(k * width, (k + 1) * width - 1))
-        part.coalesce(1).write.mode("append").parquet(path)
+        _land_file(df.where((F.col(order) - span["lo"]).between(k * width, (k + 1) * width - 1)), path)
+    drop_between(mark, last)
 
 
 def _ingested(spark, sf_dir, files: int = 4, per_trigger: int = 1) -> str:
@@ -965,7 +976,7 @@ def _ingested(spark, sf_dir, files: int = 4, per_trigger: int = 1) -> str:
     root = scratch_path(spark, "stream", "ingest")
     _land(lines, "arrival", files, f"{root}/landing")
     again = lines.withColumn("arrival", F.col("arrival") + 1_000_000_000).withColumn("received_at", F.col("received_at") + F.expr("INTERVAL 1 HOUR"))
-    again.coalesce(1).write.mode("append").parquet(f"{root}/landing")
+    _land_file(again, f"{root}/landing")
     ingest.start_ingest(spark, ingest.envelope_stream(spark, f"{root}/landing", per_trigger, "parquet"), f"{root}/tables",
                         f"{root}/checkpoint").awaitTermination()
     return f"{root}/tables"
